@@ -38,6 +38,7 @@ class FoldSpec:
     infinite_target: str = "drop"
     seed: int = 1
     block_rows: int = BLOCK_ROWS
+    extra_rows: int = 0  # further rows a model looks back from its training pairs
 
     def __post_init__(self) -> None:
         if self.validation_size >= int(self.window_size / 4.0):
@@ -66,7 +67,8 @@ class FoldSpec:
     @property
     def lag_rows(self) -> int:
         """Rows a training pair looks back."""
-        return max(self.lags + self.input_pct_change + self.prediction_length, self.output_pct_change)
+        own = max(self.lags + self.input_pct_change + self.prediction_length, self.output_pct_change)
+        return own + self.extra_rows
 
     @property
     def after_fit_rows(self) -> int:
@@ -120,7 +122,7 @@ def _return_columns(spec: FoldSpec, over) -> dict[str, Column]:
     return columns
 
 
-def fold_rows(prices: DataFrame, spec: FoldSpec, halo: int | None = None) -> DataFrame:
+def fold_rows(prices: DataFrame, spec: FoldSpec) -> DataFrame:
     """Blocked rows with inputs ``x*``, target ``y`` and training pairs ``x*_l, y_l``.
 
     A pair is NULL as a whole before row P and where the target is infinite;
@@ -131,7 +133,7 @@ def fold_rows(prices: DataFrame, spec: FoldSpec, halo: int | None = None) -> Dat
     )
     blocks = to_blocks(
         numbered,
-        halo=spec.halo if halo is None else halo,
+        halo=spec.halo,
         block_rows=spec.block_size,
         segment=spec.frame_length,
     )

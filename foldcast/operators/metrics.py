@@ -45,7 +45,10 @@ def cumulative_log_return(table: DataFrame, columns: list[str], block_rows: int
     zeros, so long series neither overflow nor lose the sign: a negative
     product gives NaN, a zero product minus infinity.
     """
-    blocks = to_blocks(number_rows(table, values=tuple(columns), fill=False), block_rows=block_rows)
+    numbered = table
+    if not {"i", "n"} <= set(table.columns):
+        numbered = number_rows(table, values=tuple(columns), fill=False)
+    blocks = to_blocks(numbered, block_rows=block_rows)
     totals = {}
     for c in columns:
         factor = F.coalesce(F.col(c), F.lit(0.0)) + 1.0
