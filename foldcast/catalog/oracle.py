@@ -129,15 +129,20 @@ def gram_schmidt(source: str, key: str, features: list[str], target: str, train:
         return f"avg({expr}) FILTER (WHERE {train}) OVER (PARTITION BY {key})"
 
     k = len(features)
-    cols = ", ".join(f"{f} - {mean(f)} AS z{j}, {mean(f)} AS m{j}" for j, f in enumerate(features, 1))
+    cols = ", ".join(f"{f} - {mean(f)} AS z{j}, {mean(f)} AS m{j}, regr_sxx({f}, {f}) FILTER (WHERE {train}) OVER (PARTITION BY {key}) AS d{j}" for j, f in enumerate(features, 1))
+
+    def over_own(num: str, s: int) -> str:  # 0 for a feature that depends on the earlier ones
+        own = total(f"z{s} * z{s}")
+        return f"CASE WHEN {own} > 1e-12 * d{s} THEN {total(num)} / {own} ELSE 0 END"
+
     steps = [
         f"""{out}_0 AS (SELECT *, {mean(target)} AS yb, {target} - {mean(target)} AS e_0{', ' if cols else ''}{cols}
             FROM {source})"""
     ]
     for s in range(1, k + 1):
         slopes = ", ".join(
-            [f"{total(f'e_{s - 1} * z{s}')} / {total(f'z{s} * z{s}')} AS c{s}"]
-            + [f"{total(f'z{j} * z{s}')} / {total(f'z{s} * z{s}')} AS s{j}_{s}" for j in range(s + 1, k + 1)]
+            [f"{over_own(f'e_{s - 1} * z{s}', s)} AS c{s}"]
+            + [f"{over_own(f'z{j} * z{s}', s)} AS s{j}_{s}" for j in range(s + 1, k + 1)]
         )
         steps.append(f"{out}_s{s} AS (SELECT * FROM (SELECT *, {slopes} FROM {out}_{s - 1}))")
         replaced = ", ".join(f"z{j} - s{j}_{s} * z{s} AS z{j}" for j in range(s + 1, k + 1))
@@ -197,6 +202,90 @@ def scores(table: str) -> str:
     FROM {table} WHERE pred IS NOT NULL AND "true" IS NOT NULL GROUP BY 1, 2"""
 
 
+def ar_split(kind: str, max_p: int) -> str:
+    """Nested regressions on x1 and 1..max_p own lags over the training rows."""
+    base = split_rows(kind, max_p)
+    features = ["u1"] + [f"x{a}" for a in range(1, max_p + 1)]
+    chain = gram_schmidt("sel", "sid", features, "y", "role = 'train'", "g")
+    return f"""{base}, sel AS (SELECT *, x1 AS u1 FROM spl WHERE role = 'train' AND i >= {max_p}), {chain}"""
+
+
+def ar_orders(kind: str, max_p: int) -> str:
+    rows = " UNION ALL ".join(
+        f"""SELECT sid, CAST({p} AS BIGINT) AS p, any_value(n_tr) AS n_train, any_value(rss_{p + 1}) AS rss,
+        any_value(n_tr) * ln(any_value(rss_{p + 1}) / any_value(n_tr)) + 2 * ({p} + 2) AS aic FROM g GROUP BY 1"""
+        for p in range(max_p + 1)
+    )
+    return f"""WITH {ar_split(kind, max_p)}, cand AS ({rows})
+    SELECT sid AS series_id, p, n_train, {r6('rss', 'rss')}, {r6('aic', 'aic')},
+    CAST(row_number() OVER (PARTITION BY sid ORDER BY round(aic, 9), p) = 1 AS BIGINT) AS chosen FROM cand"""
+
+
+def ar_coefficients(kind: str, max_p: int) -> str:
+    intercept, beta = raw_coefficients(max_p + 1)
+    return f"""WITH {ar_split(kind, max_p)} SELECT sid AS series_id, any_value(n_tr) AS n_train,
+    {r6(f"any_value({intercept})", "intercept")}, {r6(f"any_value({beta[0]})", "beta")},
+    {", ".join(r6(f"any_value({beta[a]})", f"phi{a}") for a in range(1, max_p + 1))} FROM g GROUP BY 1"""
+
+
+def ar_wf(kind: str, spec: FoldSpec, max_p: int, compat: bool = False) -> str:
+    """Per fold nested regressions; least AIC; recursion written out step by step."""
+    p_ahead, v, w = spec.prediction_length, spec.validation_size, spec.window_size
+    low = f"f.t - {w} + {p_ahead + max_p}" if spec.sliding_window else f"{p_ahead + max_p}"
+    lags = ", ".join(f"lag(coalesce(y, 0), {a}) OVER w AS v{a}" for a in range(1, max_p + 1))
+    features = ["u"] + [f"v{a}" for a in range(1, max_p + 1)]
+    chain = gram_schmidt("ex", "sid, t", features, "y", "true", "g")
+    nested = []
+    for p in range(max_p + 1):
+        # coefficients of the model that stops after p lags
+        on_z = [f"c{j}" for j in range(1, p + 2)]
+        beta = [""] * (p + 1)
+        for j in range(p + 1, 0, -1):
+            beta[j - 1] = f"({on_z[j - 1]})"
+            for i in range(1, j):
+                on_z[i - 1] = f"{on_z[i - 1]} - {beta[j - 1]} * s{j}_{i}"
+        c0 = "yb" + "".join(f" - {beta[j]} * m{j + 1}" for j in range(p + 1))
+        phis = "".join(f", any_value({beta[a]}) AS phi{a}" if a <= p else f", 0.0 AS phi{a}" for a in range(1, max_p + 1))
+        nested.append(f"""SELECT sid, t, {p} AS p, any_value(n_tr) * ln(any_value(rss_{p + 1}) / any_value(n_tr)) + 2 * ({p} + 2) AS aic,
+            any_value({c0}) AS c0, any_value({beta[0]}) AS b{phis} FROM g GROUP BY 1, 2""")
+    steps = p_ahead if compat else p_ahead + v
+    out = [f"""{capped_returns(kind, spec)},
+    tgt AS (SELECT b.sid, b.i, coalesce(b.y, 0) AS y, coalesce(a.x1, 0) AS u FROM ret b JOIN ret a ON a.sid = b.sid AND a.i = b.i - {p_ahead}),
+    tl AS (SELECT *, {lags} FROM tgt WINDOW w AS (PARTITION BY sid ORDER BY i)),
+    ex AS (SELECT f.sid, f.t, tl.* EXCLUDE (sid) FROM fold f JOIN tl ON tl.sid = f.sid AND tl.i BETWEEN {low} AND f.e - {v}),
+    {chain}, cand AS ({" UNION ALL ".join(nested)}),
+    fit AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY sid, t ORDER BY round(aic, 9), p) = 1)"""]
+    origin = "fit.t" if compat else "r.t"
+    state = ", ".join(f"s{a}.y AS st{a}" for a in range(max_p))
+    joins = " ".join(
+        f"LEFT JOIN tgt s{a} ON s{a}.sid = r.sid AND s{a}.i = {origin} + {p_ahead - 1 - v - a}" for a in range(max_p)
+    )
+    xs = ", ".join(f"lag(x1, {k}) OVER w AS q{k}" for k in range(steps))
+    out.append(f"rx AS (SELECT sid, i, t, {xs} FROM ret WINDOW w AS (PARTITION BY sid ORDER BY i))")
+    out.append(f"""h0 AS (SELECT r.*, fit.c0, fit.b, {", ".join(f"fit.phi{a}" for a in range(1, max_p + 1))}, {state}
+        FROM rx r ASOF JOIN fit ON r.sid = fit.sid AND r.t >= fit.t {joins})""")
+    for h in range(1, steps + 1):
+        ar = " + ".join(f"phi{a} * st{a - 1}" for a in range(1, max_p + 1))
+        moved = ", ".join([f"c0 + b * q{steps - h} + {ar} AS st0"] + [f"st{a - 1} AS st{a}" for a in range(1, max_p)])
+        out.append(f"h{h} AS (SELECT * REPLACE ({moved}) FROM h{h - 1})")
+    out.append(f"made AS (SELECT sid, i, st0 AS pred FROM h{steps})")
+    first = w + 2 * p_ahead - 1
+    out.append(f"""moved AS (SELECT r.sid, r.dt, m.pred, r.y AS "true" FROM ret r LEFT JOIN made m
+        ON m.sid = r.sid AND m.i = r.i - {p_ahead} WHERE r.i >= {first})""")
+    return ",\n".join(out)
+
+
+def kpss(kind: str, lags: int) -> str:
+    gammas = " + ".join(f"2 * {1 - s / (lags + 1)!r} * sum(g{s})" for s in range(1, lags + 1))
+    shifted = ", ".join(f"e * lag(e, {s}) OVER w AS g{s}" for s in range(1, lags + 1))
+    return f"""WITH {px(kind)},
+    r AS (SELECT sid, dt, coalesce(price / lag(price) OVER (PARTITION BY sid ORDER BY dt) - 1, 0) AS r FROM px),
+    c AS (SELECT sid, dt, r - avg(r) OVER (PARTITION BY sid) AS e FROM r),
+    s AS (SELECT *, sum(e) OVER w AS ps, {shifted} FROM c WINDOW w AS (PARTITION BY sid ORDER BY dt)),
+    k AS (SELECT sid, count(*) AS n_obs, sum(ps * ps) / (count(*) * (sum(e * e) + {gammas})) AS st FROM s GROUP BY 1)
+    SELECT sid AS series_id, n_obs, {r6('st', 'statistic')}, CAST(st < 0.463 AS BIGINT) AS stationary FROM k"""
+
+
 def random_wf(kind: str, spec: FoldSpec) -> str:
     """Floyd's sampling as a recursion, then folds without the drawn rows."""
     w, v, p = spec.window_size, spec.validation_size, spec.prediction_length
@@ -332,6 +421,12 @@ def oracle_sql() -> dict[str, str]:
         "cum_log_return_single": cumulative(split_linear("flag", 3)),
         "reattach_dates": f"""WITH {flag_wf} SELECT sid AS series_id, dt, {r6('"true" - pred', 'error')} FROM moved
             WHERE pred IS NOT NULL AND "true" IS NOT NULL""",
+        "kpss_level": kpss("supp", q.KPSS_LAGS),
+        "arx_order_aic": ar_orders("flag", 3),
+        "arx_fit": ar_coefficients("supp", 2),
+        "wf_arx_forecast": f"WITH {ar_wf('flag', q.AR, 2)} {FORECAST_OUT}",
+        "wf_arx_sliding": f"WITH {ar_wf('flag', q.AR.but(sliding_window=True), 2)} {FORECAST_OUT}",
+        "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 2, compat=True)} {FORECAST_OUT}",
         "model_roundtrip": f"WITH {split_linear('flag', 2)} {FORECAST_OUT}",
     }
     runs = {

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from foldcast.functions.values import r6
 from foldcast.operators import checks, folds, metrics, shaping, splits
-from foldcast.operators.folds import LINEAR, SUPPORT_VECTOR
+from foldcast.operators.folds import AUTOREGRESSIVE, LINEAR, SUPPORT_VECTOR
 from foldcast.operators.rows import number_rows
-from foldcast.plans import single_split, walk_forward
+from foldcast.plans import autoregressive, single_split, walk_forward
 from foldcast.session import shared_dir
 from foldcast.sources import models as model_table
 from foldcast.sources import prices as source
@@ -361,3 +361,48 @@ def model_roundtrip(spark, folder):
     loaded = model_table.latest_fits(model_table.load_models(spark, path, "lr", run))
     loaded = loaded.withColumn("n", F.col("refit_t"))
     return _forecasts(single_split.score_linear(rows.where("role = 'test'"), loaded, spec, "lr"))
+
+
+# --- autoregression --------------------------------------------------------
+
+AR = AUTOREGRESSIVE.but(**DATES)
+AR2 = autoregressive.ArSpec(max_p=2)
+KPSS_LAGS = 4
+
+
+def kpss_level(spark, folder):
+    numbered = shaping.returns(supp_px(spark, folder))
+    return _rounded(autoregressive.kpss_by_series(numbered, "ret", KPSS_LAGS))
+
+
+def arx_order_aic(spark, folder):
+    out = autoregressive.order_search(flag_px(spark, folder), autoregressive.ArSpec(max_p=3))
+    return _rounded(out.select("series_id", "p", "n_train", "rss", "aic", "chosen"))
+
+
+def arx_fit(spark, folder):
+    """Coefficients of the second-order fit of every series."""
+    out = autoregressive.order_search(supp_px(spark, folder), AR2).where("p = 2")
+    columns = [F.col("beta")[0].alias("beta"), F.col("phi")[0].alias("phi1"), F.col("phi")[1].alias("phi2")]
+    return _rounded(out.select("series_id", "n_train", "intercept", *columns))
+
+
+def wf_arx_forecast(spark, folder):
+    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, AR2))
+
+
+def wf_arx_sliding(spark, folder):
+    spec = AR.but(sliding_window=True, block_rows=500)
+    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), spec, AR2))
+
+
+def wf_arx_same_steps(spark, folder):
+    """The reported alignment: P steps from the end of training, repeated until the next refit."""
+    ar = autoregressive.ArSpec(max_p=2, compat=True)
+    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, ar))
+
+
+def wf_arx_difference(spark, folder):
+    """Difference chosen per fold by the level test."""
+    ar = autoregressive.ArSpec(max_p=2, difference=None, kpss_lags=4)
+    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, ar))

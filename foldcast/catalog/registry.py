@@ -24,6 +24,10 @@ wf_error wf_sq_error wf_metrics cum_log_return cum_log_return_single
 reattach_dates grid_leaderboard model_roundtrip
 """
 
+AUTOREGRESSIVE = """
+kpss_level arx_order_aic arx_fit wf_arx_forecast wf_arx_sliding wf_arx_same_steps wf_arx_difference
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(q, name) for name in LINEAR_AND_FRAMES.split()}
+    return {name: getattr(q, name) for name in (LINEAR_AND_FRAMES + AUTOREGRESSIVE).split()}

@@ -14,60 +14,39 @@ from foldcast.functions.summaries import Moments
 DEPENDENT = 1e-12
 
 
-class Sweep:
-    """Symmetric sweep of a cross-product matrix held in scalar columns.
+def swept(matrix: Column, size: int, pivots: list[int]) -> Column:
+    """States of the symmetric sweep of a flat ``size`` x ``size`` matrix, one per pivot.
 
-    Each step is one projection, so the expressions stay small and inside
-    generated code. After features have been swept, the target column holds
-    their coefficients and the target's own cell the residual sum of squares.
-    A dependent feature is left out of the fit (coefficient 0).
+    After a set of features has been swept, the target's column holds their
+    coefficients and the target's own cell the residual sum of squares, so one
+    pass gives every nested regression. A dependent feature is not swept; its
+    coefficient is 0. Returns an array of the matrices after each pivot.
     """
+    zero = F.lit(0.0)
+
+    def step(state: Column, p: Column) -> Column:
+        a = state["now"]
+        d = F.get(a, p * size + p)
+        inv = F.when(d > F.get(matrix, p * size + p) * DEPENDENT, F.try_divide(F.lit(1.0), d))
+
+        def cell(v: Column, k: Column) -> Column:
+            i, j = F.floor(k / size).cast("int"), F.pmod(k, F.lit(size))
+            cross = F.get(a, i * size + p) * F.get(a, p * size + j)
+            moved = (
+                F.when((i == p) & (j == p), -inv)
+                .when((i == p) | (j == p), v * inv)
+                .otherwise(v - cross * inv)
+            )
+            # a feature left out must not act on the later ones
+            kept = F.when((i == p) | (j == p), zero).otherwise(v)
+            return F.when(inv.isNotNull(), moved).otherwise(kept)
+
+        new = F.transform(a, cell)
+        return F.struct(new.alias("now"), F.concat(state["all"], F.array(new)).alias("all"))
 
-    def __init__(self, names: list[str], prefix: str = "_s"):
-        self.names, self.prefix = names, prefix
-
-    def cell(self, a: str, b: str) -> str:
-        i, j = sorted((self.names.index(a), self.names.index(b)))
-        return f"{self.prefix}_{i}_{j}"
-
-    def flag(self, a: str) -> str:
-        return f"{self.prefix}_ok_{self.names.index(a)}"
-
-    def start(self, df: DataFrame, entry) -> DataFrame:
-        """``entry(a, b)`` gives the cross product of two names."""
-        cells = {
-            self.cell(a, b): entry(a, b)
-            for k, a in enumerate(self.names)
-            for b in self.names[k:]
-        }
-        scale = {f"{self.prefix}_d_{k}": entry(a, a) for k, a in enumerate(self.names)}
-        return df.withColumns({**cells, **scale})
-
-    def step(self, df: DataFrame, pivot: str) -> DataFrame:
-        d = F.col(self.cell(pivot, pivot))
-        ok = d > F.col(f"{self.prefix}_d_{self.names.index(pivot)}") * DEPENDENT
-        df = df.withColumn(self.flag(pivot), F.coalesce(ok, F.lit(False)))
-        inverse = F.when(F.col(self.flag(pivot)), F.try_divide(F.lit(1.0), d))
-        df = df.withColumn(f"{self.prefix}_inv", inverse)
-        inv = F.col(f"{self.prefix}_inv")
-        new = {}
-        for k, a in enumerate(self.names):
-            for b in self.names[k:]:
-                old = F.col(self.cell(a, b))
-                if a == pivot and b == pivot:
-                    swept = -inv
-                elif pivot in (a, b):
-                    swept = old * inv
-                else:
-                    swept = old - F.col(self.cell(a, pivot)) * F.col(self.cell(b, pivot)) * inv
-                new[self.cell(a, b)] = F.when(inv.isNotNull(), swept).otherwise(old)
-        return df.withColumns(new)
-
-    def coefficient(self, feature: str, target: str) -> Column:
-        return F.when(F.col(self.flag(feature)), F.col(self.cell(feature, target))).otherwise(F.lit(0.0))
-
-    def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop(*[c for c in df.columns if c.startswith(f"{self.prefix}_")])
+    start = F.struct(matrix.alias("now"), F.array().cast("array<array<double>>").alias("all"))
+    order = F.array(*[F.lit(p) for p in pivots])
+    return F.aggregate(order, start, step, lambda state: state["all"])
 
 
 def _minimum_norm(features: list[str], g, r) -> list[Column]:
@@ -114,19 +93,18 @@ def least_squares(
         var = entry(only, only)
         slope = F.when(var > 0, F.try_divide(entry(only, target), var)).otherwise(F.lit(0.0))
         df = df.withColumn("coef", F.array(slope))
+    elif len(features) <= 3:
+        beta, regular = _cramer(features, entry, lambda a: entry(a, target))
+        shortest = _minimum_norm(features, entry, lambda a: entry(a, target))
+        df = df.withColumn("coef", F.when(regular, F.array(*beta)).otherwise(F.array(*shortest)))
     else:
-        sweep = Sweep([*features, target])
-        df = sweep.start(df, entry)
-        for f in features:
-            df = sweep.step(df, f)
-        plain = F.array(*[sweep.coefficient(f, target) for f in features])
-        if len(features) <= 3:
-            full = F.lit(True)
-            for f in features:
-                full = full & F.col(sweep.flag(f))
-            shortest = F.array(*_minimum_norm(features, entry, lambda a: entry(a, target)))
-            plain = F.when(full, plain).otherwise(shortest)
-        df = sweep.drop(df.withColumn("coef", plain))
+        names = [*features, target]
+        size = len(names)
+        flat = F.array(*[entry(a, b) for a in names for b in names])
+        last = F.element_at(swept(flat, size, list(range(size - 1))), -1)
+        df = df.withColumn("_last", last)
+        df = df.withColumn("coef", F.array(*[F.col("_last")[k * size + size - 1] for k in range(size - 1)]))
+        df = df.drop("_last")
     if not fit_intercept:
         return df.withColumn("intercept", F.when(s["n"] > 0, F.lit(0.0)))
     reach = s[f"m_{target}"]

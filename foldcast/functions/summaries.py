@@ -151,3 +151,45 @@ class Extremes:
             F.min(parts["low"]).over(frame).alias("low"),
             F.max(parts["high"]).over(frame).alias("high"),
         )
+
+
+@dataclass(frozen=True)
+class Sums:
+    """Count and plain sums of columns."""
+
+    names: tuple[str, ...]
+
+    def aggregate(self, frame: WindowSpec | None = None, where: Column | None = None) -> Column:
+        col = {v: F.col(v) if where is None else F.when(where, F.col(v)) for v in self.names}
+        fields = [_over(F.count(col[self.names[0]]), frame).cast("double").alias("n")]
+        fields += [F.coalesce(_over(F.sum(col[v]), frame), F.lit(0.0)).alias(v) for v in self.names]
+        return F.struct(*fields)
+
+    def merge(self, a: Column, b: Column) -> Column:
+        return F.struct(
+            *[(a[v] + F.coalesce(b[v], F.lit(0.0))).alias(v) for v in ("n", *self.names)]
+        )
+
+    def running(self, parts: Column, frame: WindowSpec, pivot: Column) -> Column:
+        return F.struct(
+            *[F.coalesce(F.sum(parts[v]).over(frame), F.lit(0.0)).alias(v) for v in ("n", *self.names)]
+        )
+
+
+@dataclass(frozen=True)
+class Bundle:
+    """Several summaries taken in one pass over the same frame."""
+
+    parts: tuple[tuple[str, object], ...]
+
+    def _each(self, make) -> Column:
+        return F.struct(*[make(name, s).alias(name) for name, s in self.parts])
+
+    def aggregate(self, frame: WindowSpec | None = None, where: Column | None = None) -> Column:
+        return self._each(lambda name, s: s.aggregate(frame, where))
+
+    def merge(self, a: Column, b: Column) -> Column:
+        return self._each(lambda name, s: s.merge(a[name], b[name]))
+
+    def running(self, parts: Column, frame: WindowSpec, pivot: Column) -> Column:
+        return self._each(lambda name, s: s.running(parts[name], frame, pivot[name]))
