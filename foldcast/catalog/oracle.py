@@ -427,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "wf_arx_forecast": f"WITH {ar_wf('flag', q.AR, 2)} {FORECAST_OUT}",
         "wf_arx_sliding": f"WITH {ar_wf('flag', q.AR.but(sliding_window=True), 2)} {FORECAST_OUT}",
         "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 2, compat=True)} {FORECAST_OUT}",
+        "wf_svr_flat": f"WITH {tube_wf('flag', svr.but(frequency=7), 1e6)} {FORECAST_OUT}",
         "model_roundtrip": f"WITH {split_linear('flag', 2)} {FORECAST_OUT}",
     }
     runs = {

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldcast.functions import nets as nets_fn
 from foldcast.functions.values import r6
 from foldcast.operators import checks, folds, metrics, shaping, splits
-from foldcast.operators.folds import AUTOREGRESSIVE, LINEAR, SUPPORT_VECTOR
+from foldcast.operators.folds import AUTOREGRESSIVE, LINEAR, NETWORK, SUPPORT_VECTOR
 from foldcast.operators.rows import number_rows
-from foldcast.plans import autoregressive, single_split, walk_forward
+from foldcast.plans import autoregressive, nets, single_split, support_vector, walk_forward
 from foldcast.session import shared_dir
 from foldcast.sources import models as model_table
 from foldcast.sources import prices as source
@@ -406,3 +407,68 @@ def wf_arx_difference(spark, folder):
     """Difference chosen per fold by the level test."""
     ar = autoregressive.ArSpec(max_p=2, difference=None, kpss_lags=4)
     return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, ar))
+
+
+# --- support vector regression with a kernel, and nets -----------------------
+
+def wf_svr_general(spark, folder):
+    """Default tube of 0.1: nearly every fold of these series lies outside it."""
+    spec = SVR.but(frequency=21)
+    return _forecasts(support_vector.support_vector_forecasts(flag_px(spark, folder), spec))
+
+
+def wf_svr_flat(spark, folder):
+    """The general solver where folds do fit inside the tube gives the mid-range."""
+    wide = support_vector.SvrSpec(epsilon=1e6)
+    return _forecasts(support_vector.support_vector_forecasts(flag_px(spark, folder), SVR.but(frequency=7), wide))
+
+
+NET = NETWORK.but(**DATES)
+SMALL = {"epochs": 5, "batch_size": 64, "patience": 50}
+
+
+def mlp_single(spark, folder):
+    net = nets_fn.feed_forward((16, 16), epochs=20, batch_size=64, patience=None)
+    return _forecasts(nets.net_split(flag_px(spark, folder), net))
+
+
+def gru_single(spark, folder):
+    net = nets_fn.recurrent("gru", (8, 8), (16,), cell_dropout=0.2, epochs=20, batch_size=32, patience=15)
+    split = single_split.RECURRENT_SPLIT
+    return _forecasts(nets.net_split(flag_px(spark, folder), net, split, "gru"))
+
+
+def _walk(spark, folder, net, name, **how):
+    return _forecasts(nets.net_forecasts(flag_px(spark, folder), net, NET, model=name, **how))
+
+
+def wf_mlp_warm(spark, folder):
+    return _walk(spark, folder, nets_fn.feed_forward((16, 16), **SMALL), "mlp")
+
+
+def wf_mlp_one_chain(spark, folder):
+    return _walk(spark, folder, nets_fn.feed_forward((16,), **SMALL), "mlp", chain_rows=None)
+
+
+def wf_rnn(spark, folder):
+    return _walk(spark, folder, nets_fn.recurrent("rnn", (8, 8), (16,), **SMALL), "rnn")
+
+
+def wf_gru(spark, folder):
+    return _walk(spark, folder, nets_fn.recurrent("gru", (8, 8), (16,), **SMALL), "gru")
+
+
+def wf_lstm(spark, folder):
+    return _walk(spark, folder, nets_fn.long_short_term((8, 8), **SMALL), "lstm")
+
+
+def net_roundtrip(spark, folder):
+    """Train, save the weights, load them, and score the test rows."""
+    net = nets_fn.feed_forward((8,), epochs=5, batch_size=64, patience=None)
+    rows = single_split.split_rows(flag_px(spark, folder), TWO_LAGS)
+    run, path = uuid.uuid4().hex, f"{shared_dir(spark)}/models"
+    fitted = nets.net_models(rows, net, TWO_LAGS).withColumn("refit_t", F.col("n"))
+    model_table.save_models(model_table.as_model_table(fitted, "mlp", run), path)
+    loaded = model_table.latest_fits(model_table.load_models(spark, path, "mlp", run))
+    loaded = loaded.withColumn("n", F.col("refit_t"))
+    return _forecasts(nets.score_nets(rows.where("role = 'test'"), loaded, net, TWO_LAGS, "mlp"))

@@ -28,6 +28,11 @@ AUTOREGRESSIVE = """
 kpss_level arx_order_aic arx_fit wf_arx_forecast wf_arx_sliding wf_arx_same_steps wf_arx_difference
 """
 
+TASK_TRAINED = """
+wf_svr_general wf_svr_flat mlp_single gru_single
+wf_mlp_warm wf_mlp_one_chain wf_rnn wf_gru wf_lstm net_roundtrip
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(q, name) for name in (LINEAR_AND_FRAMES + AUTOREGRESSIVE).split()}
+    return {name: getattr(q, name) for name in (LINEAR_AND_FRAMES + AUTOREGRESSIVE + TASK_TRAINED).split()}

@@ -1,0 +1,191 @@
+"""Training step of the small feed-forward and one-step recurrent nets, inside a task.
+
+The recurrent nets see a single time step from a zero state, so a cell is a
+gated dense layer: no recurrent kernel takes part.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+GATES = {"dense": 1, "rnn": 1, "gru": 2, "lstm": 3}
+
+
+@dataclass(frozen=True)
+class Layer:
+    """``dropout`` acts on the output of a dense or LSTM layer, on the input of an RNN or GRU cell."""
+
+    units: int
+    kind: str = "dense"
+    activation: str = "relu"
+    l2: float = 0.0
+    dropout: float = 0.0
+    dropout_type: str = "gaussian"
+    use_bias: bool = True
+
+    def __post_init__(self) -> None:
+        if self.kind not in GATES or self.dropout_type not in ("gaussian", "normal"):
+            raise ValueError(f"unknown layer {self.kind} / {self.dropout_type}")
+
+
+@dataclass(frozen=True)
+class NetSpec:
+    """``patience=None`` never stops early, else on a stagnant validation loss."""
+
+    layers: tuple[Layer, ...]
+    final_activation: str = "tanh"
+    epochs: int = 20
+    batch_size: int = 128
+    learning_rate: float = 0.001
+    patience: int | None = 20
+    seed: int = 1
+
+    def all_layers(self) -> list[Layer]:
+        return [*self.layers, Layer(1, activation=self.final_activation)]
+
+
+def feed_forward(units: tuple[int, ...] = (512, 512, 512), dropout: float = 0.2, **settings) -> NetSpec:
+    return NetSpec(tuple(Layer(u, dropout=dropout) for u in units), **settings)
+
+
+def recurrent(
+    kind: str, cells: tuple[int, ...] = (50, 50, 50), units: tuple[int, ...] = (512, 512, 512),
+    cell_dropout: float = 0.0, dropout: float = 0.2, **settings,
+) -> NetSpec:
+    """RNN or GRU cells followed by dense layers."""
+    stack = [Layer(c, kind, "tanh", dropout=cell_dropout, dropout_type="normal") for c in cells]
+    return NetSpec(tuple(stack + [Layer(u, dropout=dropout) for u in units]), **settings)
+
+
+def long_short_term(units: tuple[int, ...] = (512, 512, 512), dropout: float = 0.2, **settings) -> NetSpec:
+    return NetSpec(tuple(Layer(u, "lstm", dropout=dropout) for u in units), **settings)
+
+
+def _sigmoid(a):
+    return 1.0 / (1.0 + np.exp(-np.clip(a, -60.0, 60.0)))
+
+
+ACTIVATION = {
+    "relu": (lambda a: np.maximum(a, 0.0), lambda a, h: (a > 0).astype(a.dtype)),
+    "tanh": (np.tanh, lambda a, h: 1.0 - h * h),
+    "sigmoid": (_sigmoid, lambda a, h: h * (1.0 - h)),
+    "linear": (lambda a: a, lambda a, h: np.ones_like(a)),
+}
+
+
+class State:
+    """Weights with their Adam moments; one kernel (in x gates*units) and bias per layer."""
+
+    def __init__(self, spec: NetSpec, inputs: int, seed: list[int]):
+        rng = np.random.default_rng(seed)
+        self.params: list[np.ndarray] = []
+        width = inputs
+        for layer in spec.all_layers():
+            gates = GATES[layer.kind]
+            limit = np.sqrt(6.0 / (width + gates * layer.units))
+            self.params.append(rng.uniform(-limit, limit, (width, gates * layer.units)).astype(np.float32))
+            self.params.append(np.zeros(gates * layer.units, np.float32))
+            width = layer.units
+        self.first = [np.zeros_like(p) for p in self.params]
+        self.second = [np.zeros_like(p) for p in self.params]
+        self.steps = 0
+
+    def adam(self, grads: list[np.ndarray], rate: float) -> None:
+        self.steps += 1
+        scale = rate * np.sqrt(1.0 - 0.999**self.steps) / (1.0 - 0.9**self.steps)
+        for p, g, m, v in zip(self.params, grads, self.first, self.second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= scale * m / (np.sqrt(v) + 1e-7)
+
+
+def _noise(layer: Layer, shape, rng) -> np.ndarray | None:
+    if rng is None or layer.dropout <= 0.0:
+        return None
+    if layer.dropout_type == "gaussian":
+        return rng.normal(1.0, np.sqrt(layer.dropout / (1.0 - layer.dropout)), shape).astype(np.float32)
+    return ((rng.random(shape) >= layer.dropout) / (1.0 - layer.dropout)).astype(np.float32)
+
+
+def _cell(layer: Layer, a: np.ndarray):
+    """Output of a layer from its pre-activations, and the derivative towards them."""
+    u = layer.units
+    act, slope = ACTIVATION[layer.activation]
+    if layer.kind == "gru":
+        z, h = _sigmoid(a[:, :u]), np.tanh(a[:, u:])
+        return (1.0 - z) * h, lambda d: np.hstack([-d * h * z * (1.0 - z), d * (1.0 - z) * (1.0 - h * h)])
+    if layer.kind == "lstm":
+        i, o = _sigmoid(a[:, :u]), _sigmoid(a[:, 2 * u :])
+        g = act(a[:, u : 2 * u])
+        c = i * g
+        out = act(c)
+
+        def back(d):
+            d_c = d * o * slope(c, out)
+            return np.hstack(
+                [d_c * g * i * (1.0 - i), d_c * i * slope(a[:, u : 2 * u], g), d * out * o * (1.0 - o)]
+            )
+
+        return o * out, back
+    h = act(a)
+    return h, lambda d: d * slope(a, h)
+
+
+def forward(spec: NetSpec, params: list[np.ndarray], x: np.ndarray, rng=None):
+    """Output and, per layer, what the backward pass needs. Noise only with ``rng``."""
+    trace, h = [], x.astype(np.float32)
+    for k, layer in enumerate(spec.all_layers()):
+        before = layer.kind in ("rnn", "gru")
+        noise = _noise(layer, h.shape, rng) if before else None
+        seen = h if noise is None else h * noise
+        a = seen @ params[2 * k]
+        if layer.use_bias:
+            a = a + params[2 * k + 1]
+        h, back = _cell(layer, a)
+        after = _noise(layer, h.shape, rng) if not before else None
+        if after is not None:
+            h = h * after
+        trace.append((seen, back, noise, after))
+    return h[:, 0], trace
+
+
+def gradients(spec: NetSpec, params: list[np.ndarray], x: np.ndarray, y: np.ndarray, rng=None) -> list[np.ndarray]:
+    """Gradient of mean squared error plus l2 penalties."""
+    out, trace = forward(spec, params, x, rng)
+    d = ((2.0 / len(y)) * (out - y)).astype(np.float32)[:, None]
+    grads: list[np.ndarray] = [None] * len(params)
+    layers = spec.all_layers()
+    for k in range(len(layers) - 1, -1, -1):
+        seen, back, noise, after = trace[k]
+        d_a = back(d if after is None else d * after)
+        grads[2 * k] = seen.T @ d_a + 2.0 * layers[k].l2 * params[2 * k]
+        grads[2 * k + 1] = d_a.sum(0) if layers[k].use_bias else np.zeros_like(params[2 * k + 1])
+        d = d_a @ params[2 * k].T
+        if noise is not None:
+            d = d * noise
+    return grads
+
+
+def loss(spec: NetSpec, params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean((forward(spec, params, x)[0] - y) ** 2))
+
+
+def train(spec: NetSpec, state: State, x, y, x_valid, y_valid, rng) -> list[float]:
+    """Shuffled mini-batch epochs on ``state``; validation (or training) loss of each epoch."""
+    best, stale, history = np.inf, 0, []
+    watch = (x_valid, y_valid) if len(y_valid) else (x, y)
+    for _ in range(spec.epochs if len(y) else 0):
+        order = rng.permutation(len(y))
+        for s in range(0, len(y), spec.batch_size):
+            part = order[s : s + spec.batch_size]
+            state.adam(gradients(spec, state.params, x[part], y[part], rng), spec.learning_rate)
+        history.append(loss(spec, state.params, *watch))
+        if history[-1] < best:
+            best, stale = history[-1], 0
+        else:
+            stale += 1
+            if spec.patience is not None and stale >= spec.patience:
+                break
+    return history

@@ -1,0 +1,225 @@
+"""Nets trained on executors: warm-started walk-forward chains and single splits."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foldcast.functions.nets import NetSpec, State, forward, train
+from foldcast.operators.blocks import BLOCK, spread
+from foldcast.operators.folds import NETWORK, FoldSpec, fold_rows
+from foldcast.plans.single_split import SplitSpec, split_rows
+from foldcast.plans.support_vector import forecast_schema, landed_rows, refit_rows
+
+CHAIN_ROWS = 1024
+WEIGHTS = "array<struct<name:string,shape:array<int>,v:array<float>>>"
+
+
+def _seed(net: NetSpec, series: str, part: int) -> list[int]:
+    return [net.seed, xxhash.xxh32_intdigest(series), int(part)]
+
+
+def _fold_data(x: np.ndarray, y: np.ndarray, e: int, spec: FoldSpec, rng):
+    """Training and validation pairs of the fold with as-of place ``e``."""
+    places = np.arange(max(e - spec.window_size + 1, 0), e + 1)
+    if spec.random_validation:
+        held = np.isin(places, rng.choice(places, spec.validation_size, replace=False))
+    else:
+        held = places > e - spec.validation_size
+    known = ~np.isnan(y[places])
+    fit, check = places[~held & known], places[held & known]
+    return x[fit], y[fit], x[check], y[check]
+
+
+def _advance(x, y, ask, places, forecast, state, rng, spec: FoldSpec, net: NetSpec, seed) -> State:
+    """Refit at each place in order and forecast the rows until the next refit."""
+    for e in places:
+        if spec.train_from_scratch:
+            state, rng = State(net, ask.shape[1], seed), np.random.default_rng(seed)
+        train(net, state, *_fold_data(x, y, e, spec, rng), rng)
+        stop = min(e + spec.frequency, len(ask))
+        forecast[e:stop] = forward(net, state.params, ask[e:stop])[0]
+    return state
+
+
+def _block(pdf: pd.DataFrame, spec: FoldSpec, net: NetSpec) -> pd.DataFrame:
+    pdf = pdf.sort_values("i", ignore_index=True)
+    x, y = pdf[spec.train_inputs].to_numpy(float), pdf["y_l"].to_numpy(float)
+    ask = pdf[spec.inputs].to_numpy(float)
+    seed = _seed(net, pdf["series_id"][0], pdf["block"][0])
+    forecast = np.full(len(pdf), np.nan)
+    _advance(
+        x, y, ask, refit_rows(pdf, spec), forecast, State(net, ask.shape[1], seed),
+        np.random.default_rng(seed), spec, net, seed,
+    )
+    return landed_rows(pdf, forecast, spec)
+
+
+def _series(batches: Iterator[pd.DataFrame], spec: FoldSpec, net: NetSpec) -> Iterator[pd.DataFrame]:
+    """One unbroken chain over a series that arrives in order, batch by batch.
+
+    Only the rows a fold or a landing still needs are kept.
+    """
+    keep = spec.halo + spec.frequency
+    held, made, state, rng, seed = None, None, None, None, None
+    for pdf in batches:
+        if state is None:
+            seed = _seed(net, pdf["series_id"].iloc[0], 0)
+            state, rng = State(net, spec.lags, seed), np.random.default_rng(seed)
+        new_from = 0 if held is None else len(held)
+        table = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not table["i"].is_monotonic_increasing:
+            raise ValueError("rows of a series must arrive in time order")
+        forecast = np.full(len(table), np.nan)
+        if made is not None:
+            forecast[:new_from] = made
+        x, y = table[spec.train_inputs].to_numpy(float), table["y_l"].to_numpy(float)
+        ask, t = table[spec.inputs].to_numpy(float), table["t"].to_numpy()
+        if new_from and t[new_from - 1] >= spec.window_size - spec.window_size % -spec.frequency:
+            # rows up to the next refit still belong to the last fit
+            stop = new_from + int(-t[new_from] % spec.frequency)
+            if stop > new_from:
+                forecast[new_from:stop] = forward(net, state.params, ask[new_from:stop])[0]
+        due = (t >= spec.window_size) & (t % spec.frequency == 0)
+        places = np.flatnonzero(due)
+        state = _advance(x, y, ask, places[places >= new_from], forecast, state, rng, spec, net, seed)
+        out = landed_rows(table, forecast, spec)
+        yield out[out.index >= new_from]
+        held, made = table.iloc[-keep:].reset_index(drop=True), forecast[-keep:]
+
+
+def net_forecasts(
+    prices: DataFrame,
+    net: NetSpec,
+    spec: FoldSpec = NETWORK,
+    chain_rows: int | None = CHAIN_ROWS,
+    model: str = "mlp",
+) -> DataFrame:
+    """Walk-forward forecasts of one net per series.
+
+    Warm start makes each fold continue from the weights of the one before. A
+    chain covers ``chain_rows`` rows plus the halo they need and starts from
+    seeded weights, so long series are trained by many tasks.
+    ``chain_rows=None`` keeps one chain per series, as a single run would; its
+    folds are sequential by definition, and its rows stream through one task
+    without being held. With ``train_from_scratch`` folds are independent.
+    """
+    if not spec.sliding_window:
+        raise ValueError("nets are trained on sliding windows; a growing window is one single split per fold")
+    columns = ["dt", "i", "n", "t", "own", "y", "y_l", *spec.inputs, *spec.train_inputs]
+    if chain_rows is None:
+        rows = fold_rows(prices, spec).where("own").select(*BLOCK, *columns)
+        ordered = rows.repartition("series_id").sortWithinPartitions("series_id", "i")
+
+        def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return _series(batches, spec, net)
+
+        out = ordered.groupBy("series_id").applyInPandas(chain, forecast_schema(rows))
+    else:
+        spec = spec.but(block_rows=chain_rows)
+        rows = fold_rows(prices, spec).select(*BLOCK, *columns)
+        out = rows.groupBy(*BLOCK).applyInPandas(lambda pdf: _block(pdf, spec, net), forecast_schema(rows))
+    return out.select(
+        "series_id", "dt", F.lit(model).alias("model"), "i", "n",
+        F.when(~F.isnan("pred"), F.col("pred")).alias("pred"), "true",
+    )
+
+
+# --- single split ------------------------------------------------------------
+
+def _pack(params: list[np.ndarray]) -> list[dict]:
+    return [
+        {"name": f"p{k}", "shape": list(p.shape), "v": p.ravel().astype(np.float32)} for k, p in enumerate(params)
+    ]
+
+
+def _unpack(weights) -> list[np.ndarray]:
+    return [np.asarray(w["v"], np.float32).reshape([int(s) for s in w["shape"]]) for w in weights]
+
+
+def _train_block(pdf: pd.DataFrame, split: SplitSpec, net: NetSpec) -> pd.DataFrame:
+    pdf = pdf.sort_values("i", ignore_index=True)
+    held = int(np.ceil(split.validation_size * len(pdf)))
+    x, y = pdf[split.inputs].to_numpy(float), pdf["y"].to_numpy(float)
+    cut = len(pdf) - held
+    seed = _seed(net, pdf["series_id"][0], pdf["block"][0])
+    state = State(net, x.shape[1], _seed(net, pdf["series_id"][0], 0))
+    history = train(net, state, x[:cut], y[:cut], x[cut:], y[cut:], np.random.default_rng(seed))
+    return pd.DataFrame(
+        {
+            "series_id": [pdf["series_id"][0]], "n": [pdf["n"][0]], "n_train": [cut],
+            "val_loss": [history[-1] if history else None], "weights": [_pack(state.params)],
+        }
+    )
+
+
+def net_models(rows: DataFrame, net: NetSpec, split: SplitSpec) -> DataFrame:
+    """One trained net per series, from its train and validation rows.
+
+    A block trains by itself and the blocks of a series are averaged by their
+    training rows (Zinkevich et al. 2010), so a series of any length is spread
+    over tasks; one that fits in a block is trained exactly as by itself. All
+    blocks of a series start from the same weights.
+    """
+    fitted = (
+        rows.where("role <> 'test'")
+        .groupBy(*BLOCK)
+        .applyInPandas(
+            lambda pdf: _train_block(pdf, split, net),
+            f"series_id string, n bigint, n_train bigint, val_loss double, weights {WEIGHTS}",
+        )
+    )
+    cells = fitted.select("series_id", "n", "n_train", "val_loss", F.posexplode("weights").alias("k", "w")).select(
+        "series_id", "n", "n_train", "val_loss", "k", "w.name", "w.shape", F.posexplode("w.v").alias("at", "v")
+    )
+    share = F.col("n_train").cast("double")
+    mean = cells.groupBy("series_id", "n", "k", "name", "shape", "at").agg(
+        F.coalesce(F.try_divide(F.sum(F.col("v") * share), F.sum(share)), F.avg("v")).cast("float").alias("v"),
+        F.sum("n_train").alias("n_train"),
+        F.avg("val_loss").alias("val_loss"),
+    )
+    params = mean.groupBy("series_id", "n", "k", "name", "shape").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("v"),
+        F.max("n_train").alias("n_train"),
+        F.max("val_loss").alias("val_loss"),
+    )
+    return params.groupBy("series_id", "n").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("k", "name", "shape", "v"))),
+            lambda c: F.struct(c["name"].alias("name"), c["shape"].alias("shape"), c["v"].alias("v")),
+        ).alias("weights"),
+        F.max("n_train").alias("n_train"),
+        F.max("val_loss").alias("val_loss"),
+    )
+
+
+def score_nets(rows: DataFrame, fits: DataFrame, net: NetSpec, split: SplitSpec, model: str) -> DataFrame:
+    """Score blocked rows; every block meets one copy of its series' weights."""
+    per_block = spread(fits.select("series_id", "n", "weights"), split.block_rows).select(*BLOCK, "weights")
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[["series_id", "dt", "i", "n"]].copy()
+        x = left[split.inputs].to_numpy(float)
+        known = len(right) > 0 and len(left) > 0
+        out["pred"] = forward(net, _unpack(right["weights"].iloc[0]), x)[0].astype(float) if known else np.nan
+        out["true"] = left["y"]
+        return out
+
+    scored = (
+        rows.groupBy(*BLOCK)
+        .cogroup(per_block.groupBy(*BLOCK))
+        .applyInPandas(score, forecast_schema(rows))
+    )
+    return scored.select("series_id", "dt", F.lit(model).alias("model"), "i", "n", "pred", "true")
+
+
+def net_split(prices: DataFrame, net: NetSpec, split: SplitSpec = SplitSpec(lags=2), model: str = "mlp") -> DataFrame:
+    """Train once per series and forecast its test rows."""
+    rows = split_rows(prices, split)
+    fits = net_models(rows, net, split)
+    return score_nets(rows.where("role = 'test'"), fits, net, split, model)

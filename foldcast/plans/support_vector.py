@@ -1,0 +1,113 @@
+"""Walk-forward support vector regression of any kernel.
+
+Spark cuts the series into blocks with a halo; a task solves the folds whose
+as-of rows lie in its block. Folds that fit inside the tube come out flat, as
+in ``walk_forward.tube_forecasts``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foldcast.functions.kernels import FOLDS_AT_ONCE, kernel, kernel_width, solve_dual
+from foldcast.operators.blocks import BLOCK
+from foldcast.operators.folds import SUPPORT_VECTOR, FoldSpec, fold_rows
+
+
+def forecast_schema(rows: DataFrame) -> str:
+    kind = rows.schema["dt"].dataType.simpleString()
+    return f"series_id string, dt {kind}, i bigint, n bigint, pred double, true double"
+
+
+@dataclass(frozen=True)
+class SvrSpec:
+    kernel: str = "rbf"
+    degree: int = 3
+    gamma: str | float = "scale"
+    coef0: float = 0.0
+    tol: float = 1e-3
+    C: float = 1.0
+    epsilon: float = 0.1
+    max_iter: int = -1
+
+    def __post_init__(self) -> None:
+        if self.kernel not in ("linear", "poly", "rbf", "sigmoid"):
+            raise ValueError(f"unknown kernel {self.kernel}")
+
+
+def refit_rows(pdf: pd.DataFrame, spec: FoldSpec) -> np.ndarray:
+    """Places of refit rows in a block whose training frame is complete."""
+    t = pdf["t"].to_numpy()
+    place = np.arange(len(pdf))
+    due = (t >= spec.window_size) & (t % spec.frequency == 0)
+    whole = (place >= spec.window_size - 1 + spec.lag_rows) | (pdf["i"].to_numpy()[0] <= 0)
+    return place[due & whole]
+
+
+def landed_rows(pdf: pd.DataFrame, forecast: np.ndarray, spec: FoldSpec) -> pd.DataFrame:
+    """Own rows with the forecast made P rows earlier."""
+    moved = np.full(len(pdf), np.nan)
+    moved[spec.prediction_length:] = forecast[: len(pdf) - spec.prediction_length]
+    out = pd.DataFrame(
+        {
+            "series_id": pdf["series_id"], "dt": pdf["dt"], "i": pdf["i"], "n": pdf["n"],
+            "pred": pd.Series(moved, index=pdf.index), "true": pdf["y"],
+        }
+    )
+    first = spec.window_size + 2 * spec.prediction_length - 1
+    return out[pdf["own"].to_numpy() & (pdf["i"].to_numpy() >= first)]
+
+
+def _block_forecasts(pdf: pd.DataFrame, spec: FoldSpec, svr: SvrSpec) -> pd.DataFrame:
+    pdf = pdf.sort_values("i", ignore_index=True)
+    x = pdf[spec.train_inputs].to_numpy(float)
+    y = pdf["y_l"].to_numpy(float)
+    ask = pdf[spec.inputs].to_numpy(float)
+    places = refit_rows(pdf, spec)
+    forecast = np.full(len(pdf), np.nan)
+    back, held = spec.window_size - 1, spec.withheld
+    window = np.arange(-back, -held + 1)
+    for start in range(0, len(places), FOLDS_AT_ONCE):
+        e = places[start : start + FOLDS_AT_ONCE]
+        rows = e[:, None] + window[None, :]
+        yf, xf = y[rows], x[rows]
+        live = ~np.isnan(yf)
+        yf, xf = np.where(live, yf, 0.0), np.where(live[:, :, None], xf, 0.0)
+        gamma = kernel_width(xf, live, svr.gamma)
+        k = kernel(xf, xf, svr.kernel, gamma, svr.degree, svr.coef0)
+        beta, bias = solve_dual(k, yf, live, svr.C, svr.epsilon, svr.tol, svr.max_iter)
+        # a fit serves the rows up to the next refit
+        later = np.minimum(e[:, None] + np.arange(spec.frequency)[None, :], len(pdf) - 1)
+        cross = kernel(ask[later], xf, svr.kernel, gamma, svr.degree, svr.coef0)
+        value = np.einsum("frn,fn->fr", cross, beta) + bias[:, None]
+        forecast[later] = value
+    if len(places) and spec.frequency > 1:
+        forecast[: places[0]] = np.nan
+    return landed_rows(pdf, forecast, spec)
+
+
+def support_vector_forecasts(
+    prices: DataFrame,
+    spec: FoldSpec = SUPPORT_VECTOR,
+    svr: SvrSpec = SvrSpec(),
+    block_rows: int = 512,
+    model: str = "svr",
+) -> DataFrame:
+    """Forecasts of every scheduled fold; a group is one block, never a whole series."""
+    if not spec.sliding_window or spec.random_validation:
+        raise ValueError("the general solver works on sliding windows with tail validation")
+    spec = spec.but(block_rows=block_rows)
+    columns = ["dt", "i", "n", "t", "own", "y", "y_l", *spec.inputs, *spec.train_inputs]
+    rows = fold_rows(prices, spec).select(*BLOCK, *columns)
+    out = rows.groupBy(*BLOCK).applyInPandas(
+        lambda pdf: _block_forecasts(pdf, spec, svr), forecast_schema(rows)
+    )
+    return out.select(
+        "series_id", "dt", F.lit(model).alias("model"), "i", "n",
+        F.when(~F.isnan("pred"), F.col("pred")).alias("pred"), "true",
+    )
