@@ -12,7 +12,7 @@ from foldcast.functions.values import r6
 from foldcast.operators import checks, folds, metrics, shaping, splits
 from foldcast.operators.folds import AUTOREGRESSIVE, LINEAR, NETWORK, SUPPORT_VECTOR
 from foldcast.operators.rows import number_rows
-from foldcast.plans import autoregressive, nets, single_split, support_vector, walk_forward
+from foldcast.plans import autoregressive, moving_average, nets, single_split, support_vector, walk_forward
 from foldcast.session import shared_dir
 from foldcast.sources import models as model_table
 from foldcast.sources import prices as source
@@ -472,3 +472,9 @@ def net_roundtrip(spark, folder):
     loaded = model_table.latest_fits(model_table.load_models(spark, path, "mlp", run))
     loaded = loaded.withColumn("n", F.col("refit_t"))
     return _forecasts(nets.score_nets(rows.where("role = 'test'"), loaded, net, TWO_LAGS, "mlp"))
+
+
+def arma_hr(spark, folder):
+    """Orders with moving-average terms, least AIC per fold."""
+    out = moving_average.moving_average_forecasts(flag_px(spark, folder), AR)
+    return _forecasts(out)
