@@ -28,11 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may fall back to a machine-local folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="foldcast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foldcast-"))
+        return spark.sparkContext.getCheckpointDir()
     raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
