@@ -447,7 +447,7 @@ def wf_mlp_warm(spark, folder):
 
 
 def wf_mlp_one_chain(spark, folder):
-    return _walk(spark, folder, nets_fn.feed_forward((16,), **SMALL), "mlp", chain_rows=None)
+    return _walk(spark, folder, nets_fn.feed_forward((16,), **SMALL), "mlp", unbroken=True)
 
 
 def wf_rnn(spark, folder):

@@ -93,18 +93,29 @@ def least_squares(
         var = entry(only, only)
         slope = F.when(var > 0, F.try_divide(entry(only, target), var)).otherwise(F.lit(0.0))
         df = df.withColumn("coef", F.array(slope))
-    elif len(features) <= 3:
+    elif len(features) == 2:
         beta, regular = _cramer(features, entry, lambda a: entry(a, target))
         shortest = _minimum_norm(features, entry, lambda a: entry(a, target))
         df = df.withColumn("coef", F.when(regular, F.array(*beta)).otherwise(F.array(*shortest)))
     else:
         names = [*features, target]
         size = len(names)
-        flat = F.array(*[entry(a, b) for a in names for b in names])
-        last = F.element_at(swept(flat, size, list(range(size - 1))), -1)
+        # the no-op transform keeps the optimizer from copying every entry into every use
+        flat = F.transform(F.array(*[entry(a, b) for a in names for b in names]), lambda v: v)
+        df = df.withColumn("_flat", flat)
+        last = F.element_at(swept(F.col("_flat"), size, list(range(size - 1))), -1)
         df = df.withColumn("_last", last)
-        df = df.withColumn("coef", F.array(*[F.col("_last")[k * size + size - 1] for k in range(size - 1)]))
-        df = df.drop("_last")
+        coef = F.array(*[F.col("_last")[k * size + size - 1] for k in range(size - 1)])
+        if len(features) == 3:
+            def cell(a: str, b: str) -> Column:
+                return F.col("_flat")[names.index(a) * size + names.index(b)]
+
+            regular = F.lit(True)
+            for k in range(3):  # the own cell of a feature left out is 0
+                regular = regular & (F.col("_last")[k * size + k] != 0.0)
+            shortest = F.array(*_minimum_norm(features, cell, lambda a: cell(a, target)))
+            coef = F.when(regular, coef).otherwise(shortest)
+        df = df.withColumn("coef", coef).drop("_flat", "_last")
     if not fit_intercept:
         return df.withColumn("intercept", F.when(s["n"] > 0, F.lit(0.0)))
     reach = s[f"m_{target}"]

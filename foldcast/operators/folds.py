@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldcast.functions.values import fill_zero, growth, input_return, left_zero
-from foldcast.operators.blocks import BLOCK_ROWS, in_block, to_blocks
+from foldcast.operators.blocks import BLOCK_ROWS, for_heavy_tasks, in_block, to_blocks
 from foldcast.operators.rows import number_rows
 
 
@@ -122,7 +122,7 @@ def _return_columns(spec: FoldSpec, over) -> dict[str, Column]:
     return columns
 
 
-def fold_rows(prices: DataFrame, spec: FoldSpec) -> DataFrame:
+def fold_rows(prices: DataFrame, spec: FoldSpec, heavy: bool = False) -> DataFrame:
     """Blocked rows with inputs ``x*``, target ``y`` and training pairs ``x*_l, y_l``.
 
     A pair is NULL as a whole before row P and where the target is infinite;
@@ -137,6 +137,8 @@ def fold_rows(prices: DataFrame, spec: FoldSpec) -> DataFrame:
         block_rows=spec.block_size,
         segment=spec.frame_length,
     )
+    if heavy:
+        blocks = for_heavy_tasks(blocks)
     rows = blocks.withColumns(_return_columns(spec, in_block()))
     usable = F.col("i") >= spec.prediction_length
     if spec.infinite_target == "drop":

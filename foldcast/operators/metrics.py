@@ -17,19 +17,23 @@ def with_errors(forecasts: DataFrame, sign: int = 1) -> DataFrame:
 
 def scores(forecasts: DataFrame, by: tuple[str, ...] = ("series_id", "model")) -> DataFrame:
     """MSE, RMSE, MAE, R2 and hit rate over rows that have both values."""
-    both = with_errors(forecasts.where(F.col("pred").isNotNull() & F.col("true").isNotNull()))
-    sse = F.sum("sq_error")
-    sst = F.regr_sxx("true", "true")
+    # conditional aggregates, not a filter: a filter on pred would be pushed
+    # down into the plan that computes it and evaluate the fit again
+    both = with_errors(forecasts)
+    known = F.col("error").isNotNull()
+    true = F.when(known, F.col("true"))
+    sse, sst = F.sum("sq_error"), F.regr_sxx(true, true)
     r2 = F.when(sst > 0, 1.0 - F.try_divide(sse, sst)).otherwise(F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    hit = (F.signum("pred") == F.signum("true")).cast("double")
-    return both.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_obs"),
+    hit = F.when(known, (F.signum("pred") == F.signum("true")).cast("double"))
+    scored = both.groupBy(*by).agg(
+        F.count("error").alias("n_obs"),
         F.avg("sq_error").alias("mse"),
         F.sqrt(F.avg("sq_error")).alias("rmse"),
         F.avg(F.abs("error")).alias("mae"),
         r2.alias("r2"),
         F.avg(hit).alias("hit_rate"),
     )
+    return scored.where("n_obs > 0")
 
 
 def leaderboard(scored: DataFrame) -> DataFrame:

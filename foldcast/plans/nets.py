@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.functions.nets import NetSpec, State, forward, train
-from foldcast.operators.blocks import BLOCK, spread
+from foldcast.operators.blocks import BLOCK, for_heavy_tasks, heavy_tasks, spread
 from foldcast.operators.folds import NETWORK, FoldSpec, fold_rows
 from foldcast.plans.single_split import SplitSpec, split_rows
 from foldcast.plans.support_vector import forecast_schema, landed_rows, refit_rows
+from foldcast.session import shared_dir
 
 CHAIN_ROWS = 1024
 WEIGHTS = "array<struct<name:string,shape:array<int>,v:array<float>>>"
@@ -36,93 +37,124 @@ def _fold_data(x: np.ndarray, y: np.ndarray, e: int, spec: FoldSpec, rng):
     return x[fit], y[fit], x[check], y[check]
 
 
-def _advance(x, y, ask, places, forecast, state, rng, spec: FoldSpec, net: NetSpec, seed) -> State:
-    """Refit at each place in order and forecast the rows until the next refit."""
+def _advance(pdf: pd.DataFrame, places: np.ndarray, state: State, spec: FoldSpec, net: NetSpec) -> np.ndarray:
+    """Refit at each place in order; forecasts of the rows until the next refit.
+
+    Shuffling and dropout depend on the fold alone, not on how rows are cut.
+    """
+    x, y = pdf[spec.train_inputs].to_numpy(float), pdf["y_l"].to_numpy(float)
+    ask, t = pdf[spec.inputs].to_numpy(float), pdf["t"].to_numpy()
+    series = pdf["series_id"].iloc[0]
+    forecast = np.full(len(pdf), np.nan)
     for e in places:
+        rng = np.random.default_rng(_seed(net, series, t[e]))
         if spec.train_from_scratch:
-            state, rng = State(net, ask.shape[1], seed), np.random.default_rng(seed)
+            state = State(net, ask.shape[1], _seed(net, series, 0))
         train(net, state, *_fold_data(x, y, e, spec, rng), rng)
         stop = min(e + spec.frequency, len(ask))
         forecast[e:stop] = forward(net, state.params, ask[e:stop])[0]
-    return state
+    return forecast
 
 
 def _block(pdf: pd.DataFrame, spec: FoldSpec, net: NetSpec) -> pd.DataFrame:
     pdf = pdf.sort_values("i", ignore_index=True)
-    x, y = pdf[spec.train_inputs].to_numpy(float), pdf["y_l"].to_numpy(float)
-    ask = pdf[spec.inputs].to_numpy(float)
-    seed = _seed(net, pdf["series_id"][0], pdf["block"][0])
-    forecast = np.full(len(pdf), np.nan)
-    _advance(
-        x, y, ask, refit_rows(pdf, spec), forecast, State(net, ask.shape[1], seed),
-        np.random.default_rng(seed), spec, net, seed,
+    state = State(net, spec.lags, _seed(net, pdf["series_id"][0], 0))
+    return landed_rows(pdf, _advance(pdf, refit_rows(pdf, spec), state, spec, net), spec)
+
+
+def _link(pdf: pd.DataFrame, before: pd.DataFrame, spec: FoldSpec, net: NetSpec) -> pd.DataFrame:
+    """One block of an unbroken chain: forecasts of its own rows, then the state it leaves."""
+    pdf = pdf.sort_values("i", ignore_index=True)
+    series, own = pdf["series_id"][0], pdf["own"].to_numpy()
+    state = State(net, spec.lags, _seed(net, series, 0))
+    places = refit_rows(pdf, spec)
+    places = places[own[places]]
+    inherited = np.full(len(pdf), np.nan)
+    if len(before):
+        numbers = _unpack(before["weights"].iloc[0])
+        k = len(state.params)
+        state.params, state.first, state.second = (
+            [p.copy() for p in numbers[j * k : (j + 1) * k]] for j in range(3)
+        )
+        state.steps = int(before["steps"].iloc[0])
+        if state.steps:  # rows before this block's first refit belong to the last fit
+            inherited = forward(net, state.params, pdf[spec.inputs].to_numpy(float))[0]
+    made = _advance(pdf, places, state, spec, net)
+    first = places[0] if len(places) else len(pdf)
+    made[:first] = inherited[:first]
+    at, values = pdf["i"].to_numpy()[own].tolist(), made[own].tolist()
+    packed = _pack([*state.params, *state.first, *state.second])
+    return pd.DataFrame(
+        {
+            "series_id": series,
+            "i": [*at, -1],
+            "forecast": [*values, np.nan],
+            "steps": [0] * len(at) + [state.steps],
+            "weights": [None] * len(at) + [packed],
+        }
     )
-    return landed_rows(pdf, forecast, spec)
 
 
-def _series(batches: Iterator[pd.DataFrame], spec: FoldSpec, net: NetSpec) -> Iterator[pd.DataFrame]:
-    """One unbroken chain over a series that arrives in order, batch by batch.
+def chained_forecasts(rows: DataFrame, spec: FoldSpec, net: NetSpec) -> DataFrame:
+    """One unbroken warm-started chain per series, whatever its length.
 
-    Only the rows a fold or a landing still needs are kept.
+    Folds of a chain follow one another by definition, so the blocks of a
+    series are trained in rounds: round c trains block c of every series at
+    once, from the state round c-1 wrote to the shared folder. A task holds one
+    block, and a lost executor repeats only its block.
     """
-    keep = spec.halo + spec.frequency
-    held, made, state, rng, seed = None, None, None, None, None
-    for pdf in batches:
-        if state is None:
-            seed = _seed(net, pdf["series_id"].iloc[0], 0)
-            state, rng = State(net, spec.lags, seed), np.random.default_rng(seed)
-        new_from = 0 if held is None else len(held)
-        table = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        if not table["i"].is_monotonic_increasing:
-            raise ValueError("rows of a series must arrive in time order")
-        forecast = np.full(len(table), np.nan)
-        if made is not None:
-            forecast[:new_from] = made
-        x, y = table[spec.train_inputs].to_numpy(float), table["y_l"].to_numpy(float)
-        ask, t = table[spec.inputs].to_numpy(float), table["t"].to_numpy()
-        if new_from and t[new_from - 1] >= spec.window_size - spec.window_size % -spec.frequency:
-            # rows up to the next refit still belong to the last fit
-            stop = new_from + int(-t[new_from] % spec.frequency)
-            if stop > new_from:
-                forecast[new_from:stop] = forward(net, state.params, ask[new_from:stop])[0]
-        due = (t >= spec.window_size) & (t % spec.frequency == 0)
-        places = np.flatnonzero(due)
-        state = _advance(x, y, ask, places[places >= new_from], forecast, state, rng, spec, net, seed)
-        out = landed_rows(table, forecast, spec)
-        yield out[out.index >= new_from]
-        held, made = table.iloc[-keep:].reset_index(drop=True), forecast[-keep:]
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}"
+    rows.write.partitionBy("block").parquet(f"{folder}/rows")
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    rounds = stored.agg(F.max("block")).first()[0]
+    schema = f"series_id string, i bigint, forecast double, steps bigint, weights {WEIGHTS}"
+    empty = spark.createDataFrame([], schema)
+    for c in range(0 if rounds is None else rounds + 1):
+        before = spark.read.schema(schema).parquet(f"{folder}/made/{c - 1}") if c else empty
+        tasks = heavy_tasks(stored)
+        part = stored.where(F.col("block") == c).repartition(tasks, "series_id")
+        linked = part.groupBy("series_id").cogroup(before.where("i = -1").groupBy("series_id")).applyInPandas(
+            lambda pdf, state: _link(pdf, state, spec, net) if len(pdf) else pd.DataFrame(), schema
+        )
+        linked.write.parquet(f"{folder}/made/{c}")
+    if rounds is None:
+        made = empty
+    else:
+        made = spark.read.schema(schema).parquet(*[f"{folder}/made/{c}" for c in range(rounds + 1)])
+    moved = made.where("i >= 0").select(
+        "series_id", (F.col("i") + spec.prediction_length).alias("i"), F.col("forecast").alias("pred")
+    )
+    first = spec.window_size + 2 * spec.prediction_length - 1
+    own = stored.where(F.col("own") & (F.col("i") >= first))
+    return own.join(moved, ["series_id", "i"]).select("series_id", "dt", "i", "n", "pred", F.col("y").alias("true"))
 
 
 def net_forecasts(
     prices: DataFrame,
     net: NetSpec,
     spec: FoldSpec = NETWORK,
-    chain_rows: int | None = CHAIN_ROWS,
+    chain_rows: int = CHAIN_ROWS,
+    unbroken: bool = False,
     model: str = "mlp",
 ) -> DataFrame:
     """Walk-forward forecasts of one net per series.
 
     Warm start makes each fold continue from the weights of the one before. A
     chain covers ``chain_rows`` rows plus the halo they need and starts from
-    seeded weights, so long series are trained by many tasks.
-    ``chain_rows=None`` keeps one chain per series, as a single run would; its
-    folds are sequential by definition, and its rows stream through one task
-    without being held. With ``train_from_scratch`` folds are independent.
+    seeded weights, so the blocks of a long series train side by side.
+    ``unbroken`` keeps one chain per series, as a single run would, at the
+    price of one round per block. With ``train_from_scratch`` folds are
+    independent and both give the same.
     """
     if not spec.sliding_window:
-        raise ValueError("nets are trained on sliding windows; a growing window is one single split per fold")
+        raise ValueError("nets are trained on sliding windows")
     columns = ["dt", "i", "n", "t", "own", "y", "y_l", *spec.inputs, *spec.train_inputs]
-    if chain_rows is None:
-        rows = fold_rows(prices, spec).where("own").select(*BLOCK, *columns)
-        ordered = rows.repartition("series_id").sortWithinPartitions("series_id", "i")
-
-        def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            return _series(batches, spec, net)
-
-        out = ordered.groupBy("series_id").applyInPandas(chain, forecast_schema(rows))
+    spec = spec.but(block_rows=chain_rows)
+    rows = fold_rows(prices, spec, heavy=True).select(*BLOCK, *columns)
+    if unbroken:
+        out = chained_forecasts(rows, spec, net)
     else:
-        spec = spec.but(block_rows=chain_rows)
-        rows = fold_rows(prices, spec).select(*BLOCK, *columns)
         out = rows.groupBy(*BLOCK).applyInPandas(lambda pdf: _block(pdf, spec, net), forecast_schema(rows))
     return out.select(
         "series_id", "dt", F.lit(model).alias("model"), "i", "n",
@@ -167,7 +199,7 @@ def net_models(rows: DataFrame, net: NetSpec, split: SplitSpec) -> DataFrame:
     blocks of a series start from the same weights.
     """
     fitted = (
-        rows.where("role <> 'test'")
+        for_heavy_tasks(rows.where("role <> 'test'"))
         .groupBy(*BLOCK)
         .applyInPandas(
             lambda pdf: _train_block(pdf, split, net),

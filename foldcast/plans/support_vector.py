@@ -103,7 +103,7 @@ def support_vector_forecasts(
         raise ValueError("the general solver works on sliding windows with tail validation")
     spec = spec.but(block_rows=block_rows)
     columns = ["dt", "i", "n", "t", "own", "y", "y_l", *spec.inputs, *spec.train_inputs]
-    rows = fold_rows(prices, spec).select(*BLOCK, *columns)
+    rows = fold_rows(prices, spec, heavy=True).select(*BLOCK, *columns)
     out = rows.groupBy(*BLOCK).applyInPandas(
         lambda pdf: _block_forecasts(pdf, spec, svr), forecast_schema(rows)
     )

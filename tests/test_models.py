@@ -111,16 +111,15 @@ def test_early_stop():
     assert len(history) < 500 and min(history) == history[-4]
 
 
-def test_one_chain_streams_like_one_block(spark):
-    px = frame(spark, {"a": walk(150, 32), "b": walk(90, 33)})
-    whole = nets.net_forecasts(px, TINY, NET_SPEC, chain_rows=5000).toPandas()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
-    try:
-        streamed = nets.net_forecasts(px, TINY, NET_SPEC, chain_rows=None).toPandas()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+@pytest.mark.parametrize("chain_rows", [60, 5000])
+def test_unbroken_chain_does_not_depend_on_blocks(spark, chain_rows):
+    net = fn.feed_forward((6,), epochs=3, batch_size=16, patience=None, dropout=0.1)
+    px = frame(spark, {"a": walk(190, 32), "b": walk(90, 33), "short": walk(45, 40)})
+    whole = nets.net_forecasts(px, net, NET_SPEC, chain_rows=5000).toPandas()
+    linked = nets.net_forecasts(px, net, NET_SPEC, chain_rows=chain_rows, unbroken=True).toPandas()
+    assert len(whole) == len(linked)
     for name in ("a", "b"):
-        np.testing.assert_allclose(series_of(streamed, name), series_of(whole, name), atol=1e-6)
+        np.testing.assert_allclose(series_of(linked, name), series_of(whole, name), atol=1e-6)
 
 
 def test_warm_start_carries_weights_and_scratch_does_not(spark):
