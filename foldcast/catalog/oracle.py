@@ -228,6 +228,35 @@ def ar_coefficients(kind: str, max_p: int) -> str:
     {", ".join(r6(f"any_value({beta[a]})", f"phi{a}") for a in range(1, max_p + 1))} FROM g GROUP BY 1"""
 
 
+def ar_split_forecasts(kind: str, max_p: int) -> str:
+    """Least AIC of the nested fits, then one recursive step per row after training."""
+    nested = []
+    for p in range(max_p + 1):
+        on_z = [f"c{j}" for j in range(1, p + 2)]
+        beta = [""] * (p + 1)
+        for j in range(p + 1, 0, -1):
+            beta[j - 1] = f"({on_z[j - 1]})"
+            for i in range(1, j):
+                on_z[i - 1] = f"{on_z[i - 1]} - {beta[j - 1]} * s{j}_{i}"
+        c0 = "yb" + "".join(f" - {beta[j]} * m{j + 1}" for j in range(p + 1))
+        phis = "".join(f", any_value({beta[a]}) AS phi{a}" if a <= p else f", 0.0 AS phi{a}" for a in range(1, max_p + 1))
+        nested.append(f"""SELECT sid, {p} AS p, any_value(n_tr) * ln(any_value(rss_{p + 1}) / any_value(n_tr)) + 2 * ({p} + 2) AS aic,
+            any_value({c0}) AS c0, any_value({beta[0]}) AS b{phis} FROM g GROUP BY 1""")
+    ar = " + ".join(f"phi{a} * st{a}" for a in range(1, max_p + 1))
+    first = ", ".join(f"s.x{a} AS st{a}" for a in range(1, max_p + 1))
+    moved = ", ".join(["pred AS st1"] + [f"r.st{a - 1} AS st{a}" for a in range(2, max_p + 1)])
+    keep = ", ".join(f"st{a}" for a in range(1, max_p + 1))
+    return f"""WITH RECURSIVE {ar_split(kind, max_p)}, cand AS ({" UNION ALL ".join(nested)}),
+    fit AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY sid ORDER BY round(aic, 9), p) = 1),
+    ahead AS (SELECT s.*, row_number() OVER (PARTITION BY s.sid ORDER BY s.i) AS h, fit.* EXCLUDE (sid)
+        FROM spl s JOIN fit ON fit.sid = s.sid WHERE s.role <> 'train'),
+    rec AS (SELECT sid, h, c0 + b * x1 + {ar} AS pred, {keep} FROM (SELECT s.*, {first} FROM ahead s WHERE h = 1)
+        UNION ALL SELECT sid, h, c0 + b * x1 + {ar} AS pred, {keep}
+        FROM (SELECT a.*, {moved} FROM rec r JOIN ahead a ON a.sid = r.sid AND a.h = r.h + 1)),
+    moved AS (SELECT a.sid, a.dt, r.pred, a.y AS "true" FROM ahead a JOIN rec r ON r.sid = a.sid AND r.h = a.h WHERE a.role = 'test')
+    {FORECAST_OUT}"""
+
+
 def ar_wf(kind: str, spec: FoldSpec, max_p: int, compat: bool = False) -> str:
     """Per fold nested regressions; least AIC; recursion written out step by step."""
     p_ahead, v, w = spec.prediction_length, spec.validation_size, spec.window_size
@@ -424,6 +453,7 @@ def oracle_sql() -> dict[str, str]:
         "kpss_level": kpss("supp", q.KPSS_LAGS),
         "arx_order_aic": ar_orders("flag", 3),
         "arx_fit": ar_coefficients("supp", 2),
+        "arx_split": ar_split_forecasts("flag", 2),
         "wf_arx_forecast": f"WITH {ar_wf('flag', q.AR, 2)} {FORECAST_OUT}",
         "wf_arx_sliding": f"WITH {ar_wf('flag', q.AR.but(sliding_window=True), 2)} {FORECAST_OUT}",
         "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 2, compat=True)} {FORECAST_OUT}",

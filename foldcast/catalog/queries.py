@@ -388,6 +388,11 @@ def arx_fit(spark, folder):
     return _rounded(out.select("series_id", "n_train", "intercept", *columns))
 
 
+def arx_split(spark, folder):
+    """Order chosen and fitted once; every test row forecast from the end of training."""
+    return _forecasts(autoregressive.autoregressive_split(flag_px(spark, folder), AR2))
+
+
 def wf_arx_forecast(spark, folder):
     return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, AR2))
 

@@ -25,7 +25,7 @@ reattach_dates grid_leaderboard model_roundtrip
 """
 
 AUTOREGRESSIVE = """
-kpss_level arx_order_aic arx_fit wf_arx_forecast wf_arx_sliding wf_arx_same_steps wf_arx_difference arma_hr
+kpss_level arx_order_aic arx_fit arx_split wf_arx_forecast wf_arx_sliding wf_arx_same_steps wf_arx_difference arma_hr
 """
 
 TASK_TRAINED = """

@@ -6,7 +6,8 @@ from helpers import frame, series_of, training_table, walk
 
 from foldcast.operators.folds import AUTOREGRESSIVE
 from foldcast.operators.shaping import returns
-from foldcast.plans.autoregressive import ArSpec, autoregressive_forecasts, kpss_by_series
+from foldcast.plans.autoregressive import ArSpec, autoregressive_forecasts, autoregressive_split, kpss_by_series
+from foldcast.plans.single_split import SplitSpec
 from foldcast.plans.moving_average import ArmaSpec, moving_average_forecasts
 
 SPEC = AUTOREGRESSIVE.but(
@@ -155,3 +156,26 @@ def test_moving_average_equals_two_regressions(spark, block_rows):
     want = np.full(n, np.nan)
     want[p_ahead:] = made[:-p_ahead]
     np.testing.assert_allclose(series_of(got, "a"), want[60 + 2 * p_ahead - 1 :], rtol=1e-6, atol=1e-8)
+
+
+@pytest.mark.parametrize("block_rows", [4, 5000])
+def test_single_split_forecasts_run_from_the_end_of_training(spark, block_rows):
+    prices = walk(160, 27)
+    split = SplitSpec(lags=1, block_rows=block_rows)
+    got = series_of(autoregressive_split(frame(spark, {"a": prices}), ArSpec(max_p=3), split).toPandas(), "a")
+    y = np.concatenate([[0.0], prices[1:] / prices[:-1] - 1])
+    kept = 160 - 16
+    n_fit = kept - int(np.ceil(0.15 * kept))
+    x = np.concatenate([[0.0], y[:-1]])
+    rows, best = np.arange(3, n_fit), None
+    for p in range(4):  # the first own lag equals the input and adds nothing
+        cols = [x[rows]] + [y[rows - a] for a in range(2, p + 1)]
+        b, rss = ols(np.column_stack(cols), y[rows])
+        aic = len(rows) * np.log(rss / len(rows)) + 2 * (p + 2)
+        if best is None or aic < best[0] - 1e-9:
+            best = (aic, p, b)
+    _, p, b = best
+    past = list(y[:n_fit])
+    for k in range(n_fit, 160):
+        past.append(b[0] + b[1] * x[k] + sum(b[a] * past[-a] for a in range(2, p + 1)))
+    np.testing.assert_allclose(got, past[kept:], atol=1e-9)
