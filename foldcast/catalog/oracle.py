@@ -174,7 +174,7 @@ def split_linear(kind: str, lags: int, how: str = "plain") -> str:
         fit = """fit AS (SELECT sid, regr_intercept(y, x1) AS c0, regr_slope(y, x1) AS c1 FROM spl
             WHERE role = 'train' GROUP BY 1)"""
     elif how == "no_intercept":
-        fit = "fit AS (SELECT sid, 0.0 AS c0, sum(x1 * y) / sum(x1 * x1) AS c1 FROM spl WHERE role = 'train' GROUP BY 1)"
+        fit = "fit AS (SELECT sid, 0.0::DOUBLE AS c0, sum(x1 * y) / sum(x1 * x1) AS c1 FROM spl WHERE role = 'train' GROUP BY 1)"
     elif how == "nonneg":
         fit = """fit AS (SELECT sid, avg(y) - greatest(regr_slope(y, x1), 0) * avg(x1) AS c0,
             greatest(regr_slope(y, x1), 0) AS c1 FROM spl WHERE role = 'train' GROUP BY 1)"""
@@ -239,7 +239,7 @@ def ar_split_forecasts(kind: str, max_p: int) -> str:
             for i in range(1, j):
                 on_z[i - 1] = f"{on_z[i - 1]} - {beta[j - 1]} * s{j}_{i}"
         c0 = "yb" + "".join(f" - {beta[j]} * m{j + 1}" for j in range(p + 1))
-        phis = "".join(f", any_value({beta[a]}) AS phi{a}" if a <= p else f", 0.0 AS phi{a}" for a in range(1, max_p + 1))
+        phis = "".join(f", any_value({beta[a]}) AS phi{a}" if a <= p else f", 0.0::DOUBLE AS phi{a}" for a in range(1, max_p + 1))
         nested.append(f"""SELECT sid, {p} AS p, any_value(n_tr) * ln(any_value(rss_{p + 1}) / any_value(n_tr)) + 2 * ({p} + 2) AS aic,
             any_value({c0}) AS c0, any_value({beta[0]}) AS b{phis} FROM g GROUP BY 1""")
     ar = " + ".join(f"phi{a} * st{a}" for a in range(1, max_p + 1))
@@ -274,7 +274,7 @@ def ar_wf(kind: str, spec: FoldSpec, max_p: int, compat: bool = False) -> str:
             for i in range(1, j):
                 on_z[i - 1] = f"{on_z[i - 1]} - {beta[j - 1]} * s{j}_{i}"
         c0 = "yb" + "".join(f" - {beta[j]} * m{j + 1}" for j in range(p + 1))
-        phis = "".join(f", any_value({beta[a]}) AS phi{a}" if a <= p else f", 0.0 AS phi{a}" for a in range(1, max_p + 1))
+        phis = "".join(f", any_value({beta[a]}) AS phi{a}" if a <= p else f", 0.0::DOUBLE AS phi{a}" for a in range(1, max_p + 1))
         nested.append(f"""SELECT sid, t, {p} AS p, any_value(n_tr) * ln(any_value(rss_{p + 1}) / any_value(n_tr)) + 2 * ({p} + 2) AS aic,
             any_value({c0}) AS c0, any_value({beta[0]}) AS b{phis} FROM g GROUP BY 1, 2""")
     steps = p_ahead if compat else p_ahead + v
