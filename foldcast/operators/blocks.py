@@ -56,6 +56,11 @@ def in_block() -> WindowSpec:
     return Window.partitionBy(*BLOCK).orderBy("seg", "i")
 
 
+def latest_first() -> WindowSpec:
+    """Latest row first inside a block; ``lead(c, k)`` there looks k rows back."""
+    return Window.partitionBy(*BLOCK).orderBy("_nseg", F.col("i").desc())
+
+
 def carry_over(parts: DataFrame, build) -> DataFrame:
     """Per block, what ``build(frame)`` gives over the earlier blocks of its series.
 

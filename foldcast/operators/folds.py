@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldcast.functions.values import fill_zero, growth, input_return, left_zero
-from foldcast.operators.blocks import BLOCK_ROWS, for_heavy_tasks, in_block, to_blocks
+from foldcast.operators.blocks import BLOCK, BLOCK_ROWS, for_heavy_tasks, in_block, latest_first, to_blocks
 from foldcast.operators.rows import number_rows
 
 
@@ -171,7 +171,7 @@ def carry_fit(rows: DataFrame, spec: FoldSpec, fit: str = "fit") -> DataFrame:
         return rows.withColumn(fit, kept)
     rows = rows.withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
     since = (
-        Window.partitionBy("series_id", "block", "refit_t")
+        Window.partitionBy(*BLOCK, "refit_t")
         .orderBy("i")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -181,12 +181,12 @@ def carry_fit(rows: DataFrame, spec: FoldSpec, fit: str = "fit") -> DataFrame:
 def land(rows: DataFrame, spec: FoldSpec, model: str) -> DataFrame:
     """Move the forecast made at row e to row e+P and pair it with the target there."""
     p = spec.prediction_length
-    order = Window.partitionBy("series_id", "block").orderBy("refit_t", "i")
-    if spec.frequency == 1:
-        order = descending_or_plain(rows)
-        moved = F.lead("forecast", p).over(order) if "_nseg" in rows.columns else F.lag("forecast", p).over(order)
+    if spec.frequency > 1:  # same sort as carry_fit
+        moved = F.lag("forecast", p).over(Window.partitionBy(*BLOCK).orderBy("refit_t", "i"))
+    elif "_nseg" in rows.columns:  # same sort as the sliding frames, latest row first
+        moved = F.lead("forecast", p).over(latest_first())
     else:
-        moved = F.lag("forecast", p).over(order)
+        moved = F.lag("forecast", p).over(in_block())
     landed = rows.withColumn("pred", moved)
     first = spec.window_size + 2 * p - 1
     return landed.where(F.col("own") & (F.col("i") >= first)).select(
@@ -194,12 +194,6 @@ def land(rows: DataFrame, spec: FoldSpec, model: str) -> DataFrame:
     )
 
 
-def descending_or_plain(rows: DataFrame):
-    from foldcast.operators.frames import descending
-
-    return descending() if "_nseg" in rows.columns else in_block()
-
-
 def fold_schedule(prices: DataFrame, spec: FoldSpec) -> DataFrame:
     """One row per fold: as-of date, training bounds, and whether it refits."""
     numbered = number_rows(

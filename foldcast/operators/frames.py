@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldcast.operators.blocks import BLOCK, carry_over, in_block
-
-
-def descending():
-    """Latest row first inside a block. ``lead(c, k)`` there looks k rows back."""
-    return Window.partitionBy(*BLOCK).orderBy("_nseg", F.col("i").desc())
+from foldcast.operators.blocks import BLOCK, in_block, latest_first
 
 
 def sliding(blocks: DataFrame, summary, back: int, skip: int, name: str, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -21,7 +16,7 @@ def sliding(blocks: DataFrame, summary, back: int, skip: int, name: str, extra:
     two running passes replace re-aggregating every frame: the cost per row
     does not depend on the frame length and nothing is ever subtracted.
     Only rows with a full frame inside the block are right. ``extra`` adds
-    columns over the ``descending`` order, computed in the same pass.
+    columns over the ``latest_first`` order, computed in the same pass.
     """
     length = back - skip + 1
     run = Window.partitionBy(*BLOCK, "seg").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -33,7 +28,7 @@ def sliding(blocks: DataFrame, summary, back: int, skip: int, name: str, extra:
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     both = head.withColumn("_tail", summary.aggregate(rest))
-    back_to = descending()
+    back_to = latest_first()
     both = both.withColumns(
         {"_head": F.lead("_head", skip).over(back_to), "_tail": F.lead("_tail", back).over(back_to)}
         | (extra or {})

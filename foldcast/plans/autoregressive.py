@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from foldcast.functions.regression import swept
 from foldcast.functions.summaries import Bundle, Moments, Sums
-from foldcast.functions.values import growth
 from foldcast.operators import frames
 from foldcast.operators.blocks import BLOCK, BLOCK_ROWS, in_block, running_totals, spread, to_blocks
 from foldcast.operators.folds import AUTOREGRESSIVE, FoldSpec, carry_fit, complete_from, fold_rows, land, refits
-from foldcast.operators.rows import number_rows
 from foldcast.plans.single_split import SplitSpec, split_rows
 from foldcast.plans.walk_forward import summarise
 

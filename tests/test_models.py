@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import frame, loop_forecasts, series_of, training_table, walk
+from helpers import frame, loop_forecasts, series_of, walk
 from pyspark.sql import functions as F
 
 from foldcast.functions import nets as fn
