@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldcast.llm.mixing import OP5_SQL, op5_pfair_mixing
 from foldcast.llm.packing import op10_best_fit_packing
+from foldcast.llm.sharding import OP1_SQL, op1_extendible_sharding
 from foldcast.llm.token_files import op4_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_files, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op4_token_files, op5_pfair_mixing, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_extendible_sharding": OP1_SQL, "op5_pfair_mixing": OP5_SQL}
