@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldcast.llm.common import scratch, table
@@ -92,41 +92,39 @@ def write_tokens(
     encode_rows(ordered, tokenizer or default_path(), end_id).write.options(**layout(encoding)).parquet(out)
 
 
+def starts(files: DataFrame) -> DataFrame:
+    """``(shard, before)``: the ids in all earlier files, summed over one row a file."""
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("shard", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+
+
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids; ``start`` counts all ids of earlier documents.
+    """doc_id, shard, start_in_shard, n_tokens, ids of all files under ``out``.
 
-    A reader that selects only metadata columns never touches the ids. Only one
-    row a file is summed up over files.
+    A reader that selects only metadata columns never touches the ids.
     """
-    from pyspark.sql import Window
-
-    files = spark.read.schema(WRITTEN).parquet(out)
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select(
-        "shard",
-        F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )
-    return files.join(before, "shard").select(
-        "doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids"
-    )
+    return spark.read.schema(WRITTEN).parquet(out)
 
 
-def with_crc32(tokens: DataFrame) -> DataFrame:
+def with_crc32(files: DataFrame) -> DataFrame:
     """Replace ``ids`` by the unsigned crc32 of their little-endian 32-bit form."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            lists = batch.column(4)
+            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.record_batch([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.record_batch([*batch.columns[:4], pa.array(crc, pa.int64())], names=[*batch.schema.names[:4], "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        digest, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    return files.mapInArrow(digest, WRITTEN.replace("ids array<int>", "ids_crc32 long"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), out)
-    return with_crc32(read_tokens(spark, out))
+    files = read_tokens(spark, out)
+    # The ids are reduced to checksums before rows meet their file's start.
+    return with_crc32(files).join(starts(files), "shard").select(
+        "doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32"
+    )
