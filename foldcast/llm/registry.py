@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldcast.llm.exact_dedup import OP8_SQL, op8_chunk_recipes
 from foldcast.llm.licenses import OP2_SQL, op2_licence_scan
 from foldcast.llm.mixing import OP5_SQL, op5_pfair_mixing
 from foldcast.llm.packing import op10_best_fit_packing
@@ -14,8 +15,8 @@ from foldcast.llm.token_files import op4_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_licence_scan, op4_token_files, op5_pfair_mixing, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_licence_scan, op4_token_files, op5_pfair_mixing, op8_chunk_recipes, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_sharding": OP1_SQL, "op2_licence_scan": OP2_SQL, "op5_pfair_mixing": OP5_SQL}
+    return {"op1_extendible_sharding": OP1_SQL, "op2_licence_scan": OP2_SQL, "op5_pfair_mixing": OP5_SQL, "op8_chunk_recipes": OP8_SQL}
