@@ -22,6 +22,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of few rows, so that what is made from them stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def blocks(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes; a longer text is a run of its own."""
     low = 0

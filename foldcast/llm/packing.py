@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldcast.llm.bytespans import slices
 from foldcast.llm.common import table
 from foldcast.llm.tokens import default_path, encoder
 
@@ -167,7 +168,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         docs_held, held, total = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, at = encoder(path).encode(batch.column(1), end_id)
             docs_held += zip(batch.column(0).to_pylist(), np.diff(at).tolist())
             held.append(ids)

@@ -26,17 +26,35 @@ def top_bits(h: Column, bits: int, depth: Column) -> Column:
     return F.call_function("shiftright", h, (F.lit(bits) - depth).cast("int"))
 
 
-def directory(rows: DataFrame, shard_bytes: int, low: int, high: int) -> DataFrame:
-    """``(cell, depth)``: for each ``high``-bit cell the fewest bits whose bucket fits, null if none does.
+def bucket_sizes(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """``(cell, depth, bucket, size)`` of each ``high``-bit cell at each depth, cells summed up before they are shuffled."""
+    cells = rows.groupBy(top_bits(F.col("h"), HASH_BITS, F.lit(high)).alias("cell")).agg(F.sum("n_bytes").alias("size"))
+    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    return levels.withColumn("bucket", top_bits(F.col("cell"), high, F.col("depth")))
+
+
+def directory(rows: DataFrame, shard_bytes: int, high: int) -> DataFrame:
+    """``(cell, depth)`` for the ``high``-bit cells: the bucket that a cell points to has ``depth`` bits.
 
-    ``rows(h, n_bytes)`` are summed up by cell, and cells by bucket, before they are shuffled.
+    That is the first bucket on its way down that fits; null if not even the cell does.
     """
-    cells = rows.groupBy(top_bits(F.col("h"), HASH_BITS, F.lit(high)).alias("cell")).agg(F.sum("n_bytes").alias("size"))
-    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn(
-        "bucket", top_bits(F.col("cell"), high, F.col("depth"))
+    sizes = bucket_sizes(rows, 0, high).groupBy("depth", "bucket").agg(F.sum("size").alias("total"))
+    fit = sizes.where(F.col("total") <= shard_bytes).select("depth", "bucket")
+    parents = fit.select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("parent"))
+    leaves = fit.withColumn("parent", F.call_function("shiftright", "bucket", F.lit(1))).join(parents, ["depth", "parent"], "left_anti")
+    span = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(high) - F.col("depth")).cast("int"))
+    cells = F.sequence(F.col("bucket") * span, (F.col("bucket") + 1) * span - 1)
+    large = sizes.where((F.col("total") > shard_bytes) & (F.col("depth") == high))
+    return leaves.select(F.explode(cells).alias("cell"), "depth").unionByName(
+        large.select(F.col("bucket").alias("cell"), F.lit(None).cast("int").alias("depth"))
     )
+
+
+def hash_depths(rows: DataFrame, shard_bytes: int, low: int) -> DataFrame:
+    """The same for single hashes of cells that were too large; only these rows take part."""
+    levels = bucket_sizes(rows, low, HASH_BITS)
     sizes = levels.groupBy("depth", "bucket").agg(F.sum("size").alias("total"))
-    found = levels.join(sizes, ["depth", "bucket"]).groupBy("cell")
+    found = levels.join(sizes, ["depth", "bucket"]).groupBy(F.col("cell").alias("h"))
     return found.agg(F.min(F.when(F.col("total") <= shard_bytes, F.col("depth"))).alias("depth"))
 
 
@@ -62,13 +80,13 @@ def assign(docs: DataFrame, key: tuple[str, ...] = ("doc_id",), shard_bytes: int
     )
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(1, math.ceil(math.log2(max(1.0, total / shard_bytes))) + SLACK_BITS))
-    coarse = staged(directory(rows, shard_bytes, 0, bits), "shard-cells")
+    coarse = staged(directory(rows, shard_bytes, bits), "shard-cells")
     by_cell = rows.withColumn("cell", top_bits(F.col("h"), HASH_BITS, F.lit(bits))).join(coarse, "cell").drop("cell")
     placed = by_cell.where(F.col("depth").isNotNull()).withColumn("page", F.lit(0).cast("long"))
     if not coarse.where(F.col("depth").isNull()).isEmpty():
         rest = by_cell.where(F.col("depth").isNull()).drop("depth")
-        fine = staged(directory(rest, shard_bytes, min(bits + 1, HASH_BITS), HASH_BITS), "shard-hashes")
-        deep = rest.join(fine.withColumnRenamed("cell", "h"), "h")
+        fine = staged(hash_depths(rest, shard_bytes, min(bits + 1, HASH_BITS)), "shard-hashes")
+        deep = rest.join(fine, "h")
         split = deep.where(F.col("depth").isNotNull()).withColumn("page", F.lit(0).cast("long"))
         over = deep.where(F.col("depth").isNull()).withColumn("depth", F.lit(HASH_BITS))
         placed = placed.unionByName(split).unionByName(paged(over, shard_bytes))

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldcast.llm.bytespans import slices
 from foldcast.llm.common import scratch, table
 from foldcast.llm.tokens import default_path, encoder
 
@@ -53,7 +54,7 @@ def encode_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, at = encoder(path).encode(batch.column(1), end_id)
             starts = start + at[:-1]
             start += int(at[-1])

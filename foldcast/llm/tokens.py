@@ -21,7 +21,7 @@ from foldcast.llm.bytespans import blocks, is_space, span_hashes, spans, text_by
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words remembered by a worker; beyond that it starts anew. Memory only, never the result.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 #: Bytes encoded together.
 AT_ONCE = 1 << 20
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
