@@ -13,12 +13,13 @@ from foldcast.llm.packing import op10_best_fit_packing
 from foldcast.llm.sharding import OP1_SQL, op1_extendible_sharding
 from foldcast.llm.token_files import op4_token_files
 
+from foldcast.llm.topk import OP7_SQL, op7_nra_top_k
 from foldcast.llm.warc import op6_warc_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_licence_scan, op4_token_files, op5_pfair_mixing, op6_warc_index, op8_chunk_recipes, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_licence_scan, op4_token_files, op5_pfair_mixing, op6_warc_index, op7_nra_top_k, op8_chunk_recipes, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_sharding": OP1_SQL, "op2_licence_scan": OP2_SQL, "op5_pfair_mixing": OP5_SQL, "op8_chunk_recipes": OP8_SQL}
+    return {"op1_extendible_sharding": OP1_SQL, "op2_licence_scan": OP2_SQL, "op5_pfair_mixing": OP5_SQL, "op7_nra_top_k": OP7_SQL, "op8_chunk_recipes": OP8_SQL}
