@@ -104,11 +104,11 @@ def top_k(vectors: DataFrame, every: int, k: int = TOP, scale: float = 256.0) ->
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")
     )
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = rows.where(F.col("vec_id") % every == 0).select(*(F.col(c).alias(f"query_{c}") for c in rows.columns))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     dealt = rows.withColumn("block", F.col("row") % blocks).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asking = asked.withColumn("query_block", (F.col("row") % query_blocks).cast("int")).withColumn(
+    asking = asked.withColumn("query_block", (F.col("query_row") % query_blocks).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     )
 
@@ -116,8 +116,9 @@ def top_k(vectors: DataFrame, every: int, k: int = TOP, scale: float = 256.0) ->
         names, kinds = ["query_row", "query_id", "vec_id", "score"], pa.int64()
         if not len(of_block) or not len(queries):
             return pa.table([pa.array([], kinds)] * 4, names=names)
-        ids, query_ids, query_rows = (t.column(c).to_numpy() for t, c in ((of_block, "vec_id"), (queries, "vec_id"), (queries, "row")))
-        found = best_of_block(matrix(of_block.column("embedding"), scale), ids, matrix(queries.column("embedding"), scale), query_ids, k)
+        ids = of_block.column("vec_id").to_numpy()
+        query_ids, query_rows = (queries.column(c).to_numpy() for c in ("query_vec_id", "query_row"))
+        found = best_of_block(matrix(of_block.column("embedding"), scale), ids, matrix(queries.column("query_embedding"), scale), query_ids, k)
         j, r, s = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         return pa.table([pa.array(c, kinds) for c in (query_rows[j], query_ids[j], ids[r], s)], names=names)
 
