@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foldcast.llm.exact_dedup import OP8_SQL, op8_chunk_recipes
 from foldcast.llm.licenses import OP2_SQL, op2_licence_scan
 from foldcast.llm.mixing import OP5_SQL, op5_pfair_mixing
+from foldcast.llm.near_dedup import op9_bbit_minhash
 from foldcast.llm.packing import op10_best_fit_packing
 from foldcast.llm.quality import op3_co_training
 from foldcast.llm.sharding import OP1_SQL, op1_extendible_sharding
@@ -19,7 +20,7 @@ from foldcast.llm.warc import op6_warc_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_extendible_sharding, op2_licence_scan, op3_co_training, op4_token_files, op5_pfair_mixing, op6_warc_index, op7_nra_top_k, op8_chunk_recipes, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_extendible_sharding, op2_licence_scan, op3_co_training, op4_token_files, op5_pfair_mixing, op6_warc_index, op7_nra_top_k, op8_chunk_recipes, op9_bbit_minhash, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
