@@ -88,6 +88,7 @@ RULES = [
 ANCHORS = ("licen", "permission", "permitted", "redistribut", "warrant", "liable", "software", "public domain", "mpl", "cc0")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUT = "\x01"
+BLANK = r"\n[ \t\r]*\n"
 ENDS = r"([.!?;:])[ \t\r\n\x0B\x0C]+"
 
 
@@ -130,7 +131,7 @@ def _hopeful(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``licences``, ``sentence_ids``, ``unread_ids``.
 
-    A text is cut at sentence ends. A sentence that is known as a whole,
+    A text is cut at sentence ends and blank lines. A sentence that is known as a whole,
     wrapped lines joined, gives its identifier; otherwise each of its lines that is
     known gives one. ``sentence_ids`` is their sequence, ``licences`` the
     licences of the rules that match it, in the rules' order and separated by
@@ -140,7 +141,7 @@ def scan(docs: DataFrame) -> DataFrame:
     was read, and texts without any word of a licence are not cut.
     """
     docs = docs.drop("licences", "sentence_ids", "unread_ids")
-    sentences = F.split(F.regexp_replace(text_or_empty(), ENDS, f"$1{CUT}"), CUT)
+    sentences = F.split(F.regexp_replace(F.regexp_replace(text_or_empty(), BLANK, CUT), ENDS, f"$1{CUT}"), CUT)
     ids = F.when(_hopeful(text_or_empty()), F.flatten(F.transform(sentences, _sentence_ids))).otherwise(F.array().cast("array<string>"))
     rows = docs.withColumn("sentence_ids", F.concat_ws(" ", ids)).withColumn(
         "unread_ids", F.concat(F.lit(" "), F.replace(F.col("sentence_ids"), F.lit(" "), F.lit("  ")), F.lit(" "))
@@ -193,7 +194,7 @@ def _sql() -> str:
     return f"""
 WITH known(form, id) AS (VALUES {known}), cut AS (
   SELECT doc_id, unnest(list) AS sentence, generate_subscripts(list, 1) AS pos
-  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{ends}', '\\1' || chr(1), 'g'), chr(1)) AS list FROM documents)
+  FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{BLANK}', chr(1), 'g'), '{ends}', '\\1' || chr(1), 'g'), chr(1)) AS list FROM documents)
 ), whole AS (
   SELECT c.*, k.id FROM cut c LEFT JOIN known k ON k.form = {_sql_normal('c.sentence')}
 ), lines AS (

@@ -18,6 +18,9 @@ TICKS = 1000
 #: Rows that are numbered together; memory of a task, never the result.
 BUCKET_ROWS = 20_000
 
+#: Columns that the operator adds.
+MADE = ("src_block", "released", "due", "slot", "src_offset")
+
 EDF = """
 aggregate(
   sequence(0L, n - 1),
@@ -76,33 +79,42 @@ def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, bloc
     Offsets are summed within ranges of the hash and carried over by one row a
     range, so a hot source is dealt to as many tasks as its rows need.
     """
-    docs = docs.drop("src_block", "released", "due", "slot", "src_offset")
+    docs = docs.drop(*MADE)
+    own = "_mix"
+    while any(c.lower().endswith(own) for c in docs.columns):
+        own += "_"
+    src, h, size, bucket, k = (c + own for c in ("src", "h", "size", "bucket", "k"))
     bits = max(4, math.ceil(math.log2(max(1, docs.count() / BUCKET_ROWS))))
+    named = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    hashed = hash60("doc_id", "text")
     rows = docs.select(
-        *docs.columns,
-        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("src"),
-        hash60("doc_id", "text").alias("h"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("bucket", top_bits(F.col("h"), HASH_BITS, F.lit(bits)))
-    sizes = staged(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
+        "*",
+        named.alias(src),
+        hashed.alias(h),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias(size),
+        top_bits(hashed, HASH_BITS, F.lit(bits)).alias(bucket),
+    )
+    sizes = staged(rows.groupBy(F.col(src).alias("src"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("size")), "mix-buckets")
     slots = staged(schedule(sizes, weights), "mix-round")
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("src", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start")).join(
-        slots.select("src", "t", "n").distinct(), "src"
+    starts = sizes.select("src", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start" + own)).join(
+        slots.select("src", F.col("t").alias("t" + own), F.col("n").alias("n" + own)).distinct(), "src"
     )
-    ordered = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    starts = starts.withColumnsRenamed({"src": src, "bucket": bucket})
+    ordered = Window.partitionBy(src, bucket).orderBy(h, "doc_id", size).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        rows.join(starts, ["src", "bucket"])
-        .withColumn("src_offset", F.col("start") + F.sum("size").over(ordered) - F.col("size"))
+        rows.join(starts, [src, bucket])
+        .withColumn("src_offset", F.col("start" + own) + F.sum(size).over(ordered) - F.col(size))
         .withColumn("src_block", F.floor(F.col("src_offset") / block_bytes))
-        .withColumn("k", F.col("src_block") % F.col("t"))
+        .withColumn(k, F.col("src_block") % F.col("t" + own))
     )
-    return placed.join(slots.select("src", "k", F.col("slot").alias("at")), ["src", "k"]).select(
+    at = slots.select(F.col("src").alias(src), F.col("k").alias(k), F.col("slot").alias("at" + own))
+    return placed.join(at, [src, k]).select(
         *docs.columns,
         "src_block",
-        F.expr("(src_block * n) div t").alias("released"),
-        F.expr("((src_block + 1) * n + t - 1) div t").alias("due"),
-        F.expr("(src_block div t) * n + at").alias("slot"),
+        F.expr(f"(src_block * n{own}) div t{own}").alias("released"),
+        F.expr(f"((src_block + 1) * n{own} + t{own} - 1) div t{own}").alias("due"),
+        F.expr(f"(src_block div t{own}) * n{own} + at{own}").alias("slot"),
         "src_offset",
     )
 
