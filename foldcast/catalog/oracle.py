@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from foldcast.catalog import queries as q
 from foldcast.operators.folds import FoldSpec
-from foldcast.sources.prices import EVENT_HOURS
 
 PX = {
     "flag": """SELECT l_returnflag AS sid, CAST(l_shipdate AS DATE) AS dt,
@@ -20,9 +19,8 @@ PX = {
     "order": """SELECT o_orderstatus AS sid, CAST(o_orderdate AS DATE) AS dt,
         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100.0::DOUBLE AS price
         FROM orders GROUP BY 1, 2""",
-    "event": f"""SELECT s.sid, g.dt, e.price FROM (SELECT DISTINCT event_type AS sid FROM events) s
-        JOIN (SELECT unnest(generate_series(TIMESTAMP '{EVENT_HOURS[0]}', TIMESTAMP '{EVENT_HOURS[1]}',
-              INTERVAL 1 HOUR)) AS dt) g ON true
+    "event": """SELECT s.sid, g.dt, e.price FROM (SELECT DISTINCT event_type AS sid FROM events) s
+        JOIN (SELECT unnest(generate_series(date_trunc('hour', min(ts)), max(ts), INTERVAL 1 HOUR)) AS dt FROM events) g ON true
         LEFT JOIN (SELECT event_type AS sid, date_trunc('hour', ts) AS dt,
               CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100.0::DOUBLE / count(value) AS price
               FROM events GROUP BY 1, 2) e ON e.sid = s.sid AND e.dt = g.dt""",
@@ -42,6 +40,12 @@ def r6(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
+def capped(spec: FoldSpec) -> str:
+    if spec.start_date is None:
+        return "true"
+    return f"dt BETWEEN DATE '{spec.start_date}' AND DATE '{spec.end_date}'"
+
+
 def capped_returns(kind: str, spec: FoldSpec) -> str:
     """Lag frame of prices, then the date cap, then returns: columns x1.., y, i, n, t."""
     k, o, p = spec.input_pct_change, spec.output_pct_change, spec.prediction_length
@@ -51,7 +55,7 @@ def capped_returns(kind: str, spec: FoldSpec) -> str:
 lagged AS (SELECT sid, dt, price, {lags} FROM px WINDOW w AS (PARTITION BY sid ORDER BY dt)),
 capped AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY dt) - 1 AS i,
     count(*) OVER (PARTITION BY sid) AS n
-    FROM lagged WHERE dt BETWEEN DATE '{spec.start_date}' AND DATE '{spec.end_date}'),
+    FROM lagged WHERE {capped(spec)}),
 ret AS (SELECT sid, dt, i, n, i - {p - 1} AS t, {xs}, price / lag(price, {o}) OVER w - 1 AS y
     FROM capped WINDOW w AS (PARTITION BY sid ORDER BY i)),
 pair AS (SELECT a.sid, a.i, b.i AS j, {", ".join(f"coalesce(a.x{m}, 0.0) AS x{m}" for m in range(1, spec.lags + 1))},
@@ -340,12 +344,12 @@ def members() -> str:
     spec = q.MEMBERS
     w, p, v = spec.window_size, spec.prediction_length, spec.validation_size
     return f"""WITH {capped_returns("flag", spec)},
-mem AS (SELECT f.sid, f.t, r.i, r.x1, t.y FROM fold f JOIN ret r ON r.sid = f.sid AND r.i BETWEEN f.t - {w} AND f.t + {p - 1}
+mem AS MATERIALIZED (SELECT f.sid, f.t, r.i, r.x1, t.y FROM fold f JOIN ret r ON r.sid = f.sid AND r.i BETWEEN f.t - {w} AND f.t + {p - 1}
     LEFT JOIN ret t ON t.sid = r.sid AND t.i = r.i + {p} AND t.i <= f.t + {p - 1}),
-score AS (SELECT sid, t, i FROM mem WHERE y IS NULL AND i >= t),
-val AS (SELECT sid, t, i FROM (SELECT m.sid, m.t, m.i, row_number() OVER (PARTITION BY m.sid, m.t ORDER BY m.i DESC) AS k
+score AS MATERIALIZED (SELECT sid, t, i FROM mem WHERE y IS NULL AND i >= t),
+val AS MATERIALIZED (SELECT sid, t, i FROM (SELECT m.sid, m.t, m.i, row_number() OVER (PARTITION BY m.sid, m.t ORDER BY m.i DESC) AS k
     FROM mem m ANTI JOIN score s ON s.sid = m.sid AND s.t = m.t AND s.i = m.i) WHERE k <= {v}),
-train AS (SELECT m.* FROM mem m ANTI JOIN score s ON s.sid = m.sid AND s.t = m.t AND s.i = m.i
+train AS MATERIALIZED (SELECT m.* FROM mem m ANTI JOIN score s ON s.sid = m.sid AND s.t = m.t AND s.i = m.i
     ANTI JOIN val v ON v.sid = m.sid AND v.t = m.t AND v.i = m.i)"""
 
 
@@ -374,10 +378,10 @@ def returns_of(kind: str, k: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    lr, svr = q.LR, q.SVR
+    lr, svr, free = q.LR, q.SVR, q.GRID
+    mean = lr.but(frequency=7, sliding_window=False)
     plain = "SELECT sid AS series_id, dt, price FROM"
     flag_wf = linear_wf("flag", lr)
-    grid = f"""{linear_wf("supp", lr)}"""
     out = {
         "price_bars": f"WITH {px('flag')} {plain} px",
         "order_bars": f"WITH {px('order')} {plain} px",
@@ -448,6 +452,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT series_id, model, n_obs, {", ".join(r6(c, c) for c in ("mse", "rmse", "mae", "r2", "hit_rate"))} FROM sc""",
         "cum_log_return": cumulative(flag_wf),
         "cum_log_return_single": cumulative(split_linear("flag", 3)),
+        "cum_log_return_models": " UNION ALL ".join(
+            f"SELECT series_id, '{m}' AS model, dt, cum_pred FROM ({cumulative(c)})"
+            for m, c in (("lr", flag_wf), ("svr", tube_wf("flag", svr, q.TUBE)))
+        ),
         "reattach_dates": f"""WITH {flag_wf} SELECT sid AS series_id, dt, {r6('"true" - pred', 'error')} FROM moved
             WHERE pred IS NOT NULL AND "true" IS NOT NULL""",
         "kpss_level": kpss("supp", q.KPSS_LAGS),
@@ -458,19 +466,29 @@ def oracle_sql() -> dict[str, str]:
         "wf_arx_sliding": f"WITH {ar_wf('flag', q.AR.but(sliding_window=True), 2)} {FORECAST_OUT}",
         "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 2, compat=True)} {FORECAST_OUT}",
         "wf_svr_flat": f"WITH {tube_wf('flag', svr.but(frequency=7), 1e6)} {FORECAST_OUT}",
+        "wf_model_reload": f"WITH {linear_wf('flag', lr.but(frequency=7))} {FORECAST_OUT}",
+        "csv_roundtrip": f"WITH {px('flag')} {plain} px",
+        "wf_custom_mean": f"""WITH {capped_returns('flag', mean)}, fit AS (SELECT f.sid, f.t, avg(a.y) AS c0 FROM {train_join(mean)} GROUP BY 1, 2),
+            {landed(mean, 'c0 AS pred')} {FORECAST_OUT}""",
+        "wf_custom_ridge": f"""WITH {capped_returns('supp', lr)}, fit AS (SELECT f.sid, f.t, regr_sxy(a.y, a.x1) / (regr_sxx(a.y, a.x1) + 5) AS c1,
+            avg(a.y) - c1 * avg(a.x1) AS c0 FROM {train_join(lr)} GROUP BY 1, 2), {landed(lr, 'c0 + c1 * r.x1 AS pred')} {FORECAST_OUT}""",
+        "custom_split": f"""WITH {split_rows('supp', 1)}, fit AS (SELECT sid, regr_sxy(y, x1) / (regr_sxx(y, x1) + 5) AS c1,
+            avg(y) - c1 * avg(x1) AS c0 FROM spl WHERE role = 'train' GROUP BY 1),
+            moved AS (SELECT s.sid, s.dt, c0 + c1 * s.x1 AS pred, s.y AS "true" FROM spl s JOIN fit USING (sid) WHERE s.role = 'test') {FORECAST_OUT}""",
         "model_roundtrip": f"WITH {split_linear('flag', 2)} {FORECAST_OUT}",
     }
     runs = {
-        "lr_wf": linear_wf("supp", lr),
-        "svr_wf": tube_wf("supp", svr, q.TUBE),
+        "lr_wf": linear_wf("supp", free),
+        "svr_wf": tube_wf("supp", free.but(validation_size=2), q.TUBE),
         "lr_split": split_linear("supp", 3),
         "svr_split": split_tube("supp", 3, q.TUBE),
     }
     union = " UNION ALL ".join(
-        f"""SELECT sid, '{name}' AS model, pred, "true" FROM (WITH {ctes} SELECT sid, pred, "true" FROM moved)"""
+        f"""SELECT sid, '{name}' AS model, dt, pred, "true" FROM (WITH {ctes} SELECT sid, dt, pred, "true" FROM moved)"""
         for name, ctes in runs.items()
     )
-    out["grid_leaderboard"] = f"""WITH al AS ({union}), sc AS ({scores('al')})
+    out["grid_leaderboard"] = f"""WITH ev AS ({union}), al AS (SELECT * FROM ev
+        QUALIFY count(*) FILTER (WHERE pred IS NOT NULL AND "true" IS NOT NULL) OVER (PARTITION BY sid, dt) = 4), sc AS ({scores('al')})
         SELECT series_id, model, n_obs, {r6('rmse', 'rmse')}, {r6('mae', 'mae')},
         row_number() OVER (PARTITION BY series_id ORDER BY rmse, model) AS place FROM sc"""
     return out

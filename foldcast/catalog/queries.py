@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldcast.functions import nets as nets_fn
+from foldcast.functions.summaries import Moments
 from foldcast.functions.values import r6
 from foldcast.operators import checks, folds, metrics, shaping, splits
-from foldcast.operators.folds import AUTOREGRESSIVE, LINEAR, NETWORK, SUPPORT_VECTOR
+from foldcast.operators.folds import AUTOREGRESSIVE, LINEAR, SUPPORT_VECTOR
 from foldcast.operators.rows import number_rows
-from foldcast.plans import autoregressive, moving_average, nets, single_split, support_vector, walk_forward
+from foldcast.plans import autoregressive, forecaster, moving_average, single_split, walk_forward
 from foldcast.session import shared_dir
 from foldcast.sources import models as model_table
 from foldcast.sources import prices as source
@@ -286,10 +287,65 @@ def wf_svr_tube_growing(spark, folder):
     return _tube(walk_forward.tube_forecasts(flag_px(spark, folder), spec, epsilon=TUBE))
 
 
+def wf_svr_flat(spark, folder):
+    """With a tube wider than any target, every fold has its mid-range."""
+    return _forecasts(walk_forward.tube_forecasts(flag_px(spark, folder), SVR.but(frequency=7), epsilon=1e6))
+
+
 def _tube(df: DataFrame) -> DataFrame:
     return _rounded(df.select("series_id", "dt", F.col("in_tube").cast("bigint").alias("in_tube"), "pred", "true"))
 
 
+# --- a user's own forecasters -----------------------------------------------
+
+@dataclass(frozen=True)
+class MeanOfTargets(forecaster.Forecaster):
+    """The mean of the training targets, whatever the inputs."""
+
+    name: str = "mean"
+
+    def summary(self, inputs, target):
+        return Moments((target,), ())
+
+    def fit(self, train, inputs, target):
+        return F.struct(train[f"m_{target}"].alias("level"))
+
+    def score(self, fit, inputs):
+        return fit["level"]
+
+
+@dataclass(frozen=True)
+class Ridge(forecaster.Forecaster):
+    """Least squares on one input with a penalty on the slope."""
+
+    name: str = "ridge"
+    penalty: float = 5.0
+
+    def summary(self, inputs, target):
+        return Moments((*inputs, target), ((inputs[0], inputs[0]), (inputs[0], target)))
+
+    def fit(self, train, inputs, target):
+        (x,) = inputs
+        moments = self.summary(inputs, target)
+        slope = moments.c(train, x, target) / (moments.c(train, x, x) + F.lit(self.penalty))
+        return F.struct(slope.alias("slope"), (train[f"m_{target}"] - slope * train[f"m_{x}"]).alias("level"))
+
+    def score(self, fit, inputs):
+        return fit["level"] + fit["slope"] * inputs[0]
+
+
+def wf_custom_mean(spark, folder):
+    return _forecasts(forecaster.walk_forward(flag_px(spark, folder), LR.but(frequency=7, sliding_window=False), MeanOfTargets()))
+
+
+def wf_custom_ridge(spark, folder):
+    return _forecasts(forecaster.walk_forward(supp_px(spark, folder), LR, Ridge()))
+
+
+def custom_split(spark, folder):
+    return _forecasts(forecaster.single_split(supp_px(spark, folder), ONE_LAG, Ridge()))
+
+
 # --- evaluation ------------------------------------------------------------
 
 def _flag_forecasts(spark, folder) -> DataFrame:
@@ -320,6 +376,16 @@ def cum_log_return_single(spark, folder):
     return _rounded(out.select("series_id", "dt", "cum_pred", "cum_true"))
 
 
+def cum_log_return_models(spark, folder):
+    """Two models in one table, each with its own product."""
+    px = flag_px(spark, folder)
+    both = walk_forward.linear_forecasts(px, LR).unionByName(
+        walk_forward.tube_forecasts(px, SVR, epsilon=TUBE).drop("in_tube")
+    )
+    out = metrics.cumulative_log_return(both, ["pred"])
+    return _rounded(out.select("series_id", "model", "dt", "cum_pred"))
+
+
 def reattach_dates(spark, folder):
     """Forecasts saved without dates get them back from the price calendar."""
     saved = _flag_forecasts(spark, folder).select("series_id", "i", "pred", "true")
@@ -328,13 +394,17 @@ def reattach_dates(spark, folder):
     return _rounded(out.select("series_id", "dt", "error"))
 
 
+#: No date caps: the newest rows, which the single splits forecast, take part.
+GRID = LR.but(start_date=None, end_date=None)
+
+
 def _grid(spark, folder) -> DataFrame:
     """Models x modes over all series of one table, in one job."""
     px = supp_px(spark, folder)
     cut = ["series_id", "dt", "model", "pred", "true"]
     runs = [
-        walk_forward.linear_forecasts(px, LR, model="lr_wf"),
-        walk_forward.tube_forecasts(px, SVR, epsilon=TUBE, model="svr_wf"),
+        walk_forward.linear_forecasts(px, GRID, model="lr_wf"),
+        walk_forward.tube_forecasts(px, GRID.but(validation_size=2), epsilon=TUBE, model="svr_wf"),
         single_split.linear_split(px, model="lr_split"),
         single_split.tube_split(px, epsilon=TUBE, model="svr_split"),
     ]
@@ -345,7 +415,8 @@ def _grid(spark, folder) -> DataFrame:
 
 
 def grid_leaderboard(spark, folder):
-    scored = metrics.scores(_grid(spark, folder)).select("series_id", "model", "n_obs", "rmse", "mae")
+    """Ranked on the dates that all four models forecast."""
+    scored = metrics.scores(metrics.on_common_dates(_grid(spark, folder), 4)).select("series_id", "model", "n_obs", "rmse", "mae")
     return _rounded(metrics.leaderboard(scored).withColumn("place", F.col("place").cast("bigint")))
 
 
@@ -364,6 +435,25 @@ def model_roundtrip(spark, folder):
     return _forecasts(single_split.score_linear(rows.where("role = 'test'"), loaded, spec, "lr"))
 
 
+def wf_model_reload(spark, folder):
+    """Save every refit of a walk-forward run, then forecast from the saved fits alone."""
+    spec = LR.but(frequency=7)
+    run, path = uuid.uuid4().hex, f"{shared_dir(spark)}/models"
+    fits = walk_forward.refit_table(flag_px(spark, folder), spec)
+    model_table.save_models(model_table.as_model_table(fits, "lr", run), path)
+    loaded = model_table.load_models(spark, path, "lr", run)
+    return _forecasts(walk_forward.forecasts_from(flag_px(spark, folder), loaded, spec))
+
+
+def csv_roundtrip(spark, folder):
+    """Prices written as a wide CSV file and read back."""
+    path = f"{shared_dir(spark)}/prices-{uuid.uuid4().hex}"
+    wide = source.to_wide(flag_px(spark, folder), FLAGS)
+    wide.select(F.date_format("dt", "yyyy-MM-dd").alias("dt"), *FLAGS).write.option("header", True).csv(path)
+    prices = source.to_long(source.read_wide_csv(spark, path, FLAGS), FLAGS).where(F.col("price").isNotNull())
+    return prices
+
+
 # --- autoregression --------------------------------------------------------
 
 AR = AUTOREGRESSIVE.but(**DATES)
@@ -414,71 +504,6 @@ def wf_arx_difference(spark, folder):
     return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, ar))
 
 
-# --- support vector regression with a kernel, and nets -----------------------
-
-def wf_svr_general(spark, folder):
-    """Default tube of 0.1: nearly every fold of these series lies outside it."""
-    spec = SVR.but(frequency=21)
-    return _forecasts(support_vector.support_vector_forecasts(flag_px(spark, folder), spec))
-
-
-def wf_svr_flat(spark, folder):
-    """The general solver where folds do fit inside the tube gives the mid-range."""
-    wide = support_vector.SvrSpec(epsilon=1e6)
-    return _forecasts(support_vector.support_vector_forecasts(flag_px(spark, folder), SVR.but(frequency=7), wide))
-
-
-NET = NETWORK.but(**DATES)
-SMALL = {"epochs": 5, "batch_size": 64, "patience": 50}
-
-
-def mlp_single(spark, folder):
-    net = nets_fn.feed_forward((16, 16), epochs=20, batch_size=64, patience=None)
-    return _forecasts(nets.net_split(flag_px(spark, folder), net))
-
-
-def gru_single(spark, folder):
-    net = nets_fn.recurrent("gru", (8, 8), (16,), cell_dropout=0.2, epochs=20, batch_size=32, patience=15)
-    split = single_split.RECURRENT_SPLIT
-    return _forecasts(nets.net_split(flag_px(spark, folder), net, split, "gru"))
-
-
-def _walk(spark, folder, net, name, **how):
-    return _forecasts(nets.net_forecasts(flag_px(spark, folder), net, NET, model=name, **how))
-
-
-def wf_mlp_warm(spark, folder):
-    return _walk(spark, folder, nets_fn.feed_forward((16, 16), **SMALL), "mlp")
-
-
-def wf_mlp_one_chain(spark, folder):
-    return _walk(spark, folder, nets_fn.feed_forward((16,), **SMALL), "mlp", unbroken=True)
-
-
-def wf_rnn(spark, folder):
-    return _walk(spark, folder, nets_fn.recurrent("rnn", (8, 8), (16,), **SMALL), "rnn")
-
-
-def wf_gru(spark, folder):
-    return _walk(spark, folder, nets_fn.recurrent("gru", (8, 8), (16,), **SMALL), "gru")
-
-
-def wf_lstm(spark, folder):
-    return _walk(spark, folder, nets_fn.long_short_term((8, 8), **SMALL), "lstm")
-
-
-def net_roundtrip(spark, folder):
-    """Train, save the weights, load them, and score the test rows."""
-    net = nets_fn.feed_forward((8,), epochs=5, batch_size=64, patience=None)
-    rows = single_split.split_rows(flag_px(spark, folder), TWO_LAGS)
-    run, path = uuid.uuid4().hex, f"{shared_dir(spark)}/models"
-    fitted = nets.net_models(rows, net, TWO_LAGS).withColumn("refit_t", F.col("n"))
-    model_table.save_models(model_table.as_model_table(fitted, "mlp", run), path)
-    loaded = model_table.latest_fits(model_table.load_models(spark, path, "mlp", run))
-    loaded = loaded.withColumn("n", F.col("refit_t"))
-    return _forecasts(nets.score_nets(rows.where("role = 'test'"), loaded, net, TWO_LAGS, "mlp"))
-
-
 def arma_hr(spark, folder):
     """Orders with moving-average terms, least AIC per fold."""
     out = moving_average.moving_average_forecasts(flag_px(spark, folder), AR)

@@ -20,19 +20,14 @@ lr_single_split lr_multi_feature lr_no_intercept lr_nonneg
 wf_lr_sliding wf_lr_suppliers wf_lr_growing wf_lr_refit7 wf_lr_two_features
 wf_lr_long_returns wf_lr_blocked wf_random_validation
 svr_tube_single wf_svr_tube wf_svr_tube_growing
-wf_error wf_sq_error wf_metrics cum_log_return cum_log_return_single
-reattach_dates grid_leaderboard model_roundtrip
+wf_svr_flat wf_custom_mean wf_custom_ridge custom_split
+wf_error wf_sq_error wf_metrics cum_log_return cum_log_return_single cum_log_return_models
+reattach_dates grid_leaderboard model_roundtrip wf_model_reload csv_roundtrip
 """
 
 AUTOREGRESSIVE = """
 kpss_level arx_order_aic arx_fit arx_split wf_arx_forecast wf_arx_sliding wf_arx_same_steps wf_arx_difference arma_hr
 """
 
-TASK_TRAINED = """
-wf_svr_general wf_svr_flat mlp_single gru_single
-wf_mlp_warm wf_mlp_one_chain wf_rnn wf_gru wf_lstm net_roundtrip
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(q, name) for name in (LINEAR_AND_FRAMES + AUTOREGRESSIVE + TASK_TRAINED).split()}
+    return {name: getattr(q, name) for name in (LINEAR_AND_FRAMES + AUTOREGRESSIVE).split()}

@@ -37,20 +37,6 @@ def to_blocks(
     )
 
 
-def heavy_tasks(rows: DataFrame) -> int:
-    spark = rows.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def for_heavy_tasks(blocks: DataFrame) -> DataFrame:
-    """Distribute blocks by count, for work that costs far more per row than its bytes suggest.
-
-    An adaptive plan merges small shuffle partitions by size, which would train
-    everything in a few tasks; a stated number of partitions is kept.
-    """
-    return blocks.repartition(heavy_tasks(blocks), *BLOCK)
-
-
 def in_block() -> WindowSpec:
     """Time order inside a block; shares its sort with the segment frames."""
     return Window.partitionBy(*BLOCK).orderBy("seg", "i")

@@ -36,4 +36,4 @@ def require(prices: DataFrame, spec: FoldSpec) -> None:
         raise ValueError(f"repeated key: {bad[0]['series_id']} {bad[0]['dt']}")
     short = length_report(prices, spec).where("fits = 0").limit(1).collect()
     if short:
-        raise ValueError(f"Window size cannot be larger than the size of the input data: {short[0]['series_id']}")
+        raise ValueError(f"series {short[0]['series_id']} has {short[0]['n_rows']} rows, no more than window_size {spec.window_size}")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldcast.functions.values import fill_zero, growth, input_return, left_zero
-from foldcast.operators.blocks import BLOCK, BLOCK_ROWS, for_heavy_tasks, in_block, latest_first, to_blocks
+from foldcast.operators.blocks import BLOCK, BLOCK_ROWS, in_block, latest_first, to_blocks
 from foldcast.operators.rows import number_rows
 
 
@@ -39,14 +39,17 @@ class FoldSpec:
     seed: int = 1
     block_rows: int = BLOCK_ROWS
     extra_rows: int = 0  # further rows a model looks back from its training pairs
+    short_series: str = "raise"  # or "skip": what to do with a series no longer than the window
 
     def __post_init__(self) -> None:
         if self.validation_size >= int(self.window_size / 4.0):
-            raise ValueError("Validation sample is too big.")
+            raise ValueError(f"validation_size {self.validation_size} takes a quarter of window_size {self.window_size} or more")
         if min(self.prediction_length, self.frequency, self.lags, self.input_pct_change, self.output_pct_change) < 1:
             raise ValueError("lags, horizon, refit frequency and return periods must be at least 1")
         if self.validation_size < 0:
             raise ValueError("validation_size must not be negative")
+        if self.short_series not in ("raise", "skip"):
+            raise ValueError("short_series is 'raise' or 'skip'")
         if self.infinite_target not in ("drop", "zero"):
             raise ValueError("infinite_target is 'drop' or 'zero'")
         if self.strict and self.window_size % self.frequency:
@@ -122,23 +125,32 @@ def _return_columns(spec: FoldSpec, over) -> dict[str, Column]:
     return columns
 
 
-def fold_rows(prices: DataFrame, spec: FoldSpec, heavy: bool = False) -> DataFrame:
+def numbered_prices(prices: DataFrame, spec: FoldSpec) -> DataFrame:
+    """Positions of capped rows; a series that the window does not fit into raises, or is left out."""
+    rows = number_rows(prices.select("series_id", "dt", "price"), start=spec.start_date, end=spec.end_date)
+    fits = F.col("n_all") > spec.window_size
+    if spec.short_series == "skip":
+        return rows.where(fits)
+    told = F.concat(
+        F.lit("series "), F.col("series_id").cast("string"), F.lit(" has "), F.col("n_all").cast("string"),
+        F.lit(f" rows, no more than window_size {spec.window_size}"),
+    )
+    return rows.withColumn("n", F.when(fits, F.col("n")).otherwise(F.raise_error(told).cast("bigint")))
+
+
+def fold_rows(prices: DataFrame, spec: FoldSpec) -> DataFrame:
     """Blocked rows with inputs ``x*``, target ``y`` and training pairs ``x*_l, y_l``.
 
     A pair is NULL as a whole before row P and where the target is infinite;
     other missing values inside a pair are 0. Inputs to be scored stay missing.
     """
-    numbered = number_rows(
-        prices.select("series_id", "dt", "price"), start=spec.start_date, end=spec.end_date
-    )
+    numbered = numbered_prices(prices, spec)
     blocks = to_blocks(
         numbered,
         halo=spec.halo,
         block_rows=spec.block_size,
         segment=spec.frame_length,
     )
-    if heavy:
-        blocks = for_heavy_tasks(blocks)
     rows = blocks.withColumns(_return_columns(spec, in_block()))
     usable = F.col("i") >= spec.prediction_length
     if spec.infinite_target == "drop":
@@ -196,9 +208,7 @@ def land(rows: DataFrame, spec: FoldSpec, model: str) -> DataFrame:
 
 def fold_schedule(prices: DataFrame, spec: FoldSpec) -> DataFrame:
     """One row per fold: as-of date, training bounds, and whether it refits."""
-    numbered = number_rows(
-        prices.select("series_id", "dt", "price"), start=spec.start_date, end=spec.end_date
-    )
+    numbered = numbered_prices(prices, spec)
     t = F.col("i") - (spec.prediction_length - 1)
     low = t - spec.window_size if spec.sliding_window else F.lit(0).cast("bigint")
     return numbered.where(t >= spec.window_size).select(
@@ -222,9 +232,7 @@ def fold_members(prices: DataFrame, spec: FoldSpec) -> DataFrame:
     if not spec.sliding_window or spec.random_validation:
         raise ValueError("members are listed for sliding folds with tail validation; use frames otherwise")
     w, p, f = spec.window_size, spec.prediction_length, spec.frequency
-    numbered = number_rows(
-        prices.select("series_id", "dt", "price"), start=spec.start_date, end=spec.end_date
-    )
+    numbered = numbered_prices(prices, spec)
     halo = spec.lags + spec.input_pct_change
     size = max(spec.block_rows, halo, p)
     blocks = to_blocks(numbered, halo=max(halo, spec.output_pct_change), block_rows=size, ahead=p)

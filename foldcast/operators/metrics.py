@@ -36,6 +36,13 @@ def scores(forecasts: DataFrame, by: tuple[str, ...] = ("series_id", "model")) -
     return scored.where("n_obs > 0")
 
 
+def on_common_dates(forecasts: DataFrame, models: int) -> DataFrame:
+    """Rows of the dates on which all ``models`` of a series have a forecast and an actual value."""
+    known = F.col("pred").isNotNull() & F.col("true").isNotNull()
+    same = Window.partitionBy("series_id", "dt")
+    return forecasts.withColumn("_known", F.count_if(known).over(same)).where(F.col("_known") == models).drop("_known")
+
+
 def leaderboard(scored: DataFrame) -> DataFrame:
     """Rank the models of each series by RMSE (ties by name)."""
     order = Window.partitionBy("series_id").orderBy("rmse", "model")
@@ -47,8 +54,12 @@ def cumulative_log_return(table: DataFrame, columns: list[str], block_rows: int
 
     The product is kept as log size, number of negative factors and number of
     zeros, so long series neither overflow nor lose the sign: a negative
-    product gives NaN, a zero product minus infinity.
+    product gives NaN, a zero product minus infinity. Each model of a series
+    has a product of its own.
     """
+    names, by_model = table.columns, "model" in table.columns
+    if by_model:
+        table = table.withColumn("series_id", F.struct("series_id", "model"))
     numbered = table
     if not {"i", "n"} <= set(table.columns):
         numbered = number_rows(table, values=tuple(columns), fill=False)
@@ -66,7 +77,10 @@ def cumulative_log_return(table: DataFrame, columns: list[str], block_rows: int
         .otherwise(F.col(f"_log_{c}"))
         for c in columns
     }
-    return run.withColumns(cumulated).select(*table.columns, *cumulated)
+    out = run.withColumns(cumulated)
+    if by_model:
+        out = out.withColumn("series_id", F.col("series_id.series_id"))
+    return out.select(*names, *cumulated)
 
 
 def reattach_dates(saved: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def split_rows(prices: DataFrame, spec: SplitSpec = SplitSpec()) -> DataFrame:
     )
 
 
-def _fit_train(rows: DataFrame, summary) -> DataFrame:
+def fit_train(rows: DataFrame, summary) -> DataFrame:
     train = F.col("role") == "train"
     return rows.groupBy("series_id").agg(summary.aggregate(where=train).alias("train"), F.max("n").alias("n"))
 
@@ -56,7 +56,7 @@ def linear_models(
 ) -> DataFrame:
     """One fitted model per series."""
     moments = Moments((*spec.inputs, "y"))
-    fits = _fit_train(rows, moments)
+    fits = fit_train(rows, moments)
     fits = least_squares(fits, moments, "train", spec.inputs, "y", fit_intercept, positive)
     return fits.select("series_id", "n", "intercept", "coef", F.col("train.n").cast("bigint").alias("n_train"))
 
@@ -93,7 +93,7 @@ def tube_split(
 ) -> DataFrame:
     """Support vector regression where the training targets fit inside the tube."""
     rows = split_rows(prices, spec)
-    fits = _fit_train(rows, Extremes("y"))
+    fits = fit_train(rows, Extremes("y"))
     low, high = F.col("train.low"), F.col("train.high")
     inside = high - low <= 2.0 * epsilon
     fits = fits.select("series_id", "n", inside.alias("in_tube"), F.when(inside, (low + high) / 2.0).alias("pred"))

@@ -92,6 +92,23 @@ def linear_fits(
     return rows.withColumn("forecast", linear_score("coef", "intercept", spec.inputs))
 
 
+def refit_table(prices: DataFrame, spec: FoldSpec = LINEAR, **how) -> DataFrame:
+    """One row per series and scheduled refit, for the model table."""
+    rows = linear_fits(prices, spec, **how).where(F.col("own") & refits(spec))
+    return rows.select("series_id", F.col("fit.*"))
+
+
+def forecasts_from(prices: DataFrame, fits: DataFrame, spec: FoldSpec = LINEAR, model: str = "lr") -> DataFrame:
+    """Forecasts of stored fits ``(series_id, refit_t, intercept, coef)`` instead of fitted ones.
+
+    A row takes the fit of its scheduled refit; a refit that is not stored gives NULL.
+    """
+    rows = fold_rows(prices, spec).withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
+    stored = fits.select("series_id", F.col("refit_t").cast("bigint"), "intercept", "coef")
+    rows = rows.join(stored, ["series_id", "refit_t"], "left")
+    return land(rows.withColumn("forecast", linear_score("coef", "intercept", spec.inputs)), spec, model)
+
+
 def tube_forecasts(
     prices: DataFrame, spec: FoldSpec = SUPPORT_VECTOR, epsilon: float = 0.1, model: str = "svr"
 ) -> DataFrame:
@@ -99,8 +116,7 @@ def tube_forecasts(
 
     When the targets of a fold span at most 2*epsilon, the flat function at
     their mid-range has no loss and no norm, whatever the kernel. Other folds
-    have no closed form: ``in_tube`` is false and ``pred`` NULL, see
-    ``plans.support_vector``.
+    have no closed form: ``in_tube`` is false and ``pred`` NULL.
     """
     rows = summarise(fold_rows(prices, spec), spec, Extremes("y_l"))
     low, high = F.col("train.low"), F.col("train.high")

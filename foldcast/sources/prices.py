@@ -67,11 +67,8 @@ def order_prices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-EVENT_HOURS = ("2024-01-01 00:00:00", "2024-01-30 23:00:00")
-
-
-def event_prices(spark: SparkSession, folder: str, hours: tuple[str, str] = EVENT_HOURS) -> DataFrame:
-    """Mean event value per type and hour on the full hourly grid; empty hours are NULL."""
+def event_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean event value per type and hour; hours from the first event of any type to the last are there, empty ones NULL."""
     events = read_table(spark, folder, "events").select("event_type", "ts", "value")
     hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
     seen = (
@@ -79,10 +76,11 @@ def event_prices(spark: SparkSession, folder: str, hours: tuple[str, str] = EVEN
         .agg(F.sum(_cents("value")).alias("cents"), F.count("value").alias("k"))
         .select("series_id", "dt", F.try_divide(F.col("cents") / F.lit(100.0), F.col("k")).alias("price"))
     )
-    first, last = (F.lit(h).cast("timestamp_ntz") for h in hours)
+    # one row: the types and both ends of the grid
+    ends = events.agg(F.collect_set("event_type").alias("types"), F.min(hour).alias("first"), F.max(hour).alias("last"))
     grid = (
-        events.select(F.col("event_type").alias("series_id"))
-        .distinct()
-        .withColumn("dt", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))))
+        ends.where("first IS NOT NULL")
+        .withColumn("series_id", F.explode("types"))
+        .select("series_id", F.explode(F.sequence("first", "last", F.expr("interval 1 hour"))).alias("dt"))
     )
     return grid.join(seen, ["series_id", "dt"], "left")

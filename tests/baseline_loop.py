@@ -1,10 +1,11 @@
 """Time the plain single-process loop on the supplier series of one scale."""
 
+import os
 import sys
 import time
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from compare import connect  # noqa: E402
 from foldcast.catalog.oracle import PX  # noqa: E402

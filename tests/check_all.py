@@ -1,10 +1,11 @@
 """Command line: compare all (or the named) queries at one scale."""
 
+import os
 import sys
 import time
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 import __spark_entry__ as e  # noqa: E402
 from compare import connect, differences  # noqa: E402

@@ -1,163 +1,71 @@
-"""Kernel regression, nets, the model table and price files."""
+"""Single splits, the model table, own forecasters and price files."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from helpers import frame, loop_forecasts, series_of, walk
 from pyspark.sql import functions as F
 
-from foldcast.functions import nets as fn
-from foldcast.functions.kernels import kernel, kernel_width, solve_dual
-from foldcast.operators.folds import LINEAR, NETWORK
-from foldcast.plans import nets
+from foldcast.catalog.queries import MeanOfTargets, Ridge
+from foldcast.operators import metrics
+from foldcast.operators.folds import LINEAR
+from foldcast.plans import forecaster
 from foldcast.plans.single_split import SplitSpec, linear_models, linear_split, score_linear, split_rows
-from foldcast.plans.support_vector import SvrSpec, support_vector_forecasts
+from foldcast.plans.walk_forward import forecasts_from, linear_forecasts, refit_table, tube_forecasts
 from foldcast.session import shared_dir
 from foldcast.sources import models as table
 from foldcast.sources import prices as source
 
 SPEC = LINEAR.but(start_date=None, end_date=None, window_size=40, prediction_length=4, validation_size=3, frequency=5)
-NET_SPEC = NETWORK.but(start_date=None, end_date=None, window_size=40, prediction_length=4, validation_size=5, frequency=6)
-TINY = fn.feed_forward((6,), epochs=3, batch_size=16, patience=None)
-
-
-# --- support vector regression ---------------------------------------------
-
-@pytest.mark.parametrize("kind", ["rbf", "linear", "poly"])
-def test_dual_meets_its_optimality_conditions(kind):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(6, 40, 2))
-    y = np.sin(x[:, :, 0]) + 0.1 * rng.normal(size=(6, 40))
-    live = np.ones((6, 40), bool)
-    live[:, 4] = False
-    k = kernel(x, x, kind, kernel_width(x, live, "scale"), 3, 0.0)
-    beta, bias = solve_dual(k, y, live, 1.0, 0.1, 1e-7, -1)
-    left = y - np.einsum("fij,fj->fi", k, beta) - bias[:, None]
-    assert np.abs(beta.sum(1)).max() < 1e-9 and (beta[:, 4] == 0).all()
-    bound = np.abs(beta) >= 1.0 - 1e-12
-    free = (beta != 0) & ~bound
-    np.testing.assert_allclose(left[free], 0.1 * np.sign(beta[free]), atol=1e-5)
-    assert (np.abs(left[(beta == 0) & live]) <= 0.1 + 1e-5).all()
-    assert (left[bound] * np.sign(beta[bound]) >= 0.1 - 1e-5).all()
 
 
+# --- own forecasters, stored fits, short series ----------------------------------
+
 @pytest.mark.parametrize("block_rows", [30, 5000])
-@pytest.mark.parametrize("lags", [1, 2])
-def test_kernel_forecasts_equal_the_loop(spark, block_rows, lags):
-    prices, svr, spec = walk(140, 31), SvrSpec(epsilon=0.005, tol=1e-8, C=0.05), SPEC.but(lags=lags)
-
-    def fit(x, y):
-        live = np.ones((1, len(y)), bool)
-        gamma = kernel_width(x[None], live, "scale")
-        k = kernel(x[None], x[None], "rbf", gamma, 3, 0.0)
-        beta, bias = solve_dual(k, y[None], live, svr.C, svr.epsilon, svr.tol, -1)
-        return lambda row: float(kernel(row[None, None], x[None], "rbf", gamma, 3, 0.0)[0, 0] @ beta[0] + bias[0])
-
-    got = support_vector_forecasts(frame(spark, {"a": prices}), spec, svr, block_rows).toPandas()
-    want, _ = loop_forecasts(prices, spec, fit)
-    np.testing.assert_allclose(series_of(got, "a"), want[spec.window_size + 2 * 4 - 1 :], atol=1e-6)
-
-
-# --- nets ---------------------------------------------------------------------
-
-NETS = {
-    "mlp": fn.feed_forward((5, 4), dropout=0.0),
-    "rnn": fn.recurrent("rnn", (4, 3), (5,), dropout=0.0),
-    "gru": fn.recurrent("gru", (4, 3), (5,), dropout=0.0),
-    "lstm": fn.NetSpec((fn.Layer(4, "lstm", "tanh", l2=0.01), fn.Layer(3, "lstm", "tanh", use_bias=False))),
-}
-
-
-@pytest.mark.parametrize("name", NETS)
-def test_gradients_match_differences(name):
-    net = NETS[name]
-    rng = np.random.default_rng(5)
-    x, y = rng.normal(size=(12, 2)), rng.normal(size=12)
-    state = fn.State(net, 2, [1])
-    params = [p + 0.05 * rng.normal(size=p.shape).astype(np.float32) for p in state.params]
-
-    def objective(ps):
-        penalty = sum(layer.l2 * float((ps[2 * k] ** 2).sum()) for k, layer in enumerate(net.all_layers()))
-        return fn.loss(net, ps, x, y) + penalty
-
-    grads = fn.gradients(net, params, x, y)
-    for k, p in enumerate(params):
-        if not net.all_layers()[k // 2].use_bias and k % 2:
-            continue
-        at = tuple(rng.integers(0, s) for s in p.shape)
-        step = np.float32(2e-3)
-        up, down = [q.copy() for q in params], [q.copy() for q in params]
-        up[k][at] += step
-        down[k][at] -= step
-        slope = (objective(up) - objective(down)) / (2 * step)
-        assert grads[k][at] == pytest.approx(slope, abs=3e-3)
-
-
-@pytest.mark.parametrize("name", NETS)
-def test_training_lowers_the_loss(name):
-    net = fn.NetSpec(NETS[name].layers, epochs=60, batch_size=16, learning_rate=0.01, patience=None)
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(64, 2))
-    y = np.tanh(x[:, 0] - x[:, 1])
-    history = fn.train(net, fn.State(net, 2, [2]), x, y, x[:0], y[:0], rng)
-    assert history[-1] < 0.5 * history[0]
-
-
-def test_early_stop():
-    net = fn.feed_forward((4,), epochs=500, batch_size=16, patience=3)
-    rng = np.random.default_rng(7)
-    x, noise = rng.normal(size=(40, 2)), rng.normal(size=40)
-    history = fn.train(net, fn.State(net, 2, [3]), x[:20], noise[:20], x[20:], noise[20:], rng)
-    assert len(history) < 500 and min(history) == history[-4]
-
-
-@pytest.mark.parametrize("chain_rows", [60, 5000])
-def test_unbroken_chain_does_not_depend_on_blocks(spark, chain_rows):
-    net = fn.feed_forward((6,), epochs=3, batch_size=16, patience=None, dropout=0.1)
-    px = frame(spark, {"a": walk(190, 32), "b": walk(90, 33), "short": walk(45, 40)})
-    whole = nets.net_forecasts(px, net, NET_SPEC, chain_rows=5000).toPandas()
-    linked = nets.net_forecasts(px, net, NET_SPEC, chain_rows=chain_rows, unbroken=True).toPandas()
-    assert len(whole) == len(linked)
-    for name in ("a", "b"):
-        np.testing.assert_allclose(series_of(linked, name), series_of(whole, name), atol=1e-6)
-
-
-def test_warm_start_carries_weights_and_scratch_does_not(spark):
-    px = frame(spark, {"a": walk(120, 34)})
-    warm = series_of(nets.net_forecasts(px, TINY, NET_SPEC).toPandas(), "a")
-    scratch = series_of(nets.net_forecasts(px, TINY, NET_SPEC.but(train_from_scratch=True)).toPandas(), "a")
-    first = NET_SPEC.frequency - (NET_SPEC.window_size - 42)  # rows before the second refit
-    assert not np.isnan(warm[3:]).any() and not np.allclose(warm[3 + first :], scratch[3 + first :])
-    np.testing.assert_allclose(warm[2:7], scratch[2:7], atol=1e-6)
-
-
-def test_net_forecasts_look_at_no_later_price(spark):
-    prices = walk(130, 35)
-    later = prices.copy()
-    later[100:] *= 2
-    got = [
-        series_of(nets.net_forecasts(frame(spark, {"a": p}), TINY, NET_SPEC, chain_rows=50).toPandas(), "a")
-        for p in (prices, later)
-    ]
-    same = 100 + 4 - (40 + 2 * 4 - 1)
-    np.testing.assert_array_equal(got[0][:same], got[1][:same])
-
-
-def test_single_split_net_is_the_mean_of_its_blocks(spark):
-    split = SplitSpec(lags=2, block_rows=60)
-    rows = split_rows(frame(spark, {"a": walk(200, 36)}), split)
-    fitted = nets.net_models(rows, TINY, split).collect()[0]
-    pdf = rows.where("role <> 'test'").toPandas()
-    parts = [nets._train_block(g, split, TINY) for _, g in pdf.groupby("block")]
-    assert len(parts) == 3
-    total = sum(p.n_train[0] for p in parts)
-    for k, w in enumerate(fitted.weights):
-        mean = sum(np.asarray(p.weights[0][k]["v"], float) * p.n_train[0] for p in parts) / total
-        np.testing.assert_allclose(w.v, mean, atol=1e-6)
-    out = nets.net_split(frame(spark, {"a": walk(200, 36)}), TINY, split).toPandas()
-    test = rows.where("role = 'test'").toPandas().sort_values("i")
-    want = fn.forward(TINY, nets._unpack(fitted.weights), test[["x2", "x1"]].to_numpy())[0]
-    np.testing.assert_allclose(series_of(out, "a"), want, atol=1e-6)
+@pytest.mark.parametrize("growing", [False, True])
+def test_own_forecasters_equal_the_loop(spark, block_rows, growing):
+    prices, spec = walk(140, 31), SPEC.but(block_rows=block_rows, sliding_window=not growing)
+
+    def ridge(x, y):
+        c = x[:, 0] - x[:, 0].mean()
+        slope = (c @ y) / (c @ c + 5.0)
+        return lambda row: y.mean() + slope * (row[0] - x[:, 0].mean())
+
+    for own, fit in ((MeanOfTargets(), lambda x, y: lambda row: y.mean()), (Ridge(), ridge)):
+        got = forecaster.walk_forward(frame(spark, {"a": prices}), spec, own).toPandas()
+        want, _ = loop_forecasts(prices, spec, fit)
+        np.testing.assert_allclose(series_of(got, "a"), want[spec.window_size + 2 * 4 - 1 :], atol=1e-9)
+
+
+@pytest.mark.parametrize("block_rows", [30, 5000])
+def test_stored_fits_forecast_like_fresh_ones(spark, block_rows):
+    px, spec = frame(spark, {"a": walk(140, 32), "b": walk(90, 33)}), SPEC.but(block_rows=block_rows)
+    again = forecasts_from(px, refit_table(px, spec), spec).orderBy("series_id", "i").collect()
+    fresh = linear_forecasts(px, spec).orderBy("series_id", "i").collect()
+    assert [r.pred for r in again] == pytest.approx([r.pred for r in fresh])
+
+
+@pytest.mark.parametrize("make", [linear_forecasts, tube_forecasts, refit_table])
+def test_series_shorter_than_the_window(spark, make):
+    px = frame(spark, {"long": walk(90, 34), "short": walk(8, 35)})
+    with pytest.raises(Exception, match="series short has 8 rows"):
+        make(px, SPEC).collect()
+    got = make(px, SPEC.but(short_series="skip"))
+    assert {r.series_id for r in got.collect()} == {"long"}
+
+
+def test_models_keep_their_own_products(spark):
+    rows = [("a", k, m, p) for k, (x, y) in enumerate([(0.1, -0.5), (0.2, 1.0), (None, 0.5)]) for m, p in (("one", x), ("two", y))]
+    df = spark.createDataFrame(rows, "series_id string, k int, model string, r double").selectExpr("*", "date_add(date'2020-01-01', k) AS dt").drop("k")
+    got = {m: [r.cum_r for r in metrics.cumulative_log_return(df, ["r"]).where(F.col("model") == m).orderBy("dt").collect()] for m in ("one", "two")}
+    assert got["one"] == pytest.approx(np.log([1.1, 1.32, 1.32])) and got["two"] == pytest.approx(np.log([0.5, 1.0, 1.5]))
+
+
+def test_only_common_dates_are_ranked(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "x", 1.0, 1.0), ("a", 1, "y", 2.0, 1.0), ("a", 2, "x", None, 1.0), ("a", 2, "y", 1.0, 1.0)],
+        "series_id string, dt int, model string, pred double, true double",
+    )
+    assert {r.n_obs for r in metrics.scores(metrics.on_common_dates(df, 2)).collect()} == {1}
 
 
 # --- linear single split, model table, files ------------------------------------

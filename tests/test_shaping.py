@@ -80,7 +80,7 @@ def test_fold_schedule(spark):
 
 def test_settings_are_checked():
     FoldSpec(validation_size=62)
-    with pytest.raises(ValueError, match="too big"):
+    with pytest.raises(ValueError, match="takes a quarter"):
         FoldSpec(validation_size=63)
     with pytest.raises(ValueError, match="before the first forecast"):
         FoldSpec(window_size=250, frequency=7, strict=True)
