@@ -477,18 +477,23 @@ def oracle_sql() -> dict[str, str]:
             moved AS (SELECT s.sid, s.dt, c0 + c1 * s.x1 AS pred, s.y AS "true" FROM spl s JOIN fit USING (sid) WHERE s.role = 'test') {FORECAST_OUT}""",
         "model_roundtrip": f"WITH {split_linear('flag', 2)} {FORECAST_OUT}",
     }
+    slopes = """regr_slope({y}, {x}) AS s0, greatest(regr_slope({y}, {x}), 0) AS s1, regr_sxy({y}, {x}) / (regr_sxx({y}, {x}) + 5) AS s2,
+        0.0 AS s3, avg({y}) AS my, avg({x}) AS mx"""
+    preds = ", ".join(f"my + s{k} * ({{x}} - mx) AS p{k}" for k in range(4))
+    names = ("lr", "nonneg", "ridge", "mean")
     runs = {
-        "lr_wf": linear_wf("supp", free),
-        "svr_wf": tube_wf("supp", free.but(validation_size=2), q.TUBE),
-        "lr_split": split_linear("supp", 3),
-        "svr_split": split_tube("supp", 3, q.TUBE),
+        "wf": f"""{capped_returns("supp", free)}, fit AS (SELECT f.sid, f.t, {slopes.format(y="a.y", x="a.x1")} FROM {train_join(free)} GROUP BY 1, 2),
+            {landed(free, preds.format(x="r.x1"))}""",
+        "split": f"""{split_rows("supp", 1)}, fit AS (SELECT sid, {slopes.format(y="y", x="x1")} FROM spl WHERE role = 'train' GROUP BY 1),
+            moved AS (SELECT s.sid, s.dt, {preds.format(x="s.x1")}, s.y AS "true" FROM spl s JOIN fit USING (sid) WHERE s.role = 'test')""",
     }
     union = " UNION ALL ".join(
-        f"""SELECT sid, '{name}' AS model, dt, pred, "true" FROM (WITH {ctes} SELECT sid, dt, pred, "true" FROM moved)"""
-        for name, ctes in runs.items()
+        f"""SELECT sid, model, dt, pred, "true" FROM (WITH {ctes} SELECT sid, dt, "true", unnest([{", ".join(f"'{n}_{mode}'" for n in names)}]) AS model,
+            unnest([p0, p1, p2, p3]) AS pred FROM moved)"""
+        for mode, ctes in runs.items()
     )
     out["grid_leaderboard"] = f"""WITH ev AS ({union}), al AS (SELECT * FROM ev
-        QUALIFY count(*) FILTER (WHERE pred IS NOT NULL AND "true" IS NOT NULL) OVER (PARTITION BY sid, dt) = 4), sc AS ({scores('al')})
+        QUALIFY count(*) FILTER (WHERE pred IS NOT NULL AND "true" IS NOT NULL) OVER (PARTITION BY sid, dt) = 8), sc AS ({scores('al')})
         SELECT series_id, model, n_obs, {r6('rmse', 'rmse')}, {r6('mae', 'mae')},
         row_number() OVER (PARTITION BY series_id ORDER BY rmse, model) AS place FROM sc"""
     return out

@@ -396,27 +396,24 @@ def reattach_dates(spark, folder):
 
 #: No date caps: the newest rows, which the single splits forecast, take part.
 GRID = LR.but(start_date=None, end_date=None)
+#: Models of the grid, (name, penalty, positive); each runs in both modes.
+GRID_MODELS = [("lr", 0.0, False), ("nonneg", 0.0, True), ("ridge", 5.0, False)]
 
 
 def _grid(spark, folder) -> DataFrame:
-    """Models x modes over all series of one table, in one job."""
+    """Models x modes over all series of one table, one pass a mode."""
     px = supp_px(spark, folder)
-    cut = ["series_id", "dt", "model", "pred", "true"]
-    runs = [
-        walk_forward.linear_forecasts(px, GRID, model="lr_wf"),
-        walk_forward.tube_forecasts(px, GRID.but(validation_size=2), epsilon=TUBE, model="svr_wf"),
-        single_split.linear_split(px, model="lr_split"),
-        single_split.tube_split(px, epsilon=TUBE, model="svr_split"),
-    ]
-    out = runs[0].select(*cut)
-    for run in runs[1:]:
-        out = out.unionByName(run.select(*cut))
-    return out
+
+    def models(mode: str):
+        return [forecaster.OneInput(f"{n}_{mode}", p, positive) for n, p, positive in GRID_MODELS] + [MeanOfTargets(f"mean_{mode}")]
+
+    walked = forecaster.walk_forward(px, GRID, *models("wf"))
+    return walked.unionByName(forecaster.single_split(px, ONE_LAG, *models("split")))
 
 
 def grid_leaderboard(spark, folder):
-    """Ranked on the dates that all four models forecast."""
-    scored = metrics.scores(metrics.on_common_dates(_grid(spark, folder), 4)).select("series_id", "model", "n_obs", "rmse", "mae")
+    """Ranked on the dates that all eight models forecast."""
+    scored = metrics.scores(metrics.on_common_dates(_grid(spark, folder), 8)).select("series_id", "model", "n_obs", "rmse", "mae")
     return _rounded(metrics.leaderboard(scored).withColumn("place", F.col("place").cast("bigint")))
 
 
