@@ -16,7 +16,7 @@ from foldcast.llm.common import staged, table
 from foldcast.llm.components import components
 
 #: Members of a bucket that are compared with each other at once.
-CELL = 256
+CELL = 512
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
 
 
@@ -176,11 +176,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return grouped.groupBy("center", "part").applyInArrow(check, "a long, b long")
 
 
-def alike(members: DataFrame, s: Settings) -> DataFrame:
-    """``(a, b)``: pairs in a bucket, of different labels, whose signatures are near enough to be compared in full.
+def _near_pairs(group: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and equal signature places of the pairs that this group has to decide.
 
-    ``members(band, id, label, signature)``. A bucket's members are dealt to cells by a
-    hash; each two cells of a bucket meet in one group of bounded size. Only near pairs come out.
+    Those of its two cells, of different labels, near enough by bit counts,
+    and with no band in common before the group's own.
+    """
+    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+    band = group.column("band")[0].as_py()
+    cell, ids, labels = (group.column(c).to_numpy() for c in ("cell", "id", "label"))
+    bits = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), s.bands)
+    left, right = np.flatnonzero(cell == x), np.flatnonzero(cell == y)
+    found = []
+    for k in left:
+        equal = equal_places(bits[right], bits[k], s)
+        may = (labels[right] != labels[k]) & (equal >= s.least_equal)
+        if x == y:
+            may &= ids[right] > ids[k]
+        near, equal = right[may], equal[may]
+        first = (bands[near] == bands[k]).argmax(axis=1)
+        here = bands[k][first] == band
+        found.append(np.stack([np.full(here.sum(), k), near[here], equal[here]]))
+    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def linked_across(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """``(a, b)``: links between members of a bucket that have different labels.
+
+    ``members(band, id, label, signature, bands)``. A bucket's members are dealt
+    to cells by a hash; each two cells of a bucket meet in one group of bounded
+    size. A first pass looks at signatures alone and names the members with a near
+    one; only their texts are moved, and their whole sets compared, likeliest pairs
+    first. A pair that the group's earlier links connect already is not needed, so a group
+    returns fewer links than it has members, however many pairs it looks at.
     """
     sizes = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
@@ -188,25 +217,41 @@ def alike(members: DataFrame, s: Settings) -> DataFrame:
     dealt = members.join(staged(sizes, "near-open"), "band").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")))
     one = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
     met = dealt.withColumn("other", one).select(
-        "band", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", "id", "label", "signature"
+        "band", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", "id", "label", "signature", "bands"
     )
+    columns = "band long, x long, y long, cell long, id long, label long, signature binary, bands array<long>"
+
+    def with_near(group: pa.Table) -> pa.Table:
+        a, b, _ = _near_pairs(group, s)
+        return group.take(np.unique(np.concatenate([a, b])).astype(np.int64))
+
+    near = staged(met.groupBy("band", "x", "y").applyInArrow(with_near, columns), "near-cells")
+
+    def links(group: pa.Table) -> pa.Table:
+        a, b, equal = _near_pairs(group, s)
+        ids, labels = group.column("id").to_numpy(), group.column("label").to_pylist()
+        sets = [x for part in slices(iter(group.select(["text"]).to_batches()), 64) for x in sets_of(part.column(0), s.words)]
+        above = {v: v for v in labels}
+
+        def root(v: int) -> int:
+            while above[v] != v:
+                above[v] = v = above[above[v]]
+            return v
 
-    def compare(group: pa.Table) -> pa.Table:
-        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        cell, ids, labels = (group.column(c).to_numpy() for c in ("cell", "id", "label"))
-        bits = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(cell == x), np.flatnonzero(cell == y)
-        a, b = [], []
-        for k in left:
-            near = right[(labels[right] != labels[k]) & (equal_places(bits[right], bits[k], s) >= s.least_equal)]
-            if x == y:
-                near = near[ids[near] > ids[k]]
-            a.append(np.minimum(ids[near], ids[k]))
-            b.append(np.maximum(ids[near], ids[k]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+        made = []
+        for k in np.argsort(-equal, kind="stable"):
+            i, j = int(a[k]), int(b[k])
+            one, other = root(labels[i]), root(labels[j])
+            if one != other:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= s.percent * (len(sets[i]) + len(sets[j]) - both):
+                    above[one] = other
+                    made.append((ids[i], ids[j]))
+        x, y = zip(*made) if made else ((), ())
+        return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return met.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    whole = near.join(texts.withColumnRenamed("doc_id", "id"), "id")
+    return whole.groupBy("band", "x", "y").applyInArrow(links, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -220,8 +265,8 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     its equals, or has none, and repeated rows share their id's component. No other column is read.
 
     First one row stands for all of equal sets. Rows that share a band are
-    candidates: each is compared with the smallest one it shares a band with, so a
-    bucket costs one comparison a member, and links join components. Only in buckets that
+    candidates: each is compared with the center of its buckets that shares most of
+    them with others, one comparison a row, and links join components. Only in buckets that
     still hold several components, pairs across them are looked at: by bit
     counts in bounded cells, then, if near enough, in full. Every link between different
     components is so found, and none inside a component is needed.
@@ -230,18 +275,26 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sets = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     keys = staged(sets.where("id IS NOT NULL"), "near-sets")
     chosen = signed.join(keys, (signed.set_key == keys.set_key) & (signed.doc_id == keys.id)).dropDuplicates(["id"])
-    banded = chosen.select("id", "signature", F.explode("bands").alias("band"))
-    lows = banded.groupBy("band").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "low")
-    members = staged(banded.join(staged(lows, "near-lows"), "band"), "near-members")
-    candidates = members.select(F.col("id").alias("doc_id")).distinct()
+    banded = chosen.select("id", "signature", "bands", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = staged(banded.join(staged(sizes, "near-sizes"), "band"), "near-members")
+    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
     texts = staged(
-        docs.select(F.col("doc_id").cast("long"), "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts"
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .join(weights.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id"]),
+        "near-texts",
     )
-    stars = members.where("id > low").groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b"))
+    # a bucket's center shares buckets with most others; a member takes the best center of its buckets
+    weighed = members.select("band", "id").join(weights, "id")
+    best = F.struct("weight", (-F.col("id")).alias("minus"))
+    centers = staged(weighed.groupBy("band").agg(F.max(best).alias("best")), "near-centers")
+    taken = members.select("band", "id").join(centers, "band").groupBy("id").agg(F.max("best").alias("best"))
+    stars = taken.select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")).where("a != b")
     links = staged(confirmed(staged(stars, "near-stars"), texts, s), "near-links")
     first = components(links, "near-first")
-    labelled = members.select("band", "id", "signature").join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = confirmed(staged(alike(staged(labelled, "near-labelled"), s), "near-pairs"), texts, s)
+    labelled = members.drop("n").join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = staged(linked_across(staged(labelled, "near-labelled"), texts, s), "near-more")
     found = staged(components(links.unionByName(more), "near-final").where("id != label"), "near-labels")
 
     labels = keys.join(found, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
