@@ -459,12 +459,12 @@ def oracle_sql() -> dict[str, str]:
         "reattach_dates": f"""WITH {flag_wf} SELECT sid AS series_id, dt, {r6('"true" - pred', 'error')} FROM moved
             WHERE pred IS NOT NULL AND "true" IS NOT NULL""",
         "kpss_level": kpss("supp", q.KPSS_LAGS),
-        "arx_order_aic": ar_orders("flag", 3),
-        "arx_fit": ar_coefficients("supp", 2),
-        "arx_split": ar_split_forecasts("flag", 2),
-        "wf_arx_forecast": f"WITH {ar_wf('flag', q.AR, 2)} {FORECAST_OUT}",
-        "wf_arx_sliding": f"WITH {ar_wf('flag', q.AR.but(sliding_window=True), 2)} {FORECAST_OUT}",
-        "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 2, compat=True)} {FORECAST_OUT}",
+        "arx_order_aic": ar_orders("flag", 5),
+        "arx_fit": ar_coefficients("supp", 5),
+        "arx_split": ar_split_forecasts("flag", 5),
+        "wf_arx_forecast": f"WITH {ar_wf('flag', q.AR, 5)} {FORECAST_OUT}",
+        "wf_arx_sliding": f"WITH {ar_wf('flag', q.AR.but(sliding_window=True), 5)} {FORECAST_OUT}",
+        "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 5, compat=True)} {FORECAST_OUT}",
         "wf_svr_flat": f"WITH {tube_wf('flag', svr.but(frequency=7), 1e6)} {FORECAST_OUT}",
         "wf_model_reload": f"WITH {linear_wf('flag', lr.but(frequency=7))} {FORECAST_OUT}",
         "csv_roundtrip": f"WITH {px('flag')} {plain} px",

@@ -454,7 +454,7 @@ def csv_roundtrip(spark, folder):
 # --- autoregression --------------------------------------------------------
 
 AR = AUTOREGRESSIVE.but(**DATES)
-AR2 = autoregressive.ArSpec(max_p=2)
+AR5 = autoregressive.ArSpec()
 KPSS_LAGS = 4
 
 
@@ -464,40 +464,40 @@ def kpss_level(spark, folder):
 
 
 def arx_order_aic(spark, folder):
-    out = autoregressive.order_search(flag_px(spark, folder), autoregressive.ArSpec(max_p=3))
+    out = autoregressive.order_search(flag_px(spark, folder), AR5)
     return _rounded(out.select("series_id", "p", "n_train", "rss", "aic", "chosen"))
 
 
 def arx_fit(spark, folder):
-    """Coefficients of the second-order fit of every series."""
-    out = autoregressive.order_search(supp_px(spark, folder), AR2).where("p = 2")
-    columns = [F.col("beta")[0].alias("beta"), F.col("phi")[0].alias("phi1"), F.col("phi")[1].alias("phi2")]
+    """Coefficients of the fifth-order fit of every series."""
+    out = autoregressive.order_search(supp_px(spark, folder), AR5).where("p = 5")
+    columns = [F.col("beta")[0].alias("beta"), *[F.col("phi")[k].alias(f"phi{k + 1}") for k in range(5)]]
     return _rounded(out.select("series_id", "n_train", "intercept", *columns))
 
 
 def arx_split(spark, folder):
     """Order chosen and fitted once; every test row forecast from the end of training."""
-    return _forecasts(autoregressive.autoregressive_split(flag_px(spark, folder), AR2))
+    return _forecasts(autoregressive.autoregressive_split(flag_px(spark, folder), AR5))
 
 
 def wf_arx_forecast(spark, folder):
-    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, AR2))
+    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, AR5))
 
 
 def wf_arx_sliding(spark, folder):
     spec = AR.but(sliding_window=True, block_rows=500)
-    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), spec, AR2))
+    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), spec, AR5))
 
 
 def wf_arx_same_steps(spark, folder):
     """The reported alignment: P steps from the end of training, repeated until the next refit."""
-    ar = autoregressive.ArSpec(max_p=2, compat=True)
+    ar = autoregressive.ArSpec(compat=True)
     return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, ar))
 
 
 def wf_arx_difference(spark, folder):
     """Difference chosen per fold by the level test."""
-    ar = autoregressive.ArSpec(max_p=2, difference=None, kpss_lags=4)
+    ar = autoregressive.ArSpec(difference=None)
     return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, ar))
 
 

@@ -14,13 +14,14 @@ from foldcast.functions.summaries import Moments
 DEPENDENT = 1e-12
 
 
-def swept(matrix: Column, size: int, pivots: list[int]) -> Column:
+def swept(matrix: Column, size: int, pivots: list[int], keep_left_out: bool = False) -> Column:
     """States of the symmetric sweep of a flat ``size`` x ``size`` matrix, one per pivot.
 
     After a set of features has been swept, the target's column holds their
     coefficients and the target's own cell the residual sum of squares, so one
     pass gives every nested regression. A dependent feature is not swept; its
-    coefficient is 0. Returns an array of the matrices after each pivot.
+    coefficient is 0, or with ``keep_left_out`` its column goes on to hold what it
+    is on the swept ones. Returns an array of the matrices after each pivot.
     """
     zero = F.lit(0.0)
 
@@ -38,7 +39,7 @@ def swept(matrix: Column, size: int, pivots: list[int]) -> Column:
                 .otherwise(v - cross * inv)
             )
             # a feature left out must not act on the later ones
-            kept = F.when((i == p) | (j == p), zero).otherwise(v)
+            kept = v if keep_left_out else F.when((i == p) | (j == p), zero).otherwise(v)
             return F.when(inv.isNotNull(), moved).otherwise(kept)
 
         new = F.transform(a, cell)
@@ -69,6 +70,42 @@ def _minimum_norm(features: list[str], g, r) -> list[Column]:
     return out
 
 
+def _shortest(last: Column, m: int) -> Column:
+    """Shortest coefficients of ``m`` features from the last state of a sweep that kept what was left out.
+
+    With c the coefficients of the swept features and T what the others are on
+    them, the shortest vector with the same forecasts is z on the swept ones and
+    T'z on the others, where (I + TT') z = c.
+    """
+    size = m + 1
+
+    def cell(i: int, j: int) -> Column:
+        return last[i * size + j]
+
+    on = [cell(k, k) < 0.0 for k in range(m)]  # a sweep turns its pivot's sign
+    zero, one = F.lit(0.0), F.lit(1.0)
+    # T, 0 where a row is not swept or a column is
+    t = [[F.when(on[i] & ~on[d], cell(i, d)).otherwise(zero) for d in range(m)] for i in range(m)]
+    cells = []
+    for i in range(m):
+        for j in range(m):
+            cells.append(sum((t[i][d] * t[j][d] for d in range(m)), one if i == j else zero))
+        cells.append(F.when(on[i], cell(i, m)).otherwise(zero))
+    cells += [cells[i * size + m] for i in range(m)] + [zero]
+    regular = on[0]
+    for k in range(1, m):
+        regular = regular & on[k]
+    solved = F.element_at(swept(F.transform(F.array(*cells), lambda v: v), size, list(range(m))), -1)
+    z = F.array(*[solved[i * size + m] for i in range(m)])
+
+    def on_others(z: Column) -> Column:
+        spread = [sum((t[s][d] * z[s] for s in range(m)), zero) for d in range(m)]
+        return F.array(*[F.when(on[d], z[d]).otherwise(spread[d]) for d in range(m)])
+
+    shortest = F.transform(F.array(z), on_others)[0]
+    return F.when(regular, F.array(*[cell(k, m) for k in range(m)])).otherwise(shortest)
+
+
 def least_squares(
     df: DataFrame,
     moments: Moments,
@@ -103,18 +140,9 @@ def least_squares(
         # the no-op transform keeps the optimizer from copying every entry into every use
         flat = F.transform(F.array(*[entry(a, b) for a in names for b in names]), lambda v: v)
         df = df.withColumn("_flat", flat)
-        last = F.element_at(swept(F.col("_flat"), size, list(range(size - 1))), -1)
+        last = F.element_at(swept(F.col("_flat"), size, list(range(size - 1)), keep_left_out=True), -1)
         df = df.withColumn("_last", last)
-        coef = F.array(*[F.col("_last")[k * size + size - 1] for k in range(size - 1)])
-        if len(features) == 3:
-            def cell(a: str, b: str) -> Column:
-                return F.col("_flat")[names.index(a) * size + names.index(b)]
-
-            regular = F.lit(True)
-            for k in range(3):  # the own cell of a feature left out is 0
-                regular = regular & (F.col("_last")[k * size + k] != 0.0)
-            shortest = F.array(*_minimum_norm(features, cell, lambda a: cell(a, target)))
-            coef = F.when(regular, coef).otherwise(shortest)
+        coef = _shortest(F.col("_last"), size - 1)
         df = df.withColumn("coef", coef).drop("_flat", "_last")
     if not fit_intercept:
         return df.withColumn("intercept", F.when(s["n"] > 0, F.lit(0.0)))

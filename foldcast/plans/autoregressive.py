@@ -7,7 +7,8 @@ from maximum likelihood; the moving-average terms are in ``plans.moving_average`
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,18 @@ KPSS_CRITICAL = {0.1: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
 
 @dataclass(frozen=True)
 class ArSpec:
-    """``difference=None`` chooses it per fold by the level test; up to ``max_difference``."""
+    """``difference=None`` chooses it per fold by the level test; up to ``max_difference``.
+
+    ``kpss_lags=None`` takes the test's own rule; ``longest_lags`` is what the
+    rule gives for the longest series, and is read from the data.
+    """
 
     max_p: int = 5
     difference: int | None = 0
     max_difference: int = 2
     alpha: float = 0.05
     kpss_lags: int | None = None
-    kpss_lag_bound: int = 40
+    longest_lags: int | None = None
     compat: bool = False
 
     @property
@@ -199,9 +204,12 @@ def order_search(prices: DataFrame, spec: ArSpec, split: SplitSpec = SplitSpec(l
 def autoregressive_fits(prices: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[DataFrame, FoldSpec]:
     """Blocked rows with the chosen fit in force, and the settings with the wider halo."""
     ahead = spec.prediction_length + spec.validation_size
+    if ar.difference is None and ar.kpss_lags is None and ar.longest_lags is None:
+        longest = prices.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+        ar = replace(ar, longest_lags=int(math.sqrt(longest) * 3.0 / 13.0))
     reach = ar.max_p + max(ar.differences) + ahead
     if ar.difference is None:
-        reach += ar.kpss_lag_bound if ar.kpss_lags is None else ar.kpss_lags
+        reach += _lag_bound(ar)
     spec = spec.but(extra_rows=reach)
     inputs = spec.train_inputs
     rows = lagged_columns(fold_rows(prices, spec), ar, "y_l", inputs, spec.prediction_length)
@@ -234,7 +242,7 @@ def autoregressive_fits(prices: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[
 
 
 def _lag_bound(ar: ArSpec) -> int:
-    return ar.kpss_lag_bound if ar.kpss_lags is None else ar.kpss_lags
+    return ar.longest_lags if ar.kpss_lags is None else ar.kpss_lags
 
 
 def level_test_columns(rows: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[DataFrame, list]:
@@ -284,13 +292,7 @@ def chosen_difference(spec: FoldSpec, ar: ArSpec) -> Column:
         for s in range(1, bound + 1):
             paired = (total - k[f"k{d}_h{s}"]) + F.col(f"k{d}_c_{s}")
             gamma.append(k[f"k{d}_q{s}"] - mean * paired + (n - F.lit(float(s))) * mean * mean)
-        lags: Column | int
-        if ar.kpss_lags is None:
-            rule = kpss_lag_rule(n)
-            too_long = F.raise_error(F.lit("raise kpss_lag_bound or set kpss_lags")).cast("bigint")
-            lags = F.when(rule <= bound, rule).otherwise(too_long)
-        else:
-            lags = ar.kpss_lags
+        lags = kpss_lag_rule(n) if ar.kpss_lags is None else ar.kpss_lags
         statistic = kpss_statistic(n, squares, gamma, lags)
         # a constant series is stationary
         accept = F.coalesce(statistic < KPSS_CRITICAL[ar.alpha], F.lit(True))

@@ -31,8 +31,8 @@ FIT = (
 class ArmaSpec:
     """Orders searched: p <= max_p, q <= max_q, p + q <= max_order."""
 
-    max_p: int = 2
-    max_q: int = 2
+    max_p: int = 5
+    max_q: int = 5
     max_order: int = 5
     long_order: int = 6
 

@@ -44,7 +44,9 @@ def ar_loop(prices, spec, max_p, difference, kpss_lags=3):
             if d is None:
                 d = 2
                 for k in (0, 1):
-                    if kpss(np.diff(y[p_ahead : e - v + 1], k), kpss_lags) < 0.463:
+                    tested = np.diff(y[p_ahead : e - v + 1], k)
+                    lags = int(3 * np.sqrt(len(tested)) / 13) if kpss_lags is None else kpss_lags
+                    if kpss(tested, lags) < 0.463:
                         d = k
                         break
             picked.append(d)
@@ -92,13 +94,14 @@ def test_forecasts_equal_the_loop(spark, difference, block_rows):
     np.testing.assert_allclose(series_of(got, "a"), want, rtol=1e-6, atol=1e-8)
 
 
-def test_difference_is_chosen_by_the_level_test(spark):
+@pytest.mark.parametrize("lags", [3, None])
+def test_difference_is_chosen_by_the_level_test(spark, lags):
     series = {"calm": walk(220, 22), "drift": drifting(220, 23)}
-    ar = ArSpec(max_p=2, difference=None, kpss_lags=3)
+    ar = ArSpec(max_p=2, difference=None, kpss_lags=lags)
     got = autoregressive_forecasts(frame(spark, series), SPEC.but(block_rows=1), ar).toPandas()
     chosen = set()
     for name, prices in series.items():
-        want, picked = ar_loop(prices, SPEC, 2, None)
+        want, picked = ar_loop(prices, SPEC, 2, None, lags)
         chosen |= set(picked)
         np.testing.assert_allclose(series_of(got, name), want, rtol=1e-5, atol=1e-8)
     assert {0, 1} <= chosen

@@ -66,10 +66,10 @@ def test_constant_input_gives_the_mean(spark):
 
 
 def test_dependent_inputs_give_the_shortest_solution(spark):
-    # alternating returns: the second lag equals minus the first around their mean
-    steps = np.where(np.arange(140) % 2 == 0, 1.1, 0.95)
-    prices = 10 * np.cumprod(steps)
-    for lags in (2, 3):
+    # returns of period 2 or 3: later lags are combinations of the first one or two
+    two, three = np.where(np.arange(140) % 2 == 0, 1.1, 0.95), np.array([1.1, 0.95, 1.02])[np.arange(140) % 3]
+    for steps, lags in ((two, 2), (two, 3), (two, 5), (three, 4)):
+        prices = 10 * np.cumprod(steps)
         spec = SMALL.but(lags=lags)
         got = linear_forecasts(frame(spark, {"a": prices}), spec).toPandas()
         pred, _ = loop_forecasts(prices, spec, least_squares)
