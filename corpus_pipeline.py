@@ -30,8 +30,9 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of the mixing schedule, which the written files keep."""
-    mixed = mixing.interleave(docs)
-    return mixed.sort("slot", "src_offset", "doc_id").select(docs.columns)
+    aside = {c: f"{c} of documents" for c in docs.columns if c in mixing.MADE}
+    mixed = mixing.interleave(docs.withColumnsRenamed(aside)).sort("slot", "src_offset", "doc_id")
+    return mixed.drop(*mixing.MADE).withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

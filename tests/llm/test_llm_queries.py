@@ -76,6 +76,13 @@ def test_pipeline_stages(spark, folder):
     assert {r["doc_id"] for r in pieces} == set(kept)
 
 
+def test_pipeline_keeps_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "doc_id AS slot", "doc_id AS c0")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns and after.where("slot <> doc_id OR c0 <> doc_id").isEmpty(), name
+
+
 def test_pipeline_runs(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
