@@ -48,8 +48,16 @@ def _columns(inputs: int, arma: ArmaSpec) -> list[str]:
     ]
 
 
+def settles(phi: np.ndarray, theta: np.ndarray) -> bool:
+    """Whether the autoregression is stationary and the moving average invertible: all roots inside the unit circle."""
+    return all(not len(c) or np.abs(np.roots(np.r_[1.0, c])).max(initial=0.0) < 1.0 for c in (-phi, theta))
+
+
 def two_stage(n: float, mean: np.ndarray, cov: np.ndarray, inputs: int, arma: ArmaSpec) -> tuple:
-    """Fit with the least AIC from count, means and centred products of the lag columns."""
+    """Fit with the least AIC from count, means and centred products of the lag columns.
+
+    Orders whose forecasts would not settle are passed over; the one without lags always does.
+    """
     depth, m = arma.long_order + arma.max_q, arma.long_order
     width = len(mean)
     target = np.eye(width)[0]
@@ -77,6 +85,8 @@ def two_stage(n: float, mean: np.ndarray, cov: np.ndarray, inputs: int, arma: Ar
     for p in range(arma.max_p + 1):
         for q in range(min(arma.max_q, arma.max_order - p) + 1):
             coef, rss, c = regress(now + [lag(a) for a in range(1, p + 1)] + residual[:q])
+            if not settles(coef[inputs : inputs + p], coef[inputs + p :]):
+                continue
             # the mean of a residual lacks the long intercept
             theta = coef[inputs + p :]
             c += float(theta.sum()) * long_c
