@@ -176,17 +176,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return grouped.groupBy("center", "part").applyInArrow(check, "a long, b long")
 
 
-def _near_pairs(group: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and equal signature places of the pairs that this group has to decide.
+class Union:
+    """Sets of numbers, joined pair by pair."""
 
-    Those of its two cells, of different labels, near enough by bit counts,
-    and with no band in common before the group's own.
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, v: int) -> int:
+        above = self.above
+        while above.setdefault(v, v) != v:
+            above[v] = v = above[above[v]]
+        return v
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were together already."""
+        a, b = self.root(a), self.root(b)
+        self.above[a] = b
+        return a != b
+
+
+def _near_pairs(group: pa.Table, s: Settings, band: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and equal signature places of pairs of a group's two cells with different labels, near enough by bit counts.
+
+    With ``band``, only those with no band in common before it.
     """
     x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-    band = group.column("band")[0].as_py()
     cell, ids, labels = (group.column(c).to_numpy() for c in ("cell", "id", "label"))
     bits = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), s.bands)
+    if band is not None:
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), s.bands)
     left, right = np.flatnonzero(cell == x), np.flatnonzero(cell == y)
     found = []
     for k in left:
@@ -195,63 +213,68 @@ def _near_pairs(group: pa.Table, s: Settings) -> tuple[np.ndarray, np.ndarray, n
         if x == y:
             may &= ids[right] > ids[k]
         near, equal = right[may], equal[may]
-        first = (bands[near] == bands[k]).argmax(axis=1)
-        here = bands[k][first] == band
-        found.append(np.stack([np.full(here.sum(), k), near[here], equal[here]]))
+        if band is not None:
+            here = bands[k][(bands[near] == bands[k]).argmax(axis=1)] == band
+            near, equal = near[here], equal[here]
+        found.append(np.stack([np.full(len(near), k), near, equal]))
     return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 3
 
 
+def _edges(made: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*made) if made else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _in_cells(members: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """``members(by, id, ..., cells)`` dealt to ``cells`` cells by a hash, each two cells of one ``by`` as a pair ``(x, y)``."""
+    dealt = members.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    return met.select(by, F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", *columns)
+
+
 def linked_across(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """``(a, b)``: links between members of a bucket that have different labels.
 
     ``members(band, id, label, signature, bands)``. A bucket's members are dealt
     to cells by a hash; each two cells of a bucket meet in one group of bounded
-    size. A first pass looks at signatures alone and names the members with a near
-    one; only their texts are moved, and their whole sets compared, likeliest pairs
-    first. A pair that the group's earlier links connect already is not needed, so a group
-    returns fewer links than it has members, however many pairs it looks at.
+    size, which looks at signatures alone. Members with near signatures make clusters;
+    only their texts are moved, once for each two cells of a cluster, and whole sets
+    are compared, likeliest pairs first. A pair that a group's earlier links connect already
+    is not needed, so groups return fewer links than they have members, however many
+    pairs they look at.
     """
     sizes = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
     ).where("low < high").select("band", F.ceil(F.col("n") / CELL).alias("cells"))
-    dealt = members.join(staged(sizes, "near-open"), "band").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")))
-    one = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
-    met = dealt.withColumn("other", one).select(
-        "band", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", "id", "label", "signature", "bands"
-    )
-    columns = "band long, x long, y long, cell long, id long, label long, signature binary, bands array<long>"
+    met = _in_cells(members.join(staged(sizes, "near-open"), "band"), "band", ["id", "label", "signature", "bands"])
 
-    def with_near(group: pa.Table) -> pa.Table:
-        a, b, _ = _near_pairs(group, s)
-        return group.take(np.unique(np.concatenate([a, b])).astype(np.int64))
+    def near(group: pa.Table) -> pa.Table:
+        a, b, _ = _near_pairs(group, s, group.column("band")[0].as_py())
+        ids, union = group.column("id").to_pylist(), Union()
+        return _edges([(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist()) if union.join(i, j)])
 
-    near = staged(met.groupBy("band", "x", "y").applyInArrow(with_near, columns), "near-cells")
+    edges = met.groupBy("band", "x", "y").applyInArrow(near, "a long, b long")
+    clusters = staged(components(edges, "near-clusters").withColumnRenamed("label", "cluster"), "near-clustered")
+    cells = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
+    own = members.select("id", "label", "signature").dropDuplicates(["id"])
+    whole = clusters.join(own, "id").join(cells, "cluster").join(texts.withColumnRenamed("doc_id", "id"), "id")
 
     def links(group: pa.Table) -> pa.Table:
         a, b, equal = _near_pairs(group, s)
-        ids, labels = group.column("id").to_numpy(), group.column("label").to_pylist()
+        ids, labels, union = group.column("id").to_pylist(), group.column("label").to_pylist(), Union()
         sets = [x for part in slices(iter(group.select(["text"]).to_batches()), 64) for x in sets_of(part.column(0), s.words)]
-        above = {v: v for v in labels}
-
-        def root(v: int) -> int:
-            while above[v] != v:
-                above[v] = v = above[above[v]]
-            return v
-
         made = []
         for k in np.argsort(-equal, kind="stable"):
             i, j = int(a[k]), int(b[k])
-            one, other = root(labels[i]), root(labels[j])
-            if one != other:
+            if union.root(labels[i]) != union.root(labels[j]):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= s.percent * (len(sets[i]) + len(sets[j]) - both):
-                    above[one] = other
+                    union.join(labels[i], labels[j])
                     made.append((ids[i], ids[j]))
-        x, y = zip(*made) if made else ((), ())
-        return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+        return _edges(made)
 
-    whole = near.join(texts.withColumnRenamed("doc_id", "id"), "id")
-    return whole.groupBy("band", "x", "y").applyInArrow(links, "a long, b long").distinct()
+    grouped = _in_cells(whole, "cluster", ["id", "label", "signature", "text"])
+    return grouped.groupBy("cluster", "x", "y").applyInArrow(links, "a long, b long")
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
