@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from foldcast.functions.values import nan_to_null
 
 DAYS_PER_BUCKET = 4096
-SECONDS_PER_BUCKET = 86_400
+SECONDS_PER_BUCKET = 3_600
 
 
 def time_bucket(df: DataFrame, width: int | None = None) -> Column:
