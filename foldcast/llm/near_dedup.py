@@ -232,10 +232,10 @@ def _in_cells(members: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return met.select(by, F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "cell", *columns)
 
 
-def linked_across(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+def linked_across(members: DataFrame, signs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """``(a, b)``: links between members of a bucket that have different labels.
 
-    ``members(band, id, label, signature, bands)``. A bucket's members are dealt
+    ``members(band, id, label)``, ``signs(id, signature, bands)``. A bucket's members are dealt
     to cells by a hash; each two cells of a bucket meet in one group of bounded
     size, which looks at signatures alone. Members with near signatures make clusters;
     only their texts are moved, once for each two cells of a cluster, and whole sets
@@ -246,7 +246,8 @@ def linked_across(members: DataFrame, texts: DataFrame, s: Settings) -> DataFram
     sizes = members.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")
     ).where("low < high").select("band", F.ceil(F.col("n") / CELL).alias("cells"))
-    met = _in_cells(members.join(staged(sizes, "near-open"), "band"), "band", ["id", "label", "signature", "bands"])
+    open_members = staged(members.join(staged(sizes, "near-open"), "band").join(signs, "id"), "near-open-members")
+    met = _in_cells(open_members, "band", ["id", "label", "signature", "bands"])
 
     def near(group: pa.Table) -> pa.Table:
         a, b, _ = _near_pairs(group, s, group.column("band")[0].as_py())
@@ -256,7 +257,7 @@ def linked_across(members: DataFrame, texts: DataFrame, s: Settings) -> DataFram
     edges = met.groupBy("band", "x", "y").applyInArrow(near, "a long, b long")
     clusters = staged(components(edges, "near-clusters").withColumnRenamed("label", "cluster"), "near-clustered")
     cells = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
-    own = members.select("id", "label", "signature").dropDuplicates(["id"])
+    own = members.select("id", "label").distinct().join(signs.select("id", "signature"), "id")
     whole = clusters.join(own, "id").join(cells, "cluster").join(texts.withColumnRenamed("doc_id", "id"), "id")
 
     def links(group: pa.Table) -> pa.Table:
@@ -297,8 +298,12 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     signed = staged(signatures(docs, s), "near-signed")
     sets = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     keys = staged(sets.where("id IS NOT NULL"), "near-sets")
-    chosen = signed.join(keys, (signed.set_key == keys.set_key) & (signed.doc_id == keys.id)).dropDuplicates(["id"])
-    banded = chosen.select("id", "signature", "bands", F.explode("bands").alias("band"))
+    chosen = staged(
+        signed.join(keys, (signed.set_key == keys.set_key) & (signed.doc_id == keys.id)).select("id", "signature", "bands").dropDuplicates(["id"]),
+        "near-chosen",
+    )
+    signs = chosen.select("id", "signature", "bands")
+    banded = chosen.select("id", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(banded.join(staged(sizes, "near-sizes"), "band"), "near-members")
     weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
@@ -317,7 +322,7 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     links = staged(confirmed(staged(stars, "near-stars"), texts, s), "near-links")
     first = components(links, "near-first")
     labelled = members.drop("n").join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = staged(linked_across(staged(labelled, "near-labelled"), texts, s), "near-more")
+    more = staged(linked_across(staged(labelled, "near-labelled"), signs, texts, s), "near-more")
     found = staged(components(links.unionByName(more), "near-final").where("id != label"), "near-labels")
 
     labels = keys.join(found, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
