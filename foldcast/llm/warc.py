@@ -15,6 +15,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -200,8 +201,8 @@ def ranges(place: str, files: fs.FileSystem, wanted: list[tuple[int, int]], name
             k = last + 1
 
 
-def index_lines(directory: DataFrame, out: str) -> DataFrame:
-    """All lines of the blocks that ``directory`` names."""
+def index_lines(directory: DataFrame, out: str, key: str | None = None) -> DataFrame:
+    """All lines of the blocks that ``directory`` names, or those of one key, searched in each block."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = _filesystem(out)
@@ -209,6 +210,10 @@ def index_lines(directory: DataFrame, out: str) -> DataFrame:
             for name, position, size in zip(*(c.to_pylist() for c in batch.columns)):
                 (raw,) = ranges(place, files, [(position, size)], name)
                 rows = [json.loads(x) for x in unpacked(raw).decode().splitlines()]
+                if key is not None:
+                    rows = rows[bisect_left(rows, key, key=itemgetter(0)) : bisect_right(rows, key, key=itemgetter(0))]
+                if not rows:
+                    continue
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.record_batch(
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "page_id", "file", "position", "size"]
@@ -243,14 +248,7 @@ def lookup(spark: SparkSession, directory: DataFrame, index: str, archives: str,
     """Captures of one URL: the directory's blocks that can hold its key, a search in each, and range reads."""
     key = host_reversed(url)
     near = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            low, high = bisect_left(keys, key), bisect_right(keys, key)
-            yield batch.slice(low, high - low)
-
-    return read_archives(index_lines(near, index).mapInArrow(search, LINES), archives)
+    return read_archives(index_lines(near, index, key), archives)
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

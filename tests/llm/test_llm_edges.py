@@ -411,6 +411,17 @@ def test_archives(spark):
     assert [r["page_id"] for r in rows(warc.lookup(spark, directory, index, archives, "http://www.example.com/a?b=1"))] == [1]
 
 
+def test_lookup_finds_all_captures_of_a_hot_url(spark):
+    pages = [(k, "http://h.org/hot" if 310 <= k < 890 else f"http://h.org/{'a' if k < 310 else 'z'}{k}", f"<p>{k}</p>") for k in range(1200)]
+    archives, index = scratch(spark, "warc"), scratch(spark, "cdx")
+    directory = warc.write_index(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), archives), index, block_lines=7)
+    assert directory.where("first_key <= 'org,h)/hot' AND last_key >= 'org,h)/hot'").select("file").distinct().count() > 1
+    for order in ("last_key", "first_key"):  # several blocks to a batch, in whatever order files are read
+        blocks = directory.coalesce(1).sortWithinPartitions(F.desc(order), F.desc("file"))
+        got = warc.lookup(spark, blocks, index, archives, "http://h.org/hot").collect()
+        assert sorted((r.page_id, r.url) for r in got) == [(k, "http://h.org/hot") for k in range(310, 890)]
+
+
 def test_archives_of_nothing(spark):
     archives, index = scratch(spark, "warc"), scratch(spark, "cdx")
     lines = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), archives)
