@@ -13,8 +13,12 @@ from foldcast.llm.common import staged, table
 from foldcast.llm.sharding import HASH_BITS, hash60, top_bits
 
 BLOCK_BYTES = 64 << 10
-#: Slots that weights are rounded to; a round of the schedule has one more for each source at most.
+#: Slots that a rounded schedule rounds weights to, one more for each source at most; a source without a weight weighs one of so many parts.
 TICKS = 1000
+#: What given weights add up to as integers.
+PARTS = 10**9
+#: Blocks whose slots are gathered together; the cost of the schedule, never the result.
+RUN_BLOCKS = 1024
 #: Rows that are numbered together; memory of a task, never the result.
 BUCKET_ROWS = 20_000
 
@@ -39,33 +43,90 @@ aggregate(
 """
 
 
-def schedule(sizes: DataFrame, weights: Mapping[str, float] | None = None, total: int = TICKS) -> DataFrame:
-    """One round of slots ``(src, t, n, k, slot)``: slot ``slot`` of ``n`` goes to the ``k``-th block of ``src``.
+def weigh(
+    sizes: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """One row ``(s, n)``, none for no sources: ``s`` has ``(src, t, blocks)`` by name; a source's share is t / n.
 
-    A source has t of the n slots: its weight rounded to ``total`` slots, one at
-    least. ``weights`` are positive target weights by source; without them a
-    source weighs the square root of its bytes; one without a weight gets one slot.
-
-    Block k is released at floor(k n / t) and due at ceil((k + 1) n / t). In each
-    slot the released block that is due first goes, ties to the first source by
-    name. Weights add up to 1, so all deadlines are met and no source is a whole block
-    ahead or behind in any slot. The round then repeats. It is a fold over one
-    row, whose size depends on the number of sources and slots, not on documents.
+    ``weights`` are positive target weights by source, kept to a part in ``PARTS``; a
+    source without one weighs a thousandth of the others. Without ``weights`` a source
+    weighs the square root of its bytes. With ``total`` shares are rounded to so many
+    slots, one at least, and a source without a weight gets one.
     """
     if weights is None:
         weight = F.floor(F.sqrt(F.col("size").cast("double")))
     else:
-        known = F.create_map(*map(F.lit, chain.from_iterable((f"s{k}", round(v * 1e6)) for k, v in weights.items())))
-        weight = F.coalesce(F.try_element_at(known, F.col("src")), F.lit(0))
-    one = sizes.groupBy("src").agg(F.sum("size").alias("size")).select("src", F.greatest(weight.cast("long"), F.lit(0)).alias("w"))
-    row = one.agg(F.sort_array(F.collect_list(F.struct("src", "w"))).alias("s"), F.greatest(F.sum("w"), F.lit(1)).alias("w"))
-    row = row.where(F.size("s") > 0).selectExpr(
-        f"transform(s, x -> named_struct('src', x.src, 't', greatest(1L, (2L * x.w * {total} + w) div (2L * w)))) AS s"
-    )
-    return row.selectExpr("s", "aggregate(s, 0L, (a, x) -> a + x.t) AS n").selectExpr(f"inline({EDF})")
+        whole = math.fsum(weights.values())
+        known = F.create_map(*map(F.lit, chain.from_iterable((f"s{k}", max(1, round(v / whole * PARTS))) for k, v in weights.items())))
+        weight = F.try_element_at(known, F.col("src"))
+    one = sizes.groupBy("src").agg(F.sum("size").alias("size")).select("src", "size", weight.cast("long").alias("w"))
+    row = one.agg(F.sort_array(F.collect_list(F.struct("src", "w", "size"))).alias("s"), F.greatest(F.sum("w"), F.lit(1)).alias("w"))
+    t = f"coalesce(x.w, greatest(1L, w div {TICKS}L))" if total is None else f"(2L * coalesce(x.w, 0L) * {total} + w) div (2L * w)"
+    row = row.where(F.size("s") > 0).selectExpr(f"transform(s, x -> named_struct('src', x.src, 't', greatest(1L, {t}), 'blocks', x.size div {block_bytes}L + 1)) AS s")
+    return row.selectExpr("s", "aggregate(s, 0L, (a, x) -> a + x.t) AS n")
+
+
+def round_of(weighed: DataFrame) -> DataFrame:
+    """One round of ``n`` slots ``(src, t, n, k, slot)``: slot ``slot`` goes to the ``k``-th block of ``src``; it then repeats.
+
+    Block k is released at floor(k n / t) and due at ceil((k + 1) n / t). In each
+    slot the released block that is due first goes, ties to the first source by
+    name. Shares add up to 1, so all deadlines are met and no source is a whole block
+    ahead or behind in any slot. It is a fold over one row, whose size depends on
+    the number of sources and slots, not on documents.
+    """
+    return weighed.selectExpr(f"inline({EDF})")
+
+
+#: One block of a source gets its slot: of those released the one due first, or the next to be released if none is.
+STEP = """
+(y, step) -> element_at(transform(
+  array(greatest(y.at, array_min(transform(y.next, x -> x.released)))),
+  at -> element_at(transform(
+    array(array_min(transform(y.next, x -> if(x.released <= at, x, null)))),
+    p -> named_struct(
+      'at', at + 1,
+      'next', filter(
+        transform(y.next, x -> if(x.i != p.i, x, named_struct(
+          'due', ((x.k + 2) * n + s[x.i].t - 1) div s[x.i].t, 'i', x.i, 'k', x.k + 1, 'released', ((x.k + 1) * n) div s[x.i].t))),
+        x -> x.k < s[x.i].blocks),
+      'picks', concat(y.picks, array(named_struct('i', p.i, 'k', p.k, 'slot', at))))), 1)), 1)
+"""
+NO_PICKS = "cast(array() as array<struct<i: int, k: bigint, slot: bigint>>)"
+ALL_STEPS = f"""
+aggregate(
+  sequence(0L, (aggregate(s, 0L, (a, x) -> a + x.blocks) - 1) div {{run}}),
+  named_struct(
+    'at', 0L,
+    'next', transform(s, (x, i) -> named_struct('due', (n + x.t - 1) div x.t, 'i', i, 'k', 0L, 'released', 0L)),
+    'runs', cast(array() as array<array<struct<i: int, k: bigint, slot: bigint>>>)),
+  (z, run) -> element_at(transform(
+    array(aggregate(
+      sequence(1L, least({{run}}, aggregate(s, 0L, (a, x) -> a + x.blocks) - run * {{run}})),
+      named_struct('at', z.at, 'next', z.next, 'picks', {NO_PICKS}),
+      {STEP})),
+    y -> named_struct('at', y.at, 'next', y.next, 'runs', concat(z.runs, array(y.picks)))), 1),
+  z -> z.runs)
+"""
+
+
+def schedule(weighed: DataFrame, run_blocks: int = RUN_BLOCKS) -> DataFrame:
+    """Slots ``(src, k, slot)`` of all blocks: block k is released at floor(k n / t) and due at ceil((k + 1) n / t).
+
+    The shares t / n are not rounded to a round. In each slot the released
+    block that is due first goes, ties to the first source by name; a slot is empty if none is
+    released. Shares add up to 1, so all deadlines are met, and no source that has blocks left is a whole
+    block ahead or behind in any slot, however many there are. It is a fold over the blocks
+    in one row, with a step of as many terms as sources are left; ``run_blocks`` bounds what
+    each step copies.
+    """
+    runs = weighed.selectExpr("s", f"explode({ALL_STEPS.format(run=f'{run_blocks}L')}) AS picks")
+    return runs.selectExpr("inline(transform(picks, p -> named_struct('src', s[p.i].src, 'k', p.k, 'slot', p.slot)))")
 
 
-def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def interleave(
+    docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes: int = BLOCK_BYTES, total: int | None = None
+) -> DataFrame:
     """``docs`` with ``src_block``, ``released``, ``due``, ``slot`` and ``src_offset``.
 
     Sorted by ``(slot, src_offset)`` the documents are in mixed order. A
@@ -73,7 +134,8 @@ def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, bloc
     to the block of ``block_bytes`` in which it begins. All rows stay: while no
     source is used up, every prefix of slots holds each source's share to
     within a block; the slots of a source that is used up are empty, and the others
-    go on at their own pace. A null source is a source, a null text has no
+    go on at their own pace. With ``total`` that holds for shares rounded to so many
+    slots, not for the weights. A null source is a source, a null text has no
     bytes, equal rows stand next to each other; columns of these names are replaced.
 
     Offsets are summed within ranges of the hash and carried over by one row a
@@ -95,10 +157,11 @@ def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, bloc
         top_bits(hashed, HASH_BITS, F.lit(bits)).alias(bucket),
     )
     sizes = staged(rows.groupBy(F.col(src).alias("src"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("size")), "mix-buckets")
-    slots = staged(schedule(sizes, weights), "mix-round")
+    weighed = weigh(sizes, weights, total, block_bytes)
+    slots = staged(schedule(weighed) if total is None else round_of(weighed), "mix-slots")
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("src", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start" + own)).join(
-        slots.select("src", F.col("t").alias("t" + own), F.col("n").alias("n" + own)).distinct(), "src"
+        weighed.selectExpr("inline(s)", "n").select("src", F.col("t").alias("t" + own), F.col("n").alias("n" + own)), "src"
     )
     starts = starts.withColumnsRenamed({"src": src, "bucket": bucket})
     ordered = Window.partitionBy(src, bucket).orderBy(h, "doc_id", size).rowsBetween(Window.unboundedPreceding, 0)
@@ -106,7 +169,7 @@ def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, bloc
         rows.join(starts, [src, bucket])
         .withColumn("src_offset", F.col("start" + own) + F.sum(size).over(ordered) - F.col(size))
         .withColumn("src_block", F.floor(F.col("src_offset") / block_bytes))
-        .withColumn(k, F.col("src_block") % F.col("t" + own))
+        .withColumn(k, F.col("src_block") if total is None else F.col("src_block") % F.col("t" + own))
     )
     at = slots.select(F.col("src").alias(src), F.col("k").alias(k), F.col("slot").alias("at" + own))
     return placed.join(at, [src, k]).select(
@@ -114,14 +177,14 @@ def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, bloc
         "src_block",
         F.expr(f"(src_block * n{own}) div t{own}").alias("released"),
         F.expr(f"((src_block + 1) * n{own} + t{own} - 1) div t{own}").alias("due"),
-        F.expr(f"(src_block div t{own}) * n{own} + at{own}").alias("slot"),
+        F.expr(f"at{own}" if total is None else f"(src_block div t{own}) * n{own} + at{own}").alias("slot"),
         "src_offset",
     )
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return interleave(docs).drop("text")
+    return interleave(docs, total=TICKS).drop("text")  # as OP5_SQL rounds
 
 
 OP5_SQL = f"""

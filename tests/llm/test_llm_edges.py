@@ -376,6 +376,24 @@ def test_mixing_holds_every_share_to_within_a_block(spark):
             assert abs(done - share * 1000 / 1001 * slot) < 1.01 and abs(done + 1 - share * 1000 / 1001 * (slot + 1)) < 1.01
 
 
+def test_mixing_keeps_the_given_weights_over_many_rounds(spark):
+    weights = {"a": 0.9986, "b": 0.0014 - 1e-4, "c": 1e-4}
+    df = spark.range(24_000).selectExpr("id AS doc_id", "'abcdefghij' AS text", "if(id < 23960, 'a', if(id < 23996, 'b', 'c')) AS source")
+    got = rows(mixing.interleave(df, weights, block_bytes=10))
+    assert len(got) == len({r["slot"] for r in got}) == 24_000 and all(r["released"] <= r["slot"] < r["due"] for r in got)
+    for s, share in weights.items():
+        for done, slot in enumerate(sorted(r["slot"] for r in got if r["source"] == s)):
+            assert abs(done - share * slot) < 1.001 and abs(done + 1 - share * (slot + 1)) < 1.001
+
+
+def test_mixing_with_many_sources(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "if(id < 1500, 'hot', concat('h', id % 150)) AS source")
+    got = rows(mixing.interleave(df, {"hot": 0.5} | {f"h{k}": 0.5 / 150 for k in range(150)}, block_bytes=10))
+    assert len(got) == len({r["slot"] for r in got}) == 3000 and all(r["released"] <= r["slot"] < r["due"] for r in got)
+    hot = sorted(r["slot"] for r in got if r["source"] == "hot")
+    assert all(abs(done - slot / 2) < 1.001 for done, slot in enumerate(hot))
+
+
 def test_mixing_of_odd_rows(odd, none):
     got = mixing.interleave(odd, block_bytes=64)
     assert Counter(r.doc_id for r in got.collect()) == Counter(d for d, *_ in ODD)
