@@ -28,16 +28,21 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near(docs)
 
 
+#: Tokens of consecutive slots that are packed together.
+RUN_TOKENS = 500_000
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mixing schedule, which the written files keep."""
+    """The documents in the order of the mixing schedule. Files are read in any order, so ``pack`` finds it again."""
     aside = {c: f"{c} of documents" for c in docs.columns if c in mixing.MADE}
     mixed = mixing.interleave(docs.withColumnsRenamed(aside)).sort("slot", "src_offset", "doc_id")
     return mixed.drop(*mixing.MADE).withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 2048 tokens."""
-    return packing.digest(packing.pack(docs))
+    """Windows of 2048 tokens, numbered along the mixing schedule, which depends on the documents alone."""
+    mixed = mixing.interleave(docs.select("doc_id", "source", "text")).sort("slot", "src_offset", "doc_id")
+    return packing.digest(packing.pack(mixed, block_tokens=RUN_TOKENS, in_order=True))
 
 
 STAGES = [

@@ -131,6 +131,7 @@ def pack(
     end_id: int = 1,
     block_tokens: int = BLOCK_TOKENS,
     close_gaps: bool = True,
+    in_order: bool = False,
 ) -> DataFrame:
     """Pieces of ``docs(doc_id, text)`` in windows of at most ``window`` tokens.
 
@@ -149,6 +150,8 @@ def pack(
         lengths = np.fromiter((n for _, n in ids_of), np.int64, len(ids_of))
         at = np.cumsum(lengths) - lengths
         windows = plan(lengths, window, close_gaps)
+        if in_order:
+            windows.sort(key=lambda w: sum(d * n for d, _, n in w) / sum(n for *_, n in w))
         rows = [(d, s, n, first + k) for k, w in enumerate(windows) for d, s, n in w]
         d, s, n, seq = np.array(rows, np.int64).reshape(-1, 4).T
         ends = np.cumsum(n)

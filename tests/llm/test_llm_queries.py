@@ -76,6 +76,29 @@ def test_pipeline_stages(spark, folder):
     assert {r["doc_id"] for r in pieces} == set(kept)
 
 
+def test_sequences_follow_the_mixing_schedule(spark):
+    from foldcast.llm import mixing
+    from foldcast.llm.common import staged
+
+    text = "concat_ws(' ', transform(sequence(1, {}), x -> concat('w', (id * 31 + x) % 997)))"
+    docs = spark.range(4000).selectExpr(
+        "id AS doc_id", f"CASE WHEN id < 3000 THEN {text.format(150)} WHEN id < 3900 THEN {text.format(300)} ELSE {text.format(6000)} END AS text",
+        "'en' AS lang", "CASE WHEN id < 3000 THEN 'a' WHEN id < 3900 THEN 'b' ELSE 'c' END AS source", "0 AS n_chars",
+    )
+    slots = {r.doc_id: (r.source, r.slot) for r in mixing.interleave(docs).collect()}
+    last = min(max(s for o, s in slots.values() if o == source) for source in "abc")  # until then no source is used up
+    pieces = [r.asDict() for r in corpus_pipeline.pack(spark, staged(corpus_pipeline.mix(spark, docs, ""), "mixed"), "").collect()]
+    tokens, seen, total = Counter(), Counter(), 0
+    for r in pieces:
+        tokens[slots[r["doc_id"]][0]] += r["length"] * (slots[r["doc_id"]][1] <= last)
+    share = {s: n / sum(tokens.values()) for s, n in tokens.items()}
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        seen[slots[r["doc_id"]][0]] += r["length"]
+        total += r["length"]
+        if total < 0.9 * sum(tokens.values()):
+            assert all(abs(seen[s] - total * share[s]) < 0.5 * corpus_pipeline.RUN_TOKENS for s in share)
+
+
 def test_pipeline_keeps_clashing_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "doc_id AS slot", "doc_id AS c0")
     for name, stage in corpus_pipeline.STAGES[:-1]:
