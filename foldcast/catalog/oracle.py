@@ -321,18 +321,41 @@ def kpss(kind: str, lags: int) -> str:
 
 def random_wf(kind: str, spec: FoldSpec) -> str:
     """Floyd's sampling as a recursion, then folds without the drawn rows."""
-    w, v, p = spec.window_size, spec.validation_size, spec.prediction_length
-    r = f"(('0x' || substr(md5(concat_ws(':', sid, t, {spec.seed}, {w - v} + k)), 1, 8))::BIGINT % ({w - v} + k + 1))"
+    v, count = spec.validation_size, spec.window_size if spec.sliding_window else "t"
+    low = f"t - {spec.window_size}" if spec.sliding_window else "0"
+    at = f"({count} - {v} + k)"
+    r = f"(('0x' || substr(md5(concat_ws(':', sid, t, {spec.seed}, {at})), 1, 8))::BIGINT % ({at} + 1))"
     return f"""WITH RECURSIVE {capped_returns(kind, spec)},
 draw AS (SELECT sid, t, 0 AS k, CAST([] AS BIGINT[]) AS s FROM fold
-    UNION ALL SELECT sid, t, k + 1, list_append(s, CASE WHEN list_contains(s, {r}) THEN {w - v} + k ELSE {r} END)
+    UNION ALL SELECT sid, t, k + 1, list_append(s, CASE WHEN list_contains(s, {r}) THEN {at} ELSE {r} END)
     FROM draw WHERE k < {v}),
-held AS (SELECT sid, t, unnest(s) + t - {w} AS i FROM draw WHERE k = {v}),
+held AS (SELECT sid, t, unnest(s) + {low} AS i FROM draw WHERE k = {v}),
 fit AS (SELECT f.sid, f.t, regr_intercept(a.y, a.x1) AS c0, regr_slope(a.y, a.x1) AS c1
     FROM {train_join(spec, held=0)} ANTI JOIN held h ON h.sid = f.sid AND h.t = f.t AND h.i = a.i GROUP BY 1, 2),
 {landed(spec, "c0 + c1 * r.x1 AS pred")} {FORECAST_OUT}"""
 
 
+def median_wf(kind: str, spec: FoldSpec) -> str:
+    return f"""WITH {capped_returns(kind, spec)}, fit AS (SELECT f.sid, f.t, coalesce(median(a.y) FILTER (WHERE a.x1 > 0), median(a.y)) AS up,
+    coalesce(median(a.y) FILTER (WHERE a.x1 <= 0), median(a.y)) AS down FROM {train_join(spec)} GROUP BY 1, 2),
+    {landed(spec, "CASE WHEN r.x1 IS NULL THEN NULL WHEN r.x1 > 0 THEN up ELSE down END AS pred")} {FORECAST_OUT}"""
+
+
+def settings_scores() -> str:
+    """Every setting as a job of its own; the last one is that of every tenth supplier."""
+    slope = {"lr": "regr_slope(a.y, a.x1)", "ridge": "regr_sxy(a.y, a.x1) / (regr_sxx(a.y, a.x1) + 5)", "nonneg": "greatest(regr_slope(a.y, a.x1), 0)", "mean": "0.0"}
+    runs = []
+    for name, _, model, _, w, p, v, f in [*q.GRID_SETTINGS, ("own", None, "mean", 0.0, 100, 5, 3, 5)]:
+        spec = q.GRID.but(window_size=w, prediction_length=p, validation_size=v, frequency=f)
+        some = "WHERE CAST(sid AS BIGINT) % 10 = 0" if name == "own" else ""
+        runs.append(f"""SELECT sid, '{name}' AS model, pred, "true" FROM (WITH {capped_returns("supp", spec)},
+            fit AS (SELECT f.sid, f.t, {slope[model]} AS c1, avg(a.y) - c1 * avg(a.x1) AS c0 FROM {train_join(spec)} GROUP BY 1, 2),
+            {landed(spec, "c0 + c1 * r.x1 AS pred")} SELECT * FROM moved) {some}""")
+    return f"""WITH ev AS ({" UNION ALL ".join(runs)}), sc AS ({scores("ev")})
+    SELECT series_id, model, n_obs, {r6('rmse', 'rmse')}, {r6('mae', 'mae')},
+    row_number() OVER (PARTITION BY series_id ORDER BY rmse, model) AS place FROM sc"""
+
+
 def supervised(kind: str, n_in: int, n_out: int) -> str:
     cols = [f"lag(price, {m}) OVER w AS var1_lag{m}" for m in range(n_in, 0, -1)] + ["price AS var1"]
     cols += [f"lead(price, {m}) OVER w AS var1_lead{m}" for m in range(1, n_out)]
@@ -443,6 +466,10 @@ def oracle_sql() -> dict[str, str]:
         "wf_lr_long_returns": f"WITH {linear_wf('order', lr.but(input_pct_change=5, output_pct_change=2))} {FORECAST_OUT}",
         "wf_lr_blocked": f"WITH {flag_wf} {FORECAST_OUT}",
         "wf_random_validation": random_wf("flag", q.RANDOM),
+        "wf_random_growing": random_wf("flag", q.RANDOM_GROWING),
+        "wf_custom_blackbox": median_wf("flag", q.BLACKBOX),
+        "wf_custom_blackbox_growing": median_wf("flag", q.BLACKBOX_GROWING),
+        "grid_settings": settings_scores(),
         "svr_tube_single": f"WITH {split_tube('supp', 3, q.TUBE)} {TUBE_OUT}",
         "wf_svr_tube": f"WITH {tube_wf('flag', svr, q.TUBE)} {TUBE_OUT}",
         "wf_svr_tube_growing": f"WITH {tube_wf('flag', svr.but(sliding_window=False, frequency=7), q.TUBE)} {TUBE_OUT}",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from foldcast.functions.values import r6
 from foldcast.operators import checks, folds, metrics, shaping, splits
 from foldcast.operators.folds import AUTOREGRESSIVE, LINEAR, SUPPORT_VECTOR
 from foldcast.operators.rows import number_rows
-from foldcast.plans import autoregressive, forecaster, moving_average, single_split, walk_forward
+from foldcast.plans import autoregressive, blackbox, forecaster, grid, moving_average, single_split, walk_forward
 from foldcast.session import shared_dir
 from foldcast.sources import models as model_table
 from foldcast.sources import prices as source
@@ -271,6 +272,14 @@ def wf_random_validation(spark, folder):
     return _forecasts(walk_forward.linear_forecasts(flag_px(spark, folder), RANDOM))
 
 
+RANDOM_GROWING = RANDOM.but(sliding_window=False, block_rows=500)
+
+
+def wf_random_growing(spark, folder):
+    """Validation rows drawn from the whole past, over several blocks."""
+    return _forecasts(walk_forward.linear_forecasts(flag_px(spark, folder), RANDOM_GROWING))
+
+
 # --- support vector regression ---------------------------------------------
 
 def svr_tube_single(spark, folder):
@@ -346,6 +355,33 @@ def custom_split(spark, folder):
     return _forecasts(forecaster.single_split(supp_px(spark, folder), ONE_LAG, Ridge()))
 
 
+@dataclass(frozen=True)
+class MedianBySign(blackbox.BlackBox):
+    """The median target of the training rows whose input had the sign of the row's own input."""
+
+    name: str = "median"
+
+    def train(self, x, y, x_validation, y_validation):
+        rising = x[:, 0] > 0
+        return [np.median(y[side]) if side.any() else np.median(y) for side in (~rising, rising)]
+
+    def predict(self, model, x):
+        return np.where(x[:, 0] > 0, model[1], model[0])
+
+
+BLACKBOX = LR.but(frequency=7)
+BLACKBOX_GROWING = LR.but(frequency=42, validation_size=2, sliding_window=False, block_rows=500)
+
+
+def wf_custom_blackbox(spark, folder):
+    """A model that no summary gives, trained by its own code on every fold."""
+    return _forecasts(blackbox.walk_forward(flag_px(spark, folder), BLACKBOX, MedianBySign()))
+
+
+def wf_custom_blackbox_growing(spark, folder):
+    return _forecasts(blackbox.walk_forward(flag_px(spark, folder), BLACKBOX_GROWING, MedianBySign()))
+
+
 # --- evaluation ------------------------------------------------------------
 
 def _flag_forecasts(spark, folder) -> DataFrame:
@@ -417,6 +453,28 @@ def grid_leaderboard(spark, folder):
     return _rounded(metrics.leaderboard(scored).withColumn("place", F.col("place").cast("bigint")))
 
 
+#: Settings of all series: windows x refit schedules.
+GRID_SETTINGS = [
+    (f"{m}_{w}_{f}", None, m, 5.0 if m == "ridge" else 0.0, w, 10, v, f)
+    for w, v, m in ((63, 2, "lr"), (126, 5, "ridge"), (252, 1, "nonneg"))
+    for f in (1, 7)
+]
+
+
+def _settings(spark, folder) -> DataFrame:
+    """The settings of all series, and one more for every tenth supplier."""
+    keys = source.read_table(spark, folder, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").cast("string").alias("series_id"))
+    own = keys.selectExpr("'own' AS setting", "series_id", "'mean' AS model", "0.0D AS penalty", "100 AS window_size", "5 AS prediction_length", "3 AS validation_size", "5 AS frequency")
+    return spark.createDataFrame(GRID_SETTINGS, grid.SETTINGS).unionByName(own)
+
+
+def grid_settings(spark, folder):
+    """All settings of a table over all series in one pass, scored and ranked."""
+    made = grid.grid_forecasts(supp_px(spark, folder), _settings(spark, folder), GRID)
+    scored = metrics.scores(made).select("series_id", "model", "n_obs", "rmse", "mae")
+    return _rounded(metrics.leaderboard(scored).withColumn("place", F.col("place").cast("bigint")))
+
+
 # --- model table -----------------------------------------------------------
 
 def model_roundtrip(spark, folder):

@@ -18,11 +18,11 @@ split_train_val_test fold_schedule fold_schedule_growing
 wf_val_rows fold_train_anti fold_targets_semi fold_score_rows
 lr_single_split lr_multi_feature lr_no_intercept lr_nonneg
 wf_lr_sliding wf_lr_suppliers wf_lr_growing wf_lr_refit7 wf_lr_two_features
-wf_lr_long_returns wf_lr_blocked wf_random_validation
+wf_lr_long_returns wf_lr_blocked wf_random_validation wf_random_growing wf_custom_blackbox wf_custom_blackbox_growing
 svr_tube_single wf_svr_tube wf_svr_tube_growing
 wf_svr_flat wf_custom_mean wf_custom_ridge custom_split
 wf_error wf_sq_error wf_metrics cum_log_return cum_log_return_single cum_log_return_models
-reattach_dates grid_leaderboard model_roundtrip wf_model_reload csv_roundtrip
+reattach_dates grid_leaderboard grid_settings model_roundtrip wf_model_reload csv_roundtrip
 """
 
 AUTOREGRESSIVE = """

@@ -32,6 +32,10 @@ class Moments:
             every = tuple((a, b) for k, a in enumerate(self.names) for b in self.names[k:])
             object.__setattr__(self, "pairs", every)
 
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return self.names
+
     @staticmethod
     def _c(a: str, b: str) -> str:
         return f"c_{a}_{b}"
@@ -170,6 +174,13 @@ class Sums:
             *[(a[v] + F.coalesce(b[v], F.lit(0.0))).alias(v) for v in ("n", *self.names)]
         )
 
+    def without(self, a: Column, b: Column) -> Column:
+        return F.struct(*[(a[v] - F.coalesce(b[v], F.lit(0.0))).alias(v) for v in ("n", *self.names)])
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return self.names
+
     def running(self, parts: Column, frame: WindowSpec, pivot: Column) -> Column:
         return F.struct(
             *[F.coalesce(F.sum(parts[v]).over(frame), F.lit(0.0)).alias(v) for v in ("n", *self.names)]
@@ -182,6 +193,10 @@ class Bundle:
 
     parts: tuple[tuple[str, object], ...]
 
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(c for _, s in self.parts for c in s.columns))
+
     def _each(self, make) -> Column:
         return F.struct(*[make(name, s).alias(name) for name, s in self.parts])
 
@@ -193,3 +208,6 @@ class Bundle:
 
     def running(self, parts: Column, frame: WindowSpec, pivot: Column) -> Column:
         return self._each(lambda name, s: s.running(parts[name], frame, pivot[name]))
+
+    def without(self, a: Column, b: Column) -> Column:
+        return self._each(lambda name, s: s.without(a[name], b[name]))

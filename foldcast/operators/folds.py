@@ -32,7 +32,6 @@ class FoldSpec:
     validation_size: int = 10
     sliding_window: bool = True
     random_validation: bool = False
-    train_from_scratch: bool = False
     lags: int = 1
     strict: bool = False
     infinite_target: str = "drop"
@@ -97,12 +96,9 @@ class FoldSpec:
         return [f"{x}_l" for x in self.inputs]
 
 
-LINEAR = FoldSpec(
-    start_date="2004-11-08", end_date="2021-06-01", frequency=1, validation_size=1, train_from_scratch=True
-)
+LINEAR = FoldSpec(start_date="2004-11-08", end_date="2021-06-01", frequency=1, validation_size=1)
 SUPPORT_VECTOR = LINEAR.but(validation_size=2)
 AUTOREGRESSIVE = LINEAR.but(frequency=42, validation_size=2, sliding_window=False)
-NETWORK = LINEAR.but(frequency=7, validation_size=21, train_from_scratch=False, lags=2)
 
 
 def _return_columns(spec: FoldSpec, over) -> dict[str, Column]:
@@ -276,3 +272,11 @@ def random_positions(low: Column, count: Column, draws: int, tag: list[Column])
     empty = F.array().cast("array<bigint>")
     picked = F.aggregate(F.sequence(count - draws, count - 1), empty, add)
     return F.transform(picked, lambda x: x + low)
+
+
+def random_draw(spec: FoldSpec) -> Column:
+    """Target positions of the V random validation pairs of the fold of each row."""
+    p, w = spec.prediction_length, spec.window_size
+    low = F.col("t") - w + p if spec.sliding_window else F.lit(p).cast("bigint")
+    count = F.lit(w).cast("bigint") if spec.sliding_window else F.col("t")
+    return random_positions(low, count, spec.validation_size, [F.col("series_id"), F.col("t"), F.lit(spec.seed)])

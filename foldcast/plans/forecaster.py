@@ -17,7 +17,7 @@ from foldcast.functions.summaries import Bundle, Moments
 from foldcast.operators.blocks import BLOCK, spread
 from foldcast.operators.folds import FoldSpec, carry_fit, fold_rows, land
 from foldcast.plans.single_split import SplitSpec, fit_train, split_rows
-from foldcast.plans.walk_forward import summarise
+from foldcast.plans.walk_forward import summarise, take_out_random
 
 
 class Forecaster(ABC):
@@ -83,9 +83,9 @@ def _by_model(rows: DataFrame, forecasters: tuple[Forecaster, ...]) -> DataFrame
 def walk_forward(prices: DataFrame, spec: FoldSpec, *forecasters: Forecaster) -> DataFrame:
     """Forecasts of every scheduled fold; all forecasters share one pass over the blocks."""
     bundle = Bundle(tuple((f"f{k}", f.summary(spec.train_inputs, "y_l")) for k, f in enumerate(forecasters)))
-    if spec.random_validation:
-        raise ValueError("random validation is for linear_forecasts")
     rows = summarise(fold_rows(prices, spec), spec, bundle)
+    if spec.random_validation:
+        rows = take_out_random(rows, spec, bundle)
     rows = rows.withColumn("fit", _fits(F.col("train"), forecasters, spec.train_inputs, "y_l")).drop("train")
     rows = _scored(carry_fit(rows, spec), forecasters, spec.inputs)
     return _by_model(land(rows, spec, ""), forecasters)

@@ -27,9 +27,6 @@ class SplitSpec:
         return [f"x{m}" for m in range(self.lags, 0, -1)]
 
 
-RECURRENT_SPLIT = SplitSpec(lags=2, validation_size=0.01)
-
-
 def split_rows(prices: DataFrame, spec: SplitSpec = SplitSpec()) -> DataFrame:
     """Blocked rows with lagged returns ``x*``, the return ``y`` and a role.
 

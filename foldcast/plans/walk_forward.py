@@ -17,7 +17,7 @@ from foldcast.operators.folds import (
     complete_from,
     fold_rows,
     land,
-    random_positions,
+    random_draw,
     refits,
 )
 
@@ -30,35 +30,27 @@ def summarise(rows: DataFrame, spec: FoldSpec, summary, name: str = "train") ->
     return frames.growing(rows, summary, spec.withheld, name, valid, seen)
 
 
-def take_out_random(rows: DataFrame, spec: FoldSpec, moments: Moments) -> DataFrame:
+def take_out_random(rows: DataFrame, spec: FoldSpec, summary, name: str = "train") -> DataFrame:
     """Withhold V random pairs of every refitted fold.
 
-    Only the V drawn rows are looked up, by their position in the block; the
-    rest of the fold is the frame summary without them.
+    Only the V drawn rows are looked up; the rest of the fold is the frame
+    summary without them. Drawn rows of a growing window may lie in any earlier block, so they are looked
+    up where they are own rows, by ``(series_id, block, i)``.
     """
-    p, w = spec.prediction_length, spec.window_size
-    if not spec.sliding_window:
-        raise ValueError("random validation is drawn from sliding windows")
-    low = F.col("t") - w + p
-    picked = rows.where(refits(spec) & (F.col("i") >= low)).select(
-        *BLOCK,
-        F.col("i").alias("at"),
-        F.explode(
-            random_positions(
-                low, F.lit(w).cast("bigint"), spec.validation_size,
-                [F.col("series_id"), F.col("t"), F.lit(spec.seed)],
-            )
-        ).alias("i"),
+    drawn = rows.where(refits(spec) & (F.col("t") >= spec.window_size)).select(
+        *BLOCK, F.col("i").alias("at"), F.explode(random_draw(spec)).alias("i")
     )
-    values = rows.select(*BLOCK, "i", *moments.names)
+    home = F.floor(F.col("i") / spec.block_size)
+    picked = drawn.withColumnsRenamed({"block": "at_block"}).withColumn("block", home)
+    values = rows.where("own").select(*BLOCK, "i", *summary.columns)
     held = (
         picked.join(values, [*BLOCK, "i"])
-        .groupBy(*BLOCK, F.col("at").alias("i"))
-        .agg(moments.aggregate().alias("_held"))
+        .groupBy("series_id", F.col("at_block").alias("block"), F.col("at").alias("i"))
+        .agg(summary.aggregate().alias("_held"))
     )
     joined = rows.join(held, [*BLOCK, "i"], "left")
-    rest = F.when(F.col("_held").isNotNull(), moments.without(F.col("train"), F.col("_held")))
-    return joined.withColumn("train", F.coalesce(rest, F.col("train"))).drop("_held")
+    rest = F.when(F.col("_held").isNotNull(), summary.without(F.col(name), F.col("_held")))
+    return joined.withColumn(name, F.coalesce(rest, F.col(name))).drop("_held")
 
 
 def linear_forecasts(
