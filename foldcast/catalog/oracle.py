@@ -81,10 +81,10 @@ moved AS (SELECT r.sid, r.dt, r.i, r.n, m.* EXCLUDE (sid, i), r.y AS "true"
 FORECAST_OUT = f"""SELECT sid AS series_id, dt, {r6('pred', 'pred')}, {r6('"true"', '"true"')} FROM moved"""
 
 
-def linear_wf(kind: str, spec: FoldSpec) -> str:
+def linear_wf(kind: str, spec: FoldSpec, stored: str = "true") -> str:
     if spec.lags == 1:
         fit = f"""fit AS (SELECT f.sid, f.t, regr_intercept(a.y, a.x1) AS c0, regr_slope(a.y, a.x1) AS c1
-            FROM {train_join(spec)} GROUP BY 1, 2)"""
+            FROM {train_join(spec)} WHERE {stored} GROUP BY 1, 2)"""
         forecast = "c0 + c1 * r.x1 AS pred"
     else:
         fit = f"""mom AS (SELECT f.sid, f.t, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS s11,
@@ -308,6 +308,71 @@ def ar_wf(kind: str, spec: FoldSpec, max_p: int, compat: bool = False) -> str:
     return ",\n".join(out)
 
 
+def nested_fits(chain: str, key: str, max_p: int, extra: str = "") -> str:
+    """One row per order of a chain over [input, lags]: AIC, intercept c0, slope b, phi1.. with zeros."""
+    out = []
+    for p in range(max_p + 1):
+        on_z = [f"c{j}" for j in range(1, p + 2)]
+        beta = [""] * (p + 1)
+        for j in range(p + 1, 0, -1):
+            beta[j - 1] = f"({on_z[j - 1]})"
+            for i in range(1, j):
+                on_z[i - 1] = f"{on_z[i - 1]} - {beta[j - 1]} * s{j}_{i}"
+        c0 = "yb" + "".join(f" - {beta[j]} * m{j + 1}" for j in range(p + 1))
+        phis = "".join(f", any_value({beta[a]}) AS phi{a}" if a <= p else f", 0.0::DOUBLE AS phi{a}" for a in range(1, max_p + 1))
+        out.append(f"""SELECT {key}, {p} AS p{extra}, any_value(n_tr) * ln(any_value(rss_{p + 1}) / any_value(n_tr)) + 2 * ({p} + 2) AS aic,
+            any_value({c0}) AS c0, any_value({beta[0]}) AS b{phis} FROM {chain} GROUP BY {key}""")
+    return " UNION ALL ".join(out)
+
+
+def ar_wf_tested(kind: str, spec: FoldSpec, max_p: int, most: int = 2, critical: float = 0.463, longest: int = 12) -> str:
+    """Level test, difference, order and recursion of every fold, from the training rows themselves."""
+    p_ahead, v, w = spec.prediction_length, spec.validation_size, spec.window_size
+    oldest = f"f.t - {w} + {p_ahead}" if spec.sliding_window else f"{p_ahead}"
+    diff = ["{c}", "{c} - lag({c}) OVER w", "{c} - 2 * lag({c}) OVER w + lag({c}, 2) OVER w"]
+    columns = ", ".join(f"{diff[d].format(c=c)} AS {c}{d}" for d in range(most + 1) for c in ("y", "u"))
+    lags = ", ".join(f"lag(y{d}, {a}) OVER w AS y{d}_{a}" for d in range(most + 1) for a in range(1, max_p + 1))
+    out = [f"""{capped_returns(kind, spec)},
+    tgt AS MATERIALIZED (SELECT b.sid, b.i, coalesce(b.y, 0) AS y, coalesce(a.x1, 0) AS u FROM ret b JOIN ret a ON a.sid = b.sid AND a.i = b.i - {p_ahead}),
+    df AS (SELECT *, {columns} FROM tgt WINDOW w AS (PARTITION BY sid ORDER BY i)),
+    dl AS MATERIALIZED (SELECT *, {lags} FROM df WINDOW w AS (PARTITION BY sid ORDER BY i))"""]
+    for d in range(most):
+        shifted = ", ".join(f"e * lag(e, {s}) OVER w AS g{s}" for s in range(1, longest + 1))
+        gammas = " + ".join(f"2 * greatest(0, 1 - {s} / (any_value(l) + 1)) * coalesce(sum(g{s}), 0)" for s in range(1, longest + 1))
+        out.append(f"""lt{d} AS (SELECT f.sid, f.t, dl.i, y{d} - avg(y{d}) OVER q AS e, floor(sqrt(count(*) OVER q) * 3 / 13) AS l
+            FROM fold f JOIN dl ON dl.sid = f.sid AND dl.i BETWEEN {oldest} + {d} AND f.e - {v} WINDOW q AS (PARTITION BY f.sid, f.t)),
+        ls{d} AS (SELECT *, sum(e) OVER w AS ps, {shifted} FROM lt{d} WINDOW w AS (PARTITION BY sid, t ORDER BY i)),
+        st{d} AS MATERIALIZED (SELECT sid, t, sum(ps * ps) / (count(*) * (sum(e * e) + {gammas})) AS st FROM ls{d} GROUP BY 1, 2)""")
+    tests = " ".join(f"WHEN st{d}.st < {critical} THEN {d}" for d in range(most))
+    joins = " ".join(f"JOIN st{d} ON st{d}.sid = f.sid AND st{d}.t = f.t" for d in range(most))
+    out.append(f"pick AS MATERIALIZED (SELECT f.sid, f.t, f.e, CASE {tests} ELSE {most} END AS d FROM fold f {joins})")
+    for d in range(most + 1):
+        features = [f"u{d}"] + [f"y{d}_{a}" for a in range(1, max_p + 1)]
+        chain = gram_schmidt(f"ex{d}", "sid, t", features, f"y{d}", "true", f"g{d}")
+        out.append(f"""ex{d} AS (SELECT f.sid, f.t, f.d, {", ".join(f"dl.{c}" for c in [f"y{d}", *features])} FROM pick f JOIN dl ON dl.sid = f.sid
+            AND dl.i BETWEEN {oldest} + {max_p + most} AND f.e - {v} WHERE f.d = {d}), {chain}""")
+    every = " UNION ALL ".join(nested_fits(f"g{d}", "sid, t", max_p, f", {d} AS d") for d in range(most + 1))
+    out.append(f"fit AS MATERIALIZED (SELECT * FROM ({every}) QUALIFY row_number() OVER (PARTITION BY sid, t ORDER BY round(aic, 9), p) = 1)")
+    steps = p_ahead + v
+    xs = ", ".join(f"lag(x1, {k}) OVER w AS q{k}" for k in range(steps + most))
+    out.append(f"rx AS (SELECT sid, i, t, {xs} FROM ret WINDOW w AS (PARTITION BY sid ORDER BY i))")
+    by_d = lambda make: "CASE fit.d " + " ".join(f"WHEN {d} THEN {make(d)}" for d in range(most + 1)) + " END"
+    state = ", ".join(f"{by_d(lambda d: f's{a}.y{d}')} AS st{a}" for a in range(max_p))  # noqa: B023
+    at = " ".join(f"LEFT JOIN dl s{a} ON s{a}.sid = r.sid AND s{a}.i = r.t + {p_ahead - 1 - v - a}" for a in range(max_p))
+    out.append(f"""h0 AS (SELECT r.*, fit.d, fit.c0, fit.b, {", ".join(f"fit.phi{a}" for a in range(1, max_p + 1))}, {state}, s0.y AS lev, s0.y - s1.y AS slo
+        FROM rx r ASOF JOIN fit ON r.sid = fit.sid AND r.t >= fit.t {at})""")
+    for h in range(1, steps + 1):
+        k = steps - h
+        u = f"CASE d WHEN 0 THEN q{k} WHEN 1 THEN q{k} - q{k + 1} ELSE q{k} - 2 * q{k + 1} + q{k + 2} END"
+        moved = ", ".join(["nv AS st0"] + [f"st{a - 1} AS st{a}" for a in range(1, max_p)])
+        out.append(f"""n{h} AS (SELECT *, c0 + b * ({u}) + {" + ".join(f"phi{a} * st{a - 1}" for a in range(1, max_p + 1))} AS nv FROM h{h - 1}),
+        h{h} AS (SELECT * EXCLUDE (nv) REPLACE ({moved}, CASE d WHEN 2 THEN slo + nv ELSE nv END AS slo,
+            CASE d WHEN 0 THEN nv WHEN 1 THEN lev + nv ELSE lev + slo + nv END AS lev) FROM n{h})""")
+    out.append(f"""made AS (SELECT sid, i, lev AS pred FROM h{steps}),
+    moved AS (SELECT r.sid, r.dt, m.pred, r.y AS "true" FROM ret r LEFT JOIN made m ON m.sid = r.sid AND m.i = r.i - {p_ahead} WHERE r.i >= {w + 2 * p_ahead - 1})""")
+    return ",\n".join(out)
+
+
 def kpss(kind: str, lags: int) -> str:
     gammas = " + ".join(f"2 * {1 - s / (lags + 1)!r} * sum(g{s})" for s in range(1, lags + 1))
     shifted = ", ".join(f"e * lag(e, {s}) OVER w AS g{s}" for s in range(1, lags + 1))
@@ -364,16 +429,15 @@ def supervised(kind: str, n_in: int, n_out: int) -> str:
 
 
 def members() -> str:
+    """Rows of a fold by plain bounds: t-W .. t-V-1 train, t-V .. t-1 validate, t .. t+P-1 are scored."""
     spec = q.MEMBERS
     w, p, v = spec.window_size, spec.prediction_length, spec.validation_size
-    return f"""WITH {capped_returns("flag", spec)},
-mem AS MATERIALIZED (SELECT f.sid, f.t, r.i, r.x1, t.y FROM fold f JOIN ret r ON r.sid = f.sid AND r.i BETWEEN f.t - {w} AND f.t + {p - 1}
-    LEFT JOIN ret t ON t.sid = r.sid AND t.i = r.i + {p} AND t.i <= f.t + {p - 1}),
-score AS MATERIALIZED (SELECT sid, t, i FROM mem WHERE y IS NULL AND i >= t),
-val AS MATERIALIZED (SELECT sid, t, i FROM (SELECT m.sid, m.t, m.i, row_number() OVER (PARTITION BY m.sid, m.t ORDER BY m.i DESC) AS k
-    FROM mem m ANTI JOIN score s ON s.sid = m.sid AND s.t = m.t AND s.i = m.i) WHERE k <= {v}),
-train AS MATERIALIZED (SELECT m.* FROM mem m ANTI JOIN score s ON s.sid = m.sid AND s.t = m.t AND s.i = m.i
-    ANTI JOIN val v ON v.sid = m.sid AND v.t = m.t AND v.i = m.i)"""
+
+    def rows(low: int, high: int) -> str:
+        return f"""SELECT f.sid, f.t, r.i, r.x1, r.ahead AS y FROM (SELECT sid, t, unnest(range(t + {low}, t + {high})) AS i FROM fold) f
+            JOIN (SELECT *, lead(y, {p}) OVER (PARTITION BY sid ORDER BY i) AS ahead FROM ret) r ON r.sid = f.sid AND r.i = f.i"""
+
+    return f"""WITH {capped_returns("flag", spec)}, score AS ({rows(0, p)}), val AS ({rows(-v, 0)}), train AS ({rows(-w, -v)})"""
 
 
 def cumulative(ctes: str) -> str:
@@ -446,14 +510,10 @@ def oracle_sql() -> dict[str, str]:
         "split_train_val_test": f"WITH {split_rows('supp', 1)} SELECT sid AS series_id, dt, i, role FROM spl",
         "fold_schedule": schedule("flag", lr.but(frequency=7)),
         "fold_schedule_growing": schedule("supp", lr.but(sliding_window=False)),
-        "wf_val_rows": f"""{members()} SELECT m.sid AS series_id, m.t, m.i, {r6('coalesce(m.x1, 0)', 'x')},
-            {r6('coalesce(m.y, 0)', 'target')} FROM mem m SEMI JOIN val v ON v.sid = m.sid AND v.t = m.t AND v.i = m.i""",
+        "wf_val_rows": f"{members()} SELECT sid AS series_id, t, i, {r6('coalesce(x1, 0)', 'x')}, {r6('coalesce(y, 0)', 'target')} FROM val",
         "fold_train_anti": f"{members()} SELECT sid AS series_id, t, i, {r6('coalesce(x1, 0)', 'x')} FROM train",
-        "fold_targets_semi": f"""{members()} SELECT f.sid AS series_id, f.t, r.i - {q.MEMBERS.prediction_length} AS i,
-            {r6('coalesce(r.y, 0)', 'target')} FROM fold f JOIN ret r ON r.sid = f.sid
-            SEMI JOIN train tr ON tr.sid = f.sid AND tr.t = f.t AND tr.i = r.i - {q.MEMBERS.prediction_length}""",
-        "fold_score_rows": f"""{members()} SELECT m.sid AS series_id, m.t, m.i, {r6('m.x1', 'x')}
-            FROM mem m SEMI JOIN score s ON s.sid = m.sid AND s.t = m.t AND s.i = m.i""",
+        "fold_targets_semi": f"{members()} SELECT sid AS series_id, t, i, {r6('coalesce(y, 0)', 'target')} FROM train",
+        "fold_score_rows": f"{members()} SELECT sid AS series_id, t, i, {r6('x1', 'x')} FROM score",
         "lr_single_split": f"WITH {split_linear('supp', 1)} {FORECAST_OUT}",
         "lr_multi_feature": f"WITH {split_linear('flag', 3)} {FORECAST_OUT}",
         "lr_no_intercept": f"WITH {split_linear('flag', 1, 'no_intercept')} {FORECAST_OUT}",
@@ -492,8 +552,11 @@ def oracle_sql() -> dict[str, str]:
         "wf_arx_forecast": f"WITH {ar_wf('flag', q.AR, 5)} {FORECAST_OUT}",
         "wf_arx_sliding": f"WITH {ar_wf('flag', q.AR.but(sliding_window=True), 5)} {FORECAST_OUT}",
         "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 5, compat=True)} {FORECAST_OUT}",
+        "wf_arx_difference_sliding": f"WITH {ar_wf_tested('flag', q.AR_SLIDING, 5)} {FORECAST_OUT}",
+        "wf_arx_difference": f"WITH {ar_wf_tested('flag', q.AR, 5)} {FORECAST_OUT}",
         "wf_svr_flat": f"WITH {tube_wf('flag', svr.but(frequency=7), 1e6)} {FORECAST_OUT}",
         "wf_model_reload": f"WITH {linear_wf('flag', lr.but(frequency=7))} {FORECAST_OUT}",
+        "wf_model_asof": f"WITH {linear_wf('flag', lr.but(frequency=7), 't // 7 % 3 <> 1')} {FORECAST_OUT}",
         "csv_roundtrip": f"WITH {px('flag')} {plain} px",
         "wf_custom_mean": f"""WITH {capped_returns('flag', mean)}, fit AS (SELECT f.sid, f.t, avg(a.y) AS c0 FROM {train_join(mean)} GROUP BY 1, 2),
             {landed(mean, 'c0 AS pred')} {FORECAST_OUT}""",

@@ -500,6 +500,16 @@ def wf_model_reload(spark, folder):
     return _forecasts(walk_forward.forecasts_from(flag_px(spark, folder), loaded, spec))
 
 
+def wf_model_asof(spark, folder):
+    """Every third refit is missing from the table; rows take the newest fit that is there."""
+    spec = LR.but(frequency=7)
+    run, path = uuid.uuid4().hex, f"{shared_dir(spark)}/models"
+    fits = walk_forward.refit_table(flag_px(spark, folder), spec).where("refit_t div 7 % 3 <> 1")
+    model_table.save_models(model_table.as_model_table(fits, "lr", run), path)
+    loaded = model_table.load_models(spark, path, "lr", run)
+    return _forecasts(walk_forward.forecasts_from(flag_px(spark, folder), loaded, spec, newest=True))
+
+
 def csv_roundtrip(spark, folder):
     """Prices written as a wide CSV file and read back."""
     path = f"{shared_dir(spark)}/prices-{uuid.uuid4().hex}"
@@ -559,6 +569,15 @@ def wf_arx_difference(spark, folder):
     return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR, ar))
 
 
+AR_SLIDING = AR.but(sliding_window=True, block_rows=600)
+
+
+def wf_arx_difference_sliding(spark, folder):
+    """Difference chosen per fold of a sliding window, whatever the lags of the level test."""
+    ar = autoregressive.ArSpec(difference=None)
+    return _forecasts(autoregressive.autoregressive_forecasts(flag_px(spark, folder), AR_SLIDING, ar))
+
+
 def arma_hr(spark, folder):
     """Orders with moving-average terms, least AIC per fold."""
     out = moving_average.moving_average_forecasts(flag_px(spark, folder), AR)

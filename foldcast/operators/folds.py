@@ -134,15 +134,15 @@ def numbered_prices(prices: DataFrame, spec: FoldSpec) -> DataFrame:
     return rows.withColumn("n", F.when(fits, F.col("n")).otherwise(F.raise_error(told).cast("bigint")))
 
 
-def fold_rows(prices: DataFrame, spec: FoldSpec) -> DataFrame:
+def fold_rows(prices: DataFrame, spec: FoldSpec, attach=None) -> DataFrame:
     """Blocked rows with inputs ``x*``, target ``y`` and training pairs ``x*_l, y_l``.
 
-    A pair is NULL as a whole before row P and where the target is infinite;
+    ``attach`` may add columns to the numbered rows before they are cut into blocks. A pair is NULL as a whole before row P and where the target is infinite;
     other missing values inside a pair are 0. Inputs to be scored stay missing.
     """
     numbered = numbered_prices(prices, spec)
     blocks = to_blocks(
-        numbered,
+        attach(numbered) if attach else numbered,
         halo=spec.halo,
         block_rows=spec.block_size,
         segment=spec.frame_length,

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldcast.functions.regression import swept
@@ -204,12 +204,12 @@ def order_search(prices: DataFrame, spec: ArSpec, split: SplitSpec = SplitSpec(l
 def autoregressive_fits(prices: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[DataFrame, FoldSpec]:
     """Blocked rows with the chosen fit in force, and the settings with the wider halo."""
     ahead = spec.prediction_length + spec.validation_size
-    if ar.difference is None and ar.kpss_lags is None and ar.longest_lags is None:
+    if ar.difference is None and ar.kpss_lags is None and ar.longest_lags is None and not spec.sliding_window:
         longest = prices.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
         ar = replace(ar, longest_lags=int(math.sqrt(longest) * 3.0 / 13.0))
     reach = ar.max_p + max(ar.differences) + ahead
     if ar.difference is None:
-        reach += _lag_bound(ar)
+        reach += _window_lags(spec, ar, 0) + 1 if spec.sliding_window else _lag_bound(ar)
     spec = spec.but(extra_rows=reach)
     inputs = spec.train_inputs
     rows = lagged_columns(fold_rows(prices, spec), ar, "y_l", inputs, spec.prediction_length)
@@ -218,7 +218,9 @@ def autoregressive_fits(prices: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[
         us, vs, v = _names(d, inputs, ar.max_p)
         moments[d] = Moments((*us, *vs, v))
         parts.append((f"m{d}", moments[d]))
-    if ar.difference is None:
+    if ar.difference is None and spec.sliding_window:
+        rows = window_level_tests(rows, spec, ar)
+    elif ar.difference is None:
         rows, tests = level_test_columns(rows, spec, ar)
         parts += tests
     everything = Bundle(tuple(parts))
@@ -245,10 +247,69 @@ def _lag_bound(ar: ArSpec) -> int:
     return ar.longest_lags if ar.kpss_lags is None else ar.kpss_lags
 
 
+def _window_lags(spec: FoldSpec, ar: ArSpec, d: int) -> int:
+    """Lags of the level test of a sliding fold, whose length is known."""
+    if ar.kpss_lags is not None:
+        return ar.kpss_lags
+    return int(math.sqrt(spec.window_size - spec.validation_size - d) * 3.0 / 13.0)
+
+
+def window_level_tests(rows: DataFrame, spec: FoldSpec, ar: ArSpec) -> DataFrame:
+    """Level test ``_level{d}`` of the fold of each row, for sliding windows.
+
+    With C the running total of the targets, m a fold's mean and l the lags, the Bartlett
+    long-run variance is the sum of squares of the l + 1 rows' moving sums of
+    deviations, with nothing beyond the ends of the fold, over l + 1. Inside the fold a moving sum is a
+    difference of two totals; the l partial sums at either end start or end at the fold's own end.
+    All of them, and the test's own partial sums, are squares of C - base - m k, so the sums of
+    C, C^2 and k C over the fold, its first l and its last l rows are enough at any l.
+    """
+    start = F.col("block") * spec.block_size
+    for d in ar.differences[:-1]:
+        lags = _window_lags(spec, ar, d)
+        back, skip = spec.window_size - 1 - d, spec.withheld
+        n = back - skip + 1
+        v = F.when(F.col("i") >= spec.prediction_length + d, F.coalesce(F.col(f"d{d}_v_all"), F.lit(0.0))).otherwise(F.lit(0.0))
+        order = in_block()
+        rows = rows.withColumn("_total", F.sum(v).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        total, at = F.col("_total"), (F.col("i") - start).cast("double")
+        moving = total - F.coalesce(F.lag("_total", lags + 1).over(order), F.lit(0.0))
+        rows = rows.withColumns({"_c": total, "_cc": total * total, "_kc": at * total, "_m": moving})
+        rows = rows.withColumn("_mm", F.col("_m") * F.col("_m"))
+        ends = {"_before": F.lag("_total", back + 1).over(order), "_last": F.lag("_total", skip).over(order) if skip else total}
+        if lags:
+            head, tail = order.rowsBetween(-back, lags - 1 - back), order.rowsBetween(-skip - lags, -skip - 1)
+            ends |= {f"_head{c}": F.sum(c).over(head) for c in ("_c", "_cc", "_kc", "_m", "_mm")}
+            ends |= {f"_tail{c}": F.sum(c).over(tail) for c in ("_c", "_cc", "_kc")}
+        rows = rows.withColumns(ends).withColumn("seg", F.floor(F.col("i") / n))
+        rows = frames.sliding(rows, Sums(("_c", "_cc", "_kc", "_m", "_mm")), back, skip, "_fold")
+        base, last, fold = F.coalesce("_before", F.lit(0.0)), F.col("_last"), F.col("_fold")
+        mean = (last - base) / float(n)
+
+        def squares(c: Column, cc: Column, kc: Column, count: float, from_: Column, zero: Column, k: float, kk: float) -> Column:
+            """Sum of (C - from_ - mean * (at - zero))^2 over ``count`` rows, whose at - zero sum to k, and squared to kk."""
+            return cc - 2.0 * from_ * c + count * from_ * from_ - 2.0 * mean * (kc - zero * c - from_ * k) + mean * mean * kk
+
+        first, m = at - float(back + 1), lags
+        steps = squares(fold["_c"], fold["_cc"], fold["_kc"], n, base, first, n * (n + 1) / 2.0, n * (n + 1) * (2.0 * n + 1) / 6.0)
+        inner, inner2 = fold["_m"], fold["_mm"]
+        edges = F.lit(0.0)
+        if lags:
+            k, kk = m * (m + 1) / 2.0, m * (m + 1) * (2.0 * m + 1) / 6.0
+            edges = squares(*(F.col(f"_head{c}") for c in ("_c", "_cc", "_kc")), m, base, first, k, kk)
+            edges = edges + squares(*(F.col(f"_tail{c}") for c in ("_c", "_cc", "_kc")), m, last, at - float(skip), -k, kk)
+            inner, inner2 = inner - F.col("_head_m"), inner2 - F.col("_head_mm")
+        wide = (m + 1) * mean
+        spread = (inner2 - 2.0 * wide * inner + float(n - m) * wide * wide + edges) / float(m + 1)
+        # what rounding leaves of a constant series is no variance
+        known = F.when(spread > 1e-13 * (fold["_cc"] + base * base), spread)
+        rows = rows.withColumn(f"_level{d}", F.try_divide(steps, n * known))
+        rows = rows.drop("_total", "_c", "_cc", "_kc", "_m", "_mm", "_fold", "_nseg", *ends)
+    return rows
+
+
 def level_test_columns(rows: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[DataFrame, list]:
-    """Columns whose sums over a fold give the level test of each tested difference."""
-    if spec.sliding_window:
-        raise ValueError("choosing the difference is supported for growing windows")
+    """Columns whose sums over a fold give the level test of each tested difference, for growing windows."""
     tested = ar.differences[:-1]
     valid, seen = complete_from(spec)
     ranks = {d: F.col("i") - (spec.prediction_length + d) + 1 for d in tested}
@@ -279,9 +340,13 @@ def level_test_columns(rows: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[Dat
 
 def chosen_difference(spec: FoldSpec, ar: ArSpec) -> Column:
     """The smallest difference whose training targets pass the level test."""
-    bound = _lag_bound(ar)
     picks = []
     for d in ar.differences[:-1]:
+        if spec.sliding_window:
+            accept = F.coalesce(F.col(f"_level{d}") < KPSS_CRITICAL[ar.alpha], F.lit(True))
+            picks.append(F.when(F.when(refits(spec), accept), F.lit(d)))
+            continue
+        bound = _lag_bound(ar)
         k = F.col("train")[f"k{d}"]
         n, total = k["n"], k[f"k{d}_v"]
         mean = F.try_divide(total, n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldcast.functions.regression import least_squares, linear_score
 from foldcast.functions.summaries import Extremes, Moments
 from foldcast.operators import frames
+from foldcast.operators.asof import attach_newest
 from foldcast.operators.blocks import BLOCK
 from foldcast.operators.folds import (
     LINEAR,
@@ -90,14 +91,25 @@ def refit_table(prices: DataFrame, spec: FoldSpec = LINEAR, **how) -> DataFrame:
     return rows.select("series_id", F.col("fit.*"))
 
 
-def forecasts_from(prices: DataFrame, fits: DataFrame, spec: FoldSpec = LINEAR, model: str = "lr") -> DataFrame:
-    """Forecasts of stored fits ``(series_id, refit_t, intercept, coef)`` instead of fitted ones.
+def forecasts_from(
+    prices: DataFrame, fits: DataFrame, spec: FoldSpec = LINEAR, model: str = "lr", newest: bool = False
+) -> DataFrame:
+    """Forecasts of stored fits ``(series_id, refit_t, fit_dt, intercept, coef)`` instead of fitted ones.
 
-    A row takes the fit of its scheduled refit; a refit that is not stored gives NULL.
+    A row takes the fit of its scheduled refit; a refit that is not stored gives NULL. With
+    ``newest`` a row takes the newest fit stored at or before its own date, so that a run with gaps,
+    or one that ended earlier, serves later data; positions need not agree then.
     """
-    rows = fold_rows(prices, spec).withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
-    stored = fits.select("series_id", F.col("refit_t").cast("bigint"), "intercept", "coef")
-    rows = rows.join(stored, ["series_id", "refit_t"], "left")
+    if newest:
+        stored = fits.select("series_id", F.col("fit_dt").alias("dt"), F.struct(F.col("refit_t"), "intercept", "coef").alias("fit"))
+        rows = fold_rows(prices, spec, lambda numbered: attach_newest(numbered, stored, "fit"))
+        rows = rows.withColumns({"intercept": F.col("fit.intercept"), "coef": F.col("fit.coef")})
+        if spec.frequency > 1:
+            rows = rows.withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
+    else:
+        rows = fold_rows(prices, spec).withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
+        stored = fits.select("series_id", F.col("refit_t").cast("bigint"), "intercept", "coef")
+        rows = rows.join(stored, ["series_id", "refit_t"], "left")
     return land(rows.withColumn("forecast", linear_score("coef", "intercept", spec.inputs)), spec, model)
 
 

@@ -40,11 +40,12 @@ def ar_loop(prices, spec, max_p, difference, kpss_lags=3):
     for t in range(spec.window_size, n - p_ahead + 1):
         e = t + p_ahead - 1
         if t % spec.frequency == 0:
+            oldest = p_ahead + (t - spec.window_size) * spec.sliding_window
             d = difference
             if d is None:
                 d = 2
                 for k in (0, 1):
-                    tested = np.diff(y[p_ahead : e - v + 1], k)
+                    tested = np.diff(y[oldest : e - v + 1], k)
                     lags = int(3 * np.sqrt(len(tested)) / 13) if kpss_lags is None else kpss_lags
                     if kpss(tested, lags) < 0.463:
                         d = k
@@ -53,7 +54,7 @@ def ar_loop(prices, spec, max_p, difference, kpss_lags=3):
             yd, xd = y[p_ahead:], x[: n - p_ahead]  # pairs by target row
             yd, xd = np.diff(yd, d), np.diff(xd, d)
             off = p_ahead + d  # row of the first differenced pair
-            rows = np.arange(p_ahead + max_p + deepest, e - v + 1) - off
+            rows = np.arange(oldest + max_p + deepest, e - v + 1) - off
             best = None
             for p in range(max_p + 1):
                 b, rss = ols(np.column_stack([xd[rows]] + [yd[rows - a] for a in range(1, p + 1)]), yd[rows])
@@ -94,14 +95,15 @@ def test_forecasts_equal_the_loop(spark, difference, block_rows):
     np.testing.assert_allclose(series_of(got, "a"), want, rtol=1e-6, atol=1e-8)
 
 
-@pytest.mark.parametrize("lags", [3, None])
-def test_difference_is_chosen_by_the_level_test(spark, lags):
+@pytest.mark.parametrize("lags", [0, 3, None])
+@pytest.mark.parametrize("sliding", [False, True])
+def test_difference_is_chosen_by_the_level_test(spark, lags, sliding):
     series = {"calm": walk(220, 22), "drift": drifting(220, 23)}
-    ar = ArSpec(max_p=2, difference=None, kpss_lags=lags)
-    got = autoregressive_forecasts(frame(spark, series), SPEC.but(block_rows=1), ar).toPandas()
+    ar, spec = ArSpec(max_p=2, difference=None, kpss_lags=lags), SPEC.but(sliding_window=sliding)
+    got = autoregressive_forecasts(frame(spark, series), spec.but(block_rows=1), ar).toPandas()
     chosen = set()
     for name, prices in series.items():
-        want, picked = ar_loop(prices, SPEC, 2, None, lags)
+        want, picked = ar_loop(prices, spec, 2, None, lags)
         chosen |= set(picked)
         np.testing.assert_allclose(series_of(got, name), want, rtol=1e-5, atol=1e-8)
     assert {0, 1} <= chosen
