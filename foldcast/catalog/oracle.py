@@ -190,6 +190,24 @@ def split_linear(kind: str, lags: int, how: str = "plain") -> str:
     moved AS (SELECT s.sid, s.dt, s.i, s.n, c0 + c1 * s.x1 AS pred, s.y AS "true" FROM spl s JOIN fit USING (sid) WHERE s.role = 'test')"""
 
 
+def nonneg_wide(kind: str, lags: int, rounds: int = 150) -> str:
+    """Non-negative coefficients one after the other, over and over, until they stand still."""
+    k = range(1, lags + 1)
+    names = [(f"x{a}", f"x{b}", f"g{a}_{b}") for a in k for b in k if b >= a]
+    products = ", ".join(f"covar_pop({a}, {b}) AS {n}" for a, b, n in names)
+    g = lambda a, b: f"g{min(a, b)}_{max(a, b)}"
+    moved = []
+    for a in k:
+        rest = "".join(f" - {g(a, b)} * {f'n{b}' if b < a else f'b{b}'}" for b in k if b != a)
+        moved.append(f"greatest(0, (r{a}{rest}) / {g(a, a)}) AS n{a}")
+    return f"""{split_rows(kind, lags)},
+    mom AS (SELECT sid, avg(y) AS my, {", ".join(f"avg(x{a}) AS m{a}, covar_pop(x{a}, y) AS r{a}" for a in k)}, {products} FROM spl WHERE role = 'train' GROUP BY 1),
+    it AS (SELECT sid, 0 AS h, {", ".join(f"0.0::DOUBLE AS b{a}" for a in k)} FROM mom
+        UNION ALL SELECT sid, h, {", ".join(f"n{a}" for a in k)} FROM (SELECT it.sid, it.h + 1 AS h, {", ".join(moved)} FROM it JOIN mom USING (sid) WHERE it.h < {rounds})),
+    moved AS (SELECT s.sid, s.dt, my{"".join(f" + b{a} * (s.x{a} - m{a})" for a in k)} AS pred, s.y AS "true"
+        FROM spl s JOIN mom USING (sid) JOIN it ON it.sid = s.sid AND it.h = {rounds} WHERE s.role = 'test')"""
+
+
 def split_tube(kind: str, lags: int, epsilon: float) -> str:
     return f"""{split_rows(kind, lags)},
 fit AS (SELECT sid, min(y) AS lo, max(y) AS hi FROM spl WHERE role = 'train' GROUP BY 1),
@@ -518,6 +536,7 @@ def oracle_sql() -> dict[str, str]:
         "lr_multi_feature": f"WITH {split_linear('flag', 3)} {FORECAST_OUT}",
         "lr_no_intercept": f"WITH {split_linear('flag', 1, 'no_intercept')} {FORECAST_OUT}",
         "lr_nonneg": f"WITH {split_linear('supp', 1, 'nonneg')} {FORECAST_OUT}",
+        "lr_nonneg_wide": f"WITH RECURSIVE {nonneg_wide('supp', 5)} {FORECAST_OUT}",
         "wf_lr_sliding": f"WITH {flag_wf} {FORECAST_OUT}",
         "wf_lr_suppliers": f"WITH {linear_wf('supp', lr)} {FORECAST_OUT}",
         "wf_lr_growing": f"WITH {linear_wf('supp', lr.but(sliding_window=False))} {FORECAST_OUT}",

@@ -233,6 +233,13 @@ def lr_nonneg(spark, folder):
     return _forecasts(single_split.linear_split(supp_px(spark, folder), ONE_LAG, positive=True))
 
 
+FIVE_LAGS = single_split.SplitSpec(lags=5)
+
+
+def lr_nonneg_wide(spark, folder):
+    return _forecasts(single_split.linear_split(supp_px(spark, folder), FIVE_LAGS, positive=True))
+
+
 def wf_lr_sliding(spark, folder):
     return _forecasts(walk_forward.linear_forecasts(flag_px(spark, folder), LR))
 

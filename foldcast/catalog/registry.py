@@ -16,7 +16,7 @@ supervised_3_1 supervised_2_3 supervised_multivar horizon_pairs
 key_check index_check length_check
 split_train_val_test fold_schedule fold_schedule_growing
 wf_val_rows fold_train_anti fold_targets_semi fold_score_rows
-lr_single_split lr_multi_feature lr_no_intercept lr_nonneg
+lr_single_split lr_multi_feature lr_no_intercept lr_nonneg lr_nonneg_wide
 wf_lr_sliding wf_lr_suppliers wf_lr_growing wf_lr_refit7 wf_lr_two_features
 wf_lr_long_returns wf_lr_blocked wf_random_validation wf_random_growing wf_custom_blackbox wf_custom_blackbox_growing
 svr_tube_single wf_svr_tube wf_svr_tube_growing

@@ -122,9 +122,13 @@ def least_squares(
         centred = moments.c(s, a, b)
         return centred if fit_intercept else centred + s["n"] * s[f"m_{a}"] * s[f"m_{b}"]
 
-    if positive:
+    if positive and len(features) <= 3:
         coef = F.array(*_non_negative(features, target, entry))
         df = df.withColumn("coef", coef)
+    elif positive:
+        names = [*features, target]
+        flat = F.transform(F.array(*[entry(a, b) for a in names for b in names]), lambda v: v)
+        df = df.withColumn("_flat", flat).withColumn("coef", non_negative(F.col("_flat"), len(features))).drop("_flat")
     elif len(features) == 1:
         only = features[0]
         var = entry(only, only)
@@ -154,8 +158,6 @@ def least_squares(
 
 def _non_negative(features: list[str], target: str, entry) -> list[Column]:
     """Best active set with all coefficients >= 0; up to three features."""
-    if len(features) > 3:
-        raise ValueError("positive=True supports up to three features")
     zero = F.lit(0.0)
     options = [F.struct(F.lit(0.0).alias("gain"), *[zero.alias(f"b{k}") for k in range(len(features))])]
     for size in range(1, len(features) + 1):
@@ -174,6 +176,57 @@ def _non_negative(features: list[str], target: str, entry) -> list[Column]:
     return [best[f"b{k}"] for k in range(len(features))]
 
 
+def non_negative(matrix: Column, m: int) -> Column:
+    """Least squares coefficients >= 0 from the flat matrix of centred products of ``m`` features and the target.
+
+    Principal pivoting (Murty 1974): as long as a coefficient in the fit is negative, or one outside it
+    would be positive, the last such feature leaves or enters, by a sweep or its reverse. No active set
+    comes twice while features are independent, so at most 2^m steps are needed, and few in practice.
+    A feature that depends on those in the fit does not enter.
+    """
+    size = m + 1
+    features = F.sequence(F.lit(0), F.lit(m - 1))
+
+    def own(k: Column) -> Column:
+        return F.get(matrix, k * size + k)
+
+    def wrong(state: Column) -> Column:
+        def is_wrong(k: Column) -> Column:
+            value = F.get(state["now"], k * size + m)
+            enters = (value > F.sqrt(own(k) * F.get(matrix, F.lit(size * size - 1))) * DEPENDENT) & (
+                F.get(state["now"], k * size + k) > own(k) * DEPENDENT
+            )
+            return F.when(F.get(state["fit"], k), value < 0.0).otherwise(enters)
+
+        return F.array_max(F.filter(features, is_wrong))
+
+    def step(state: Column, _) -> Column:
+        p = state["next"]
+        inverse = F.try_divide(F.lit(1.0), F.get(state["now"], p * size + p))
+        side = F.when(F.get(state["fit"], p), -inverse).otherwise(inverse)
+
+        def cell(v: Column, k: Column) -> Column:
+            i, j = F.floor(k / size).cast("int"), F.pmod(k, F.lit(size))
+            cross = F.get(state["now"], i * size + p) * F.get(state["now"], p * size + j)
+            return F.when((i == p) & (j == p), -inverse).when((i == p) | (j == p), v * side).otherwise(v - cross * inverse)
+
+        moved = F.struct(
+            F.transform(state["now"], cell).alias("now"),
+            F.transform(state["fit"], lambda on, k: F.when(k == p, ~on).otherwise(on)).alias("fit"),
+        )
+        return F.when(p.isNull(), state).otherwise(F.struct(moved["now"].alias("now"), moved["fit"].alias("fit"), wrong(moved).alias("next")))
+
+    begin = F.struct(matrix.alias("now"), F.array_repeat(F.lit(False), m).alias("fit"))
+    start = F.struct(begin["now"].alias("now"), begin["fit"].alias("fit"), wrong(begin).alias("next"))
+    steps = F.sequence(F.lit(1), F.lit(min(2**m, 100 * m)))
+
+    def finish(state: Column) -> Column:
+        found = F.transform(features, lambda k: F.when(F.get(state["fit"], k), F.get(state["now"], k * size + m)).otherwise(F.lit(0.0)))
+        return F.when(state["next"].isNull(), found).otherwise(F.raise_error(F.lit("no non-negative solution found")).cast("array<double>"))
+
+    return F.aggregate(steps, start, step, finish)
+
+
 def _cramer(active: list[str], g, r) -> tuple[list[Column], Column]:
     """Solution of up to three normal equations, and whether they are regular."""
     if len(active) == 1:
