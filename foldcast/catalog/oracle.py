@@ -576,6 +576,10 @@ def oracle_sql() -> dict[str, str]:
         "wf_svr_flat": f"WITH {tube_wf('flag', svr.but(frequency=7), 1e6)} {FORECAST_OUT}",
         "wf_model_reload": f"WITH {linear_wf('flag', lr.but(frequency=7))} {FORECAST_OUT}",
         "wf_model_asof": f"WITH {linear_wf('flag', lr.but(frequency=7), 't // 7 % 3 <> 1')} {FORECAST_OUT}",
+        "stream_bars": """SELECT event_type AS series_id, date_trunc('hour', ts) AS dt,
+            CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100.0::DOUBLE / count(value) AS price
+            FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2""",
+        "stream_score": f"WITH {split_linear('flag', 2)} {FORECAST_OUT}",
         "csv_roundtrip": f"WITH {px('flag')} {plain} px",
         "wf_custom_mean": f"""WITH {capped_returns('flag', mean)}, fit AS (SELECT f.sid, f.t, avg(a.y) AS c0 FROM {train_join(mean)} GROUP BY 1, 2),
             {landed(mean, 'c0 AS pred')} {FORECAST_OUT}""",

@@ -18,6 +18,8 @@ from foldcast.plans import autoregressive, blackbox, forecaster, grid, moving_av
 from foldcast.session import shared_dir
 from foldcast.sources import models as model_table
 from foldcast.sources import prices as source
+from foldcast.streaming import bars as stream_of_bars
+from foldcast.streaming import scoring
 
 # The given tables cover 1995-2001; the caps lie inside that range.
 DATES = {"start_date": "1995-03-01", "end_date": "2001-06-30"}
@@ -517,6 +519,38 @@ def wf_model_asof(spark, folder):
     return _forecasts(walk_forward.forecasts_from(flag_px(spark, folder), loaded, spec, newest=True))
 
 
+# --- streams ---------------------------------------------------------------
+
+def stream_bars(spark, folder):
+    """Hourly bars of the events as a stream of files that ends."""
+    width, delay, at = "1 hour", "2 hours", f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
+    table = source.read_table(spark, folder, "events")
+
+    def event(df: DataFrame) -> DataFrame:
+        return df.select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+
+    stream_of_bars.closing_row(event(table), width, delay).write.parquet(f"{at}/closing")
+    # as a pattern, because a stream takes no single file
+    arriving = event(stream_of_bars.file_stream(spark, f"{folder}/event[s].parquet", table.schema))
+    closing = stream_of_bars.file_stream(spark, f"{at}/closing", stream_of_bars.EVENT)
+    stream_of_bars.drain(stream_of_bars.bars(arriving.unionByName(closing), width, delay), f"{at}/bars", f"{at}/checkpoint")
+    return spark.read.schema("series_id string, dt timestamp, price double").parquet(f"{at}/bars").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+
+
+def stream_score(spark, folder):
+    """Test rows arrive as files and are scored by the fits of the model table."""
+    at, run = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}", uuid.uuid4().hex
+    rows = single_split.split_rows(flag_px(spark, folder), TWO_LAGS)
+    fitted = single_split.linear_models(rows, TWO_LAGS).withColumn("refit_t", F.col("n"))
+    model_table.save_models(model_table.as_model_table(fitted, "lr", run), f"{at}/models")
+    new = rows.where("role = 'test'").select("series_id", "dt", *TWO_LAGS.inputs, "y")
+    new.write.parquet(f"{at}/rows")
+    arriving = stream_of_bars.file_stream(spark, f"{at}/rows", new.schema)
+    scored = scoring.score_stream(arriving, model_table.load_models(spark, f"{at}/models", "lr", run), TWO_LAGS.inputs, "lr")
+    stream_of_bars.drain(scored, f"{at}/scored", f"{at}/checkpoint")
+    return _forecasts(spark.read.schema(scored.schema).parquet(f"{at}/scored"))
+
+
 def csv_roundtrip(spark, folder):
     """Prices written as a wide CSV file and read back."""
     path = f"{shared_dir(spark)}/prices-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ wf_lr_long_returns wf_lr_blocked wf_random_validation wf_random_growing wf_custo
 svr_tube_single wf_svr_tube wf_svr_tube_growing
 wf_svr_flat wf_custom_mean wf_custom_ridge custom_split
 wf_error wf_sq_error wf_metrics cum_log_return cum_log_return_single cum_log_return_models
-reattach_dates grid_leaderboard grid_settings model_roundtrip wf_model_reload wf_model_asof csv_roundtrip
+reattach_dates grid_leaderboard grid_settings model_roundtrip wf_model_reload wf_model_asof stream_bars stream_score csv_roundtrip
 """
 
 AUTOREGRESSIVE = """

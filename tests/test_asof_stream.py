@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from foldcast.functions.regression import non_negative
 from foldcast.operators.asof import attach_newest
 from foldcast.operators.folds import LINEAR
+from foldcast.session import shared_dir
+from foldcast.sources import models as table
+from foldcast.streaming import bars, scoring
 from foldcast.plans.walk_forward import forecasts_from, linear_forecasts, refit_table
 
 SPEC = LINEAR.but(start_date=None, end_date=None, window_size=40, prediction_length=4, validation_size=3, frequency=5)
@@ -80,3 +83,42 @@ def test_non_negative_fits_of_dependent_and_empty_inputs(spark):
     cells = [((z.T @ z).ravel().tolist(),), ([0.0] * 36,)]
     a, b = (np.array(r.b) for r in spark.createDataFrame(cells, "a array<double>").select(non_negative(F.col("a"), 5).alias("b")).collect())
     assert (a >= 0).all() and x @ a - (x @ a).mean() == pytest.approx(y - y.mean()) and not b.any()
+
+
+def test_stream_counts_rows_within_the_watermark(spark):
+    import uuid
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], bars.EVENT).write.parquet(f"{at}/in")
+    made = bars.bars(bars.file_stream(spark, f"{at}/in", bars.EVENT), "1 hour", "2 hours")
+
+    def arrive(*rows):
+        df = spark.createDataFrame([(s, dt.datetime(2020, 1, 1, h, m), v) for s, h, m, v in rows], bars.EVENT)
+        df.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        bars.drain(made, f"{at}/out", f"{at}/checkpoint")
+        got = spark.read.schema("series_id string, dt timestamp, price double").parquet(f"{at}/out")
+        return {(r.series_id, r.dt.hour): r.price for r in got.collect()}
+
+    assert arrive(("a", 1, 0, 1.0), ("b", 1, 30, 5.0), ("a", 2, 10, 4.0)) == {}
+    # within the watermark: counts; the bar of hour 1 is closed once the newest row is past 4:00
+    assert arrive(("a", 1, 59, 2.0), ("a", 4, 5, 7.0)) == {("a", 1): 1.5, ("b", 1): 5.0}
+    # beyond it: hour 1 is not given again, hour 2 still counts; a null value and a row without series count nowhere
+    closed = arrive(("a", 1, 10, 100.0), ("a", 2, 50, 6.0), ("a", 2, 55, None), (None, 9, 0, 3.0))
+    assert closed == {("a", 1): 1.5, ("b", 1): 5.0, ("a", 2): 5.0, ("a", 4): 7.0}
+
+
+def test_stream_scores_by_the_newest_fit(spark):
+    import uuid
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    fits = [("a", 1, 1.0, [2.0]), ("a", 5, 10.0, [3.0]), ("b", 2, 0.0, [1.0])]
+    stored = spark.createDataFrame(fits, "series_id string, refit_t long, intercept double, coef array<double>")
+    table.save_models(table.as_model_table(stored, "lr", "run"), f"{at}/models")
+    kind = "series_id string, dt date, x1 double, y double"
+    rows = [("a", dt.date(2020, 1, 1), 2.0, 0.5), ("b", dt.date(2020, 1, 1), 4.0, None), ("c", dt.date(2020, 1, 1), 1.0, 1.0), ("a", dt.date(2020, 1, 2), None, 1.0)]
+    spark.createDataFrame(rows, kind).write.parquet(f"{at}/in")
+    made = scoring.score_stream(bars.file_stream(spark, f"{at}/in", kind), table.load_models(spark, f"{at}/models", "lr", "run"), ["x1"], "lr")
+    for _ in range(2):  # draining again adds nothing
+        bars.drain(made, f"{at}/out", f"{at}/checkpoint")
+        got = {(r.series_id, r.dt.day): r.pred for r in spark.read.schema(made.schema).parquet(f"{at}/out").collect()}
+        assert got == {("a", 1): 16.0, ("b", 1): 4.0, ("c", 1): None, ("a", 2): None}
