@@ -391,6 +391,99 @@ def ar_wf_tested(kind: str, spec: FoldSpec, max_p: int, most: int = 2, critical:
     return ",\n".join(out)
 
 
+def truncated(k: int, width: int) -> tuple[str, list[str]]:
+    """Intercept and slopes of the model that stops after the first ``k`` features of a chain, padded with zeros."""
+    on_z = [f"c{j}" for j in range(1, k + 1)]
+    beta = [""] * k
+    for j in range(k, 0, -1):
+        beta[j - 1] = f"({on_z[j - 1]})"
+        for i in range(1, j):
+            on_z[i - 1] = f"{on_z[i - 1]} - {beta[j - 1]} * s{j}_{i}"
+    return "yb" + "".join(f" - {beta[j]} * m{j + 1}" for j in range(k)), beta + ["0.0::DOUBLE"] * (width - k)
+
+
+def arma_fit(source: str, key: str, train: str, max_p: int = 5, max_q: int = 5, order: int = 5, long: int = 6) -> str:
+    """CTE chain to ``fit``: residuals of a long regression, then every (p, q) on own lags and lagged residuals.
+
+    ``source`` has ``i``, the target v0 and its lags v1.., the input w0 and its lags. Orders whose step-down
+    coefficients reach 1 do not settle and are passed over.
+    """
+    chains = [gram_schmidt(source, key, ["w0"] + [f"v{a}" for a in range(1, long + 1)], "v0", train, "lg")]
+    c0, beta = truncated(long + 1, long + 1)
+    chains.append(f"""lf AS MATERIALIZED (SELECT {key}, any_value({c0}) AS lc, any_value({beta[0]}) AS lb,
+        {", ".join(f"any_value({beta[a]}) AS lp{a}" for a in range(1, long + 1))} FROM lg GROUP BY {key})""")
+    lags = ", ".join(f"lag(e_{long + 1}, {j}) OVER (PARTITION BY {key} ORDER BY i) AS r{j}" for j in range(1, max_q + 1))
+    own = ", ".join(f"v{a}" for a in range(max_p + 1))
+    chains.append(f"sd AS MATERIALIZED (SELECT * FROM (SELECT {key}, i, w0, {own}, {lags}, {train} AS fitted FROM lg) WHERE fitted)")
+    cand = []
+    for p in range(max_p + 1):
+        most = min(max_q, order - p)
+        features = ["w0"] + [f"v{a}" for a in range(1, p + 1)] + [f"r{j}" for j in range(1, most + 1)]
+        chains.append(gram_schmidt("sd", key, features, "v0", "true", f"h{p}"))
+        for q_ in range(most + 1):
+            k = 1 + p + q_
+            c0, beta = truncated(k, k)
+            cells = [f"any_value({c0}) AS c0", f"any_value({beta[0]}) AS b"]
+            cells += [f"any_value({beta[a]}) AS phi{a}" if a <= p else f"0.0::DOUBLE AS phi{a}" for a in range(1, max_p + 1)]
+            cells += [f"any_value({beta[p + j]}) AS th{j}" if j <= q_ else f"0.0::DOUBLE AS th{j}" for j in range(1, max_q + 1)]
+            cand.append(f"""SELECT {key}, {p} AS p, {q_} AS q, any_value(n_tr) * ln(any_value(rss_{k}) / any_value(n_tr)) + 2 * ({p + q_} + 2) AS aic,
+                {", ".join(cells)} FROM h{p} GROUP BY {key}""")
+    chains.append(f"""down0 AS (SELECT *, true AS ok, {", ".join(f"-phi{a} AS a{a}" for a in range(1, max_p + 1))},
+        {", ".join(f"th{j} AS t{j}" for j in range(1, max_q + 1))} FROM ({" UNION ALL ".join(cand)}))""")
+    for n, m in enumerate(range(max(max_p, max_q), 0, -1), 1):
+        moved, fine = [], []
+        for x, most in (("a", max_p), ("t", max_q)):
+            if m <= most:
+                fine.append(f"abs({x}{m}) < 1")
+                moved += [f"({x}{i} - {x}{m} * {x}{m - i}) / nullif(1 - {x}{m} * {x}{m}, 0) AS {x}{i}" for i in range(1, m)]
+        chains.append(f"down{n} AS (SELECT * REPLACE ({', '.join([*moved, f'ok AND {chr(32).join([fine[0], *(f"AND {x}" for x in fine[1:])])} AS ok'])}) FROM down{n - 1})")
+    chains.append(f"""fit AS MATERIALIZED (SELECT * FROM down{max(max_p, max_q)} JOIN lf USING ({key}) WHERE ok
+        QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(aic, 9), p + q, p) = 1)""")
+    return ",\n".join(chains)
+
+
+def arma_split(kind: str, max_p: int = 5, max_q: int = 5, long: int = 6) -> str:
+    depth = long + max_q
+    lags = ", ".join(["y AS v0"] + [f"x{a} AS v{a}" for a in range(1, depth + 1)] + [f"x{1 + j} AS w{j}" for j in range(max_q + 1)])
+    error = lambda j: f"x{j} - lc - lb * x{1 + j}" + "".join(f" - lp{a} * x{j + a}" for a in range(1, long + 1))
+    keep = [f"st{a}" for a in range(1, max_p + 1)] + [f"er{j}" for j in range(1, max_q + 1)]
+    pred = "c0 + b * x1" + "".join(f" + phi{a} * st{a}" for a in range(1, max_p + 1)) + "".join(f" + th{j} * er{j}" for j in range(1, max_q + 1))
+    first = [f"x{a} AS st{a}" for a in range(1, max_p + 1)] + [f"{error(j)} AS er{j}" for j in range(1, max_q + 1)]
+    moved = ["r.pred AS st1"] + [f"r.st{a - 1} AS st{a}" for a in range(2, max_p + 1)] + ["0.0::DOUBLE AS er1"] + [f"r.er{j - 1} AS er{j}" for j in range(2, max_q + 1)]
+    return f"""WITH RECURSIVE {split_rows(kind, depth + 1)}, av AS (SELECT sid, i, role, {lags} FROM spl),
+    {arma_fit("av", "sid", f"(role = 'train' AND i >= {depth})")},
+    ahead AS (SELECT s.*, row_number() OVER (PARTITION BY s.sid ORDER BY s.i) AS h, fit.* EXCLUDE (sid) FROM spl s JOIN fit ON fit.sid = s.sid WHERE s.role <> 'train'),
+    rec AS (SELECT sid, h, {pred} AS pred, {", ".join(keep)} FROM (SELECT *, {", ".join(first)} FROM ahead WHERE h = 1)
+        UNION ALL SELECT sid, h, {pred} AS pred, {", ".join(keep)} FROM (SELECT a.*, {", ".join(moved)} FROM rec r JOIN ahead a ON a.sid = r.sid AND a.h = r.h + 1)),
+    moved AS (SELECT a.sid, a.dt, r.pred, a.y AS "true" FROM ahead a JOIN rec r ON r.sid = a.sid AND r.h = a.h WHERE a.role = 'test') {FORECAST_OUT}"""
+
+
+def arma_wf(kind: str, spec: FoldSpec, max_p: int = 5, max_q: int = 5, long: int = 6) -> str:
+    p_ahead, v, w, depth = spec.prediction_length, spec.validation_size, spec.window_size, long + max_q
+    oldest = f"f.t - {w} + {p_ahead}" if spec.sliding_window else f"{p_ahead}"
+    lags = [f"lag(y, {a}) OVER w AS v{a}" for a in range(1, depth + 1)] + [f"lag(u, {j}) OVER w AS w{j}" for j in range(1, max_q + 1)]
+    columns = ", ".join([f"v{a}" for a in range(depth + 1)] + [f"w{j}" for j in range(max_q + 1)])
+    steps = p_ahead + v
+    error = lambda j: f"o.v{j} - lc - lb * o.w{j}" + "".join(f" - lp{a} * o.v{j + a}" for a in range(1, long + 1))
+    state = [f"o.v{a} AS st{a}" for a in range(max_p)] + [f"{error(j)} AS er{j}" for j in range(max_q)]
+    out = [f"""{capped_returns(kind, spec)},
+    tgt AS (SELECT b.sid, b.i, coalesce(b.y, 0) AS y, coalesce(a.x1, 0) AS u FROM ret b JOIN ret a ON a.sid = b.sid AND a.i = b.i - {p_ahead}),
+    dl AS MATERIALIZED (SELECT sid, i, y AS v0, u AS w0, {", ".join(lags)} FROM tgt WINDOW w AS (PARTITION BY sid ORDER BY i)),
+    av AS (SELECT f.sid, f.t, dl.i, dl.i >= {oldest} + {depth} AS inside, {columns} FROM fold f JOIN dl ON dl.sid = f.sid
+        AND dl.i BETWEEN {oldest} + {long} AND f.e - {v}),
+    {arma_fit("av", "sid, t", "inside", max_p, max_q, 5, long)}"""]
+    out.append(f"rx AS (SELECT sid, i, t, {', '.join(f'lag(x1, {k}) OVER w AS q{k}' for k in range(steps))} FROM ret WINDOW w AS (PARTITION BY sid ORDER BY i))")
+    out.append(f"""h_0 AS (SELECT r.*, fit.* EXCLUDE (sid, t, i), {", ".join(state)} FROM rx r ASOF JOIN fit ON r.sid = fit.sid AND r.t >= fit.t
+        LEFT JOIN dl o ON o.sid = r.sid AND o.i = r.t + {p_ahead - 1 - v})""".replace("EXCLUDE (sid, t, i)", "EXCLUDE (sid, t)"))
+    for h in range(1, steps + 1):
+        step = f"c0 + b * q{steps - h}" + "".join(f" + phi{a} * st{a - 1}" for a in range(1, max_p + 1)) + "".join(f" + th{j} * er{j - 1}" for j in range(1, max_q + 1))
+        moved = [f"{step} AS st0"] + [f"st{a - 1} AS st{a}" for a in range(1, max_p)] + ["0.0::DOUBLE AS er0"] + [f"er{j - 1} AS er{j}" for j in range(1, max_q)]
+        out.append(f"h_{h} AS (SELECT * REPLACE ({', '.join(moved)}) FROM h_{h - 1})")
+    out.append(f"""made AS (SELECT sid, i, st0 AS pred FROM h_{steps}),
+    moved AS (SELECT r.sid, r.dt, m.pred, r.y AS "true" FROM ret r LEFT JOIN made m ON m.sid = r.sid AND m.i = r.i - {p_ahead} WHERE r.i >= {w + 2 * p_ahead - 1})""")
+    return ",\n".join(out)
+
+
 def kpss(kind: str, lags: int) -> str:
     gammas = " + ".join(f"2 * {1 - s / (lags + 1)!r} * sum(g{s})" for s in range(1, lags + 1))
     shifted = ", ".join(f"e * lag(e, {s}) OVER w AS g{s}" for s in range(1, lags + 1))
@@ -573,6 +666,9 @@ def oracle_sql() -> dict[str, str]:
         "wf_arx_same_steps": f"WITH {ar_wf('flag', q.AR, 5, compat=True)} {FORECAST_OUT}",
         "wf_arx_difference_sliding": f"WITH {ar_wf_tested('flag', q.AR_SLIDING, 5)} {FORECAST_OUT}",
         "wf_arx_difference": f"WITH {ar_wf_tested('flag', q.AR, 5)} {FORECAST_OUT}",
+        "arma_split": arma_split("flag"),
+        "arma_hr": f"WITH {arma_wf('flag', q.AR)} {FORECAST_OUT}",
+        "arma_hr_sliding": f"WITH {arma_wf('flag', q.AR.but(sliding_window=True))} {FORECAST_OUT}",
         "wf_svr_flat": f"WITH {tube_wf('flag', svr.but(frequency=7), 1e6)} {FORECAST_OUT}",
         "wf_model_reload": f"WITH {linear_wf('flag', lr.but(frequency=7))} {FORECAST_OUT}",
         "wf_model_asof": f"WITH {linear_wf('flag', lr.but(frequency=7), 't // 7 % 3 <> 1')} {FORECAST_OUT}",

@@ -623,3 +623,12 @@ def arma_hr(spark, folder):
     """Orders with moving-average terms, least AIC per fold."""
     out = moving_average.moving_average_forecasts(flag_px(spark, folder), AR)
     return _forecasts(out)
+
+
+def arma_hr_sliding(spark, folder):
+    return _forecasts(moving_average.moving_average_forecasts(flag_px(spark, folder), AR.but(sliding_window=True)))
+
+
+def arma_split(spark, folder):
+    """Orders with moving-average terms chosen and fitted once; every test row forecast from the end of training."""
+    return _forecasts(moving_average.moving_average_split(flag_px(spark, folder)))

@@ -27,7 +27,7 @@ reattach_dates grid_leaderboard grid_settings model_roundtrip wf_model_reload wf
 
 AUTOREGRESSIVE = """
 kpss_level arx_order_aic arx_fit arx_split wf_arx_forecast wf_arx_sliding wf_arx_same_steps wf_arx_difference
-wf_arx_difference_sliding arma_hr
+wf_arx_difference_sliding arma_hr arma_hr_sliding arma_split
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,8 +10,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from foldcast.functions.summaries import Bundle, Moments, Sums
 from foldcast.operators import frames
 from foldcast.operators.blocks import BLOCK, BLOCK_ROWS, in_block, running_totals, spread, to_blocks
 from foldcast.operators.folds import AUTOREGRESSIVE, FoldSpec, carry_fit, complete_from, fold_rows, land, refits
+from foldcast.plans.affine import ahead_of_training
 from foldcast.plans.single_split import SplitSpec, split_rows
 from foldcast.plans.walk_forward import summarise
 
@@ -449,78 +448,25 @@ def autoregressive_forecasts(
 
 # --- single split ----------------------------------------------------------------
 
-def _run(pdf: pd.DataFrame, inputs: list[str], recent: np.ndarray) -> np.ndarray:
-    """Recursive forecasts of consecutive rows from the newest targets, latest first."""
-    fit = pdf.iloc[0]
-    drive = fit["intercept"] + pdf[inputs].to_numpy(float) @ np.asarray(fit["beta"], float)
-    phi, state = np.asarray(fit["phi"], float), np.array(recent, float)
-    out = np.empty(len(pdf))
-    for k, d in enumerate(drive):
-        out[k] = d + phi @ state
-        state = np.concatenate([out[k : k + 1], state[:-1]])
-    return out
+@dataclass(frozen=True)
+class _Orders:
+    """Orders as ``ahead_of_training`` reads them: no errors."""
+
+    max_p: int
+    max_q: int = 0
+    long_order: int = 0
 
 
-def _end_state(out: np.ndarray, recent: np.ndarray) -> np.ndarray:
-    return np.concatenate([out[::-1], recent])[: len(recent)]
+@dataclass(frozen=True)
+class _Plain:
+    arma: _Orders
 
 
 def autoregressive_split(
     prices: DataFrame, ar: ArSpec = ArSpec(), split: SplitSpec = SplitSpec(lags=1), model: str = "arima"
 ) -> DataFrame:
-    """Fit once, then forecast every later row recursively from the end of training.
-
-    The recursion is linear in the state it starts from. Each block reports how
-    it moves a state (one row per block), those rows are composed in order, and
-    the blocks then run side by side from their own starting states.
-    """
-    own = [f"x{a}" for a in range(1, ar.max_p + 1)]
+    """Fit once, then forecast every later row recursively from the end of training."""
     wide = SplitSpec(max(ar.max_p, split.lags), split.test_size, split.validation_size, split.block_rows)
-    rows = split_rows(prices, wide)
     best = order_search(prices, ar, split).where("chosen = 1").select("series_id", "intercept", "beta", "phi")
-    lengths = rows.groupBy("series_id").agg(F.max("n").alias("n"), F.count_if(F.col("role") == "train").alias("n_fit"))
-    fits = spread(best.join(lengths, "series_id"), split.block_rows).drop("n")
-    ahead = rows.where("role <> 'train'").join(fits, list(BLOCK))
-    inputs, p = split.inputs, ar.max_p
-
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", ignore_index=True)
-        start = pdf["i"][0] == pdf["n_fit"][0]
-        known = pdf.loc[0, own].to_numpy(float) if start else np.zeros(p)
-        end = _end_state(_run(pdf, inputs, known), known)
-        matrix = np.zeros((p, p))
-        if not start:
-            still = pdf.assign(intercept=0.0, **{x: 0.0 for x in inputs})
-            for k in range(p):
-                unit = np.eye(p)[k]
-                matrix[:, k] = _end_state(_run(still, inputs, unit), unit)
-        return pd.DataFrame(
-            {"series_id": [pdf["series_id"][0]], "block": [pdf["block"][0]], "shift": [end.tolist()],
-             "matrix": [matrix.ravel().tolist()], "known": [known.tolist() if start else None]}
-        )
-
-    moves = ahead.groupBy(*BLOCK).applyInPandas(
-        move, "series_id string, block bigint, shift array<double>, matrix array<double>, known array<double>"
-    )
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, starts = np.zeros(p), []
-        pdf = pdf.sort_values("block", ignore_index=True)
-        for shift, matrix, known in zip(pdf["shift"], pdf["matrix"], pdf["known"]):
-            starts.append((state if known is None else np.asarray(known, float)).tolist())
-            state = np.asarray(matrix, float).reshape(p, p) @ state + np.asarray(shift, float)
-        return pd.DataFrame({"series_id": pdf["series_id"], "block": pdf["block"], "start": starts})
-
-    starts = moves.groupBy("series_id").applyInPandas(compose, "series_id string, block bigint, start array<double>")
-
-    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", ignore_index=True)
-        out = pdf[["series_id", "dt", "i", "n", "role"]].copy()
-        out["pred"], out["true"] = _run(pdf, inputs, pdf["start"][0]), pdf["y"]
-        return out
-
-    kind = rows.schema["dt"].dataType.simpleString()
-    made = ahead.join(starts, list(BLOCK)).groupBy(*BLOCK).applyInPandas(
-        forecast, f"series_id string, dt {kind}, i bigint, n bigint, role string, pred double, true double"
-    )
-    return made.where("role = 'test'").select("series_id", "dt", F.lit(model).alias("model"), "i", "n", "pred", "true")
+    fits = best.withColumn("theta", F.array().cast("array<double>"))
+    return ahead_of_training(split_rows(prices, wide), fits, split, model, _Plain(_Orders(ar.max_p)))

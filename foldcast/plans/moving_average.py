@@ -3,29 +3,21 @@
 Hannan and Rissanen (1982): a long autoregression gives residuals, then the
 target is regressed on its own lags, lagged residuals and the inputs. A lagged
 residual is a linear form in lagged targets and inputs, so both stages follow
-from one moment summary of a fold; the only work outside Spark's expressions is
-the small linear algebra of a refit.
+from one moment summary of a fold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldcast.functions.summaries import Moments
+from foldcast.functions.regression import swept
 from foldcast.operators.blocks import in_block
-from foldcast.operators.folds import AUTOREGRESSIVE, FoldSpec, carry_fit, fold_rows, land, refits
-from foldcast.plans.walk_forward import summarise
-
-FIT = (
-    "aic double, p int, q int, n double, intercept double, beta array<double>, phi array<double>, "
-    "theta array<double>, long_intercept double, long_beta array<double>, long_phi array<double>"
-)
-
+from foldcast.operators.folds import AUTOREGRESSIVE, FoldSpec, fold_rows, land
+from foldcast.plans.affine import ahead_of_training
+from foldcast.plans.single_split import SplitSpec, split_rows
 
 @dataclass(frozen=True)
 class ArmaSpec:
@@ -41,126 +33,211 @@ class ArmaSpec:
             raise ValueError("orders must be at least 1 and the long order at least max_p")
 
 
-def _columns(inputs: int, arma: ArmaSpec) -> list[str]:
-    depth = arma.long_order + arma.max_q
-    return [f"z{a}" for a in range(depth + 1)] + [
-        f"w{k}_{j}" for k in range(inputs) for j in range(arma.max_q + 1)
-    ]
+def settles(coefficients: Column) -> Column:
+    """Whether all roots of z^m + a1 z^(m-1) + ... + am lie inside the unit circle, by Levinson's recursion run backwards."""
+
+    def step(state: Column, _) -> Column:
+        a, k = state["a"], F.element_at(state["a"], -1)
+        lower = F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda v, i: F.try_divide(v - k * F.get(a, F.size(a) - 2 - i), 1.0 - k * k))
+        return F.struct(lower.alias("a"), (state["inside"] & (F.abs(k) < 1.0)).alias("inside"))
+
+    start = F.struct(coefficients.alias("a"), F.lit(True).alias("inside"))
+    inside = F.aggregate(coefficients, start, step, lambda s: F.coalesce(s["inside"], F.lit(False)))
+    return F.when(F.size(coefficients) == 0, F.lit(True)).otherwise(inside)
+
+
+class Layout:
+    """Places of the lags in a row's vector: 1, the target and its lags, every input and its lags."""
+
+    def __init__(self, inputs: int, arma: ArmaSpec) -> None:
+        self.inputs, self.arma = inputs, arma
+        self.depth = arma.long_order + arma.max_q
+        self.width = self.depth + 1 + inputs * (arma.max_q + 1)
+
+    def lag(self, a: int) -> int:
+        return a
+
+    def exog(self, k: int, j: int) -> int:
+        return self.depth + 1 + k * (self.arma.max_q + 1) + j
+
 
+def _products(vector: Column) -> Column:
+    """Upper triangle of the products of a vector with itself, row by row."""
+    rows = F.transform(vector, lambda a, i: F.transform(F.slice(vector, i + 1, F.size(vector) - i), lambda b: a * b))
+    return F.flatten(rows)
 
-def settles(phi: np.ndarray, theta: np.ndarray) -> bool:
-    """Whether the autoregression is stationary and the moving average invertible: all roots inside the unit circle."""
-    return all(not len(c) or np.abs(np.roots(np.r_[1.0, c])).max(initial=0.0) < 1.0 for c in (-phi, theta))
 
+def _means(grouped: Column, width: int) -> Column:
+    """Means from the summed triangle of vectors that begin with 1."""
+    return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda a: F.get(grouped, a) / F.get(grouped, F.lit(0)))
 
-def two_stage(n: float, mean: np.ndarray, cov: np.ndarray, inputs: int, arma: ArmaSpec) -> tuple:
-    """Fit with the least AIC from count, means and centred products of the lag columns.
 
-    Orders whose forecasts would not settle are passed over; the one without lags always does.
+def _centred(grouped: Column, means: Column, width: int) -> Column:
+    """Flat centred products from the summed triangle."""
+
+    def cell(c: Column) -> Column:
+        a, b = F.floor(c / width).cast("int"), F.pmod(c, F.lit(width))
+        low, high = F.least(a, b) + 1, F.greatest(a, b) + 1
+        at = low * (width + 1) - F.floor(low * (low - 1) / 2) + high - low
+        return F.get(grouped, at.cast("int")) - F.get(grouped, F.lit(0)) * F.get(means, a) * F.get(means, b)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width * width - 1)), cell)
+
+
+def with_fits(grouped: DataFrame, layout: Layout) -> DataFrame:
+    """Add ``fit``, the orders of least AIC whose forecasts settle, to rows with the summed triangle ``_sums``.
+
+    Ties go to fewer terms, then to fewer own lags. A lag that depends on the columns before it gets 0.
     """
-    depth, m = arma.long_order + arma.max_q, arma.long_order
-    width = len(mean)
-    target = np.eye(width)[0]
-    lag = lambda a: np.eye(width)[a]
-    exog = lambda k, j: np.eye(width)[depth + 1 + k * (arma.max_q + 1) + j]
-
-    def regress(forms: list[np.ndarray]):
-        t = np.array(forms).reshape(len(forms), width)
-        gram, right = t @ cov @ t.T, t @ cov @ target
-        coef = np.linalg.lstsq(gram, right, rcond=1e-12)[0] if len(forms) else np.zeros(0)
-        return coef, float(cov[0, 0] - right @ coef), float(mean[0] - coef @ (t @ mean))
-
-    now = [exog(k, 0) for k in range(inputs)]
-    coef, _, long_c = regress(now + [lag(a) for a in range(1, m + 1)])
-    long_beta, long_phi = coef[:inputs], coef[inputs:]
-    residual = []
+    arma, width, inputs = layout.arma, layout.width, layout.inputs
+    m = arma.long_order
+    # long autoregression
+    now = [layout.exog(k, 0) for k in range(inputs)]
+    first = [*now, *[layout.lag(a) for a in range(1, m + 1)], layout.lag(0)]
+    n, s = F.get(F.col("_sums"), F.lit(0)), {"mean": F.col("_mean"), "cov": F.col("_cov")}
+    rows = grouped.withColumn("_mean", _means(F.col("_sums"), width)).withColumn("_cov", _centred(F.col("_sums"), s["mean"], width))
+    long = F.array(*[s["cov"][a * width + b] for a in first for b in first])
+    rows = rows.withColumn("_long", F.transform(long, lambda v: v))
+    swept_long = F.element_at(swept(F.col("_long"), len(first), list(range(len(first) - 1))), -1)
+    rows = rows.withColumn("_swept", swept_long)
+    last = F.array(*[F.col("_swept")[k * len(first) + len(first) - 1] for k in range(len(first) - 1)])
+    # no-op transforms keep the optimizer from copying every entry into every use
+    rows = rows.withColumn("_coef", F.transform(last, lambda v: v))
+    coef = F.col("_coef")
+    reach = s["mean"][0]
+    for k, place in enumerate(first[:-1]):
+        reach = reach - coef[k] * s["mean"][place]
+    rows = rows.withColumn("_long_c", reach)
+    # every regressor of the second stage as a form in the vector's places
+    zero, one = F.lit(0.0), F.lit(1.0)
+    forms = [{place: one} for place in now] + [{layout.lag(a): one} for a in range(1, arma.max_p + 1)]
     for j in range(1, arma.max_q + 1):
-        form = lag(j).copy()
-        for k in range(inputs):
-            form -= long_beta[k] * exog(k, j)
-        for a in range(1, m + 1):
-            form -= long_phi[a - 1] * lag(j + a)
-        residual.append(form)
-    best = None
+        form = {layout.lag(j): one}
+        form |= {layout.exog(k, j): -coef[k] for k in range(inputs)}
+        form |= {layout.lag(j + a): -coef[inputs + a - 1] for a in range(1, m + 1)}
+        forms.append(form)
+    forms.append({layout.lag(0): one})
+    size = len(forms)
+    rows = rows.withColumn("_forms", F.transform(F.array(*[F.array(*[f.get(c, zero) for c in range(width)]) for f in forms]), lambda f: f))
+    columns = F.sequence(F.lit(0), F.lit(width - 1))
+    half = F.transform("_forms", lambda f: F.transform(columns, lambda c: _dot(f, F.slice(s["cov"], c * width + 1, F.lit(width)))))
+    rows = rows.withColumn("_half", half)
+    rows = rows.withColumn("_gram", F.flatten(F.transform("_half", lambda h: F.transform("_forms", lambda f: _dot(h, f)))))
+    rows = rows.withColumn("_means", F.transform("_forms", lambda f: _dot(f, s["mean"])))
+    candidates = []
     for p in range(arma.max_p + 1):
-        for q in range(min(arma.max_q, arma.max_order - p) + 1):
-            coef, rss, c = regress(now + [lag(a) for a in range(1, p + 1)] + residual[:q])
-            if not settles(coef[inputs : inputs + p], coef[inputs + p :]):
-                continue
-            # the mean of a residual lacks the long intercept
-            theta = coef[inputs + p :]
-            c += float(theta.sum()) * long_c
-            aic = n * np.log(rss / n) + 2.0 * (p + q + inputs + 1) if rss > 0 else -np.inf
-            key = (round(aic, 9), p + q, p)
-            if best is None or key < best[0]:
-                phi = np.zeros(arma.max_p)
-                phi[:p] = coef[inputs : inputs + p]
-                full = np.zeros(arma.max_q)
-                full[:q] = theta
-                best = (key, (aic, p, q, n, c, coef[:inputs].tolist(), phi.tolist(), full.tolist()))
-    return (*best[1], long_c, long_beta.tolist(), long_phi.tolist())
-
-
-def _fit_column(names: list[str], moments: Moments, inputs: int, arma: ArmaSpec, only: Column) -> Column:
-    s = F.col("train")
-    flat = F.array(s["n"], *[s[f"m_{v}"] for v in names], *[moments.c(s, a, b) for a, b in moments.pairs])
-    size = len(names)
-    upper = np.triu_indices(size)
-    fields = [f.split()[0] for f in FIT.split(", ")]
-
-    @F.pandas_udf(FIT)
-    def fit(numbers: pd.Series) -> pd.DataFrame:
-        rows = []
-        for values in numbers:
-            if values is None or not np.isfinite(values[0]) or values[0] <= size:
-                rows.append((None,) * len(fields))
-                continue
-            cov = np.zeros((size, size))
-            cov[upper] = values[1 + size :]
-            cov = cov + np.triu(cov, 1).T
-            rows.append(two_stage(values[0], np.asarray(values[1 : 1 + size]), cov, inputs, arma))
-        return pd.DataFrame(rows, columns=fields)
-
-    return fit(F.when(only, flat))
+        most = min(arma.max_q, arma.max_order - p)
+        places = [*range(inputs + p), *range(inputs + arma.max_p, inputs + arma.max_p + most)]
+        rows = rows.withColumn(f"_s{p}", swept(F.col("_gram"), size, places))
+        for q in range(most + 1):
+            state = F.col(f"_s{p}")[inputs + p + q - 1]
+            used = places[: inputs + p + q]
+            value = {k: state[k * size + size - 1] for k in used}
+            c = F.col("_means")[size - 1]
+            for k in used:
+                c = c - value[k] * F.col("_means")[k]
+            theta = [value.get(inputs + arma.max_p + j, zero) for j in range(arma.max_q)]
+            for v in theta[:q]:
+                c = c + v * F.col("_long_c")  # the mean of a residual lacks the long intercept
+            phi = [value.get(inputs + a, zero) for a in range(arma.max_p)]
+            rss = state[size * size - 1]
+            aic = F.when(rss > 0, n * F.ln(rss / n) + 2.0 * (p + q + inputs + 1)).otherwise(F.lit(float("-inf")))
+            candidates.append(
+                F.struct(
+                    F.round(aic, 9).alias("key"), F.lit(p + q).alias("terms"), F.lit(p).alias("p"), F.lit(q).alias("q"), aic.alias("aic"), c.alias("intercept"),
+                    F.array(*[value[k] for k in range(inputs)]).alias("beta"), F.array(*phi).alias("phi"), F.array(*theta).alias("theta"),
+                )
+            )
+    rows = rows.withColumn("_every", F.transform(F.array(*candidates), lambda c: c))
+    steady = F.filter("_every", lambda c: settles(F.transform(c["phi"], lambda v: -v)) & settles(c["theta"]))
+    long_part = {"long_intercept": F.col("_long_c"), "long_beta": F.slice(coef, 1, inputs), "long_phi": F.slice(coef, inputs + 1, m)}
+    best = F.array_min(steady)
+    fields = [best[f].alias(f) for f in ("aic", "p", "q", "intercept", "beta", "phi", "theta")] + [n.alias("n")]
+    fit = F.struct(*fields, *[c.alias(name) for name, c in long_part.items()])
+    rows = rows.withColumn("fit", F.when(n > width, fit))
+    return rows.select(*[c for c in rows.columns if not c.startswith("_")])
+
+
+def _summed(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Summed products of the vectors ``_v`` of each group, one row per group and place; aggregated before they are shuffled."""
+    return vectors.select(*keys, F.posexplode(_products(F.col("_v"))).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.sum("_x").alias("_x"))
+
+
+def _gathered(summed: DataFrame, keys: list[str]) -> DataFrame:
+    return summed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_x"))), lambda e: e["_x"]).alias("_sums"))
+
+
+def fold_fits(rows: DataFrame, spec: FoldSpec, layout: Layout) -> DataFrame:
+    """One row per series and refit. Only refits are fitted, from sums over the rows between two of them.
+
+    A row of a growing window goes into the first refit that sees it, and sums
+    run on over the refits of a series; a row of a sliding window goes into each of its W / frequency refits.
+    """
+    p, v, w, f = spec.prediction_length, spec.validation_size, spec.window_size, spec.frequency
+    begin = -(-w // f) * f
+    # the target of row i is in the folds t with i <= t + P - 1 - V, of which the first is
+    seen = F.greatest(F.ceil((F.col("i") - (p - 1) + v) / f) * f, F.lit(begin)).cast("bigint")
+    ends = F.floor((F.col("n") - p) / f) * f
+    own = rows.where("own").where(F.col("_v").isNotNull())
+    if not spec.sliding_window:
+        summed = _summed(own.where(seen <= ends).select("series_id", seen.alias("refit_t"), "_v"), ["series_id", "refit_t"])
+        so_far = Window.partitionBy("series_id", "_pos").orderBy("refit_t").rowsBetween(Window.unboundedPreceding, 0)
+        sums = _gathered(summed.withColumn("_x", F.sum("_x").over(so_far)), ["series_id", "refit_t"])
+    else:
+        # with all its lags inside the window
+        last = F.least(F.floor((F.col("i") - p - layout.depth + w) / f) * f, ends).cast("bigint")
+        dealt = own.where(seen <= last).select("series_id", F.explode(F.sequence(seen, last, F.lit(f).cast("bigint"))).alias("refit_t"), "_v")
+        sums = _gathered(_summed(dealt, ["series_id", "refit_t"]), ["series_id", "refit_t"])
+    return with_fits(sums, layout)
+
+
+def _window_of(column: str, rows: int, skip: int = 0) -> Column:
+    """Values of the newest ``rows`` rows from ``skip`` rows back, latest first; missing ones stay in place."""
+    frame = in_block().rowsBetween(-(rows - 1) - skip, -skip)
+    return F.reverse(F.transform(F.collect_list(F.struct(F.col(column).alias("v"))).over(frame), lambda s: s["v"]))
 
 
 def moving_average_forecasts(
     prices: DataFrame, spec: FoldSpec = AUTOREGRESSIVE, arma: ArmaSpec = ArmaSpec(), model: str = "arma"
 ) -> DataFrame:
-    """Walk-forward forecasts, P+V steps from the newest known target at each row."""
+    """Walk-forward forecasts, P+V steps from the newest known target at each row; sliding or growing windows."""
+    if spec.random_validation:
+        raise ValueError("autoregressions withhold the newest rows")
     p_ahead, v = spec.prediction_length, spec.validation_size
-    depth = arma.long_order + arma.max_q
+    layout = Layout(spec.lags, arma)
+    depth = layout.depth
     spec = spec.but(extra_rows=depth + p_ahead + v)
-    if spec.sliding_window:
-        raise ValueError("moving-average terms are fitted on growing windows")
-    inputs = spec.train_inputs
-    order = in_block()
-
-    def back(c: str, k: int) -> Column:
-        return F.lag(c, k).over(order) if k else F.col(c)
-
-    lags = {f"z{a}": back("y_l", a) for a in range(depth + 1)}
-    lags |= {f"w{k}_{j}": back(x, j) for k, x in enumerate(inputs) for j in range(arma.max_q + 1)}
-    rows = fold_rows(prices, spec).withColumns({f"{c}_raw": e for c, e in lags.items()})
-    complete = F.col("i") >= p_ahead + depth
-    for c in lags:
-        complete = complete & F.col(f"{c}_raw").isNotNull()
-    rows = rows.withColumn("_ok", complete)
-    names = _columns(len(inputs), arma)
-    rows = rows.withColumns({c: F.when(F.col("_ok"), F.col(f"{c}_raw")) for c in names})
-    rows = rows.drop("_ok", *[f"{c}_raw" for c in names])
-    moments = Moments(tuple(names))
-    rows = summarise(rows, spec, moments).drop(*names)
-    rows = rows.withColumn("fit", _fit_column(names, moments, len(inputs), arma, refits(spec))).drop("train")
+    # rows of a fold reach the fit as sums, so blocks look back no further than lags and landing
+    plain = spec.but(sliding_window=False)
+    rows = fold_rows(prices, plain)
+    lists = [_window_of("y_l", depth + 1), *[_window_of(x, arma.max_q + 1) for x in spec.train_inputs]]
+    vector = F.concat(F.array(F.lit(1.0)), *lists)
     # what the recursion starts from, as of each row
-    known = F.array(*[back("y_l", v + a) for a in range(depth + 1)])
-    seen = F.array(*[F.array(*[back(x, v + j) for j in range(arma.max_q)]) for x in inputs])
-    coming = F.array(
-        *[F.array(*[back(x, k) for x in spec.inputs]) for k in range(p_ahead + v - 1, -1, -1)]
-    )
-    rows = rows.withColumns({"known": known, "seen": seen, "coming": coming})
-    rows = carry_fit(rows, spec)
-    return land(rows.withColumn("forecast", _recursion(arma, len(inputs))), spec, model)
+    known = _window_of("y_l", depth + 1, v)
+    seen = F.array(*[_window_of(x, arma.max_q, v) for x in spec.train_inputs])
+    coming = F.reverse(F.arrays_zip(*[_window_of(x, p_ahead + v).alias(x) for x in spec.inputs]))
+    rows = rows.withColumns({"_all": vector, "known": known, "seen": seen, "coming": coming})
+    rows = rows.withColumn("_v", F.when((F.col("i") >= p_ahead + depth) & (F.size("_all") == layout.width + 1) & F.forall("_all", lambda x: x.isNotNull()), F.col("_all")))
+    rows = rows.withColumn("coming", F.transform("coming", lambda u: F.array(*[u[x] for x in spec.inputs]))).drop("_all")
+    fits = fold_fits(rows, spec, layout)
+    rows = rows.drop("_v").withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
+    rows = rows.join(fits, ["series_id", "refit_t"], "left")
+    return land(rows.withColumn("forecast", _recursion(arma, len(spec.inputs))), plain, model)
+
+
+def moving_average_split(
+    prices: DataFrame, arma: ArmaSpec = ArmaSpec(), split: SplitSpec = SplitSpec(lags=1), model: str = "arma"
+) -> DataFrame:
+    """Fit once on the training rows, then forecast every later row from the end of training."""
+    layout = Layout(split.lags, arma)
+    rows = split_rows(prices, SplitSpec(layout.depth + split.lags, split.test_size, split.validation_size, split.block_rows))
+    # lags of the target are the lagged returns themselves, and so are lags of the inputs
+    lags = [F.col("y"), *[F.col(f"x{a}") for a in range(1, layout.depth + 1)]]
+    exog = [F.col(f"x{split.lags - k + j}") for k in range(split.lags) for j in range(arma.max_q + 1)]
+    usable = (F.col("role") == "train") & (F.col("i") >= layout.depth)
+    vectors = rows.where(usable).select("series_id", F.array(F.lit(1.0), *lags, *exog).alias("_v"))
+    fits = with_fits(_gathered(_summed(vectors, ["series_id"]), ["series_id"]), layout)
+    return ahead_of_training(rows, fits.select("series_id", "fit.*").drop("n"), split, model, layout)
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -174,8 +251,8 @@ def _recursion(arma: ArmaSpec, inputs: int) -> Column:
         past = F.slice(known, j + 2, arma.long_order)
         told = F.lit(0.0)
         for k in range(inputs):
-            told = told + fit["long_beta"][k] * F.col("seen")[k][j]
-        errors.append(known[j] - fit["long_intercept"] - told - _dot(fit["long_phi"], past))
+            told = told + F.get(fit["long_beta"], F.lit(k)) * F.get(F.col("seen")[k], F.lit(j))
+        errors.append(F.get(known, F.lit(j)) - fit["long_intercept"] - told - _dot(fit["long_phi"], past))
 
     def shifted(a: Column, new: Column) -> Column:
         return F.concat(F.array(new), F.slice(a, F.lit(1), F.size(a) - 1))
@@ -192,6 +269,8 @@ def _recursion(arma: ArmaSpec, inputs: int) -> Column:
         )
 
     start = F.struct(
-        F.slice(known, 1, arma.max_p).alias("recent"), F.array(*errors).alias("errors"), known[0].alias("y")
+        F.slice(known, 1, arma.max_p).alias("recent"), F.array(*errors).alias("errors"), F.get(known, F.lit(0)).alias("y")
     )
-    return F.aggregate(F.col("coming"), start, step, lambda s: s["y"])
+    # rows copied to a block without all they look back on are not scored there
+    whole = fit.isNotNull() & (F.size(known) == arma.long_order + arma.max_q + 1) & (F.size(F.col("seen")[0]) == arma.max_q)
+    return F.when(whole, F.aggregate(F.col("coming"), start, step, lambda s: s["y"]))
