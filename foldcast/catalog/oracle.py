@@ -27,6 +27,9 @@ PX = {
 }
 
 
+PX["log"] = f"SELECT sid, dt, ln(price) AS price FROM ({PX['supp']})"
+
+
 def px(kind: str) -> str:
     return f"px AS ({PX[kind]})"
 
@@ -616,6 +619,8 @@ def oracle_sql() -> dict[str, str]:
         "index_check": f"""WITH {px('flag')} SELECT dt, CAST(count(*) FILTER (WHERE sid = 'A') AS INTEGER) AS in_left,
             CAST(count(*) FILTER (WHERE sid = 'N') AS INTEGER) AS in_right
             FROM px WHERE sid IN ('A', 'N') GROUP BY 1 HAVING count(*) = 1""",
+        "index_check_all": f"""WITH {px('supp')}, total AS (SELECT count(DISTINCT sid) AS k FROM px)
+            SELECT dt, count(DISTINCT sid) AS present, (SELECT k FROM total) - present AS missing FROM px GROUP BY 1 HAVING missing > 0""",
         "length_check": f"""WITH {px('supp')} SELECT sid AS series_id, count(*) AS n_rows, count(price) AS n_prices,
             CAST(count(*) > {lr.window_size} AS BIGINT) AS fits FROM px GROUP BY 1""",
         "split_train_val_test": f"WITH {split_rows('supp', 1)} SELECT sid AS series_id, dt, i, role FROM spl",
@@ -645,6 +650,7 @@ def oracle_sql() -> dict[str, str]:
         "svr_tube_single": f"WITH {split_tube('supp', 3, q.TUBE)} {TUBE_OUT}",
         "wf_svr_tube": f"WITH {tube_wf('flag', svr, q.TUBE)} {TUBE_OUT}",
         "wf_svr_tube_growing": f"WITH {tube_wf('flag', svr.but(sliding_window=False, frequency=7), q.TUBE)} {TUBE_OUT}",
+        "wf_svr_log": f"WITH {tube_wf('log', svr, 0.1)} {TUBE_OUT}",
         "wf_error": f"""WITH {flag_wf} SELECT sid AS series_id, dt, {r6('pred - "true"', 'error')} FROM moved""",
         "wf_sq_error": f"""WITH {flag_wf} SELECT sid AS series_id, dt, {r6('(pred - "true") ^ 2', 'sq_error')} FROM moved""",
         "wf_metrics": f"""WITH {linear_wf('supp', lr)}, named AS (SELECT *, 'lr' AS model FROM moved), sc AS ({scores('named')})

@@ -167,6 +167,11 @@ def index_check(spark, folder):
     )
 
 
+def index_check_all(spark, folder):
+    """Dates that not all suppliers have."""
+    return checks.uneven_dates(supp_px(spark, folder))
+
+
 def length_check(spark, folder):
     return checks.length_report(supp_px(spark, folder), LR)
 
@@ -305,6 +310,12 @@ def wf_svr_tube_growing(spark, folder):
     return _tube(walk_forward.tube_forecasts(flag_px(spark, folder), spec, epsilon=TUBE))
 
 
+def wf_svr_log(spark, folder):
+    """The default tube on the logarithms of prices, which move little."""
+    logs = supp_px(spark, folder).withColumn("price", F.ln("price"))
+    return _tube(walk_forward.tube_forecasts(logs, SVR))
+
+
 def wf_svr_flat(spark, folder):
     """With a tube wider than any target, every fold has its mid-range."""
     return _forecasts(walk_forward.tube_forecasts(flag_px(spark, folder), SVR.but(frequency=7), epsilon=1e6))
@@ -555,7 +566,8 @@ def csv_roundtrip(spark, folder):
     """Prices written as a wide CSV file and read back."""
     path = f"{shared_dir(spark)}/prices-{uuid.uuid4().hex}"
     wide = source.to_wide(flag_px(spark, folder), FLAGS)
-    wide.select(F.date_format("dt", "yyyy-MM-dd").alias("dt"), *FLAGS).write.option("header", True).csv(path)
+    # columns are found by name, so their order in the file does not matter
+    wide.select(F.date_format("dt", "yyyy-MM-dd").alias("dt"), *reversed(FLAGS)).write.option("header", True).csv(path)
     prices = source.to_long(source.read_wide_csv(spark, path, FLAGS), FLAGS).where(F.col("price").isNotNull())
     return prices
 

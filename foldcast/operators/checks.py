@@ -21,6 +21,14 @@ def key_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.where(F.col("in_left").isNull() | F.col("in_right").isNull())
 
 
+def uneven_dates(table: DataFrame) -> DataFrame:
+    """Dates on which some series have a row and others have none, with how many of each."""
+    by_date = table.groupBy("dt").agg(F.count_distinct("series_id").alias("present"))
+    total = table.agg(F.count_distinct("series_id").alias("series"))  # one row
+    joined = by_date.join(total, by_date["present"] < total["series"])
+    return joined.select("dt", "present", (F.col("series") - F.col("present")).alias("missing"))
+
+
 def length_report(prices: DataFrame, spec: FoldSpec) -> DataFrame:
     """Rows per series, and whether the window fits into them."""
     counted = prices.groupBy("series_id").agg(

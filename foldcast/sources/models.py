@@ -1,8 +1,8 @@
-"""The model table: fitted coefficients and net weights as ordinary rows.
+"""The model table: fitted coefficients as ordinary rows.
 
-``(model, run_id, series_id, refit_t, fit_dt, intercept, coef, n_train, params,
-weights)``, partitioned by model and run. A run only ever reads its own rows,
-so weights of an earlier run over later dates cannot leak into it.
+``(model, run_id, series_id, refit_t, fit_dt, intercept, coef, n_train,
+params)``, partitioned by model and run. A run only ever reads its own rows,
+so fits of an earlier run over later dates cannot leak into it.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "model STRING, run_id STRING, series_id STRING, refit_t BIGINT, fit_dt DATE, intercept DOUBLE, "
-    "coef ARRAY<DOUBLE>, n_train BIGINT, params MAP<STRING,STRING>, "
-    "weights ARRAY<STRUCT<name:STRING,shape:ARRAY<INT>,v:ARRAY<FLOAT>>>"
+    "coef ARRAY<DOUBLE>, n_train BIGINT, params MAP<STRING,STRING>"
 )
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
 

@@ -10,15 +10,21 @@ from foldcast.functions.values import nan_to_null, whole_day
 
 
 def read_wide_csv(spark: SparkSession, path: str, instruments: list[str], header: bool = True) -> DataFrame:
-    """CSV whose first column is the date and every other column one instrument.
+    """CSV whose first column is the date and every other column one instrument: ``dt`` and ``instruments``.
 
-    ``instruments`` names the value columns in file order; nothing is inferred.
+    With a header, columns are picked by name, wherever they stand, and every file must have
+    the same header; without one, ``instruments`` names the value columns in file order.
+    Nothing is inferred, and a cell that is no number, or no date, fails the read.
     """
-    schema = T.StructType(
-        [T.StructField("dt", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in instruments]
-    )
-    table = spark.read.schema(schema).csv(path, header=header, nanValue="NaN", enforceSchema=True)
-    return table.withColumn("dt", whole_day(F.col("dt")))
+    columns = ["dt", *instruments]
+    if header:
+        columns = spark.read.csv(path, header=True).columns
+        if missing := set(instruments) - set(columns[1:]):
+            raise ValueError(f"no column {sorted(missing)} among {columns[1:]}")
+    kinds = [T.DoubleType() if c in instruments and k else T.StringType() for k, c in enumerate(columns)]
+    schema = T.StructType([T.StructField(c, t) for c, t in zip(columns, kinds)])
+    table = spark.read.schema(schema).csv(path, header=header, nanValue="NaN", enforceSchema=not header, mode="FAILFAST")
+    return table.select(whole_day(F.col(f"`{columns[0]}`")).alias("dt"), *[F.col(f"`{c}`") for c in instruments])
 
 
 def pick(wide: DataFrame, instrument: str) -> DataFrame:

@@ -13,6 +13,7 @@ from foldcast.operators.asof import attach_newest
 from foldcast.operators.folds import LINEAR
 from foldcast.session import shared_dir
 from foldcast.sources import models as table
+from foldcast.sources import prices as source
 from foldcast.streaming import bars, scoring
 from foldcast.plans.walk_forward import forecasts_from, linear_forecasts, refit_table
 
@@ -122,3 +123,18 @@ def test_stream_scores_by_the_newest_fit(spark):
         bars.drain(made, f"{at}/out", f"{at}/checkpoint")
         got = {(r.series_id, r.dt.day): r.pred for r in spark.read.schema(made.schema).parquet(f"{at}/out").collect()}
         assert got == {("a", 1): 16.0, ("b", 1): 4.0, ("c", 1): None, ("a", 2): None}
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,SPY,note,GLD\n2020-01-01,1.5,x,10\n2020-01-02,,y,NaN\n")
+    got = source.read_wide_csv(spark, str(tmp_path / "a.csv"), ["GLD", "SPY"])
+    assert got.columns == ["dt", "GLD", "SPY"]
+    long = {(r.series_id, r.dt.day): r.price for r in source.to_long(got, ["GLD", "SPY"]).collect()}
+    assert long == {("GLD", 1): 10.0, ("SPY", 1): 1.5, ("GLD", 2): None, ("SPY", 2): None}
+    with pytest.raises(ValueError, match="OIL"):
+        source.read_wide_csv(spark, str(tmp_path / "a.csv"), ["OIL"])
+    (tmp_path / "bad.csv").write_text("Date,SPY\n2020-01-01,abc\n")
+    with pytest.raises(Exception, match="MALFORMED|abc"):
+        source.read_wide_csv(spark, str(tmp_path / "bad.csv"), ["SPY"]).collect()
+    (tmp_path / "none.csv").write_text("2020-01-01,3\n")
+    assert source.read_wide_csv(spark, str(tmp_path / "none.csv"), ["SPY"], header=False).first().SPY == 3.0

@@ -2,13 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from helpers import frame, series_of, training_table, walk
 
 from foldcast.operators.folds import AUTOREGRESSIVE
 from foldcast.operators.shaping import returns
 from foldcast.plans.autoregressive import ArSpec, autoregressive_forecasts, autoregressive_split, kpss_by_series
 from foldcast.plans.single_split import SplitSpec
-from foldcast.plans.moving_average import ArmaSpec, moving_average_forecasts, settles
+from foldcast.plans.moving_average import ArmaSpec, moving_average_forecasts, moving_average_split, settles
 
 SPEC = AUTOREGRESSIVE.but(
     start_date=None, end_date=None, window_size=60, prediction_length=3, frequency=9, validation_size=2
@@ -120,9 +121,15 @@ def test_level_test(spark, block_rows):
     assert got["calm"].stationary == 1 and got["drift"].stationary == 0
 
 
+def inside(a):
+    """All roots of z^m + a1 z^(m-1) + ... inside the unit circle."""
+    return not len(a) or np.abs(np.roots(np.r_[1.0, a])).max(initial=0.0) < 1.0
+
+
 @pytest.mark.parametrize("block_rows", [1, 5000])
-def test_moving_average_equals_two_regressions(spark, block_rows):
-    prices, spec = walk(190, 26), SPEC.but(block_rows=block_rows)
+@pytest.mark.parametrize("sliding", [False, True])
+def test_moving_average_equals_two_regressions(spark, block_rows, sliding):
+    prices, spec = walk(190, 26), SPEC.but(block_rows=block_rows, sliding_window=sliding)
     arma = ArmaSpec(max_p=2, max_q=2, max_order=3, long_order=4)
     got = moving_average_forecasts(frame(spark, {"a": prices}), spec, arma).toPandas()
     x, y = training_table(prices, spec)
@@ -133,7 +140,7 @@ def test_moving_average_equals_two_regressions(spark, block_rows):
     for t in range(60, n - p_ahead + 1):
         e = t + p_ahead - 1
         if t % 9 == 0:
-            rows = np.arange(p_ahead + m + q_max, e - v + 1)
+            rows = np.arange(p_ahead + m + q_max + (t - 60) * sliding, e - v + 1)
             long, _ = ols(np.column_stack([xl[rows]] + [y[rows - a] for a in range(1, m + 1)]), y[rows])
             best = None
             for p in range(3):
@@ -141,7 +148,7 @@ def test_moving_average_equals_two_regressions(spark, block_rows):
                     res = lambda r: y[r] - long[0] - long[1] * xl[r] - sum(long[1 + a] * y[r - a] for a in range(1, m + 1))
                     cols = [xl[rows]] + [y[rows - a] for a in range(1, p + 1)] + [res(rows - j) for j in range(1, q + 1)]
                     b, rss = ols(np.column_stack(cols), y[rows])
-                    if not settles(b[2 : 2 + p], b[2 + p :]):
+                    if not (inside(-b[2 : 2 + p]) and inside(b[2 + p :])):
                         continue
                     key = (round(len(rows) * np.log(rss / len(rows)) + 2 * (p + q + 2), 9), p + q, p)
                     if best is None or key < best[0]:
@@ -165,9 +172,48 @@ def test_moving_average_equals_two_regressions(spark, block_rows):
     np.testing.assert_allclose(series_of(got, "a"), want[60 + 2 * p_ahead - 1 :], rtol=1e-6, atol=1e-8)
 
 
-def test_settling_orders():
-    assert settles(np.array([0.5]), np.zeros(0)) and not settles(np.array([1.1]), np.zeros(0))
-    assert not settles(np.zeros(0), np.array([-2.0])) and settles(np.zeros(0), np.zeros(0))
+def test_settling_orders(spark):
+    rng = np.random.default_rng(5)
+    cases = [[0.5], [1.1], [-2.0], [0.0, 0.0], [], [1.0], *[rng.normal(0, 0.6, rng.integers(1, 6)).tolist() for _ in range(200)]]
+    cases += [[*c, 0.0, 0.0] for c in cases]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, a array<double>")
+    got = [r.ok for r in df.select("k", settles(F.col("a")).alias("ok")).orderBy("k").collect()]
+    assert got == [bool(inside(c)) for c in cases] and any(got) and not all(got)
+
+
+@pytest.mark.parametrize("block_rows", [5, 5000])
+def test_single_split_with_errors_runs_from_the_end_of_training(spark, block_rows):
+    rng = np.random.default_rng(12)
+    shocks = rng.normal(0, 0.02, 301)
+    prices = 100 * np.cumprod(1 + np.r_[0.0, shocks[1:] + 0.7 * shocks[:-1]][:300])
+    arma = ArmaSpec(max_p=2, max_q=2, max_order=3, long_order=4)
+    got = series_of(moving_average_split(frame(spark, {"a": prices}), arma, SplitSpec(lags=1, block_rows=block_rows)).toPandas(), "a")
+    y = np.r_[0.0, prices[1:] / prices[:-1] - 1]
+    kept = 300 - 30
+    n_fit = kept - int(np.ceil(0.15 * kept))
+    rows = np.arange(6, n_fit)
+    # the input is the first own lag, which adds nothing beside it
+    long, _ = ols(np.column_stack([y[rows - a] for a in range(1, 5)]), y[rows])
+    error = lambda r: y[r] - long[0] - sum(long[a] * y[r - a] for a in range(1, 5))
+    best = None
+    for p in range(3):
+        for q in range(min(2, 3 - p) + 1):
+            cols = [y[rows - 1]] + [y[rows - a] for a in range(2, p + 1)] + [error(rows - j) for j in range(1, q + 1)]
+            b, rss = ols(np.column_stack(cols), y[rows])
+            own, theta = b[2 : 2 + max(p - 1, 0)], b[2 + max(p - 1, 0) :]
+            phi = np.r_[np.zeros(min(p, 1)), own]
+            if not (inside(-phi) and inside(theta)):
+                continue
+            key = (round(len(rows) * np.log(rss / len(rows)) + 2 * (p + q + 2), 9), p + q, p)
+            if best is None or key < best[0]:
+                best = (key, b[0], b[1], phi, theta)
+    _, c, beta, phi, theta = best
+    assert len(theta), "the series has an error term"
+    past, errors = list(y[:n_fit]), [error(n_fit - j) for j in (1, 2)]
+    for k in range(n_fit, 300):
+        past.append(c + beta * y[k - 1] + sum(f * past[-a] for a, f in enumerate(phi, 1)) + sum(t * e for t, e in zip(theta, errors)))
+        errors = [0.0, errors[0]]
+    np.testing.assert_allclose(got, past[kept:], atol=1e-9)
 
 
 @pytest.mark.parametrize("block_rows", [4, 5000])
