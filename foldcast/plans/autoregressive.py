@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldcast.functions.regression import swept
-from foldcast.functions.summaries import Bundle, Moments, Sums
+from foldcast.functions.summaries import Moments, Sums
+from foldcast.functions.triangles import centred, means, products
 from foldcast.operators import frames
 from foldcast.operators.blocks import BLOCK, BLOCK_ROWS, in_block, running_totals, spread, to_blocks
-from foldcast.operators.folds import AUTOREGRESSIVE, FoldSpec, carry_fit, complete_from, fold_rows, land, refits
+from foldcast.operators.folds import AUTOREGRESSIVE, FoldSpec, fold_rows, land, refits
+from foldcast.operators.sums import refit_sums, window_of
 from foldcast.plans.affine import ahead_of_training
 from foldcast.plans.single_split import SplitSpec, split_rows
-from foldcast.plans.walk_forward import summarise
 
 # Critical values of the level test, Kwiatkowski et al. (1992), table 1. Fixed values.
 KPSS_CRITICAL = {0.1: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
@@ -106,33 +107,6 @@ def _differenced(column: str, d: int, order) -> Column:
     return at[0] - 2.0 * at[1] + at[2]
 
 
-def lagged_columns(
-    rows: DataFrame, spec: ArSpec, target: str, inputs: list[str], first: int
-) -> DataFrame:
-    """Per difference d: target, its lags and the inputs, NULL as a whole where incomplete.
-
-    Rows before ``first + max_p + max difference`` are left out for every
-    candidate, so that all of them are judged on the same rows.
-    """
-    order = in_block()
-    start = first + spec.max_p + max(spec.differences)
-    for d in spec.differences:
-        us, vs, v = _names(d, inputs, spec.max_p)
-        rows = rows.withColumns(
-            {f"{v}_all": _differenced(target, d, order)}
-            | {f"{u}_all": _differenced(x, d, order) for u, x in zip(us, inputs)}
-        )
-        lags = {f"{name}_all": F.lag(f"{v}_all", a).over(order) for a, name in enumerate(vs, 1)}
-        rows = rows.withColumns(lags)
-        complete = F.col("i") >= start
-        for c in (*us, *vs, v):
-            complete = complete & F.col(f"{c}_all").isNotNull()
-        rows = rows.withColumn(f"_ok{d}", complete)
-        rows = rows.withColumns({c: F.when(F.col(f"_ok{d}"), F.col(f"{c}_all")) for c in (*us, *vs, v)})
-        rows = rows.drop(f"_ok{d}", *[f"{c}_all" for c in vs], *[f"{u}_all" for u in us])
-    return rows
-
-
 def candidate_fits(summary: Column, moments: Moments, d: int, inputs: list[str], max_p: int, only: Column | None = None) -> Column:
     """Array over p = 0..max_p of struct(aic, p, d, n, rss, intercept, beta, phi)."""
     us, vs, v = _names(d, inputs, max_p)
@@ -200,48 +174,6 @@ def order_search(prices: DataFrame, spec: ArSpec, split: SplitSpec = SplitSpec(l
 
 # --- walk-forward --------------------------------------------------------------
 
-def autoregressive_fits(prices: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[DataFrame, FoldSpec]:
-    """Blocked rows with the chosen fit in force, and the settings with the wider halo."""
-    ahead = spec.prediction_length + spec.validation_size
-    if ar.difference is None and ar.kpss_lags is None and ar.longest_lags is None and not spec.sliding_window:
-        longest = prices.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
-        ar = replace(ar, longest_lags=int(math.sqrt(longest) * 3.0 / 13.0))
-    reach = ar.max_p + max(ar.differences) + ahead
-    if ar.difference is None:
-        reach += _window_lags(spec, ar, 0) + 1 if spec.sliding_window else _lag_bound(ar)
-    spec = spec.but(extra_rows=reach)
-    inputs = spec.train_inputs
-    rows = lagged_columns(fold_rows(prices, spec), ar, "y_l", inputs, spec.prediction_length)
-    moments, parts = {}, []
-    for d in ar.differences:
-        us, vs, v = _names(d, inputs, ar.max_p)
-        moments[d] = Moments((*us, *vs, v))
-        parts.append((f"m{d}", moments[d]))
-    if ar.difference is None and spec.sliding_window:
-        rows = window_level_tests(rows, spec, ar)
-    elif ar.difference is None:
-        rows, tests = level_test_columns(rows, spec, ar)
-        parts += tests
-    everything = Bundle(tuple(parts))
-    if spec.sliding_window:
-        back = spec.window_size - 1 - ar.max_p - max(ar.differences)
-        rows = rows.withColumn("seg", F.floor(F.col("i") / (back - spec.withheld + 1)))
-        rows = frames.sliding(rows, everything, back, spec.withheld, "train")
-    else:
-        rows = summarise(rows, spec, everything)
-    for d in ar.differences:
-        every = candidate_fits(F.col("train")[f"m{d}"], moments[d], d, inputs, ar.max_p, only=refits(spec))
-        # the struct starts with (aic, p): least AIC, ties to the smaller order
-        rows = rows.withColumn(f"fit{d}", F.array_min(every))
-    fits = [f"fit{d}" for d in ar.differences]
-    if ar.difference is None:
-        rows = rows.withColumn("d", chosen_difference(spec, ar))
-        chosen = F.coalesce(*[F.when(F.col("d") == d, F.col(f"fit{d}")) for d in ar.differences])
-    else:
-        chosen = F.col(fits[0])
-    return rows.withColumn("fit", chosen).drop("train", *fits), spec
-
-
 def _lag_bound(ar: ArSpec) -> int:
     return ar.longest_lags if ar.kpss_lags is None else ar.kpss_lags
 
@@ -307,61 +239,37 @@ def window_level_tests(rows: DataFrame, spec: FoldSpec, ar: ArSpec) -> DataFrame
     return rows
 
 
-def level_test_columns(rows: DataFrame, spec: FoldSpec, ar: ArSpec) -> tuple[DataFrame, list]:
-    """Columns whose sums over a fold give the level test of each tested difference, for growing windows."""
-    tested = ar.differences[:-1]
-    valid, seen = complete_from(spec)
-    ranks = {d: F.col("i") - (spec.prediction_length + d) + 1 for d in tested}
-    rows = rows.withColumns(
-        {f"k{d}_v": F.when(ranks[d] >= 1, F.coalesce(F.col(f"d{d}_v_all"), F.lit(0.0))) for d in tested}
-    )
-    rows = frames.growing(rows, Sums(tuple(f"k{d}_v" for d in tested)), 0, "_cum", valid, seen)
-    parts, columns = [], {}
-    for d in tested:
-        v, rank = F.col(f"k{d}_v"), ranks[d]
-        c = F.when(rank >= 1, F.col("_cum")[f"k{d}_v"])
-        columns |= {f"k{d}_c": c, f"k{d}_cc": c * c, f"k{d}_rc": rank * c, f"k{d}_q0": v * v}
-        for s in range(1, _lag_bound(ar) + 1):
-            columns[f"k{d}_q{s}"] = v * F.lag(v, s).over(in_block())
-            columns[f"k{d}_h{s}"] = F.when(rank <= s, v)
-    rows = rows.withColumns(columns)
-    for d in tested:
-        names = tuple(c for c in (f"k{d}_v", *columns) if c.startswith(f"k{d}_"))
-        parts.append((f"k{d}", Sums(names)))
-    # running sum at the end of training and up to the longest lag before it
-    late = {
-        f"k{d}_c_{s}": F.lag(f"k{d}_c", spec.withheld + s).over(in_block())
-        for d in tested
-        for s in range(1, _lag_bound(ar) + 1)
-    }
-    return rows.withColumns(late).drop("_cum"), parts
-
-
-def chosen_difference(spec: FoldSpec, ar: ArSpec) -> Column:
-    """The smallest difference whose training targets pass the level test."""
-    picks = []
-    for d in ar.differences[:-1]:
-        if spec.sliding_window:
-            accept = F.coalesce(F.col(f"_level{d}") < KPSS_CRITICAL[ar.alpha], F.lit(True))
-            picks.append(F.when(F.when(refits(spec), accept), F.lit(d)))
-            continue
-        bound = _lag_bound(ar)
-        k = F.col("train")[f"k{d}"]
-        n, total = k["n"], k[f"k{d}_v"]
-        mean = F.try_divide(total, n)
-        squares = (
-            k[f"k{d}_cc"] - 2.0 * mean * k[f"k{d}_rc"] + mean * mean * n * (n + 1.0) * (2.0 * n + 1.0) / 6.0
-        )
-        gamma = [k[f"k{d}_q0"] - n * mean * mean]
-        for s in range(1, bound + 1):
-            paired = (total - k[f"k{d}_h{s}"]) + F.col(f"k{d}_c_{s}")
-            gamma.append(k[f"k{d}_q{s}"] - mean * paired + (n - F.lit(float(s))) * mean * mean)
-        lags = kpss_lag_rule(n) if ar.kpss_lags is None else ar.kpss_lags
-        statistic = kpss_statistic(n, squares, gamma, lags)
-        # a constant series is stationary
-        accept = F.coalesce(statistic < KPSS_CRITICAL[ar.alpha], F.lit(True))
-        picks.append(F.when(F.when(refits(spec), accept), F.lit(d)))
-    return F.coalesce(*picks, F.lit(ar.differences[-1]))
+def growing_test_numbers(d: int, lags: int, spec: FoldSpec) -> Column:
+    """What is summed over a growing fold for its level test: needs ``_k{d}`` and its running total ``_c{d}``."""
+    rank = F.col("i") - (spec.prediction_length + d) + 1
+    v, c, recent = F.col(f"_k{d}"), F.col(f"_c{d}"), F.col(f"_lags{d}")
+    steps = F.sequence(F.lit(1), F.lit(lags)) if lags else F.array().cast("array<int>")
+    own = F.array(F.lit(1.0), v, v * v, c * c, rank * c)
+    pairs = F.transform(steps, lambda s: v * F.coalesce(F.get(recent, s), F.lit(0.0)))
+    heads = F.transform(steps, lambda s: F.when(rank <= s, v).otherwise(F.lit(0.0)))
+    return F.when(rank >= 1, F.concat(own, pairs, heads)).otherwise(F.array_repeat(F.lit(0.0), 5 + 2 * lags))
+
+
+def growing_level(numbers: Column, tail: Column, bound: int, lags: int | None) -> Column:
+    """Level statistic from the sums and ``tail``, the newest values of the fold, latest first."""
+    def at(k) -> Column:
+        return F.get(numbers, k if isinstance(k, Column) else F.lit(k))
+
+    n, total, squares_v, cc, rc = (at(k) for k in range(5))
+    mean = F.try_divide(total, n)
+    squares = cc - 2.0 * mean * rc + mean * mean * n * (n + 1.0) * (2.0 * n + 1.0) / 6.0
+    bandwidth = kpss_lag_rule(n).cast("double") if lags is None else F.lit(float(lags))
+
+    def step(state: Column, s: Column) -> Column:
+        until = state["until"] - F.coalesce(F.get(tail, s - 1), F.lit(0.0))  # total up to s rows before the end
+        paired = (total - at(s + (4 + bound))) + until
+        gamma = at(s + 4) - mean * paired + (n - s) * mean * mean
+        weight = F.when(s <= bandwidth, 1.0 - s / (bandwidth + 1.0)).otherwise(F.lit(0.0))
+        return F.struct(until.alias("until"), (state["sum"] + 2.0 * weight * gamma).alias("sum"))
+
+    start = F.struct(total.alias("until"), (squares_v - n * mean * mean).alias("sum"))
+    long_run = F.aggregate(F.sequence(F.lit(1), F.lit(bound)), start, step, lambda s: s["sum"]) if bound else start["sum"]
+    return F.try_divide(squares, n * long_run)
 
 
 def forecast_steps(fit: Column, recent: Column, level: Column, slope: Column, exog: Column) -> Column:
@@ -387,6 +295,41 @@ def forecast_steps(fit: Column, recent: Column, level: Column, slope: Column, ex
     return F.aggregate(exog, start, step, lambda s: s["level"])
 
 
+def differenced(values: Column, d: int, count: int) -> Column:
+    """The first ``count`` d-th differences of values that are latest first."""
+    part = [F.slice(values, k + 1, count) for k in range(d + 1)]
+    if d == 0:
+        return part[0]
+    if d == 1:
+        return F.zip_with(part[0], part[1], lambda a, b: a - b)
+    return F.zip_with(F.zip_with(part[0], part[1], lambda a, b: a - 2.0 * b), part[2], lambda a, c: a + c)
+
+
+def array_fits(sums: Column, spec: FoldSpec, ar: ArSpec, d: int, exogs: int) -> Column:
+    """The order of least AIC from the summed triangle of ``[1, inputs, lags, target]``."""
+    m = exogs + ar.max_p + 1
+    flat = F.col(f"_cov{d}")
+    mean, n = F.col(f"_mean{d}"), F.get(sums, F.lit(0))
+    states = swept(flat, m, list(range(m - 1)))
+
+    def candidate(state: Column, at: Column) -> Column:
+        p = at - F.lit(exogs - 1)
+        rss = F.get(state, F.lit(m * m - 1))
+        coef = F.transform(
+            F.sequence(F.lit(0), F.lit(m - 2)), lambda f: F.when(f - exogs < p, F.get(state, f * m + m - 1)).otherwise(F.lit(0.0))
+        )
+        intercept = F.get(mean, F.lit(m - 1)) - F.aggregate(F.zip_with(coef, F.slice(mean, 1, m - 1), lambda c, u: c * u), F.lit(0.0), lambda s, x: s + x)
+        fit = F.when(rss > 0, n * F.ln(rss / n)).otherwise(F.lit(float("-inf")))
+        return F.struct(
+            (fit + 2.0 * (p + F.lit(exogs + 1))).alias("aic"), p.cast("bigint").alias("p"), F.lit(d).alias("d"), n.alias("n"), rss.alias("rss"),
+            intercept.alias("intercept"), F.slice(coef, 1, exogs).alias("beta"), F.slice(coef, exogs + 1, ar.max_p).alias("phi"),
+        )
+
+    every = F.slice(F.transform(states, candidate), exogs, ar.max_p + 1)
+    # the struct starts with (aic, p): least AIC, ties to the smaller order
+    return F.when(n > 0, F.array_min(every))
+
+
 def autoregressive_forecasts(
     prices: DataFrame, spec: FoldSpec = AUTOREGRESSIVE, ar: ArSpec = ArSpec(), model: str = "arima"
 ) -> DataFrame:
@@ -395,55 +338,108 @@ def autoregressive_forecasts(
     The newest known target at row e is that of row e-V, so P+V steps lead to
     row e+P; their inputs are all known at e. ``compat`` instead repeats P
     steps from the end of the last training set, with the inputs of the rows
-    being scored.
+    being scored. Lags are arrays, and only refits are fitted, so the plan does not grow with lags or steps.
     """
-    rows, spec = autoregressive_fits(prices, spec, ar)
-    p_ahead, v = spec.prediction_length, spec.validation_size
-    order = in_block()
+    if spec.random_validation:
+        raise ValueError("autoregressions withhold the newest rows")
+    p_ahead, v, exogs, deepest = spec.prediction_length, spec.validation_size, spec.lags, max(ar.differences)
     steps = p_ahead if ar.compat else p_ahead + v
+    testing, growing_test = ar.difference is None, ar.difference is None and not spec.sliding_window
+    if growing_test and ar.kpss_lags is None and ar.longest_lags is None:
+        longest = prices.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+        ar = replace(ar, longest_lags=int(math.sqrt(longest) * 3.0 / 13.0))
+    bound = _lag_bound(ar) if growing_test else _window_lags(spec, ar, 0) + 1 if testing else 0
+    spec = spec.but(extra_rows=ar.max_p + deepest + p_ahead + v + bound)
+    # rows of a fold reach its fit as sums; only the level test of a sliding window looks back over it
+    plain = spec if testing and spec.sliding_window else spec.but(sliding_window=False)
+    rows = fold_rows(prices, plain)
+    order, tested = in_block(), ar.differences[:-1] if testing else []
+    for d in tested:
+        rows = rows.withColumn(f"d{d}_v_all", _differenced("y_l", d, order))
+    if testing and spec.sliding_window:
+        rows = window_level_tests(rows, spec, ar)
+    elif testing:
+        rank = F.col("i") - p_ahead + 1
+        rows = rows.withColumns({f"_k{d}": F.when(rank - d >= 1, F.coalesce(F.col(f"d{d}_v_all"), F.lit(0.0))) for d in tested})
+        rows = rows.withColumns({f"_lags{d}": window_of(f"_k{d}", bound + 1) for d in tested} | {f"_tail{d}": window_of(f"_k{d}", max(bound, 1), v) for d in tested})
+    rows = rows.drop(*[f"d{d}_v_all" for d in tested])
+    exog = [window_of(x, deepest + 1) for x in spec.train_inputs]
+    rows = rows.withColumns(
+        {"_ys": window_of("y_l", ar.max_p + deepest + 1), "_known": window_of("y_l", ar.max_p + deepest + 1, v)}
+        | {f"_u{k}": u for k, u in enumerate(exog)}
+        | {f"_coming{k}": window_of(x, steps + deepest) for k, x in enumerate(spec.inputs)}
+    )
 
-    def known(column: str, k: int) -> Column:
-        return F.lag(column, k).over(order) if k else F.col(column)
-
-    states = []
+    # sums over the training rows of every refit
+    own = rows.where("own")
+    if growing_test:
+        own = running_totals(own, {f"_c{d}": F.col(f"_k{d}") for d in tested})
+    parts, sizes = [], []
+    whole = (F.col("i") >= p_ahead + ar.max_p + deepest) & (F.size("_ys") == ar.max_p + deepest + 1)
     for d in ar.differences:
-        recent = F.array(*[known(f"d{d}_v_all", v + a) for a in range(ar.max_p)])
-        states.append(recent.alias(f"r{d}"))
-    # latest target and latest first difference, for summing differences up
-    level, before = known("y_l", v), known("y_l", v + 1)
-    state = F.struct(*states, level.alias("level"), (level - before).alias("slope"))
-    rows = rows.withColumn("state", state)
-    if ar.compat:
-        rows = rows.withColumn("fit", F.struct("fit", "state"))
+        lags = differenced(F.col("_ys"), d, ar.max_p + 1)
+        vector = F.concat(F.array(F.lit(1.0)), *[differenced(F.col(f"_u{k}"), d, 1) for k in range(exogs)], F.slice(lags, 2, ar.max_p), F.slice(lags, 1, 1))
+        width = exogs + ar.max_p + 2
+        complete = whole & (F.size(vector) == width) & F.forall(vector, lambda x: x.isNotNull())
+        size = width * (width + 1) // 2
+        parts.append(F.when(complete, products(vector)).otherwise(F.array_repeat(F.lit(0.0), size)))
+        sizes.append(size)
+    if growing_test:
+        parts += [growing_test_numbers(d, bound, spec) for d in tested]
+        sizes += [5 + 2 * bound] * len(tested)
+    sums = refit_sums(own.withColumn("_p", F.concat(*parts)), spec, ar.max_p + deepest)
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    pieces = [F.slice("_sums", at + 1, size) for at, size in zip(starts, sizes)]
+
+    # what a refit takes from its own row
+    carried = [f"_level{d}" for d in tested] if spec.sliding_window else [f"_tail{d}" for d in tested]
+    carried += ["_known"] if ar.compat else []
+    fits = sums
+    if carried:
+        at_refit = rows.where(F.col("own") & refits(spec)).select("series_id", F.col("t").alias("refit_t"), *carried)
+        fits = fits.join(at_refit, ["series_id", "refit_t"])
+    width = exogs + ar.max_p + 1
+    for k, d in enumerate(ar.differences):
+        fits = fits.withColumn(f"_mean{d}", means(pieces[k], width))
+        fits = fits.withColumn(f"_cov{d}", F.transform(centred(pieces[k], F.col(f"_mean{d}"), width), lambda c: c))
+        # rounding left of a constant column is not variance
+        diagonal = n_squares(pieces[k], F.col(f"_mean{d}"), width)
+        fits = fits.withColumn(f"_cov{d}", F.transform(f"_cov{d}", lambda c, i: F.when((F.pmod(i, F.lit(width + 1)) == 0) & (c <= F.get(diagonal, F.floor(i / width).cast("int"))), F.lit(0.0)).otherwise(c)))  # noqa: B023
+        fits = fits.withColumn(f"fit{d}", array_fits(pieces[k], spec, ar, d, exogs))
+    if testing:
+        picks = []
+        for k, d in enumerate(tested):
+            level = F.col(f"_level{d}") if spec.sliding_window else growing_level(pieces[len(ar.differences) + k], F.col(f"_tail{d}"), bound, ar.kpss_lags)
+            # a constant series is stationary
+            picks.append(F.when(F.coalesce(level < KPSS_CRITICAL[ar.alpha], F.lit(True)), F.lit(d)))
+        fits = fits.withColumn("_d", F.coalesce(*picks, F.lit(ar.differences[-1])))
+        chosen = F.coalesce(*[F.when(F.col("_d") == d, F.col(f"fit{d}")) for d in ar.differences])
     else:
-        rows = rows.withColumn("fit", F.struct("fit"))
-    deepest = max(ar.differences)
-    raw = {f"_u_{x}_{k}": known(x, k) for x in spec.inputs for k in range(steps + deepest)}
-    rows = rows.withColumn(
-        "exog_raw",
-        F.struct(*[F.array(*[raw[f"_u_{x}_{k}"] for k in range(steps + deepest)]).alias(x) for x in spec.inputs]),
-    )
-    rows = carry_fit(rows, spec)
-    fit, state = F.col("fit.fit"), F.col("fit.state") if ar.compat else F.col("state")
+        chosen = F.col(f"fit{ar.difference}")
+    fits = fits.select("series_id", "refit_t", chosen.alias("fit"), *(["_known"] if ar.compat else []))
+
+    rows = rows.withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
+    kept = ["series_id", *BLOCK[1:], "own", "dt", "i", "n", "y", "t", "refit_t", *(f"_coming{k}" for k in range(exogs)), *([] if ar.compat else ["_known"])]
+    rows = rows.select(*kept).join(fits, ["series_id", "refit_t"], "left")
+    fit, known = F.col("fit"), F.col("_known")
+    ready = fit.isNotNull() & (F.size(known) == ar.max_p + deepest + 1) & (F.size("_coming0") == steps + deepest)
 
     def path(d: int) -> Column:
-        """Inputs of the steps in time order, differenced d times."""
-        entries = []
-        for k in range(steps - 1, -1, -1):
-            cells = []
-            for x in spec.inputs:
-                a = [F.col("exog_raw")[x][k + j] for j in range(d + 1)]
-                cells.append(a[0] if d == 0 else a[0] - a[1] if d == 1 else a[0] - 2.0 * a[1] + a[2])
-            entries.append(F.array(*cells))
-        return F.array(*entries)
-
-    forecast = F.coalesce(
-        *[
-            F.when(fit["d"] == d, forecast_steps(fit, state[f"r{d}"], state["level"], state["slope"], path(d)))
-            for d in ar.differences
-        ]
-    )
-    return land(rows.withColumn("forecast", forecast), spec, model)
+        """Inputs of the steps in time order."""
+        columns = [differenced(F.col(f"_coming{k}"), d, steps) for k in range(exogs)]
+        return F.reverse(F.transform(columns[0], lambda u, i: F.array(u, *[F.get(c, i) for c in columns[1:]])))
+
+    level, before = F.get(known, F.lit(0)), F.get(known, F.lit(1))
+    made = [
+        F.when(ready & (fit["d"] == d), forecast_steps(fit, differenced(known, d, ar.max_p), level, level - before, path(d)))
+        for d in ar.differences
+    ]
+    return land(rows.withColumn("forecast", F.coalesce(*made)), plain, model)
+
+
+def n_squares(sums: Column, mean: Column, width: int) -> Column:
+    """n times squared means, in units of what rounding may leave of them."""
+    return F.transform(mean, lambda m: F.get(sums, F.lit(0)) * m * m * 1e-20)
 
 
 # --- single split ----------------------------------------------------------------

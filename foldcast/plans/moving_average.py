@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.functions.regression import swept
-from foldcast.operators.blocks import in_block
+from foldcast.functions.triangles import centred, means, products
 from foldcast.operators.folds import AUTOREGRESSIVE, FoldSpec, fold_rows, land
-from foldcast.plans.affine import ahead_of_training
+from foldcast.operators.sums import gathered, refit_sums, summed, window_of
+from foldcast.plans.affine import ahead_of_training, dot
 from foldcast.plans.single_split import SplitSpec, split_rows
 
 @dataclass(frozen=True)
@@ -61,29 +62,6 @@ class Layout:
         return self.depth + 1 + k * (self.arma.max_q + 1) + j
 
 
-def _products(vector: Column) -> Column:
-    """Upper triangle of the products of a vector with itself, row by row."""
-    rows = F.transform(vector, lambda a, i: F.transform(F.slice(vector, i + 1, F.size(vector) - i), lambda b: a * b))
-    return F.flatten(rows)
-
-
-def _means(grouped: Column, width: int) -> Column:
-    """Means from the summed triangle of vectors that begin with 1."""
-    return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda a: F.get(grouped, a) / F.get(grouped, F.lit(0)))
-
-
-def _centred(grouped: Column, means: Column, width: int) -> Column:
-    """Flat centred products from the summed triangle."""
-
-    def cell(c: Column) -> Column:
-        a, b = F.floor(c / width).cast("int"), F.pmod(c, F.lit(width))
-        low, high = F.least(a, b) + 1, F.greatest(a, b) + 1
-        at = low * (width + 1) - F.floor(low * (low - 1) / 2) + high - low
-        return F.get(grouped, at.cast("int")) - F.get(grouped, F.lit(0)) * F.get(means, a) * F.get(means, b)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(width * width - 1)), cell)
-
-
 def with_fits(grouped: DataFrame, layout: Layout) -> DataFrame:
     """Add ``fit``, the orders of least AIC whose forecasts settle, to rows with the summed triangle ``_sums``.
 
@@ -95,7 +73,7 @@ def with_fits(grouped: DataFrame, layout: Layout) -> DataFrame:
     now = [layout.exog(k, 0) for k in range(inputs)]
     first = [*now, *[layout.lag(a) for a in range(1, m + 1)], layout.lag(0)]
     n, s = F.get(F.col("_sums"), F.lit(0)), {"mean": F.col("_mean"), "cov": F.col("_cov")}
-    rows = grouped.withColumn("_mean", _means(F.col("_sums"), width)).withColumn("_cov", _centred(F.col("_sums"), s["mean"], width))
+    rows = grouped.withColumn("_mean", means(F.col("_sums"), width)).withColumn("_cov", centred(F.col("_sums"), s["mean"], width))
     long = F.array(*[s["cov"][a * width + b] for a in first for b in first])
     rows = rows.withColumn("_long", F.transform(long, lambda v: v))
     swept_long = F.element_at(swept(F.col("_long"), len(first), list(range(len(first) - 1))), -1)
@@ -120,10 +98,10 @@ def with_fits(grouped: DataFrame, layout: Layout) -> DataFrame:
     size = len(forms)
     rows = rows.withColumn("_forms", F.transform(F.array(*[F.array(*[f.get(c, zero) for c in range(width)]) for f in forms]), lambda f: f))
     columns = F.sequence(F.lit(0), F.lit(width - 1))
-    half = F.transform("_forms", lambda f: F.transform(columns, lambda c: _dot(f, F.slice(s["cov"], c * width + 1, F.lit(width)))))
+    half = F.transform("_forms", lambda f: F.transform(columns, lambda c: dot(f, F.slice(s["cov"], c * width + 1, F.lit(width)))))
     rows = rows.withColumn("_half", half)
-    rows = rows.withColumn("_gram", F.flatten(F.transform("_half", lambda h: F.transform("_forms", lambda f: _dot(h, f)))))
-    rows = rows.withColumn("_means", F.transform("_forms", lambda f: _dot(f, s["mean"])))
+    rows = rows.withColumn("_gram", F.flatten(F.transform("_half", lambda h: F.transform("_forms", lambda f: dot(h, f)))))
+    rows = rows.withColumn("_means", F.transform("_forms", lambda f: dot(f, s["mean"])))
     candidates = []
     for p in range(arma.max_p + 1):
         most = min(arma.max_q, arma.max_order - p)
@@ -158,45 +136,6 @@ def with_fits(grouped: DataFrame, layout: Layout) -> DataFrame:
     return rows.select(*[c for c in rows.columns if not c.startswith("_")])
 
 
-def _summed(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Summed products of the vectors ``_v`` of each group, one row per group and place; aggregated before they are shuffled."""
-    return vectors.select(*keys, F.posexplode(_products(F.col("_v"))).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.sum("_x").alias("_x"))
-
-
-def _gathered(summed: DataFrame, keys: list[str]) -> DataFrame:
-    return summed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_x"))), lambda e: e["_x"]).alias("_sums"))
-
-
-def fold_fits(rows: DataFrame, spec: FoldSpec, layout: Layout) -> DataFrame:
-    """One row per series and refit. Only refits are fitted, from sums over the rows between two of them.
-
-    A row of a growing window goes into the first refit that sees it, and sums
-    run on over the refits of a series; a row of a sliding window goes into each of its W / frequency refits.
-    """
-    p, v, w, f = spec.prediction_length, spec.validation_size, spec.window_size, spec.frequency
-    begin = -(-w // f) * f
-    # the target of row i is in the folds t with i <= t + P - 1 - V, of which the first is
-    seen = F.greatest(F.ceil((F.col("i") - (p - 1) + v) / f) * f, F.lit(begin)).cast("bigint")
-    ends = F.floor((F.col("n") - p) / f) * f
-    own = rows.where("own").where(F.col("_v").isNotNull())
-    if not spec.sliding_window:
-        summed = _summed(own.where(seen <= ends).select("series_id", seen.alias("refit_t"), "_v"), ["series_id", "refit_t"])
-        so_far = Window.partitionBy("series_id", "_pos").orderBy("refit_t").rowsBetween(Window.unboundedPreceding, 0)
-        sums = _gathered(summed.withColumn("_x", F.sum("_x").over(so_far)), ["series_id", "refit_t"])
-    else:
-        # with all its lags inside the window
-        last = F.least(F.floor((F.col("i") - p - layout.depth + w) / f) * f, ends).cast("bigint")
-        dealt = own.where(seen <= last).select("series_id", F.explode(F.sequence(seen, last, F.lit(f).cast("bigint"))).alias("refit_t"), "_v")
-        sums = _gathered(_summed(dealt, ["series_id", "refit_t"]), ["series_id", "refit_t"])
-    return with_fits(sums, layout)
-
-
-def _window_of(column: str, rows: int, skip: int = 0) -> Column:
-    """Values of the newest ``rows`` rows from ``skip`` rows back, latest first; missing ones stay in place."""
-    frame = in_block().rowsBetween(-(rows - 1) - skip, -skip)
-    return F.reverse(F.transform(F.collect_list(F.struct(F.col(column).alias("v"))).over(frame), lambda s: s["v"]))
-
-
 def moving_average_forecasts(
     prices: DataFrame, spec: FoldSpec = AUTOREGRESSIVE, arma: ArmaSpec = ArmaSpec(), model: str = "arma"
 ) -> DataFrame:
@@ -210,16 +149,17 @@ def moving_average_forecasts(
     # rows of a fold reach the fit as sums, so blocks look back no further than lags and landing
     plain = spec.but(sliding_window=False)
     rows = fold_rows(prices, plain)
-    lists = [_window_of("y_l", depth + 1), *[_window_of(x, arma.max_q + 1) for x in spec.train_inputs]]
+    lists = [window_of("y_l", depth + 1), *[window_of(x, arma.max_q + 1) for x in spec.train_inputs]]
     vector = F.concat(F.array(F.lit(1.0)), *lists)
     # what the recursion starts from, as of each row
-    known = _window_of("y_l", depth + 1, v)
-    seen = F.array(*[_window_of(x, arma.max_q, v) for x in spec.train_inputs])
-    coming = F.reverse(F.arrays_zip(*[_window_of(x, p_ahead + v).alias(x) for x in spec.inputs]))
+    known = window_of("y_l", depth + 1, v)
+    seen = F.array(*[window_of(x, arma.max_q, v) for x in spec.train_inputs])
+    coming = F.reverse(F.arrays_zip(*[window_of(x, p_ahead + v).alias(x) for x in spec.inputs]))
     rows = rows.withColumns({"_all": vector, "known": known, "seen": seen, "coming": coming})
     rows = rows.withColumn("_v", F.when((F.col("i") >= p_ahead + depth) & (F.size("_all") == layout.width + 1) & F.forall("_all", lambda x: x.isNotNull()), F.col("_all")))
     rows = rows.withColumn("coming", F.transform("coming", lambda u: F.array(*[u[x] for x in spec.inputs]))).drop("_all")
-    fits = fold_fits(rows, spec, layout)
+    vectors = rows.where("own").where(F.col("_v").isNotNull()).withColumn("_p", products(F.col("_v")))
+    fits = with_fits(refit_sums(vectors, spec, depth), layout)
     rows = rows.drop("_v").withColumn("refit_t", F.col("t") - F.pmod(F.col("t"), F.lit(spec.frequency)))
     rows = rows.join(fits, ["series_id", "refit_t"], "left")
     return land(rows.withColumn("forecast", _recursion(arma, len(spec.inputs))), plain, model)
@@ -235,15 +175,11 @@ def moving_average_split(
     lags = [F.col("y"), *[F.col(f"x{a}") for a in range(1, layout.depth + 1)]]
     exog = [F.col(f"x{split.lags - k + j}") for k in range(split.lags) for j in range(arma.max_q + 1)]
     usable = (F.col("role") == "train") & (F.col("i") >= layout.depth)
-    vectors = rows.where(usable).select("series_id", F.array(F.lit(1.0), *lags, *exog).alias("_v"))
-    fits = with_fits(_gathered(_summed(vectors, ["series_id"]), ["series_id"]), layout)
+    vectors = rows.where(usable).select("series_id", products(F.array(F.lit(1.0), *lags, *exog)).alias("_p"))
+    fits = with_fits(gathered(summed(vectors, ["series_id"]), ["series_id"]), layout)
     return ahead_of_training(rows, fits.select("series_id", "fit.*").drop("n"), split, model, layout)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def _recursion(arma: ArmaSpec, inputs: int) -> Column:
     fit, known = F.col("fit"), F.col("known")
     errors = []
@@ -252,15 +188,15 @@ def _recursion(arma: ArmaSpec, inputs: int) -> Column:
         told = F.lit(0.0)
         for k in range(inputs):
             told = told + F.get(fit["long_beta"], F.lit(k)) * F.get(F.col("seen")[k], F.lit(j))
-        errors.append(F.get(known, F.lit(j)) - fit["long_intercept"] - told - _dot(fit["long_phi"], past))
+        errors.append(F.get(known, F.lit(j)) - fit["long_intercept"] - told - dot(fit["long_phi"], past))
 
     def shifted(a: Column, new: Column) -> Column:
         return F.concat(F.array(new), F.slice(a, F.lit(1), F.size(a) - 1))
 
     def step(state: Column, u: Column) -> Column:
         y = (
-            fit["intercept"] + _dot(fit["beta"], u) + _dot(fit["phi"], state["recent"])
-            + _dot(fit["theta"], state["errors"])
+            fit["intercept"] + dot(fit["beta"], u) + dot(fit["phi"], state["recent"])
+            + dot(fit["theta"], state["errors"])
         )
         return F.struct(
             shifted(state["recent"], y).alias("recent"),
