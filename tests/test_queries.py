@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, or at least run over the whole tables."""
+"""Every registered query against its SQL."""
 
 import __spark_entry__ as e
 import pytest
@@ -15,8 +15,8 @@ def con(folder):
     return connect(folder)
 
 
-def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+def test_every_query_has_sql():
+    assert set(SQL) == set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -24,16 +24,5 @@ def test_matches_sql(name, spark, folder, con):
     assert differences(spark, folder, QUERIES[name], SQL[name], con) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_rows_only(name, spark, folder):
-    rows = QUERIES[name](spark, folder).collect()
-    assert rows
-    pairs = [(r["pred"], r["true"]) for r in rows if r["true"] is not None]
-    assert pairs and all(p is not None for p, _ in pairs)
-    # a forecast may be poor, but not off by orders of magnitude
-    spread = (sum(t * t for _, t in pairs) / len(pairs)) ** 0.5
-    assert (sum((p - t) ** 2 for p, t in pairs) / len(pairs)) ** 0.5 < 10 * spread
-
-
 def test_entry(spark):
     assert e.entry(spark).columns == ["series_id", "dt", "pred", "true"]
