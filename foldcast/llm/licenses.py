@@ -11,44 +11,63 @@ from foldcast.llm.common import sql_list, table, text_or_empty
 
 # Sentences of public licences and notices.
 SENTENCES = {
-    "MIT_name": ["Released under the MIT License", "Licensed under the MIT License", "The MIT License", "The MIT License (MIT)", "MIT License", "This project is licensed under the MIT License", "This software is released under the MIT License", "Distributed under the MIT License", "SPDX-License-Identifier: MIT"],
+    "MIT_name": ["Released under the MIT License", "Licensed under the MIT License", "The MIT License", "The MIT License (MIT)", "MIT License", "This project is licensed under the MIT License", "This software is released under the MIT License", "Distributed under the MIT License"],
     "MIT_permission": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
     "MIT_notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "asis_MIT": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'],
     "liable_MIT": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
     "ISC_permission": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "ISC_name": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC"],
-    "Apache2_name": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "Released under the Apache License, Version 2.0", "Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "ISC_name": ["ISC License", "Licensed under the ISC License"],
+    "Apache2_name": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License 2.0", "Released under the Apache License, Version 2.0", "Apache License, Version 2.0"],
     "Apache2_grant": ['Licensed under the Apache License, Version 2.0 (the "License")', 'Licensed under the Apache License, Version 2.0 (the "License");'],
     "Apache2_use": ["you may not use this file except in compliance with the License"],
     "Apache2_copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at"],
     "Apache2_asis": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
     "Apache2_see": ["See the License for the specific language governing permissions and limitations under the License"],
-    "GPL3_name": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL2_name": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only"],
+    "GPL3_name": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
+    "GPL2_name": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2"],
     "GPL3+_grant": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "GPL2+_grant": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "GPL_hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "GPL_see": ["See the GNU General Public License for more details"],
     "GPL_copy": ["You should have received a copy of the GNU General Public License along with this program", "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/"],
-    "LGPL3_name": ["Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "AGPL3_name": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "MPL2_name": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "LGPL3_name": ["Licensed under the GNU Lesser General Public License, version 3"],
+    "AGPL3_name": ["Licensed under the GNU Affero General Public License, version 3"],
+    "MPL2_name": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "MPL2_copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
     "BSD_permission": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "BSD_source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "BSD_binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "BSD_endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "BSD3_name": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "BSD2_name": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
-    "CC0_name": ["This work is dedicated to the public domain under CC0 1.0", "Licensed under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
-    "CCBY4_name": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CCBYSA4_name": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "CCBYNC4_name": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CCBYND4_name": ["Licensed under CC BY-ND 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "BSD3_name": ["Licensed under the BSD 3-Clause License"],
+    "BSD2_name": ["Licensed under the BSD 2-Clause License"],
+    "CC0_name": ["This work is dedicated to the public domain under CC0 1.0", "Licensed under CC0 1.0"],
+    "CCBY4_name": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "CCBYSA4_name": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CCBYNC4_name": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CCBYND4_name": ["Licensed under CC BY-ND 4.0"],
+    "asis_ISC": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'],
+    "liable_ISC": ["IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"],
+    "asis_BSD": ['THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED'],
+    "liable_BSD": ["IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"],
+    "LGPL21+_grant": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "AGPL3+_grant": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "EPL2_name": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "BSL1_name": ["Distributed under the Boost Software License, Version 1.0"],
+    "Zlib_asis": ["This software is provided 'as-is', without any express or implied warranty"],
+    "Zlib_liable": ["In no event will the authors be held liable for any damages arising from the use of this software"],
+    "Zlib_permission": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
     "Unlicense_grant": ["This is free and unencumbered software released into the public domain"],
 }
 
+# Licence names that SPDX lines use.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"SPDX_{name}": [f"SPDX-License-Identifier: {name}"] for name in SPDX}
+
 #: In order: a rule takes its identifiers out of the sequence before later rules see it.
 RULES = [
     ("MIT", "MIT_name MIT_permission MIT_notice asis_MIT liable_MIT"),
@@ -62,9 +81,18 @@ RULES = [
     ("GPL-3.0-or-later", "GPL3+_grant"),
     ("GPL-2.0-or-later", "GPL2+_grant GPL_hope GPL_see GPL_copy"),
     ("GPL-2.0-or-later", "GPL2+_grant"),
+    ("LGPL-2.1-or-later", "LGPL21+_grant"),
+    ("AGPL-3.0-or-later", "AGPL3+_grant"),
+    ("BSD-3-Clause", "BSD_permission BSD_source BSD_binary BSD_endorse asis_BSD liable_BSD"),
     ("BSD-3-Clause", "BSD_permission BSD_source BSD_binary BSD_endorse"),
+    ("BSD-2-Clause", "BSD_permission BSD_source BSD_binary asis_BSD liable_BSD"),
     ("BSD-2-Clause", "BSD_permission BSD_source BSD_binary"),
+    ("Zlib", "Zlib_asis Zlib_liable Zlib_permission"),
+    ("EPL-2.0", "EPL2_name"),
+    ("BSL-1.0", "BSL1_name"),
     ("MPL-2.0", "MPL2_name MPL2_copy"),
+    ("ISC", "ISC_name ISC_permission asis_ISC liable_ISC"),
+    ("ISC", "ISC_permission asis_ISC liable_ISC"),
     ("ISC", "ISC_permission"),
     ("MIT", "MIT_name"),
     ("ISC", "ISC_name"),
@@ -82,42 +110,60 @@ RULES = [
     ("CC-BY-NC-4.0", "CCBYNC4_name"),
     ("CC-BY-ND-4.0", "CCBYND4_name"),
     ("Unlicense", "Unlicense_grant"),
-]
+] + [(name.removesuffix("-only"), f"SPDX_{name}") for name in SPDX]
 
 #: Every known sentence holds one of these, so a text without them has none.
 ANCHORS = ("licen", "permission", "permitted", "redistribut", "warrant", "liable", "software", "public domain", "mpl", "cc0")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CUT = "\x01"
-BLANK = r"\n[ \t\r]*\n"
-ENDS = r"([.!?;:])[ \t\r\n\x0B\x0C]+"
+#: Units are lines, cut once more after sentence marks, and after quotes or brackets that follow those.
+CUT = r"""\n|(?<=[.!?;:]["')\]]{0,2})[ \t\r\x0B\x0C]+"""
+OTHER = r"[^a-z0-9.+/-]+"
+EDGES = r"(?<![a-z0-9.+/-])[./-]+|[./-]+(?![a-z0-9.+/-])"
 
 
 def normal(sentence: str) -> str:
     """A sentence in lower case, its punctuation dropped but for dots and signs inside words."""
-    s = re.sub(r"[^a-z0-9.+/-]+", " ", sentence.translate(str.maketrans(UPPER, LOWER)))
-    s = re.sub(r"(^| )[./-]+|[./-]+( |$)", " ", s)
-    return re.sub(r" +", " ", s).strip(" ").replace("licence", "license")
+    s = re.sub(OTHER, " ", sentence.translate(str.maketrans(UPPER, LOWER)))
+    return re.sub(r" +", " ", re.sub(EDGES, "", s)).strip(" ").replace("licence", "license")
 
 
 #: (normal form, identifier) of every known sentence: a list of fixed length.
 KNOWN = sorted({(normal(s), i) for i, group in SENTENCES.items() for s in group})
+#: The first word of each known sentence and the most words of those that begin with it.
+FIRST = {w: max(len(n.split(" ")) for n, _ in KNOWN if n.split(" ")[0] == w) for w in sorted({n.split(" ")[0] for n, _ in KNOWN})}
 
 
 def _normal(c: Column) -> Column:
-    s = F.regexp_replace(F.translate(c, UPPER, LOWER), r"[^a-z0-9.+/-]+", " ")
-    s = F.regexp_replace(s, r"(^| )[./-]+|[./-]+( |$)", " ")
+    s = F.regexp_replace(F.regexp_replace(F.translate(c, UPPER, LOWER), OTHER, " "), EDGES, "")
     return F.replace(F.trim(F.regexp_replace(s, r" +", " ")), F.lit("licence"), F.lit("license"))
 
 
-def _identifier(c: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in KNOWN for x in pair]), c)
+def _looked_up(pairs, c: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), c)
+
+
+def _runs_from(units: Column, unit: Column, i: Column) -> Column:
+    """The longest run of units from place ``i`` on that is a known sentence, as (at, n, id), or null.
+
+    No unit is empty, so a run that is a sentence has no more units than that has words.
+    """
+    most = F.least(_looked_up(FIRST.items(), F.substring_index(unit, " ", 1)), F.size(units) - i)
+    runs = F.transform(
+        F.sequence(F.lit(1), most),
+        lambda n: F.struct(i.alias("at"), n.alias("n"), _looked_up(KNOWN, F.array_join(F.slice(units, i + 1, n), " ")).alias("id")),
+    )
+    return F.when(most.isNotNull(), F.array_max(F.filter(runs, lambda run: run["id"].isNotNull())))
+
+
+def _apart(runs: Column) -> Column:
+    """The identifiers of ``runs``, in order, without those that begin inside one taken before."""
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("ids"))
 
+    def step(state: Column, run: Column) -> Column:
+        taken = F.struct((run["at"] + run["n"]).alias("free"), F.concat(state["ids"], F.array(run["id"])).alias("ids"))
+        return F.when(run["at"] >= state["free"], taken).otherwise(state)
 
-def _sentence_ids(sentence: Column) -> Column:
-    """The identifier of the sentence, or those of its known lines."""
-    lines = F.transform(F.split(sentence, "\n"), lambda line: _identifier(_normal(line)))
-    whole = F.array(_identifier(_normal(sentence)))
-    return F.filter(F.when(whole[0].isNotNull(), whole).otherwise(lines), lambda x: x.isNotNull())
+    return F.aggregate(runs, start, step, lambda state: state["ids"])
 
 
 def _hopeful(text: Column) -> Column:
@@ -131,9 +177,11 @@ def _hopeful(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``licences``, ``sentence_ids``, ``unread_ids``.
 
-    A text is cut at sentence ends and blank lines. A sentence that is known as a whole,
-    wrapped lines joined, gives its identifier; otherwise each of its lines that is
-    known gives one. ``sentence_ids`` is their sequence, ``licences`` the
+    A text is cut into units at line ends and sentence marks; units without a letter or digit,
+    such as the bare marks of a comment, are left out. A known sentence is
+    found where its words fill a run of whole units, so it may be wrapped, stand in a comment or
+    hold such marks itself; of several from one place the longest counts, and what begins inside
+    a sentence taken before does not. ``sentence_ids`` is their sequence, ``licences`` the
     licences of the rules that match it, in the rules' order and separated by
     commas, ``unread_ids`` what no rule took; all are empty where there is nothing.
     Null and empty texts have no sentences. Equal rows are scanned each for
@@ -141,9 +189,12 @@ def scan(docs: DataFrame) -> DataFrame:
     was read, and texts without any word of a licence are not cut.
     """
     docs = docs.drop("licences", "sentence_ids", "unread_ids")
-    sentences = F.split(F.regexp_replace(F.regexp_replace(text_or_empty(), BLANK, CUT), ENDS, f"$1{CUT}"), CUT)
-    ids = F.when(_hopeful(text_or_empty()), F.flatten(F.transform(sentences, _sentence_ids))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("sentence_ids", F.concat_ws(" ", ids)).withColumn(
+    text = text_or_empty()
+    units = F.when(_hopeful(text), F.filter(F.transform(F.split(text, CUT), _normal), lambda x: x != ""))
+    rows = docs.withColumn("units", F.coalesce(units, F.array().cast("array<string>")))
+    runs = F.transform("units", lambda unit, i: _runs_from(F.col("units"), unit, i))
+    rows = rows.withColumn("runs", F.filter(runs, lambda run: run.isNotNull()))
+    rows = rows.withColumn("sentence_ids", F.concat_ws(" ", _apart(F.col("runs")))).withColumn(
         "unread_ids", F.concat(F.lit(" "), F.replace(F.col("sentence_ids"), F.lit(" "), F.lit("  ")), F.lit(" "))
     )
     taken = []
@@ -174,12 +225,6 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs).drop("text")
 
 
-def _sql_normal(c: str) -> str:
-    s = f"regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), '[^a-z0-9.+/-]+', ' ', 'g')"
-    s = f"regexp_replace({s}, '(^| )[./-]+|[./-]+( |$)', ' ', 'g')"
-    return f"replace(trim(regexp_replace({s}, ' +', ' ', 'g'), ' '), 'licence', 'license')"
-
-
 def _sql() -> str:
     known = ", ".join(f"({sql_list([n])}, {sql_list([i])})" for n, i in KNOWN)
     steps, last = [], "padded"
@@ -190,22 +235,36 @@ def _sql() -> str:
             f"THEN list_append(licences, '{licence}') ELSE licences END AS licences FROM {last})"
         )
         last = f"r{k}"
-    ends = "([.!?;:])[ \\t\\r\\n\\x0B\\x0C]+"
+    words = "[w FOR w IN [trim(x, './-') FOR x IN regexp_extract_all(line, '[a-z0-9.+/-]+')] IF w <> '']"
+    marks = "([.!?;:][\"'')\\]]?[\"'')\\]]?)[ \\t\\r\\x0B\\x0C]+"
     return f"""
-WITH known(form, id) AS (VALUES {known}), cut AS (
-  SELECT doc_id, unnest(list) AS sentence, generate_subscripts(list, 1) AS pos
-  FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{BLANK}', chr(1), 'g'), '{ends}', '\\1' || chr(1), 'g'), chr(1)) AS list FROM documents)
-), whole AS (
-  SELECT c.*, k.id FROM cut c LEFT JOIN known k ON k.form = {_sql_normal('c.sentence')}
+WITH RECURSIVE known(form, id) AS (VALUES {known}), first AS (
+  SELECT string_split(form, ' ')[1] AS word, max(len(string_split(form, ' '))) AS most FROM known GROUP BY 1
 ), lines AS (
-  SELECT doc_id, pos, unnest(list) AS line, generate_subscripts(list, 1) AS line_at
-  FROM (SELECT doc_id, pos, string_split(sentence, chr(10)) AS list FROM whole WHERE id IS NULL)
+  SELECT doc_id, unnest(list) AS line, generate_subscripts(list, 1) AS line_at
+  FROM (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{marks}', '\\1' || chr(10), 'g'), chr(10)) AS list FROM documents)
+), units AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_at) AS pos, replace(array_to_string(list, ' '), 'licence', 'license') AS unit
+  FROM (SELECT doc_id, line_at, {words} AS list FROM lines) WHERE len(list) > 0
+), starts AS (
+  SELECT doc_id, pos, most FROM units JOIN first ON word = string_split(unit, ' ')[1]
+), runs AS (
+  SELECT doc_id, pos, n, array_to_string(list(unit ORDER BY upos), ' ') AS form
+  FROM (
+    SELECT s.doc_id, s.pos, s.n, u.pos AS upos, u.unit
+    FROM (SELECT doc_id, pos, unnest(range(1, most + 1)) AS n FROM starts) s JOIN units u ON u.doc_id = s.doc_id AND u.pos >= s.pos AND u.pos < s.pos + s.n
+  ) GROUP BY ALL HAVING count(*) = n
+), hits AS MATERIALIZED (
+  SELECT doc_id, pos, max(n) AS n, arg_max(id, n) AS id FROM runs JOIN known USING (form) GROUP BY doc_id, pos
 ), found AS (
-  SELECT doc_id, pos, 0 AS line_at, id FROM whole WHERE id IS NOT NULL
-  UNION ALL SELECT doc_id, pos, line_at, k.id FROM lines JOIN known k ON k.form = {_sql_normal('line')}
+  SELECT doc_id, pos, n, id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM hits) WHERE k = 1
+  UNION ALL
+  SELECT doc_id, pos, n, id FROM (
+    SELECT h.*, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.pos) AS k FROM found f JOIN hits h ON h.doc_id = f.doc_id AND h.pos >= f.pos + f.n
+  ) WHERE k = 1
 ), padded AS (
-  SELECT doc_id, coalesce(string_agg(id, ' ' ORDER BY pos, line_at), '') AS sentence_ids,
-    ' ' || coalesce(string_agg(id, '  ' ORDER BY pos, line_at), '') || ' ' AS seq, CAST([] AS VARCHAR[]) AS licences
+  SELECT doc_id, coalesce(string_agg(id, ' ' ORDER BY pos), '') AS sentence_ids,
+    ' ' || coalesce(string_agg(id, '  ' ORDER BY pos), '') || ' ' AS seq, CAST([] AS VARCHAR[]) AS licences
   FROM documents LEFT JOIN found USING (doc_id) GROUP BY doc_id
 ), {', '.join(steps)}
 SELECT doc_id, array_to_string(licences, ',') AS licences, sentence_ids,

@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -355,6 +356,55 @@ FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'''
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).collect() == []
 
 
+def test_every_known_sentence_is_found_plain_wrapped_and_in_comments(spark):
+    docs, expected = [], {}
+    for name, group in licenses.SENTENCES.items():
+        for sentence in group:
+            for before in ("", "/* ", " * ", "# ", "// ", "-- ", "; ", "> "):
+                for width in (30, 72, 10_000):
+                    lines = ["Copyright (c) 2010 Jane Doe <jane@doe.org>", "", *textwrap.wrap(sentence, width, break_on_hyphens=False, break_long_words=False)]
+                    for end in ("", "\n" + before + "\n" + before + "next words", ". Next words"):
+                        expected[len(docs)] = name
+                        docs.append((len(docs), "\n".join(before + line for line in lines) + end))
+    found = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == expected
+    alone = {rule: licence for licence, rule in licenses.RULES if " " not in rule}
+    assert all(v[1] == alone.get(v[0], "") for v in got.values())
+
+
+def test_licence_headers(spark):
+    isc = """/* Copyright (c) 2010 Jane Doe <jane@doe.org>
+ *
+ * Permission to use, copy, modify, and/or distribute this software for any
+ * purpose with or without fee is hereby granted, provided that the above
+ * copyright notice and this permission notice appear in all copies.
+ */"""
+    gpl = """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License as
+# published by the Free Software Foundation; either version 2 of the
+# License, or (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program."""
+    docs = [
+        (1, isc), (2, gpl), (3, "// SPDX-License-Identifier: MPL-2.0\n// code"), (4, "SPDX-License-Identifier: GPL-2.0-or-later"),
+        (5, "This Source Code Form is subject to the terms of the Mozilla Public\n License, v. 2.0. If a copy of the MPL was not distributed with this\n file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        (6, "(Released under the MIT License.) More."), (7, "Released under the MIT License and others."), (8, "Notes on the\nMIT License"),
+        (9, "Released under the\n\n* MIT License\nMIT License"), (10, "a. -b- Released/ under ./the MIT.. License"),
+    ]
+    got = {r.doc_id: (r.licences, r.unread_ids) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {
+        1: ("ISC", ""), 2: ("GPL-2.0-or-later", ""), 3: ("MPL-2.0", ""), 4: ("GPL-2.0-or-later", ""), 5: ("MPL-2.0", ""), 6: ("MIT", ""),
+        7: ("", ""), 8: ("MIT", ""), 9: ("MIT", ""), 10: ("", ""),
+    }
+
+
 def test_known_sentences_are_bounded_and_anchored():
     assert len(licenses.KNOWN) < 200
     assert all(any(a in n for a in licenses.ANCHORS) for n, _ in licenses.KNOWN)
