@@ -34,6 +34,14 @@ def staged(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_each(df: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with one row, that of the smallest text, for each row of the written table ``repeated(keys)``. Only rows named there are shuffled by key."""
+    if repeated.isEmpty():
+        return df
+    rows = df.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct(*df.columns), text_or_empty()).alias("row"))
+    return df.join(repeated, keys, "left_anti").unionByName(rows.select("row.*"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

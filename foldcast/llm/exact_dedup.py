@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.llm.bytespans import U64, blocks, is_space, mix, text_bytes
-from foldcast.llm.common import SPACES, staged, table, text_or_empty
+from foldcast.llm.common import SPACES, one_each, staged, table, text_or_empty
 
 #: A cut may follow where the low bits of the rolling hash are 0: chunks of 2 KiB on average beyond the least size.
 CUT_MASK = U64((1 << 11) - 1)
@@ -146,11 +146,15 @@ def mark_copies(docs: DataFrame, width: int = 16) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat id and text stay together."""
-    dropped = mark_copies(docs).where("NOT kept").select("doc_id", "text_sha256").distinct().alias("dropped")
+    """The rows of ``docs`` that stay, one of each text, with all their columns; of rows that repeat an id any stays."""
+    id_key, key = F.xxhash64(F.col("doc_id").cast("long")), ["copy id", "copy text"]
+    marks = mark_copies(docs).where("group_size > 1").select(id_key.alias(key[0]), F.col("text_sha256").alias(key[1]), "kept")
+    groups = staged(marks.groupBy(*key, "kept").count(), "copies")
     sha = F.sha2(F.regexp_replace(text_or_empty(), f"[{SPACES}]+", " ").cast("binary"), 256)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("dropped.doc_id")) & (sha == F.col("dropped.text_sha256"))
-    return docs.join(dropped, same, "left_anti")
+    keyed = docs.select("*", id_key.alias(key[0]), sha.alias(key[1]))
+    left = keyed.join(groups.where("NOT kept").select(key), key, "left_anti")
+    again = staged(groups.where("kept AND count > 1").select(key), "copies-again")
+    return one_each(left, again, key).select(docs.columns)
 
 
 def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.llm.bytespans import U64, blocks, is_space, mix, slices, span_hashes, spans, text_bytes
-from foldcast.llm.common import staged, table
+from foldcast.llm.common import one_each, staged, table
 from foldcast.llm.components import components
 
 #: Members of a bucket that are compared with each other at once.
 CELL = 512
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
+SIGNED = "doc_id long, k1 long, k2 long, n_shingles long, set_key binary, bands array<long>, signature binary"
+#: What tells rows apart: 128 bits of id and text. Rows equal in both share it.
+ROW = ("k1", "k2")
 
 
 @dataclass(frozen=True)
@@ -124,8 +126,13 @@ def equal_places(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
     return s.hashes - np.bitwise_count(differ).sum(axis=-1, dtype=np.int32)
 
 
+def row_key() -> list[Column]:
+    row = F.col("doc_id").cast("long"), F.col("text")
+    return [F.xxhash64(*row).alias("k1"), F.xxhash64(F.lit(1), *row).alias("k2")]
+
+
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """Set size, a key for the whole set, band keys and packed low bits of each row of ``docs(doc_id, text)``."""
+    """Row key, set size, a key for the whole set, band keys and packed low bits of each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -133,18 +140,18 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
         factor, shift = permutations(s.hashes)
         for batch in slices(batches):
             n, keys, bands, packed = [], [], [], []
-            for x in sets_of(batch.column(1), s.words):
+            for x in sets_of(batch.column("text"), s.words):
                 n.append(len(x))
                 keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 least = minima(x, factor, shift)
                 bands.append(band_keys(least, s) if len(x) else np.zeros(0, np.int64))
                 packed.append(packed_bits(least, s))
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "signature"],
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                names=["doc_id", *ROW, "n_shingles", "set_key", "bands", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), *row_key(), "text").mapInArrow(run, SIGNED)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -155,11 +162,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """
     sizes = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts")), "near-parts")
     parts = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    roles = parts.select("a", "part", F.col("b").alias("doc_id")).unionByName(
-        parts.select("a", "part", F.col("a").alias("doc_id")).distinct()
-    )
-    named = roles.select(F.col("a").alias("center"), "part", F.col("doc_id").alias("member"))
-    grouped = named.join(texts, named.member == texts.doc_id).select("center", "part", "member", "text")
+    roles = parts.select("a", "part", F.col("b").alias("id")).unionByName(parts.select("a", "part", F.col("a").alias("id")).distinct())
+    named = roles.select(F.col("a").alias("center"), "part", F.col("id").alias("member"))
+    grouped = named.join(texts, named.member == texts.id).select("center", "part", "member", "text")
 
     def check(group: pa.Table) -> pa.Table:
         center, members = group.column("center")[0].as_py(), group.column("member").to_pylist()
@@ -258,7 +263,7 @@ def linked_across(members: DataFrame, signs: DataFrame, texts: DataFrame, s: Set
     clusters = staged(components(edges, "near-clusters").withColumnRenamed("label", "cluster"), "near-clustered")
     cells = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
     own = members.select("id", "label").distinct().join(signs.select("id", "signature"), "id")
-    whole = clusters.join(own, "id").join(cells, "cluster").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    whole = clusters.join(own, "id").join(cells, "cluster").join(texts, "id")
 
     def links(group: pa.Table) -> pa.Table:
         a, b, equal = _near_pairs(group, s)
@@ -278,17 +283,13 @@ def linked_across(members: DataFrame, signs: DataFrame, texts: DataFrame, s: Set
     return grouped.groupBy("cluster", "x", "y").applyInArrow(links, "a long, b long")
 
 
-def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs(doc_id, text)``.
+def grouped_rows(docs: DataFrame, s: Settings) -> DataFrame:
+    """``doc_id``, ``k1``, ``k2``, ``n_shingles``, ``grouped``, ``component_id``, ``first`` for each row of ``docs(doc_id, text)``.
 
-    Rows whose sets reach the threshold are linked; ``component_id`` is the
-    smallest ``doc_id`` reachable over links, itself included, and ``kept`` says whether
-    it is the row's own. A text with fewer words than a shingle has all of them as its one
-    shingle; without words it has an empty set and no links. Rows with equal sets
-    are linked without being compared; a row without id belongs to the smallest id among
-    its equals, or has none, and repeated rows share their id's component. No other column is read.
+    ``grouped`` says whether the set is not empty; ``component_id`` is the smallest id of the rows reachable
+    over links and ``first`` the row key of one of those that have it.
 
-    First one row stands for all of equal sets. Rows that share a band are
+    First one row stands for all of equal sets, under a number of its own, whatever its id. Rows that share a band are
     candidates: each is compared with the center of its buckets that shares most of
     them with others, one comparison a row, and links join components. Only in buckets that
     still hold several components, pairs across them are looked at: by bit
@@ -296,10 +297,11 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     components is so found, and none inside a component is needed.
     """
     signed = staged(signatures(docs, s), "near-signed")
-    sets = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    keys = staged(sets.where("id IS NOT NULL"), "near-sets")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *ROW)
+    sets = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("row"))
+    keys = staged(sets.select("set_key", "row.*").withColumn("id", F.monotonically_increasing_id()), "near-sets")
     chosen = staged(
-        signed.join(keys, (signed.set_key == keys.set_key) & (signed.doc_id == keys.id)).select("id", "signature", "bands").dropDuplicates(["id"]),
+        signed.drop("doc_id").join(keys.select("set_key", *ROW, "id"), ["set_key", *ROW]).select("id", "signature", "bands").dropDuplicates(["id"]),
         "near-chosen",
     )
     signs = chosen.select("id", "signature", "bands")
@@ -307,12 +309,8 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(banded.join(staged(sizes, "near-sizes"), "band"), "near-members")
     weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
-    texts = staged(
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .join(weights.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"]),
-        "near-texts",
-    )
+    met = staged(keys.join(weights, "id", "left_semi").select(*ROW, "id"), "near-met")
+    texts = staged(docs.select(*row_key(), "text").join(met, list(ROW)).dropDuplicates(list(ROW)).select("id", "text"), "near-texts")
     # a bucket's center shares buckets with most others; a member takes the best center of its buckets
     weighed = members.select("band", "id").join(weights, "id")
     best = F.struct("weight", (-F.col("id")).alias("minus"))
@@ -323,20 +321,48 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     first = components(links, "near-first")
     labelled = members.drop("n").join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
     more = staged(linked_across(staged(labelled, "near-labelled"), signs, texts, s), "near-more")
-    found = staged(components(links.unionByName(more), "near-final").where("id != label"), "near-labels")
+    found = staged(components(links.unionByName(more), "near-final"), "near-labels")
 
-    labels = keys.join(found, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id"))
-    joined = signed.select("doc_id", "n_shingles", "set_key").join(staged(labels, "near-components"), "set_key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    # only linked sets meet others' ids; a set without links has its own
+    own = F.struct("nameless", "doc_id", *ROW)
+    linked = keys.join(found, "id").select("id", "label", own.alias("row"))
+    firsts = staged(linked.groupBy("label").agg(F.min("row").alias("first")), "near-firsts")
+    moved = linked.join(firsts, "label").select("id", "first")
+    labels = keys.join(moved, "id", "left").select("set_key", F.coalesce("first", own).alias("first"))
+    joined = signed.join(staged(labels, "near-components"), "set_key", "left")
+    grouped = F.col("n_shingles") > 0
+    component = F.when(grouped, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", *ROW, "n_shingles", grouped.alias("grouped"), component.alias("component_id"), F.struct(*[f"first.{k}" for k in ROW]).alias("first"))
+
+
+def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs(doc_id, text)``.
+
+    Rows whose sets reach the threshold are linked; ``component_id`` is the
+    smallest ``doc_id`` reachable over links, itself included, and ``kept`` says whether
+    it is the row's own. A text with fewer words than a shingle has all of them as its one
+    shingle; without words it has an empty set and no links. Rows with equal sets
+    are linked without being compared. Rows are told apart by id and text: different texts
+    under one id are rows of their own, and rows without id link others like any row, but give no ``component_id`` unless
+    no row they reach has an id. No other column is read.
+    """
+    rows = grouped_rows(docs, s)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that stay, one id of each group, with all their columns."""
-    dropped = near_groups(docs, s).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
+
+    That is a row of the smallest id, any of those equal in id and text. Rows without words all stay.
+    """
+    rows = grouped_rows(docs, s).where("grouped")
+    mine = F.struct(*ROW)
+    dropped = staged(rows.where(mine != F.col("first")).select(*ROW).distinct(), "near-dropped")
+    keyed = docs.select("*", *[k.alias(f"near {n}") for k, n in zip(row_key(), ROW)])
+    named = [F.col(k).alias(f"near {k}") for k in ROW]
+    left = keyed.join(dropped.select(*named), [f"near {k}" for k in ROW], "left_anti")
+    again = rows.where(mine == F.col("first")).groupBy(*ROW).count().where("count > 1").select(*named)
+    return one_each(left, staged(again, "near-repeated"), [f"near {k}" for k in ROW]).select(docs.columns)
 
 
 CONTRACT = Settings(words=3, percent=85)

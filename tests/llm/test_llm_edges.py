@@ -226,7 +226,9 @@ def test_chunks_depend_on_content_only():
 def test_copies_are_dropped_with_all_columns(odd):
     kept = exact_dedup.drop_copies(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for (d, *_, k, _), n in copies(ODD).items() for _ in range(n) if k or d is None and n == 1 and k)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, *_, k, _ in copies(ODD) if k)
+    twice = exact_dedup.drop_copies(odd.union(odd))
+    assert Counter(r.doc_id for r in twice.collect()) == Counter(r.doc_id for r in kept.collect())
 
 
 # --- near copies -------------------------------------------------------------
@@ -256,6 +258,18 @@ def test_near_copies_of_odd_rows(odd, none):
     assert near_dedup.near_groups(none).collect() == []
 
 
+def test_different_texts_under_one_id_are_rows_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near_b, near_c = b + " more", c + " more"
+    rows = [(5, a), (5, b), (1, near_b), (None, c), (7, near_c), (None, a + " end"), (None, "x y z q w e"), (None, "x y z q w e"), (9, "")]
+    for docs in (rows, (rows + rows)[::-1]):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert Counter(map(tuple, near_dedup.near_groups(df).collect())) == near(docs, 5, 80)
+        stays = [tuple(r) for r in near_dedup.drop_near(df.withColumn("k1", F.lit("own"))).collect()]
+        empty = [(9, "", "own")] * docs.count((9, ""))
+        assert Counter(stays) == Counter([(1, near_b, "own"), (5, a, "own"), (7, near_c, "own"), (None, "x y z q w e", "own"), *empty])
+
+
 @pytest.mark.parametrize("settings", [near_dedup.Settings(), near_dedup.CONTRACT])
 def test_chains_and_hubs_of_near_copies(spark, monkeypatch, settings):
     monkeypatch.setattr(near_dedup, "CELL", 8)  # many small cells
