@@ -147,12 +147,13 @@ def _runs_from(units: Column, unit: Column, i: Column) -> Column:
 
     No unit is empty, so a run that is a sentence has no more units than that has words.
     """
-    most = F.least(_looked_up(FIRST.items(), F.substring_index(unit, " ", 1)), F.size(units) - i)
+    words = _looked_up(FIRST.items(), F.substring_index(unit, " ", 1))
+    most = F.least(words, F.size(units) - i)
     runs = F.transform(
         F.sequence(F.lit(1), most),
         lambda n: F.struct(i.alias("at"), n.alias("n"), _looked_up(KNOWN, F.array_join(F.slice(units, i + 1, n), " ")).alias("id")),
     )
-    return F.when(most.isNotNull(), F.array_max(F.filter(runs, lambda run: run["id"].isNotNull())))
+    return F.when(words.isNotNull(), F.array_max(F.filter(runs, lambda run: run["id"].isNotNull())))
 
 
 def _apart(runs: Column) -> Column:
