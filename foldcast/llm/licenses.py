@@ -153,7 +153,9 @@ def _runs_from(units: Column, unit: Column, i: Column) -> Column:
         F.sequence(F.lit(1), most),
         lambda n: F.struct(i.alias("at"), n.alias("n"), _looked_up(KNOWN, F.array_join(F.slice(units, i + 1, n), " ")).alias("id")),
     )
-    return F.when(words.isNotNull(), F.array_max(F.filter(runs, lambda run: run["id"].isNotNull())))
+    # the first unit of a known sentence is a beginning of it
+    begins = F.exists(F.array(*[F.lit(n) for n, _ in KNOWN]), lambda form: F.startswith(form, unit))
+    return F.when(words.isNotNull() & begins, F.array_max(F.filter(runs, lambda run: run["id"].isNotNull())))
 
 
 def _apart(runs: Column) -> Column:
