@@ -112,65 +112,57 @@ RULES = [
     ("Unlicense", "Unlicense_grant"),
 ] + [(name.removesuffix("-only"), f"SPDX_{name}") for name in SPDX]
 
-#: Every known sentence holds one of these, so a text without them has none.
-ANCHORS = ("licen", "permission", "permitted", "redistribut", "warrant", "liable", "software", "public domain", "mpl", "cc0")
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every known sentence holds one of these inside a word, so a text without them has none, however it is wrapped.
+ANCHORS = ("licen", "permission", "permitted", "redistribut", "warrant", "liable", "software", "domain", "mpl", "cc0")
 #: Units are lines, cut once more after sentence marks, and after quotes or brackets that follow those.
-CUT = r"""\n|(?<=[.!?;:]["')\]]{0,2})[ \t\r\x0B\x0C]+"""
-OTHER = r"[^a-z0-9.+/-]+"
-EDGES = r"(?<![a-z0-9.+/-])[./-]+|[./-]+(?![a-z0-9.+/-])"
+MARKS = r"""([.!?;:]["')\]]{0,2})[ \t\r\x0B\x0C]+"""
+WORD = "A-Za-z0-9.+/-"
+EDGES = r"(?<![a-z0-9.+/-])[./-]++|(?<![./-])[./-]++(?![a-z0-9.+/-])"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normal(sentence: str) -> str:
     """A sentence in lower case, its punctuation dropped but for dots and signs inside words."""
-    s = re.sub(OTHER, " ", sentence.translate(str.maketrans(UPPER, LOWER)))
+    s = re.sub(f"[^{WORD}]+", " ", sentence).lower()
     return re.sub(r" +", " ", re.sub(EDGES, "", s)).strip(" ").replace("licence", "license")
 
 
 #: (normal form, identifier) of every known sentence: a list of fixed length.
 KNOWN = sorted({(normal(s), i) for i, group in SENTENCES.items() for s in group})
-#: The first word of each known sentence and the most words of those that begin with it.
-FIRST = {w: max(len(n.split(" ")) for n, _ in KNOWN if n.split(" ")[0] == w) for w in sorted({n.split(" ")[0] for n, _ in KNOWN})}
-
 
-def _normal(c: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.translate(c, UPPER, LOWER), OTHER, " "), EDGES, "")
-    return F.replace(F.trim(F.regexp_replace(s, r" +", " ")), F.lit("licence"), F.lit("license"))
 
+#: No character but a line end may stand before a sentence, or after it; words stand a space or a line end apart.
+START, END, GAP = r"(?<![^\n])", r"(?![^\n])", r"[ \n]"
 
-def _looked_up(pairs, c: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), c)
 
+def _longest(forms: list[list[str]], gap: str = GAP) -> str:
+    """A pattern for the longest of ``forms``, lists of words, that ends where a unit does; what forms begin with alike is tried once."""
+    if len(forms) == 1:
+        return "".join(gap + re.escape(word) for word in forms[0]) + END
+    heads = sorted({form[0] for form in forms if form})
+    branches = [gap + re.escape(w) + _longest([form[1:] for form in forms if form[:1] == [w]]) for w in heads]
+    return f"(?:{'|'.join(branches + [END] * ([] in forms))})"
 
-def _runs_from(units: Column, unit: Column, i: Column) -> Column:
-    """The longest run of units from place ``i`` on that is a known sentence, as (at, n, id), or null.
 
-    No unit is empty, so a run that is a sentence has no more units than that has words.
-    """
-    words = _looked_up(FIRST.items(), F.substring_index(unit, " ", 1))
-    most = F.least(words, F.size(units) - i)
-    runs = F.transform(
-        F.sequence(F.lit(1), most),
-        lambda n: F.struct(i.alias("at"), n.alias("n"), _looked_up(KNOWN, F.array_join(F.slice(units, i + 1, n), " ")).alias("id")),
-    )
-    # the first unit of a known sentence is a beginning of it
-    begins = F.exists(F.array(*[F.lit(n) for n, _ in KNOWN]), lambda form: F.startswith(form, unit))
-    return F.when(words.isNotNull() & begins, F.array_max(F.filter(runs, lambda run: run["id"].isNotNull())))
+SENTENCE = START + _longest([n.split(" ") for n, _ in KNOWN], "")
 
 
-def _apart(runs: Column) -> Column:
-    """The identifiers of ``runs``, in order, without those that begin inside one taken before."""
-    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("ids"))
+def _units(text: Column) -> Column:
+    """The units of a text in normal form, one a line, without empty ones."""
+    s = F.regexp_replace(text, MARKS, "$1\n")
+    s = F.lower(F.regexp_replace(s, rf"[^\n{WORD}]+", " "))
+    s = F.regexp_replace(F.regexp_replace(s, EDGES, ""), " +", " ")
+    return F.replace(F.trim(F.regexp_replace(s, r" ?\n[ \n]*", "\n")), F.lit("licence"), F.lit("license"))
 
-    def step(state: Column, run: Column) -> Column:
-        taken = F.struct((run["at"] + run["n"]).alias("free"), F.concat(state["ids"], F.array(run["id"])).alias("ids"))
-        return F.when(run["at"] >= state["free"], taken).otherwise(state)
 
-    return F.aggregate(runs, start, step, lambda state: state["ids"])
+def _identifiers(units: Column) -> Column:
+    """The identifiers of the known sentences that fill runs of ``units``, in order and apart."""
+    known = F.create_map(*[F.lit(x) for pair in KNOWN for x in pair])
+    found = F.regexp_extract_all(units, F.lit(SENTENCE), F.lit(0))
+    return F.transform(found, lambda x: F.try_element_at(known, F.translate(x, "\n", " ")))
 
 
-def _hopeful(text: Column) -> Column:
-    low = F.translate(text, UPPER, LOWER)
+def _hopeful(low: Column) -> Column:
     found = low.contains(ANCHORS[0])
     for word in ANCHORS[1:]:
         found = found | low.contains(word)
@@ -192,12 +184,12 @@ def scan(docs: DataFrame) -> DataFrame:
     was read, and texts without any word of a licence are not cut.
     """
     docs = docs.drop("licences", "sentence_ids", "unread_ids")
-    text = text_or_empty()
-    units = F.when(_hopeful(text), F.filter(F.transform(F.split(text, CUT), _normal), lambda x: x != ""))
-    rows = docs.withColumn("units", F.coalesce(units, F.array().cast("array<string>")))
-    runs = F.transform("units", lambda unit, i: _runs_from(F.col("units"), unit, i))
-    rows = rows.withColumn("runs", F.filter(runs, lambda run: run.isNotNull()))
-    rows = rows.withColumn("sentence_ids", F.concat_ws(" ", _apart(F.col("runs")))).withColumn(
+    low = "lower"
+    while low in {c.lower() for c in docs.columns}:
+        low += "_"
+    rows = docs.withColumn(low, F.lower(text_or_empty()))
+    ids = F.when(_hopeful(F.col(low)), _identifiers(_units(text_or_empty())))
+    rows = rows.withColumn("sentence_ids", F.concat_ws(" ", ids)).withColumn(
         "unread_ids", F.concat(F.lit(" "), F.replace(F.col("sentence_ids"), F.lit(" "), F.lit("  ")), F.lit(" "))
     )
     taken = []
