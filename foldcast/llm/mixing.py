@@ -13,7 +13,7 @@ from foldcast.llm.common import staged, table
 from foldcast.llm.sharding import HASH_BITS, hash60, top_bits
 
 BLOCK_BYTES = 64 << 10
-#: Slots that a rounded schedule rounds weights to, one more for each source at most; a source without a weight weighs one of so many parts.
+#: A source without a weight weighs one of so many parts of the others.
 TICKS = 1000
 #: What given weights add up to as integers.
 PARTS = 10**9
@@ -25,33 +25,12 @@ BUCKET_ROWS = 20_000
 #: Columns that the operator adds.
 MADE = ("src_block", "released", "due", "slot", "src_offset")
 
-EDF = """
-aggregate(
-  sequence(0L, n - 1),
-  named_struct('done', transform(s, x -> 0L), 'picks', cast(array() as array<struct<due: bigint, i: int, k: bigint>>)),
-  (state, slot) -> element_at(
-    transform(
-      array(array_min(transform(
-        filter(transform(state.done, (k, i) -> named_struct('i', i, 'k', k)), c -> (c.k * n) div s[c.i].t <= slot),
-        c -> named_struct('due', ((c.k + 1) * n + s[c.i].t - 1) div s[c.i].t, 'i', c.i, 'k', c.k)))),
-      p -> named_struct(
-        'done', transform(state.done, (k, i) -> if(i = p.i, k + 1, k)),
-        'picks', concat(state.picks, array(p)))),
-    1),
-  state -> transform(state.picks, (p, slot) -> named_struct(
-    'src', s[p.i].src, 't', s[p.i].t, 'n', n, 'k', p.k, 'slot', cast(slot as bigint))))
-"""
-
-
-def weigh(
-    sizes: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+def weigh(sizes: DataFrame, weights: Mapping[str, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row ``(s, n)``, none for no sources: ``s`` has ``(src, t, blocks)`` by name; a source's share is t / n.
 
     ``weights`` are positive target weights by source, kept to a part in ``PARTS``; a
     source without one weighs a thousandth of the others. Without ``weights`` a source
-    weighs the square root of its bytes. With ``total`` shares are rounded to so many
-    slots, one at least, and a source without a weight gets one.
+    weighs the square root of its bytes.
     """
     if weights is None:
         weight = F.floor(F.sqrt(F.col("size").cast("double")))
@@ -61,23 +40,11 @@ def weigh(
         weight = F.try_element_at(known, F.col("src"))
     one = sizes.groupBy("src").agg(F.sum("size").alias("size")).select("src", "size", weight.cast("long").alias("w"))
     row = one.agg(F.sort_array(F.collect_list(F.struct("src", "w", "size"))).alias("s"), F.greatest(F.sum("w"), F.lit(1)).alias("w"))
-    t = f"coalesce(x.w, greatest(1L, w div {TICKS}L))" if total is None else f"(2L * coalesce(x.w, 0L) * {total} + w) div (2L * w)"
+    t = f"coalesce(x.w, greatest(1L, w div {TICKS}L))"
     row = row.where(F.size("s") > 0).selectExpr(f"transform(s, x -> named_struct('src', x.src, 't', greatest(1L, {t}), 'blocks', x.size div {block_bytes}L + 1)) AS s")
     return row.selectExpr("s", "aggregate(s, 0L, (a, x) -> a + x.t) AS n")
 
 
-def round_of(weighed: DataFrame) -> DataFrame:
-    """One round of ``n`` slots ``(src, t, n, k, slot)``: slot ``slot`` goes to the ``k``-th block of ``src``; it then repeats.
-
-    Block k is released at floor(k n / t) and due at ceil((k + 1) n / t). In each
-    slot the released block that is due first goes, ties to the first source by
-    name. Shares add up to 1, so all deadlines are met and no source is a whole block
-    ahead or behind in any slot. It is a fold over one row, whose size depends on
-    the number of sources and slots, not on documents.
-    """
-    return weighed.selectExpr(f"inline({EDF})")
-
-
 #: One block of a source gets its slot: of those released the one due first, or the next to be released if none is.
 STEP = """
 (y, step) -> element_at(transform(
@@ -124,9 +91,7 @@ def schedule(weighed: DataFrame, run_blocks: int = RUN_BLOCKS) -> DataFrame:
     return runs.selectExpr("inline(transform(picks, p -> named_struct('src', s[p.i].src, 'k', p.k, 'slot', p.slot)))")
 
 
-def interleave(
-    docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes: int = BLOCK_BYTES, total: int | None = None
-) -> DataFrame:
+def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``src_block``, ``released``, ``due``, ``slot`` and ``src_offset``.
 
     Sorted by ``(slot, src_offset)`` the documents are in mixed order. A
@@ -134,8 +99,7 @@ def interleave(
     to the block of ``block_bytes`` in which it begins. All rows stay: while no
     source is used up, every prefix of slots holds each source's share to
     within a block; the slots of a source that is used up are empty, and the others
-    go on at their own pace. With ``total`` that holds for shares rounded to so many
-    slots, not for the weights. A null source is a source, a null text has no
+    go on at their own pace. A null source is a source, a null text has no
     bytes, equal rows stand next to each other; columns of these names are replaced.
 
     Offsets are summed within ranges of the hash and carried over by one row a
@@ -157,8 +121,8 @@ def interleave(
         top_bits(hashed, HASH_BITS, F.lit(bits)).alias(bucket),
     )
     sizes = staged(rows.groupBy(F.col(src).alias("src"), F.col(bucket).alias("bucket")).agg(F.sum(size).alias("size")), "mix-buckets")
-    weighed = weigh(sizes, weights, total, block_bytes)
-    slots = staged(schedule(weighed) if total is None else round_of(weighed), "mix-slots")
+    weighed = weigh(sizes, weights, block_bytes)
+    slots = staged(schedule(weighed), "mix-slots")
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("src", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start" + own)).join(
         weighed.selectExpr("inline(s)", "n").select("src", F.col("t").alias("t" + own), F.col("n").alias("n" + own)), "src"
@@ -169,7 +133,7 @@ def interleave(
         rows.join(starts, [src, bucket])
         .withColumn("src_offset", F.col("start" + own) + F.sum(size).over(ordered) - F.col(size))
         .withColumn("src_block", F.floor(F.col("src_offset") / block_bytes))
-        .withColumn(k, F.col("src_block") if total is None else F.col("src_block") % F.col("t" + own))
+        .withColumn(k, F.col("src_block"))
     )
     at = slots.select(F.col("src").alias(src), F.col("k").alias(k), F.col("slot").alias("at" + own))
     return placed.join(at, [src, k]).select(
@@ -177,14 +141,14 @@ def interleave(
         "src_block",
         F.expr(f"(src_block * n{own}) div t{own}").alias("released"),
         F.expr(f"((src_block + 1) * n{own} + t{own} - 1) div t{own}").alias("due"),
-        F.expr(f"at{own}" if total is None else f"(src_block div t{own}) * n{own} + at{own}").alias("slot"),
+        F.col("at" + own).alias("slot"),
         "src_offset",
     )
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return interleave(docs, total=TICKS).drop("text")  # as OP5_SQL rounds
+    return interleave(docs).drop("text")
 
 
 OP5_SQL = f"""
@@ -193,22 +157,21 @@ WITH RECURSIVE rows AS (
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), weighed AS (
-  SELECT source, floor(sqrt(sum(size)::DOUBLE))::BIGINT AS w FROM rows GROUP BY source
-), ticked AS (
-  SELECT source, greatest(1, (2 * w * {TICKS} + sum(w) OVER ()) // (2 * sum(w) OVER ()))::BIGINT AS t,
+  SELECT source, greatest(1, floor(sqrt(sum(size)::DOUBLE)))::BIGINT AS t, (sum(size) // {BLOCK_BYTES} + 1)::BIGINT AS blocks,
     row_number() OVER (ORDER BY source) - 1 AS i
-  FROM weighed
+  FROM rows GROUP BY source
 ), src AS (
-  SELECT *, (sum(t) OVER ())::BIGINT AS n FROM ticked
+  SELECT *, (sum(t) OVER ())::BIGINT AS n FROM weighed
 ), state AS (
-  SELECT 0::BIGINT AS slot, i, source, t, n, 0::BIGINT AS k FROM src
+  SELECT 0::BIGINT AS free, i, source, t, n, blocks, 0::BIGINT AS k FROM src
   UNION ALL
-  SELECT slot + 1, i, source, t, n, k + (i = pick)::BIGINT
-  FROM (SELECT *, arg_min(i, ((k + 1) * n + t - 1) // t * 1000000 + i) FILTER (WHERE (k * n) // t <= slot) OVER () AS pick
-        FROM state WHERE slot < n)
+  SELECT here + 1, i, source, t, n, blocks, k + (i = pick)::BIGINT
+  FROM (SELECT *, arg_min(i, ((k + 1) * n + t - 1) // t * 1000000 + i) FILTER (WHERE k < blocks AND (k * n) // t <= here) OVER () AS pick
+        FROM (SELECT *, greatest(free, min((k * n) // t) FILTER (WHERE k < blocks) OVER ()) AS here, bool_or(k < blocks) OVER () AS more FROM state)
+        WHERE more)
 ), picks AS (
-  SELECT source, t, n, k, slot
-  FROM (SELECT *, lead(k) OVER (PARTITION BY i ORDER BY slot) AS later FROM state)
+  SELECT source, k, free_then - 1 AS slot
+  FROM (SELECT *, lead(k) OVER w AS later, lead(free) OVER w AS free_then FROM state WINDOW w AS (PARTITION BY i ORDER BY free))
   WHERE later > k
 ), placed AS (
   SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS src_offset
@@ -217,6 +180,6 @@ WITH RECURSIVE rows AS (
   SELECT p.*, s.t, s.n, src_offset // {BLOCK_BYTES} AS src_block FROM placed p JOIN src s USING (source)
 )
 SELECT b.doc_id, b.source, src_block, (src_block * b.n) // b.t AS released, ((src_block + 1) * b.n + b.t - 1) // b.t AS due,
-  (src_block // b.t) * b.n + p.slot AS slot, src_offset
-FROM blocked b JOIN picks p ON p.source = b.source AND p.k = src_block % b.t
+  p.slot, src_offset
+FROM blocked b JOIN picks p ON p.source = b.source AND p.k = src_block
 """
