@@ -16,13 +16,19 @@ from foldcast.llm.common import staged, table
 #: Labelled rows that models are fitted on; of more, those with the smallest hash.
 MAX_LABELLED = 20_000
 ROUNDS = 4
-#: Rows that a view labels for the other in its first round, per class; as many more in each further one.
-GROWTH = 200
+#: Steps on the labels of a round; each starts from the last.
+STEPS = 3
+#: No row's loss bends more: steps that take this for all rows never raise the loss, however sure a model is.
+MOST_BENT = 0.25
 CONFIDENT = 0.95
 THRESHOLD = 0.5
 SOURCES, LANGUAGES, LENGTHS = 64, 8, 24
 META_WIDTH = SOURCES + LANGUAGES + LENGTHS
-TEXT_WIDTH = 18
+#: Places that words are hashed to.
+WORDS = 64
+TEXT_WIDTH = 18 + WORDS
+TEXT_PENALTY = np.repeat([1.0, 10.0], [18, WORDS])
+META_PENALTY = np.full(META_WIDTH, 10.0)
 FEATURES = "doc_id long, text_view array<float>, source_at int, lang_at int, length_at int"
 LOWER, UPPER, DIGIT, SPACE, LINE, MARK, SIGN, OTHER = range(8)
 
@@ -42,7 +48,7 @@ KINDS = byte_kinds()
 
 
 def text_view(column: pa.Array) -> np.ndarray:
-    """Shares of kinds of bytes, and how words and lines repeat, of each whole text."""
+    """Shares of kinds of bytes, how words and lines repeat, and the share of each hashed word, of each whole text."""
     data, at = text_bytes(column)
     out = [_text_view(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in blocks(at, 1 << 20)]
     return np.concatenate(out) if out else np.zeros((0, TEXT_WIDTH), np.float32)
@@ -60,7 +66,10 @@ def _text_view(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     kinds = np.bincount(np.repeat(np.arange(n) * 8, size) + KINDS[data], minlength=8 * n).reshape(n, 8)
     start, end, words = spans(is_space(data), at)
     doc = np.repeat(np.arange(n), words)
-    distinct, again = _repeats(span_hashes(data, start, end), doc, n)
+    hashes = span_hashes(data, start, end)
+    distinct, again = _repeats(hashes, doc, n)
+    at_word = doc * WORDS + (mix(hashes) % U64(WORDS)).astype(np.int64)
+    said = np.bincount(at_word, minlength=n * WORDS).reshape(n, WORDS)
     a, b, lines = spans(data == 10, at)
     line_doc = np.repeat(np.arange(n), lines)
     lines_distinct, lines_again = _repeats(span_hashes(data, a, b), line_doc, n)
@@ -69,6 +78,7 @@ def _text_view(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     columns = [
         *(kinds / one[:, None]).T, long / w, distinct / w, again / w, np.log1p(words), (words < 20) * 1.0, lines / w,
         lines_distinct / k, lines_again / k, kinds[:, UPPER] / np.maximum(kinds[:, UPPER] + kinds[:, LOWER], 1), (size == 0) * 1.0,
+        *(said / w[:, None]).T,
     ]
     return np.stack(columns, 1).astype(np.float32)
 
@@ -114,24 +124,36 @@ def one_hot(places: list[np.ndarray]) -> np.ndarray:
 class Logistic:
     """Logistic regression on standardised columns with a penalty, by Newton steps."""
 
-    penalty: float = 1.0
+    penalty: np.ndarray = field(default_factory=lambda: np.ones(1))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(1))
     spread: np.ndarray = field(default_factory=lambda: np.ones(1))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.c_[(x - self.mean) / self.spread, np.ones(len(x))]
+
+    def sums(self, x: np.ndarray, y: np.ndarray | float, least_bent: float = MOST_BENT) -> np.ndarray:
+        """Rows, gradient and second derivatives of the loss, which add up over rows."""
+        z = self.standard(x)
+        p = sigmoid(np.clip(z @ self.weights, -30, 30))
+        bent = np.maximum(p * (1 - p) + 1e-9, least_bent)
+        return np.r_[len(x), z.T @ (p - y), ((z * bent[:, None]).T @ z).ravel()]
+
+    def step(self, sums: np.ndarray) -> Logistic:
+        """The model after a Newton step."""
+        n = len(self.weights)
+        ridge = np.r_[self.penalty, 1e-3]
+        down = np.linalg.solve(sums[1 + n :].reshape(n, n) + np.diag(ridge), sums[1 : 1 + n] + ridge * self.weights)
+        return Logistic(self.penalty, self.mean, self.spread, self.weights - down)
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         self.mean, self.spread = x.mean(0), x.std(0)
         self.spread[self.spread < 1e-9] = 1.0
-        z = np.c_[(x - self.mean) / self.spread, np.ones(len(x))]
-        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], self.penalty)
-        ridge[-1] = 1e-3
+        self.weights = np.zeros(x.shape[1] + 1)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
-            w -= step
-            if np.abs(step).max() < 1e-6:
+            before, self.weights = self.weights, self.step(self.sums(x, y, 0.0)).weights
+            if np.abs(self.weights - before).max() < 1e-6:
                 break
-        self.weights = w
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -185,16 +207,50 @@ def scored(features: DataFrame, model: CoTrained) -> DataFrame:
     return features.mapInArrow(run, f"{schema}, p_text double, p_meta double, score double, z_text double, z_meta double")
 
 
-def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, growth: int = GROWTH, most: int = MAX_LABELLED) -> CoTrained:
+def taught(unknown: DataFrame, teacher: CoTrained, model: CoTrained) -> dict[tuple[int, int], np.ndarray]:
+    """The sums for a Newton step of each view of ``model``, 0 for text and 1 for metadata, and label, over all rows that ``teacher``'s other view is sure of.
+
+    Each task adds up its rows; what comes back has the size of the models.
+    """
+    sure_from = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            text, meta = _columns(pa.Table.from_batches([batch]))
+            by_text, by_meta = teacher.raw(text, meta)
+            for view, (z, x, m) in enumerate(((by_meta, text, model.text), (by_text, one_hot(meta), model.meta))):
+                for label, sure in enumerate((z <= -sure_from, z >= sure_from)):
+                    if sure.any():
+                        total[view, label] = total.get((view, label), 0.0) + m.sums(x[sure], float(label))
+        for (view, label), sums in total.items():
+            n = len(sums)
+            columns = [np.full(n, view, np.int32), np.full(n, label, np.int32), np.arange(n, dtype=np.int32), sums]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["view", "label", "place", "value"])
+
+    parts = unknown.select("text_view", *PLACES).mapInArrow(run, "view int, label int, place int, value double")
+    got = parts.groupBy("view", "label", "place").agg(F.sum("value").alias("value")).toArrow()
+    view, label, place, value = (got.column(c).to_numpy() for c in ("view", "label", "place", "value"))
+    out = {}
+    for v in (0, 1):
+        for c in (0, 1):
+            at = np.flatnonzero((view == v) & (label == c))
+            if len(at):
+                out[v, c] = value[at[np.argsort(place[at])]]
+    return out
+
+
+def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, steps: int = STEPS, most: int = MAX_LABELLED) -> CoTrained:
     """Fit both views on labelled rows, then let each label rows for the other.
 
     ``features`` is a written table of ``views``; ``labels(doc_id, quality)``
     gives 0 or 1, several labels of a document count as their rounded mean. At most ``most``
     labelled rows take part, a quarter of them only to calibrate. In each round both views
-    score all unlabelled rows; those of each class that a view is most sure of, and
-    surer than ``CONFIDENT``, join the other's training rows: ``growth`` in
-    the first round, as many more in each later one. The driver holds these
-    bounded sets of features only.
+    score all unlabelled rows, and all of which a view is surer than ``CONFIDENT``
+    join the other's training rows. Those of a class weigh alike and together,
+    round by round, a growing share of what the labelled rows of that class weigh, the same at the end;
+    none weighs more than a labelled row. So their number is not bounded and ties
+    need no order. The driver holds the labelled rows' features and sums of the size of the models.
     """
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long")).agg(
         F.round(F.avg("quality")).cast("int").alias("label")
@@ -209,26 +265,26 @@ def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, growt
     text, meta = _columns(taken)
     hot = one_hot(meta)
     mean = y[~held].mean()
-    model = CoTrained(Logistic().fit(text[~held], y[~held]), Logistic(10.0).fit(hot[~held], y[~held]), prior=float(np.log(mean / (1 - mean))))
+    model = CoTrained(Logistic(TEXT_PENALTY).fit(text[~held], y[~held]), Logistic(META_PENALTY).fit(hot[~held], y[~held]), prior=float(np.log(mean / (1 - mean))))
     unknown = known.where("label IS NULL").drop("label")
+    own = ((text[~held], y[~held]), (hot[~held], y[~held]))
     for r in range(1, rounds + 1):
-        now = scored(unknown, model)
-        bound, picks = float(np.log(CONFIDENT / (1 - CONFIDENT))), []
-        for view in ("z_text", "z_meta"):
-            for sign in (1, -1):
-                sure = now.where(F.col(view) * sign >= bound).orderBy(F.col(view) * -sign, "doc_id", "text_view").limit(growth * r)
-                picks.append(sure.select(*unknown.columns, F.lit(view).alias("by"), F.lit(max(sign, 0)).alias("label")))
-        got = picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]).toArrow()
-        given, by = got.column("label").to_numpy().astype(float), np.array(got.column("by").to_pylist())
-        new_text, new_meta = _columns(got) if len(got) else (text[:0], [m[:0] for m in meta])
-        new_hot = one_hot(new_meta)
-        from_meta, from_text = by == "z_meta", by == "z_text"
-        model.text = Logistic().fit(np.r_[text[~held], new_text[from_meta]], np.r_[y[~held], given[from_meta]])
-        model.meta = Logistic(10.0).fit(np.r_[hot[~held], new_hot[from_text]], np.r_[y[~held], given[from_text]])
-        model.rounds.append({"from_text": int(from_text.sum()), "from_meta": int(from_meta.sum())})
+        teacher, counts = CoTrained(model.text, model.meta), [0, 0]
+        for _ in range(steps):
+            got, moved = taught(unknown, teacher, model), []
+            for view, m in enumerate((model.text, model.meta)):
+                sums = m.sums(*own[view])
+                for label in (0, 1):
+                    if (view, label) in got:
+                        share = r / rounds * (own[view][1] == label).sum() / got[view, label][0]
+                        sums = sums + min(1.0, share) * got[view, label]
+                counts[view] = int(sum(got[view, c][0] for c in (0, 1) if (view, c) in got))
+                moved.append(m.step(sums))
+            model.text, model.meta = moved
+        model.rounds.append({"from_text": counts[1], "from_meta": counts[0]})
     a, b = model.raw(text[held], [m[held] for m in meta])
-    model.text_scale = Logistic(1e-3).fit(a[:, None], y[held])
-    model.meta_scale = Logistic(1e-3).fit(b[:, None], y[held])
+    model.text_scale = Logistic(np.array([1e-3])).fit(a[:, None], y[held])
+    model.meta_scale = Logistic(np.array([1e-3])).fit(b[:, None], y[held])
     rate = y[held].mean()
     model.prior = float(np.log(rate / (1 - rate)))
     return model

@@ -10,10 +10,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foldcast.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, token_files, tokens, topk, warc
+from foldcast.llm.bytespans import mix, span_hashes
 from foldcast.llm.common import scratch
 from foldcast.llm.components import components
 
@@ -573,3 +575,94 @@ def test_views_teach_each_other(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     model = quality.co_train(quality.views(docs), labels)
     assert len(model.rounds) == quality.ROUNDS and all(r["from_text"] > 0 for r in model.rounds)
+
+
+def test_text_view_counts_bytes_and_words():
+    texts = ["One one two. One one two.\n\nOne one two.", "", "AB12 é  \t- x" * 50, LONG]
+    for text, got in zip(texts, quality.text_view(pa.array(texts)), strict=True):
+        data, words, lines = text.encode(), text.encode().split(), [x for x in text.encode().split(b"\n") if x]
+        kinds = Counter(int(quality.KINDS[b]) for b in data)
+        upper, lower = kinds[quality.UPPER], kinds[quality.LOWER]
+        one, w, k = max(1, len(data)), max(1, len(words)), max(1, len(lines))
+        want = [kinds[c] / one for c in range(8)]
+        want += [sum(min(40, len(x)) for x in words) / w, len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w]
+        want += [math.log1p(len(words)), len(words) < 20, len(lines) / w, len(set(lines)) / k, sum(a == b for a, b in zip(lines, lines[1:], strict=False)) / k]
+        want += [upper / max(1, upper + lower), not data]
+        said = Counter()
+        for word in words:
+            place = mix(span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)])))[0]
+            said[int(place) % quality.WORDS] += 1
+        want += [said[c] / w for c in range(quality.WORDS)]
+        assert np.allclose(got, np.array(want, float), atol=1e-6)
+
+
+def weighted_newton(x, y, weight, penalty, w, steps, least_bent=0.0):
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope, bend = penalty * w, np.diag(penalty)
+        for row, target, part, much in zip(x, y, p, weight, strict=True):
+            slope = slope + much * (part - target) * row
+            bend = bend + much * max(part * (1 - part) + 1e-9, least_bent) * np.outer(row, row)
+        w = w - np.linalg.solve(bend, slope)
+    return w
+
+
+def co_trained(text, meta, label, held, steps=quality.STEPS, rounds=quality.ROUNDS):
+    """Both views' scores of all rows in plain numpy: all rows in memory, one weight a row; ``label`` is nan where unknown."""
+    own = ~np.isnan(label) & ~held
+    data, penalties, fits = [], [], []
+    for x, penalty in ((text, [1.0] * 18 + [10.0] * quality.WORDS), (meta, [10.0] * quality.META_WIDTH)):
+        spread = x[own].std(0)
+        z = np.c_[(x - x[own].mean(0)) / np.where(spread < 1e-9, 1.0, spread), np.ones(len(x))]
+        data.append(z)
+        penalties.append(np.array([*penalty, 1e-3]))
+        fits.append(weighted_newton(z[own], label[own], np.ones(own.sum()), penalties[-1], np.zeros(z.shape[1]), 25))
+    for r in range(1, rounds + 1):
+        says = [np.clip(z @ w, -30, 30) for z, w in zip(data, fits, strict=True)]
+        moved = []
+        for view in (0, 1):
+            y, weight = label.copy(), own.astype(float)
+            for c, sure in ((0, says[1 - view] <= -np.log(19)), (1, says[1 - view] >= np.log(19))):
+                mine = sure & np.isnan(label)
+                y[mine] = c
+                if mine.any():
+                    weight[mine] = min(1.0, r / rounds * (label[own] == c).sum() / mine.sum())
+            at = weight > 0
+            moved.append(weighted_newton(data[view][at], y[at], weight[at], penalties[view], fits[view], steps, 0.25))
+        fits = moved
+    out, rate = [], label[held & ~np.isnan(label)].mean()
+    for z, w in zip(data, fits, strict=True):
+        raw = np.clip(z @ w, -30, 30)
+        part = held & ~np.isnan(label)
+        mean, spread = raw[part].mean(), raw[part].std()
+        one = np.c_[(raw - mean) / spread, np.ones(len(raw))]
+        out.append(np.clip(one @ weighted_newton(one[part], label[part], np.ones(part.sum()), np.full(2, 1e-3), np.zeros(2), 25), -30, 30))
+    both = out[0] + out[1] - np.log(rate / (1 - rate))
+    return [1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*out, both)]
+
+
+def test_co_training_equals_plain_numpy(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd_rows = spark.createDataFrame([(None if d is None else d + 10_000_000, *rest) for d, *rest in ODD], DOCS)
+    docs = docs.unionByName(odd_rows).unionByName(docs.where("doc_id < 20"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("doc_id % 3 > 0")
+    known = {r.doc_id: r.quality for r in labels.where("quality IS NOT NULL").collect()}
+    seen = quality.views(docs).withColumn("h", F.xxhash64("doc_id", F.lit(17))).collect()
+    text = np.array([r.text_view for r in seen], float)
+    meta = np.zeros((len(seen), quality.META_WIDTH))
+    for k, r in enumerate(seen):
+        meta[k, [r.source_at, r.lang_at, r.length_at]] = 1
+    label = np.array([known.get(r.doc_id, np.nan) for r in seen], float)
+    held = np.array([r.h % 4 == 0 for r in seen])
+    want = co_trained(text, meta, label, held)
+    assert 0.1 < want[2].mean() < 0.95 and np.isnan(label).sum() > 50
+    got = quality.classify(docs.withColumn("score", F.lit("x")), labels).collect()
+
+    def order(rows):
+        return np.array(sorted(tuple(row) for row in rows))
+
+    ids = [-1 if r.doc_id is None else r.doc_id for r in seen]
+    got = order((-1 if r.doc_id is None else r.doc_id, r.p_text, r.p_meta, r.score) for r in got)
+    assert np.allclose(got, order(zip(ids, *want, strict=True)), atol=1e-5)
+    again = quality.keep_good(docs, labels)
+    assert Counter(r.doc_id for r in again.collect()) == Counter(None if d == -1 else int(d) for d, *_, score in got if score >= quality.THRESHOLD)
