@@ -7,7 +7,7 @@ import __spark_entry__ as e
 import corpus_pipeline
 import pytest
 from compare import connect, differences
-from test_llm_edges import check_pieces, crc, library_ids, near
+from test_llm_edges import DOCS, ODD, check_pieces, crc, library_ids, near
 
 from foldcast.llm import registry
 
@@ -110,6 +110,16 @@ def test_pipeline_runs(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 
+def test_pipeline_of_odd_and_of_no_documents_without_labels(spark, tmp_path):
+    for name, docs, want in (("odd", [*ODD, *ODD], {1, 2, 4, None, 7, 8, 9}), ("none", [], set())):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None, None), (None, 1, 0)][: len(docs)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        starts = Counter(r.doc_id for r in pieces if r.start == 0)  # a corpus loaded twice is there once
+        assert set(starts) == want and set(starts.values()) <= {1}
+
+
 def test_entry_imports_without_the_subpackage(tmp_path):
     import subprocess
 
