@@ -310,7 +310,8 @@ def grouped_rows(docs: DataFrame, s: Settings) -> DataFrame:
     members = staged(banded.join(staged(sizes, "near-sizes"), "band"), "near-members")
     weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
     met = staged(keys.join(weights, "id", "left_semi").select(*ROW, "id"), "near-met")
-    texts = staged(docs.select(*row_key(), "text").join(met, list(ROW)).dropDuplicates(list(ROW)).select("id", "text"), "near-texts")
+    # what meets grows with the documents, so it is never broadcast and the plan is the same at every size
+    texts = staged(docs.select(*row_key(), "text").join(met.hint("merge"), list(ROW)).dropDuplicates(list(ROW)).select("id", "text"), "near-texts")
     # a bucket's center shares buckets with most others; a member takes the best center of its buckets
     weighed = members.select("band", "id").join(weights, "id")
     best = F.struct("weight", (-F.col("id")).alias("minus"))
