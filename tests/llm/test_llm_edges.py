@@ -538,14 +538,31 @@ def test_search(spark, monkeypatch):
     assert [r.vec_id for r in topk.top_k(df.where("vec_id IN (0, 1, 2)"), 50).orderBy("rank").collect()] in ([1, 2], [2, 1])
 
 
-def test_bounds_keep_every_winner():
+@pytest.mark.parametrize("n", [1, 3, 31, 500])
+def test_bounds_keep_every_winner(n):
     rng = np.random.default_rng(9)
-    x, q = np.floor(rng.normal(0, 80, (500, 16))), np.floor(rng.normal(0, 80, (40, 16)))
-    own = np.zeros((500, 40), bool)
-    own[np.arange(40), np.arange(40)] = True
-    scores = np.where(own, -np.inf, x @ q.T)
-    for j, near in enumerate(topk.nra(x, own, q, 5)):
-        assert set(np.flatnonzero(scores[:, j] >= np.sort(scores[:, j])[-5])) <= set(near)
+    x, q = np.floor(rng.normal(0, 80, (n, 16))), np.floor(rng.normal(0, 80, (40, 16)))
+    own = np.zeros((40, n), bool)
+    own[np.arange(min(n, 40)), np.arange(min(n, 40))] = True
+    scores = np.where(own, -np.inf, q @ x.T)
+    best = np.sort(scores, axis=1)[:, -min(n, 5)]
+    for floor in (np.full(40, -np.inf), best, best + 1, np.where(np.arange(40) % 2, best - 100, -np.inf)):
+        found, read = topk.nra(x, topk.SortedLists(x), own, q, floor, 5)
+        for j, near in enumerate(found):
+            assert set(np.flatnonzero((scores[j] >= max(best[j], floor[j])) & ~own[j])) <= set(near)
+        assert read.max() <= n
+
+
+def test_lists_are_not_read_to_their_ends():
+    """64 components that are near uniform: without a floor most of the lists are read, with one from another block two thirds."""
+    rng = np.random.default_rng(10)
+    x, more = np.floor(rng.normal(0, 32, (2, 4000, 64)))
+    q = np.floor(rng.normal(0, 32, (50, 64)))
+    none = np.zeros((50, 4000), bool)
+    _, read = topk.nra(x, topk.SortedLists(x), none, q, np.full(50, -np.inf), 5)
+    assert np.median(read) < 0.95 * 4000
+    found, less = topk.nra(more, topk.SortedLists(more), none, q, np.sort(q @ x.T, axis=1)[:, -5], 5)
+    assert np.median(less) < 0.75 * 4000 and less.max() < 4000 and max(map(len, found)) <= 250
 
 
 # --- quality -----------------------------------------------------------------
