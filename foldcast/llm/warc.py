@@ -31,7 +31,9 @@ DATE = "2020-01-01T00:00:00Z"
 #: Gaps up to so many bytes are read over rather than sought.
 NEAR = 256 << 10
 LINES = "key string, page_id long, file string, position long, size long"
-DIRECTORY = "first_key string, last_key string, file string, position long, size long, n_lines long"
+#: A page of the directory: the first and last keys of consecutive blocks of one index file, in order, and where they are.
+DIRECTORY = "first_key string, last_key string, file string, first_keys array<string>, last_keys array<string>, positions array<long>, sizes array<long>"
+PAGE_BLOCKS = 4096
 CAPTURES = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -49,8 +51,20 @@ def host_reversed(url: str | None) -> str:
     return f"{place}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as tasks can open it: without a scheme it lies in Spark's default file system, not on a task's own disk."""
+    if "://" not in folder and not folder.startswith("file:"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        folder = f"{default.rstrip('/') if default != 'file:///' else 'file://'}{folder if folder.startswith('/') else '/' + folder}"
+    scheme = folder.partition(":")[0]
+    known = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+    if scheme not in known:
+        raise ValueError(f"tasks cannot open {scheme}: folders; name one of {', '.join(known)}")
+    return known[scheme] + folder[len(scheme) :]
+
+
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 def record_id(page_id: int | None) -> str:
@@ -108,12 +122,13 @@ def parsed(data: bytes) -> tuple:
 def write_archives(pages: DataFrame, out: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as WARC files under ``out``; returns the lines of the index.
 
-    Of pages with equal payloads (compared by SHA-256 and length) those with the
+    Of pages with equal payloads (compared by SHA-256) those with the
     largest ``page_id`` are responses, the others revisit that id; a page without id
     is a response only if no equal page has one. A null html is an empty payload, a null
     URL is left out; other columns are not read. File names are new in each attempt of a
     task, and only those of attempts that succeeded get into the index.
     """
+    out = qualified(pages.sparkSession, out)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("same", F.sha2("html", 256))
     firsts = rows.groupBy("same").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -148,36 +163,43 @@ def write_archives(pages: DataFrame, out: str, file_bytes: int = FILE_BYTES) ->
     return staged(joined.select("page_id", "url", "html", "refers_to").mapInArrow(write, LINES), "warc-lines")
 
 
-def write_index(lines: DataFrame, out: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort the lines by key into compressed blocks under ``out``; returns the sparse directory, one row a block."""
+def write_index(lines: DataFrame, out: str, block_lines: int = BLOCK_LINES, page_blocks: int = PAGE_BLOCKS) -> DataFrame:
+    """Sort the lines by key into compressed blocks under ``out``; returns the sparse directory, one row a page of blocks."""
+    out = qualified(lines.sparkSession, out)
     n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = lines.repartitionByRange(n, "key", "page_id", "file", "position").sortWithinPartitions("key", "page_id", "file", "position")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = _filesystem(out)
         files.create_dir(place, recursive=True)
-        stream, name, size, held = None, f"{uuid.uuid4().hex}.cdx.gz", 0, []
+        stream, name, size, held, page = None, f"{uuid.uuid4().hex}.cdx.gz", 0, [], []
 
-        def block() -> pa.RecordBatch:
+        def block() -> None:
             nonlocal stream, size
             stream = stream or files.open_output_stream(f"{place}/{name}", compression=None)
             member = packed("".join(json.dumps(x) + "\n" for x in held).encode())
             stream.write(member)
-            row = (held[0][0], held[-1][0], name, size, len(member), len(held))
+            page.append((held[0][0], held[-1][0], size, len(member)))
             size += len(member)
             held.clear()
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            return pa.record_batch(
-                [pa.array([v], t) for v, t in zip(row, kinds)], names=["first_key", "last_key", "file", "position", "size", "n_lines"]
-            )
+
+        def full_page() -> pa.RecordBatch:
+            lists = [pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*page), (pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            ends = [pa.array([v], pa.string()) for v in (page[0][0], page[-1][1], name)]
+            page.clear()
+            return pa.record_batch([*ends, *lists], names=["first_key", "last_key", "file", "first_keys", "last_keys", "positions", "sizes"])
 
         for batch in batches:
             for line in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(line)
                 if len(held) == block_lines:
-                    yield block()
+                    block()
+                if len(page) == page_blocks:
+                    yield full_page()
         if held:
-            yield block()
+            block()
+        if page:
+            yield full_page()
         if stream:
             stream.close()
 
@@ -201,8 +223,30 @@ def ranges(place: str, files: fs.FileSystem, wanted: list[tuple[int, int]], name
             k = last + 1
 
 
+def index_blocks(directory: DataFrame, key: str | None = None) -> DataFrame:
+    """``file``, ``position``, ``size`` of all blocks, or of those that can hold a key.
+
+    Spark's Parquet reader skips files of the directory whose pages lie beside the key; in a page that can hold it the
+    blocks are found by binary search.
+    """
+    if key is not None:
+        directory = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, firsts, lasts, positions, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                here = slice(None) if key is None else slice(bisect_left(lasts, key), bisect_right(firsts, key))
+                found = positions[here], sizes[here]
+                columns = [pa.array([name] * len(found[0]), pa.string()), *(pa.array(c, pa.int64()) for c in found)]
+                yield pa.record_batch(columns, names=["file", "position", "size"])
+
+    pages = directory.select("file", "first_keys", "last_keys", "positions", "sizes")
+    return pages.mapInArrow(read, "file string, position long, size long")
+
+
 def index_lines(directory: DataFrame, out: str, key: str | None = None) -> DataFrame:
-    """All lines of the blocks that ``directory`` names, or those of one key, searched in each block."""
+    """All lines of the index, or those of one key, searched in the directory and then in each block."""
+    out = qualified(directory.sparkSession, out)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = _filesystem(out)
@@ -219,11 +263,12 @@ def index_lines(directory: DataFrame, out: str, key: str | None = None) -> DataF
                     [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "page_id", "file", "position", "size"]
                 )
 
-    return directory.select("file", "position", "size").mapInArrow(read, LINES)
+    return index_blocks(directory, key).mapInArrow(read, LINES)
 
 
 def read_archives(lines: DataFrame, out: str, payloads: bool = True) -> DataFrame:
     """Read and check the records that the lines name, each file's in order of position."""
+    out = qualified(lines.sparkSession, out)
     n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = lines.select("file", "position", "size").repartitionByRange(n, "file", "position").sortWithinPartitions("file", "position")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
@@ -245,10 +290,8 @@ def read_archives(lines: DataFrame, out: str, payloads: bool = True) -> DataFram
 
 
 def lookup(spark: SparkSession, directory: DataFrame, index: str, archives: str, url: str) -> DataFrame:
-    """Captures of one URL: the directory's blocks that can hold its key, a search in each, and range reads."""
-    key = host_reversed(url)
-    near = directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
-    return read_archives(index_lines(near, index, key), archives)
+    """Captures of one URL: a search of the directory, one of each block that can hold its key, and range reads."""
+    return read_archives(index_lines(directory, index, host_reversed(url)), archives)
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

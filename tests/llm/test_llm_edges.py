@@ -498,12 +498,24 @@ def test_archives(spark):
 def test_lookup_finds_all_captures_of_a_hot_url(spark):
     pages = [(k, "http://h.org/hot" if 310 <= k < 890 else f"http://h.org/{'a' if k < 310 else 'z'}{k}", f"<p>{k}</p>") for k in range(1200)]
     archives, index = scratch(spark, "warc"), scratch(spark, "cdx")
-    directory = warc.write_index(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), archives), index, block_lines=7)
+    directory = warc.write_index(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), archives), index, block_lines=7, page_blocks=5)
     assert directory.where("first_key <= 'org,h)/hot' AND last_key >= 'org,h)/hot'").select("file").distinct().count() > 1
     for order in ("last_key", "first_key"):  # several blocks to a batch, in whatever order files are read
         blocks = directory.coalesce(1).sortWithinPartitions(F.desc(order), F.desc("file"))
         got = warc.lookup(spark, blocks, index, archives, "http://h.org/hot").collect()
         assert sorted((r.page_id, r.url) for r in got) == [(k, "http://h.org/hot") for k in range(310, 890)]
+    for key, n in (("org,h)/a17", 1), ("org,h)/hot", 580), ("org,h)/none", 0), ("org", 0), ("zzz", 0)):
+        near = warc.index_blocks(directory, key).count()  # the search leaves few blocks beside those of the key
+        assert warc.index_lines(directory, index, key).count() == n and near <= n / 7 + 2 * spark.sparkContext.defaultParallelism
+        assert near <= 1 if n <= 1 else near > 1
+
+
+def test_folders_that_tasks_can_open(spark):
+    assert warc.qualified(spark, "s3a://bucket/a") == "s3://bucket/a" and warc.qualified(spark, "hdfs://n:1/a") == "hdfs://n:1/a"
+    assert warc.qualified(spark, "file:///x y") == "file:///x y" and warc.qualified(spark, "file:/x") == "file:/x"
+    assert warc.qualified(spark, "/x/y") == "file:///x/y"  # the default file system of a local session
+    with pytest.raises(ValueError, match="dbfs"):
+        warc.qualified(spark, "dbfs://x/y")
 
 
 def test_archives_of_nothing(spark):
