@@ -45,12 +45,16 @@ def growing(blocks: DataFrame, summary, skip: int, name: str, valid_from: Column
     before it lack their own lags). ``seen_from``: the same position for the
     *next* block, which splits each block's own rows into those the next block
     sees itself and those that must be carried into it.
+
+    The blocks' summaries hold their last ``dt`` too. So both uses of the blocks
+    read the same columns, and Spark shuffles them once.
     """
     usable = F.col("i") >= valid_from
     own = F.col("own")
     parts = blocks.groupBy(*BLOCK).agg(
         summary.aggregate(where=own).alias("_all"),
         summary.aggregate(where=own & (F.col("i") < seen_from)).alias("_left"),
+        F.max("dt").alias("_until"),
     )
     order = Window.partitionBy("series_id").orderBy("block")
     parts = parts.withColumns(
@@ -65,10 +69,12 @@ def growing(blocks: DataFrame, summary, skip: int, name: str, valid_from: Column
     carried = parts.select(
         *BLOCK,
         F.when(F.col("_left").isNotNull(), summary.merge(F.col("_older"), F.col("_left"))).alias("_carry"),
+        "_until",
     )
     so_far = in_block().rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.withColumn("_run", summary.aggregate(so_far, where=usable))
-    joined = local.join(carried.hint("merge"), list(BLOCK))
+    dated = F.col("dt").isNull() | F.col("_until").isNotNull()
+    joined = local.join(carried.hint("merge"), list(BLOCK)).where(dated).drop("_until")
     total = F.when(F.col("_carry").isNotNull(), summary.merge(F.col("_carry"), F.col("_run"))).otherwise(F.col("_run"))
     joined = joined.withColumn("_total", total)
     if skip:
