@@ -25,29 +25,31 @@ def swept(matrix: Column, size: int, pivots: list[int], keep_left_out: bool = Fa
     """
     zero = F.lit(0.0)
 
-    def step(state: Column, p: Column) -> Column:
-        a = state["now"]
+    def step(states: Column, p: Column) -> Column:
+        a, own = F.element_at(states, -1), F.get(F.get(states, F.lit(0)), p * size + p)
         d = F.get(a, p * size + p)
-        inv = F.when(d > F.get(matrix, p * size + p) * DEPENDENT, F.try_divide(F.lit(1.0), d))
+        inverse = F.when(d > own * DEPENDENT, F.try_divide(F.lit(1.0), d))
+
+        def moved(inv: Column) -> Column:
+            def cell(v: Column, k: Column) -> Column:
+                i, j = F.floor(k / size).cast("int"), F.pmod(k, F.lit(size))
+                cross = F.get(a, i * size + p) * F.get(a, p * size + j)
+                on = (
+                    F.when((i == p) & (j == p), -inv)
+                    .when((i == p) | (j == p), v * inv)
+                    .otherwise(v - cross * inv)
+                )
+                # a feature left out must not act on the later ones
+                kept = v if keep_left_out else F.when((i == p) | (j == p), zero).otherwise(v)
+                return F.when(inv.isNotNull(), on).otherwise(kept)
+
+            return F.transform(a, cell)
+
+        # an expression inside a function is evaluated wherever it is used: as an argument it is evaluated once
+        return F.concat(states, F.transform(F.array(inverse), moved))
 
-        def cell(v: Column, k: Column) -> Column:
-            i, j = F.floor(k / size).cast("int"), F.pmod(k, F.lit(size))
-            cross = F.get(a, i * size + p) * F.get(a, p * size + j)
-            moved = (
-                F.when((i == p) & (j == p), -inv)
-                .when((i == p) | (j == p), v * inv)
-                .otherwise(v - cross * inv)
-            )
-            # a feature left out must not act on the later ones
-            kept = v if keep_left_out else F.when((i == p) | (j == p), zero).otherwise(v)
-            return F.when(inv.isNotNull(), moved).otherwise(kept)
-
-        new = F.transform(a, cell)
-        return F.struct(new.alias("now"), F.concat(state["all"], F.array(new)).alias("all"))
-
-    start = F.struct(matrix.alias("now"), F.array().cast("array<array<double>>").alias("all"))
     order = F.array(*[F.lit(p) for p in pivots])
-    return F.aggregate(order, start, step, lambda state: state["all"])
+    return F.aggregate(order, F.array(matrix), step, lambda states: F.slice(states, 2, len(pivots)))
 
 
 def _minimum_norm(features: list[str], g, r) -> list[Column]:

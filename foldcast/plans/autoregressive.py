@@ -157,8 +157,10 @@ def order_search(prices: DataFrame, spec: ArSpec, split: SplitSpec = SplitSpec(l
     moments = Moments((*us, *vs, v))
     fits = rows.groupBy("series_id").agg(moments.aggregate().alias("train"))
     every = candidate_fits(F.col("train"), moments, d, split.inputs, spec.max_p)
-    best = F.array_min(F.transform(every, lambda c: F.struct(c["aic"], c["p"])))["p"]
-    out = fits.select("series_id", F.explode(every).alias("c"), best.alias("best"))
+    best = F.array_min(F.transform("every", lambda c: F.struct(c["aic"], c["p"])))["p"]
+    # fits are made once: a column of its own for both uses, and an outer explode, for which Spark adds no filter on their number
+    out = fits.select("series_id", every.alias("every")).withColumn("best", best)
+    out = out.select("series_id", F.explode_outer("every").alias("c"), "best").where("c IS NOT NULL")
     return out.select(
         "series_id",
         "c.p",

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from helpers import frame, series_of, training_table, walk
 
+from foldcast.functions.regression import swept
 from foldcast.operators.folds import AUTOREGRESSIVE
 from foldcast.operators.shaping import returns
-from foldcast.plans.autoregressive import ArSpec, autoregressive_forecasts, autoregressive_split, kpss_by_series
+from foldcast.plans.autoregressive import ArSpec, autoregressive_forecasts, autoregressive_split, kpss_by_series, order_search
 from foldcast.plans.single_split import SplitSpec
 from foldcast.plans.moving_average import ArmaSpec, moving_average_forecasts, moving_average_split, settles
 
@@ -237,3 +238,14 @@ def test_single_split_forecasts_run_from_the_end_of_training(spark, block_rows):
     for k in range(n_fit, 160):
         past.append(b[0] + b[1] * x[k] + sum(b[a] * past[-a] for a in range(2, p + 1)))
     np.testing.assert_allclose(got, past[kept:], atol=1e-9)
+
+
+def test_matrix_of_nested_fits_is_made_once(spark):
+    """Whatever makes the matrix of a sweep, or the fits of every order, must not run again for each use."""
+    assert str(swept(F.col("the_matrix"), 7, list(range(6)))).count("the_matrix") == 1
+    prices = spark.createDataFrame([("a", k, 1.0 + (k * 7 % 11)) for k in range(60)], "series_id string, k int, price double")
+    prices = prices.selectExpr("series_id", "date_add(DATE'2020-01-01', k) AS dt", "price")
+    found = order_search(prices, ArSpec())
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("aggregate(") == 1
+    assert found.where("chosen = 1").count() == 1 and found.count() == 6
