@@ -27,14 +27,16 @@ N, MX, MY, XX, XY = range(5)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Count, means and centred products of two disjoint groups of rows (Chan, Golub and LeVeque 1979), one pair a row."""
-    n = a[:, N] + b[:, N]
-    share = np.divide(b[:, N], n, out=np.zeros(len(n)), where=n > 0)
-    dx, dy = b[:, MX] - a[:, MX], b[:, MY] - a[:, MY]
-    between = a[:, N] * share
-    return np.column_stack(
-        [n, a[:, MX] + dx * share, a[:, MY] + dy * share, a[:, XX] + b[:, XX] + dx * dx * between, a[:, XY] + b[:, XY] + dx * dy * between]
-    )
+    """Count, means and centred products of two disjoint groups of rows (Chan, Golub and LeVeque 1979), one pair a column."""
+    n = a[N] + b[N]
+    share = np.divide(b[N], n, out=np.zeros(len(n)), where=n > 0)
+    d = b[MX : MY + 1] - a[MX : MY + 1]
+    between = a[N] * share
+    merged = np.empty((5, len(n)))
+    merged[N] = n
+    merged[MX : MY + 1] = a[MX : MY + 1] + d * share
+    merged[XX:] = a[XX:] + b[XX:] + d[0] * d * between
+    return merged
 
 
 class FrameTable:
@@ -42,32 +44,34 @@ class FrameTable:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, known: np.ndarray, longest: int) -> None:
         zero = np.zeros(len(x))
-        single = np.column_stack([known.astype(float), np.where(known, x, 0.0), np.where(known, y, 0.0), zero, zero])
+        single = np.array([known.astype(float), np.where(known, x, 0.0), np.where(known, y, 0.0), zero, zero])
         self.levels = [single]
         while 2 ** len(self.levels) <= min(longest, len(x)):
             last, half = self.levels[-1], 2 ** (len(self.levels) - 1)
-            self.levels.append(merge(last[:-half], last[half:]))
+            self.levels.append(merge(last[:, :-half], last[:, half:]))
 
     def frames(self, first: np.ndarray, length: int) -> np.ndarray:
-        """Summaries of the runs of ``length`` pairs from each position."""
-        total, at = np.zeros((len(first), 5)), first.copy()
+        """Summaries of the runs of ``length`` pairs from each position, one a row."""
+        total, at = None, first
         for k in range(len(self.levels) - 1, -1, -1):
             if length >> k & 1:
-                total = merge(total, self.levels[k][at])
+                part = self.levels[k][:, at]
+                total = part if total is None else merge(total, part)
                 at = at + (1 << k)
-        return total
+        return total.T
 
 
 def _lines(s: np.ndarray, model: str, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Intercepts and slopes of each summary; the slope of a constant input is 0."""
-    own = np.where(s[:, XX] > s[:, N] * s[:, MX] ** 2 * 1e-20, s[:, XX], 0.0)
+    s = s.T
+    own = np.where(s[XX] > s[N] * s[MX] ** 2 * 1e-20, s[XX], 0.0)
     below = own + (penalty if model == "ridge" else 0.0)
-    slope = np.divide(s[:, XY], below, out=np.zeros(len(s)), where=below > 0)
+    slope = np.divide(s[XY], below, out=np.zeros(len(below)), where=below > 0)
     if model == "nonneg":
         slope = np.maximum(slope, 0.0)
     if model == "mean":
-        slope = np.zeros(len(s))
-    return np.where(s[:, N] > 0, s[:, MY] - slope * s[:, MX], np.nan), slope
+        slope = np.zeros(len(below))
+    return np.where(s[N] > 0, s[MY] - slope * s[MX], np.nan), slope
 
 
 def _checked(settings: DataFrame) -> DataFrame:
@@ -121,28 +125,28 @@ def grid_forecasts(prices: DataFrame, settings: DataFrame, spec: FoldSpec, most_
                 continue
             t = landed - p - (p - 1)
             refit = t - t % f
-            fits, of_row = np.unique(refit, return_inverse=True)
+            fits = np.arange(refit[0], refit[-1] + 1, f)  # positions rise by one
+            of_row = (refit - refit[0]) // f
             usable = fits >= w
             first = np.where(usable, fits + p - w - run.first, 0)
             level, slope = _lines(tables[p].frames(first, w - v), s["model"], s["penalty"])
             level = np.where(usable, level, np.nan)
             preds = level[of_row] + slope[of_row] * x[landed - p - run.first]
-            take = pa.array(landed - run.first)
-            each = len(landed)
+            at, each = int(landed[0]) - run.first, len(landed)
             parts.append(
                 pa.table(
                     {
-                        "series_id": pa.array([run.series_id.as_py()] * each, pa.string()),
-                        "dt": run.data["dt"].take(take),
-                        "model": pa.array([s["setting"]] * each, pa.string()),
+                        "series_id": pa.repeat(pa.scalar(run.series_id.as_py(), pa.string()), each),
+                        "dt": run.data["dt"].slice(at, each),
+                        "model": pa.repeat(pa.scalar(s["setting"], pa.string()), each),
                         "i": pa.array(landed, pa.int64()),
-                        "n": pa.array([run.n] * each, pa.int64()),
+                        "n": pa.repeat(pa.scalar(run.n, pa.int64()), each),
                         "pred": pa.array(preds, pa.float64(), from_pandas=True),
-                        "true": run.data["y"].take(take),
+                        "true": run.data["y"].slice(at, each),
                     }
                 )
             )
-        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in _empty(run.data["dt"].type)})
+        return pa.concat_tables(parts).combine_chunks() if parts else pa.table({n: pa.array([], t) for n, t in _empty(run.data["dt"].type)})
 
     schema = f"series_id string, dt {kind}, model string, i bigint, n bigint, pred double, true double"
     return apply_blocks(copies, columns, forecast, schema, extra=["own"], most_bytes=most_bytes)

@@ -141,3 +141,14 @@ def test_frames_of_any_length_are_merges():
             assert got[k, 0] == len(a)
             if len(a):
                 np.testing.assert_allclose(got[k, 1:], [a.mean(), b.mean(), ((a - a.mean()) ** 2).sum(), ((a - a.mean()) * b).sum()], atol=1e-9)
+
+
+def test_frames_take_no_more_merges_than_parts(monkeypatch):
+    rng, made = np.random.default_rng(2), []
+    table = grid.FrameTable(rng.normal(size=200), rng.normal(size=200), rng.random(200) > 0.1, 130)
+    merge = grid.merge
+    monkeypatch.setattr(grid, "merge", lambda a, b: made.append(1) or merge(a, b))
+    for length, merges in ((1, 0), (64, 0), (77, 3)):
+        made.clear()
+        assert table.frames(np.arange(100), length).shape == (100, 5)
+        assert len(made) == merges
