@@ -9,7 +9,9 @@ across them, so a text falls into words whose ids a worker remembers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -28,6 +30,14 @@ REMEMBERED, SHORT = 600_000, 64
 AT_ONCE = 1 << 20
 
 
+def as_bytes(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    whole = array("I", ids)
+    if sys.byteorder == "big":
+        whole.byteswap()
+    return whole.tobytes()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -67,7 +77,7 @@ class PieceEncoder:
         self.meet = np.zeros(self.width * self.width, bool)
         left, right = (self.place[[ord(pair[k]) for pair in self.joined]] for k in (0, 1))
         self.meet[left * self.width + right] = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """The text cut wherever no piece spans two neighbours."""
@@ -113,29 +123,33 @@ class PieceEncoder:
                 heappush(agenda, (scores[wider], before[left], wider))
         return [s for s in symbols if s]
 
-    def _of_symbols(self, symbols: list[str]) -> list[int]:
+    def _of_symbols(self, symbols: list[str]) -> bytes:
         ids, of_byte = self.ids, self.bytes
-        return list(chain.from_iterable((ids[s],) if s in ids else map(of_byte.__getitem__, s.encode()) for s in symbols))
+        return as_bytes(chain.from_iterable((ids[s],) if s in ids else map(of_byte.__getitem__, s.encode()) for s in symbols))
 
-    def _of_word(self, word: str) -> tuple[int, ...]:
+    def _of_word(self, word: str) -> bytes:
         if len(word) > SHORT:
-            return tuple(self._of_symbols(self.merged(word)))
+            return self._of_symbols(self.merged(word))
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        found = self.known[word] = tuple(self._of_symbols(self.merged_short(word)))
+        found = self.known[word] = self._of_symbols(self.merged_short(word))
         return found
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids with begin and end."""
-        known, words = self.known, self.words(text) if text else []
-        flat = chain.from_iterable(known.get(w) or self._of_word(w) for w in words)
-        return np.fromiter(chain((self.begin,), flat, (self.end,)), np.uint32)
+    def encode(self, text: str) -> bytes:
+        """Ids with begin and end, as little-endian unsigned 32-bit integers."""
+        words = self.words(text) if text else []
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            parts = [part or self._of_word(w) for part, w in zip(parts, words)]
+        return as_bytes([self.begin]) + b"".join(parts) + as_bytes([self.end])
 
-    def check(self, texts: list[str], ids: list[np.ndarray]) -> None:
-        """Raise where the library encodes a text otherwise."""
-        for k, want in enumerate(self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)):
-            if len(want) != len(ids[k]) or not np.array_equal(np.asarray(want, np.uint32), ids[k]):
-                raise ValueError(f"the library encodes a text of {len(texts[k])} characters otherwise: {texts[k][:80]!r}")
+    def check(self, texts: list[str], ids: list[bytes]) -> list[list[int]]:
+        """The library's ids of the texts; raise where it encodes one otherwise."""
+        wanted = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+        for text, want, got in zip(texts, wanted, ids, strict=True):
+            if as_bytes(want) != got:
+                raise ValueError(f"the library encodes a text of {len(text)} characters otherwise: {text[:80]!r}")
+        return wanted
 
 
 @lru_cache(maxsize=2)
@@ -177,12 +191,12 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
                 for run in _runs(part):
                     some = part[run]
                     ids = [of.encode(t) for t in some]
-                    if check:
-                        of.check(some, ids)
+                    # decoded are the ids returned, as numbers: checked ones are there as such
+                    numbers = of.check(some, ids) if check else (np.frombuffer(i, "<u4").tolist() for i in ids)
                     columns = [batch.column(k).slice(at, len(some)) for k in range(len(kept))]
-                    columns.append(pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()))
+                    columns.append(pa.array(ids, pa.binary()))
                     if decode:
-                        columns.append(pa.array([of.library.decode(i.tolist()) for i in ids], pa.string()))
+                        columns.append(pa.array([of.library.decode(i) for i in numbers], pa.string()))
                     at += len(some)
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", *(["decoded"] if decode else [])])
 

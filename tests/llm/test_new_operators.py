@@ -239,3 +239,14 @@ def test_agenda_equals_the_library_on_random_texts():
     with pytest.raises(ValueError, match="otherwise"):
         of.check(["abc"], [of.encode("abd")])
     assert all(of.merged(w) == of.merged_short(w) for t in texts for w in of.words(t))
+
+
+def test_pieces_are_kept_as_bytes_and_checked():
+    of = pieces.PieceEncoder(pieces.default_path())
+    texts = ["a word, a word", "", "ünder 東京 \n\n  x" * 9]
+    got = [of.encode(t) for t in texts]
+    want = [list(i) for i in of.library.encode(texts, add_bos=True, add_eos=True)]
+    assert all(isinstance(i, bytes) for i in [*got, *of.known.values()])
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == want == of.check(texts, got)
+    with pytest.raises(ValueError, match="otherwise"):
+        of.check(texts, [got[0][:-4], *got[1:]])
